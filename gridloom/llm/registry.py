@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import licenses, secrets, warc
+from . import bpe, langid, licenses, secrets, toxicity, warc
 
 QUERIES = {
     "op2_warc": warc.op2_warc,
+    "op3_bpe": bpe.op3_bpe,
     "op4_licenses": licenses.op4_licenses,
+    "op5_langid": langid.op5_langid,
     "op6_secrets": secrets.op6_secrets,
+    "op7_toxicity": toxicity.op7_toxicity,
 }
 
 ORACLE_SQL = {"op2_warc": warc.OP2_SQL}
