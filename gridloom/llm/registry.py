@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, licenses, secrets, toxicity, warc
+from . import bpe, fingerprints, langid, licenses, secrets, toxicity, warc
 
 QUERIES = {
+    "op1_fingerprints": fingerprints.op1_fingerprints,
     "op2_warc": warc.op2_warc,
     "op3_bpe": bpe.op3_bpe,
     "op4_licenses": licenses.op4_licenses,
@@ -13,4 +14,4 @@ QUERIES = {
     "op7_toxicity": toxicity.op7_toxicity,
 }
 
-ORACLE_SQL = {"op2_warc": warc.OP2_SQL}
+ORACLE_SQL = {"op1_fingerprints": fingerprints.OP1_SQL, "op2_warc": warc.OP2_SQL}
