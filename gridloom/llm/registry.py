@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, langid, licenses, secrets, toxicity, warc
+from . import bpe, fingerprints, langid, licenses, mixing, secrets, toxicity, warc
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_langid": langid.op5_langid,
     "op6_secrets": secrets.op6_secrets,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_mixing": mixing.op8_mixing,
 }
 
 ORACLE_SQL = {"op1_fingerprints": fingerprints.OP1_SQL, "op2_warc": warc.OP2_SQL}
