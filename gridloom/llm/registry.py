@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, langid, licenses, mixing, neighbors, secrets, toxicity, warc
+from . import bpe, fingerprints, langid, licenses, minhash, mixing, neighbors, secrets, toxicity, warc
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_mixing": mixing.op8_mixing,
     "op9_neighbors": neighbors.op9_neighbors,
+    "op10_minhash": minhash.op10_minhash,
 }
 
 ORACLE_SQL = {"op1_fingerprints": fingerprints.OP1_SQL, "op2_warc": warc.OP2_SQL, "op9_neighbors": neighbors.OP9_SQL}
