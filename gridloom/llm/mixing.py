@@ -160,9 +160,9 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def take(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """docs with each row repeated as often as the mix takes it; all columns."""
-    key = F.struct(F.col("doc_id"), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("sha"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    parts = (F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).cast("string"))
     same = W.partitionBy("_key").orderBy("_key")
-    keyed = docs.withColumn("_key", F.to_json(key))
+    keyed = docs.withColumn("_key", F.sha2(F.concat_ws(":", *parts), 256))
     plan = mix(keyed, F.col("_key"), weights).select(F.col("key").alias("_key"), "copies")
     # equal rows share a key; the sum of their copies goes to one of them
     plan = plan.groupBy("_key").agg(F.sum("copies").alias("_copies")).filter(F.col("_copies") > 0)
