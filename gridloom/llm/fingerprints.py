@@ -109,17 +109,17 @@ def compare_edits(docs: DataFrame) -> DataFrame:
         next_rows(ids.select("doc_id", "rid")).join(ids.select("rid", F.floor(F.col("n_chars") / 2).cast("int").alias("half")), "rid"), "fingerprint-links"
     )
     common.drop(ids)
-    grown = tree(base).select("rid", "doc_id", "text", "fingerprint", "runs")
-    shuffled = grown.repartition(F.col("rid"))
+    # Only rid, doc_id and text shuffle; both joins read that exchange, and trees are built behind it.
+    shuffled = base.select("rid", "doc_id", "text").repartition(F.col("rid"))
     copy = W.partitionBy("rid").orderBy("rid")
     giver = (
-        shuffled.withColumn("copy", F.row_number().over(copy))
-        .filter("copy = 1")
-        .select(F.col("rid").alias("next_rid"), F.col("text").alias("next_text"), F.col("fingerprint").alias("next_fingerprint"), F.col("runs").alias("next_runs"), F.col("doc_id").alias("next_doc_id"))
+        tree(shuffled.withColumn("copy", F.row_number().over(copy)).filter("copy = 1"))
+        .select(F.col("rid").alias("next_rid"), F.col("text").alias("next_text"), F.col("runs").alias("next_runs"), F.col("doc_id").alias("next_doc_id"))
         .join(links, "next_rid")
-        .select("rid", "next_doc_id", "next_fingerprint", "next_runs", F.expr("substring(next_text, 1, half)").alias("tail"))
+        .select("rid", "next_doc_id", "next_runs", F.expr("substring(next_text, 1, half)").alias("tail"))
     )
-    both = shuffled.join(giver, "rid")
+    own = tree(shuffled)
+    both = own.join(giver, "rid")
     n = F.length("text")
     edited = both.withColumn("edited", F.concat(F.expr("substring(text, 1, length(text) - CAST(floor(length(text) / 2) AS INT))"), F.col("tail")))
     out = tree(edited.withColumn("n_chars", n.cast("long")), "edited", "edited_")
