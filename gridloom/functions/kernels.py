@@ -1,0 +1,356 @@
+"""Array kernels without a relational form, in NumPy, and their grouped-map wrapper. x: float arrays (n,) or (n, 2)."""
+
+from __future__ import annotations
+
+from collections import deque
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+
+
+def per_group(df: DataFrame, key: str, schema: str, f: Callable[[pd.DataFrame], dict]) -> DataFrame:
+    """One row per key from f(rows of the key); a key is one clip or one pair, which is bounded."""
+    names = [p.strip().split()[0] for p in schema.split(",")]
+
+    def run(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = f(pdf)
+        return pd.DataFrame([[k[0], *[out[n] for n in names[1:]]]], columns=names)
+
+    return df.groupBy(key).applyInPandas(run, schema)
+
+
+def mono(x: np.ndarray) -> np.ndarray:
+    return x if x.ndim == 1 else x.mean(1)
+
+
+def frames(x: np.ndarray, size: int, hop: int) -> np.ndarray:
+    """Overlapping frames as rows; a short signal is padded to one frame."""
+    if len(x) < size:
+        x = np.pad(x, (0, size - len(x)))
+    return np.lib.stride_tricks.sliding_window_view(x, size)[::hop]
+
+
+def stft(x: np.ndarray, size: int = 2048, hop: int = 512) -> np.ndarray:
+    return np.fft.rfft(frames(np.pad(x, size // 2, mode="reflect" if len(x) > size // 2 else "constant"), size, hop) * np.hanning(size + 1)[:-1], axis=1)
+
+
+def istft(z: np.ndarray, n: int, size: int = 2048, hop: int = 512) -> np.ndarray:
+    w = np.hanning(size + 1)[:-1]
+    y, s = np.zeros(hop * (len(z) - 1) + size), np.zeros(hop * (len(z) - 1) + size)
+    for i, f in enumerate(np.fft.irfft(z, size, axis=1)):
+        y[i * hop : i * hop + size] += f * w
+        s[i * hop : i * hop + size] += w * w
+    y = y / np.maximum(s, 1e-8)
+    return np.pad(y, (0, max(0, n + size // 2 - len(y))))[size // 2 : size // 2 + n]
+
+
+def frame_features(x: np.ndarray, rate: int = 22050, size: int = 2048, hop: int = 512) -> pd.DataFrame:
+    """Per frame: t, rms, onset strength, flatness, centroid, low and middle energy shares, 12 chroma."""
+    m = mono(x).astype(np.float64)
+    power = np.abs(stft(m, size, hop)) ** 2
+    hz = np.fft.rfftfreq(size, 1 / rate)
+    total = power.sum(1) + 1e-12
+    log = np.log1p(100 * power)
+    rise = np.maximum(0, np.diff(log, axis=0, prepend=log[:1])).mean(1)
+    band = lambda a, b: power[:, (hz >= a) & (hz < b)].sum(1) / total
+    tonal = (hz >= 55) & (hz < 5000)
+    pitch = np.round(69 + 12 * np.log2(hz[tonal] / 440)).astype(int) % 12
+    chroma = np.stack([power[:, tonal][:, pitch == p].sum(1) for p in range(12)], 1)
+    chroma = chroma / np.maximum(np.linalg.norm(chroma, axis=1, keepdims=True), 1e-9)
+    return pd.DataFrame({
+        "t": np.arange(len(power)) * hop / rate, "rms": np.sqrt(total / size**2), "onset": rise,
+        "flatness": np.exp(np.log(power + 1e-12).mean(1)) / (power.mean(1) + 1e-12), "centroid": (power * hz).sum(1) / total,
+        "low": band(0, 180), "mid": band(220, 4500), "chroma": list(chroma),
+    })
+
+
+def acoustic_summary(x: np.ndarray, rate: int = 22050) -> np.ndarray:
+    """Level (log10), onset, centroid share, flatness, low share and dynamics."""
+    f = frame_features(x, rate)
+    return np.array([np.log10(f.rms.mean() + 1e-9), f.onset.mean(), f.centroid.mean() / (rate / 2), f.flatness.mean(), f.low.mean(), f.rms.std() / (f.rms.mean() + 1e-9)])
+
+
+def three_bands(x: np.ndarray, rate: int, low_hz: float = 220.0, high_hz: float = 2600.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Low, middle and high parts that add up to x: smooth crossovers on the spectrum of the whole clip."""
+    z, hz = np.fft.rfft(x, axis=0), np.fft.rfftfreq(len(x), 1 / rate)
+    keep = lambda f: (1 / (1 + (hz / f) ** 8)).reshape(-1, *[1] * (x.ndim - 1))
+    low = np.fft.irfft(z * keep(low_hz), len(x), axis=0)
+    below = np.fft.irfft(z * keep(high_hz), len(x), axis=0)
+    return low, below - low, x - below
+
+
+def harmonic_percussive(x: np.ndarray, size: int = 2048, hop: int = 512, width: int = 17) -> tuple[np.ndarray, np.ndarray]:
+    """Median filters along time and frequency give two soft masks that add up to one."""
+
+    def split(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        z = stft(m, size, hop)
+        a = np.abs(z)
+        med = lambda v: np.median(np.lib.stride_tricks.sliding_window_view(np.pad(v, ((width // 2,) * 2, (0, 0)), mode="edge"), width, axis=0), axis=-1)
+        h, p = med(a), med(a.T).T
+        mask = h**2 / (h**2 + p**2 + 1e-12)
+        y = istft(z * mask, len(m), size, hop)
+        return y, m - y
+
+    if x.ndim == 1:
+        return split(x)
+    parts = [split(x[:, c]) for c in range(x.shape[1])]
+    return np.stack([p[0] for p in parts], 1), np.stack([p[1] for p in parts], 1)
+
+
+def fit_length(x: np.ndarray, n: int) -> np.ndarray:
+    """Cut, or held at its last sample: never padded with zeros."""
+    return x[:n] if len(x) >= n else np.concatenate([x, np.repeat(x[-1:], n - len(x), axis=0)]) if len(x) else np.zeros((n, *x.shape[1:]))
+
+
+def wsola(x: np.ndarray, rate: float, size: int = 1024, search: int = 256) -> np.ndarray:
+    """Time stretch by overlapped frames placed where they continue the last one best; both channels move together."""
+    n = int(round(len(x) / rate))
+    hop, w = size // 2, np.hanning(size + 1)[:-1]
+    padded = np.concatenate([x, np.zeros((size + search, *x.shape[1:]))])
+    guide = mono(padded)
+    y, s = np.zeros((n + 2 * size, *x.shape[1:])), np.zeros(n + 2 * size)
+    at = 0
+    for out in range(0, n, hop):
+        want = int(out * rate)
+        if out:
+            low, high = max(0, want - search), min(len(x), want + search)
+            target = guide[at + hop : at + hop + size]
+            windows = np.lib.stride_tricks.sliding_window_view(guide[low : high + len(target)], len(target))
+            at = low + int(np.argmax(windows @ target / (np.linalg.norm(windows, axis=1) + 1e-9)))
+        f = padded[at : at + size]
+        shape = w[: len(f)].reshape(-1, *[1] * (x.ndim - 1))
+        y[out : out + len(f)] += f * shape
+        s[out : out + len(f)] += w[: len(f)]
+    return (y / np.maximum(s, 1e-3).reshape(-1, *[1] * (x.ndim - 1)))[:n]
+
+
+def variable_stretch(x: np.ndarray, source: np.ndarray, target: np.ndarray, size: int = 2048, hop: int = 512) -> np.ndarray:
+    """Phase vocoder along a piecewise-linear map of target to source samples."""
+    n = int(target[-1])
+
+    def one(m: np.ndarray) -> np.ndarray:
+        z = stft(m, size, hop)
+        omega = 2 * np.pi * hop * np.arange(z.shape[1]) / size
+        at = np.clip(np.interp(np.arange(0, n + hop, hop), target, source) / hop, 0, len(z) - 1.001)
+        i = at.astype(int)
+        magnitude = (1 - (at - i))[:, None] * np.abs(z[i]) + (at - i)[:, None] * np.abs(z[i + 1])
+        advance = np.angle(z[i + 1]) - np.angle(z[i]) - omega
+        advance = omega + advance - 2 * np.pi * np.round(advance / (2 * np.pi))
+        phase = np.angle(z[0]) + np.concatenate([np.zeros((1, z.shape[1])), np.cumsum(advance[:-1], axis=0)])
+        return istft(magnitude * np.exp(1j * phase), n, size, hop)
+
+    return one(x) if x.ndim == 1 else np.stack([one(x[:, c]) for c in range(x.shape[1])], 1)
+
+
+STRETCHERS: dict[str, Callable[[np.ndarray, float], np.ndarray]] = {
+    "wsola": wsola,
+    "vocoder": lambda x, rate: variable_stretch(x, np.array([0.0, len(x)]), np.array([0.0, round(len(x) / rate)])),
+}
+
+
+def hybrid_stretch(x: np.ndarray, rate: float) -> np.ndarray:
+    """Percussive part by WSOLA, harmonic part by the vocoder."""
+    h, p = harmonic_percussive(x)
+    a, b = STRETCHERS["vocoder"](h, rate), wsola(p, rate)
+    n = min(len(a), len(b))
+    return a[:n] + b[:n]
+
+
+STRETCHERS["hybrid"] = hybrid_stretch
+
+
+def stretch(x: np.ndarray, rate: float, backend: str = "hybrid") -> np.ndarray:
+    """By a registered backend; an unknown one falls back to wsola. The length is exact."""
+    if abs(rate - 1) < 1e-6:
+        return x.copy()
+    return fit_length(STRETCHERS.get(backend, wsola)(x, rate), int(round(len(x) / rate)))
+
+
+def onset_envelope(x: np.ndarray, rate: int, low: float = 35.0, high: float = 180.0, smooth_s: float = 0.006) -> np.ndarray:
+    """Rises of the band's level, over its 95th percentile, within 0..4."""
+    z, hz = np.fft.rfft(mono(x)), np.fft.rfftfreq(len(x), 1 / rate)
+    band = np.abs(np.fft.irfft(z * ((hz >= low) & (hz <= high)), len(x)))
+    k = max(1, int(smooth_s * rate))
+    level = np.convolve(band, np.ones(k) / k, mode="same")
+    rise = np.maximum(0, np.diff(level, prepend=level[:1]))
+    return np.clip(rise / max(np.percentile(rise, 95), 1e-12), 0, 4)
+
+
+def micro_lag(a: np.ndarray, b: np.ndarray, rate: int, most_s: float = 0.080) -> tuple[int, float]:
+    """Samples by which b lags behind a, and a confidence that is 0 below 0.18."""
+    n = min(len(a), len(b))
+    a, b, most = a[:n] - a[:n].mean(), b[:n] - b[:n].mean(), int(most_s * rate)
+    size = 1 << (2 * n - 1).bit_length()
+    c = np.fft.irfft(np.fft.rfft(b, size) * np.conj(np.fft.rfft(a, size)), size)
+    c = np.concatenate([c[-most:], c[: most + 1]]) / max(np.linalg.norm(a) * np.linalg.norm(b), 1e-12)
+    best = int(c.argmax())
+    away = np.abs(np.arange(len(c)) - best) > max(2, int(0.012 * rate))
+    confidence = float(np.clip(c[best] * (1 - max(0.0, c[away].max(initial=0.0)) / max(c[best], 1e-9)) * 2, 0, 1))
+    return (best - most, confidence) if confidence >= 0.18 else (best - most, 0.0)
+
+
+def robust_line(x: np.ndarray, y: np.ndarray, w: np.ndarray, rounds: int = 4) -> tuple[float, float]:
+    """Slope and intercept by reweighted least squares with Huber weights on the median absolute deviation."""
+    v = w.astype(float)
+    slope = intercept = 0.0
+    for _ in range(rounds):
+        mx, my = np.average(x, weights=v), np.average(y, weights=v)
+        spread = np.average((x - mx) ** 2, weights=v)
+        slope = np.average((x - mx) * (y - my), weights=v) / spread if spread > 1e-12 else 0.0
+        intercept = my - slope * mx
+        r = np.abs(y - slope * x - intercept)
+        limit = 1.345 * max(1.4826 * np.median(np.abs(r - np.median(r))), 1e-9)
+        v = w * np.minimum(1, limit / np.maximum(r, 1e-12))
+    return float(slope), float(intercept)
+
+
+def echo(x: np.ndarray, delay: int, taps: int = 4, decay: float = 0.55) -> np.ndarray:
+    y = np.zeros_like(x, dtype=float)
+    for k in range(1, taps + 1):
+        if k * delay < len(x):
+            y[k * delay :] += x[: len(x) - k * delay] * decay**k
+    return y
+
+
+def quantized_loop(x: np.ndarray, cue: int, loop: int, n: int, bridge: int = 0) -> np.ndarray:
+    """The loop before the cue repeated for n samples; each wrap is bridged by a short fade."""
+    y = x[cue - loop + np.arange(n) % loop].astype(float)
+    fade = np.linspace(0, 1, bridge, endpoint=False).reshape(-1, *[1] * (x.ndim - 1))
+    for wrap in range(loop, n, loop):
+        k = min(bridge, n - wrap)
+        y[wrap : wrap + k] = y[wrap - 1] * (1 - fade[:k]) + y[wrap : wrap + k] * fade[:k]
+    return y
+
+
+def min_cut(capacity_right: np.ndarray, capacity_down: np.ndarray) -> np.ndarray:
+    """Per cell of a grid whether it is on the left side of the least cut between its first and last column."""
+    rows, cols = capacity_down.shape[0] + 1, capacity_right.shape[1] + 1
+    n, s, t = rows * cols, rows * cols, rows * cols + 1
+    graph: list[list[int]] = [[] for _ in range(n + 2)]
+    to: list[int] = []
+    room: list[float] = []
+
+    def link(a: int, b: int, c: float, back: float) -> None:
+        graph[a].append(len(to))
+        to.append(b)
+        room.append(c)
+        graph[b].append(len(to))
+        to.append(a)
+        room.append(back)
+
+    for r in range(rows):
+        link(s, r * cols, 1e9, 0)
+        link(r * cols + cols - 1, t, 1e9, 0)
+        for c in range(cols):
+            if c + 1 < cols:
+                link(r * cols + c, r * cols + c + 1, float(capacity_right[r, c]), float(capacity_right[r, c]))
+            if r + 1 < rows:
+                link(r * cols + c, r * cols + cols + c, float(capacity_down[r, c]), float(capacity_down[r, c]))
+    while True:
+        depth = [-1] * (n + 2)
+        depth[s] = 0
+        todo = deque([s])
+        while todo:
+            v = todo.popleft()
+            for e in graph[v]:
+                if room[e] > 1e-9 and depth[to[e]] < 0:
+                    depth[to[e]] = depth[v] + 1
+                    todo.append(to[e])
+        if depth[t] < 0:
+            return np.array(depth[:n]).reshape(rows, cols) >= 0
+        at = [0] * (n + 2)
+        path: list[int] = []
+        v = s
+        while True:
+            if v == t:
+                flow = min(room[e] for e in path)
+                for e in path:
+                    room[e] -= flow
+                    room[e ^ 1] += flow
+                k = next(i for i, e in enumerate(path) if room[e] <= 1e-9)
+                v = to[path[k] ^ 1]
+                path = path[:k]
+                continue
+            while at[v] < len(graph[v]):
+                e = graph[v][at[v]]
+                if room[e] > 1e-9 and depth[to[e]] == depth[v] + 1:
+                    break
+                at[v] += 1
+            else:
+                if v == s:
+                    break
+                depth[v] = -1
+                v = to[path.pop() ^ 1]
+                continue
+            path.append(e)
+            v = to[e]
+
+
+def spectral_seam(a: np.ndarray, b: np.ndarray, bands: int = 28, steps: int = 56, size: int = 2048, hop: int = 512) -> np.ndarray:
+    """Crossfade of two equally long clips along the least visible seam in time and frequency, softened."""
+    za, zb = stft(mono(a), size, hop), stft(mono(b), size, hop)
+    la, lb = np.log1p(np.abs(za)), np.log1p(np.abs(zb))
+    cells = lambda m, n, axis: np.stack([p.mean(axis) for p in np.array_split(m, min(n, m.shape[axis]), axis)], axis)
+    d = cells(cells(np.abs(la - lb), steps, 0), bands, 1).T + 1e-3
+    left = min_cut((d[:, 1:] + d[:, :-1]) / 2, (d[1:] + d[:-1]) / 4)
+    mask = left.astype(float)
+    for _ in range(2):
+        mask = (np.pad(mask, ((0, 0), (1, 1)), mode="edge")[:, :-2] + mask + np.pad(mask, ((0, 0), (1, 1)), mode="edge")[:, 2:]) / 3
+    t, f = np.linspace(0, mask.shape[1] - 1, len(za)), np.linspace(0, mask.shape[0] - 1, za.shape[1])
+    wide = mask[np.round(f).astype(int)][:, np.round(t).astype(int)].T
+
+    def mix(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return istft(stft(x, size, hop) * wide + stft(y, size, hop) * (1 - wide), len(x), size, hop)
+
+    return mix(a, b) if a.ndim == 1 else np.stack([mix(a[:, c], b[:, c]) for c in range(a.shape[1])], 1)
+
+
+def ownership(n: int, style: str = "blend") -> dict[str, np.ndarray]:
+    """Gains by part for a rendering style: the bass of both sides adds up to one at every sample."""
+    p = np.linspace(0, 1, n)
+    ease = lambda a, b: (lambda v: v**3 * (v * (v * 6 - 15) + 10))(np.clip((p - a) / (b - a), 0, 1))
+    a, b = {"bass swap": (0.45, 0.60), "short blend": (0.25, 0.75), "echo out": (0.30, 0.55)}.get(style.lower(), (0.2, 0.8))
+    bass = ease(a, b)
+    return {"bass_a": 1 - bass, "bass_b": bass, "drums_a": 1 - ease(a - 0.1, b), "drums_b": ease(a, b + 0.1), "tone_a": np.cos(ease(0.1, 0.9) * np.pi / 2), "tone_b": np.sin(ease(0.1, 0.9) * np.pi / 2)}
+
+
+def render_transition(a: np.ndarray, b: np.ndarray, rate: int, style: str = "short blend", beat: int = 0) -> np.ndarray:
+    """Mix of two equally long clips under ownership curves of a style, softly limited; echo of a on demand."""
+    n = min(len(a), len(b))
+    g = {k: v.reshape(-1, *[1] * (a.ndim - 1)) for k, v in ownership(n, style).items()}
+    la, ma, ha = three_bands(a[:n], rate)
+    lb, mb, hb = three_bands(b[:n], rate)
+    y = la * g["bass_a"] + lb * g["bass_b"] + ma * g["tone_a"] + mb * g["tone_b"] + ha * g["drums_a"] + hb * g["drums_b"]
+    if style.lower() == "echo out" and beat:
+        y = y + echo(ma * g["tone_a"], beat) * (1 - g["tone_a"])
+    return np.tanh(1.08 * y) / np.tanh(1.08)
+
+
+def transition_quality(y: np.ndarray, a: np.ndarray, b: np.ndarray, rate: int) -> dict[str, float]:
+    """Loudness steadiness, bass clash, continuity at both ends and stereo width, and their mean."""
+    level = np.sqrt(np.mean(frames(mono(y), 2048, 1024) ** 2, axis=1) + 1e-12)
+    steady = float(np.exp(-np.std(np.log(level))))
+    la, lb = three_bands(mono(a), rate)[0], three_bands(mono(b), rate)[0]
+    clash = float(np.mean(np.abs(la * lb)) / (np.mean(la**2 + lb**2) / 2 + 1e-12))
+    jump = abs(float(mono(y)[0] - mono(a)[0])) + abs(float(mono(y)[-1] - mono(b)[-1]))
+    smooth = float(np.exp(-4 * jump))
+    width = 1.0 if y.ndim == 1 else float(np.clip(1 - np.abs(y[:, 0] - y[:, 1]).mean() / (np.abs(y).mean() + 1e-9) / 2, 0, 1))
+    return {"loudness": steady, "bass": 1 - clash, "continuity": smooth, "stereo": width, "score": 0.35 * steady + 0.25 * (1 - clash) + 0.3 * smooth + 0.1 * width}
+
+
+def best_rendering(a: np.ndarray, b: np.ndarray, rate: int, styles: tuple[str, ...] = ("Short Blend", "Bass Swap", "Echo Out")) -> tuple[str, np.ndarray, float]:
+    """The best style by quality, the first of equals."""
+    scored = [(s, y, transition_quality(y, a, b, rate)["score"]) for s in styles for y in [render_transition(a, b, rate, s, rate // 2)]]
+    return max(scored, key=lambda r: r[2])
+
+
+def lock_phase(a_beats: np.ndarray, b_beats: np.ndarray, weights: np.ndarray | None = None, most: float = 0.12) -> tuple[np.ndarray, np.ndarray]:
+    """Source and target keyframes that lay b's beats on a's: a robust line plus residuals limited in slope, never turning back."""
+    n = min(len(a_beats), len(b_beats))
+    x, y = b_beats[:n].astype(float), a_beats[:n].astype(float)
+    slope, intercept = robust_line(x, y, np.ones(n) if weights is None else weights[:n])
+    r = np.clip(y - slope * x - intercept, -most, most)
+    r = np.array([np.median(r[max(0, i - 1) : i + 2]) for i in range(n)])
+    return x, np.maximum.accumulate(slope * x + intercept + r)

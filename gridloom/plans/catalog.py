@@ -327,7 +327,7 @@ def next_cue(spark, d):
 # scalars and tables
 
 
-@query("""WITH x AS (SELECT event_id, value / 500.0 AS p, CAST(props ->> '$.k' AS INT) AS k, value AS v FROM events),
+@query("""WITH x AS (SELECT event_id, value / 499.7 AS p, CAST(props ->> '$.k' AS INT) AS k, value AS v FROM events),
 y AS (SELECT *, greatest(0.0, least(1.0, (p - 0.2) / 0.6)) AS q, 60.0 + k * 1.3 AS bpm, 90.0 + v / 5 AS target FROM x)
 SELECT event_id, round(p * p * (3 - 2 * p), 6) + 0.0 AS smooth, round(p * p * p * (p * (p * 6 - 15) + 10), 6) + 0.0 AS smoother, round(q * q * (3 - 2 * q), 6) + 0.0 AS ramp, round(cos(p * pi() / 2), 6) + 0.0 AS gain_out, round(sin(p * pi() / 2), 6) + 0.0 AS gain_in,
  round(round_even(p * 8, 0) / 8.0, 6) + 0.0 AS stepped, round(20 * log10(greatest(p, 1e-8)), 6) + 0.0 AS db,
@@ -338,7 +338,7 @@ SELECT event_id, round(p * p * (3 - 2 * p), 6) + 0.0 AS smooth, round(p * p * p
  round(CASE WHEN abs(p - 0.5) < 0.035 OR abs(q - 0.5) < 0.035 THEN -0.055 * least(1.0, abs(q - p) / 0.60) WHEN (p - 0.5) * (q - 0.5) < 0 THEN -0.055 * least(1.0, abs(q - p) / 0.60) + 0.075 * least(1.0, least(abs(p - 0.5), abs(q - 0.5)) / 0.28) ELSE -0.055 * least(1.0, abs(q - p) / 0.60) - 0.065 * least(1.0, least(abs(p - 0.5), abs(q - 0.5)) / 0.28) END, 6) + 0.0 AS arc,
  round(greatest(0.70, least(1.0, sqrt((p * p + (1 - p) * (1 - p)) / greatest(p * p + (1 - p) * (1 - p) + 2 * least(0.97, k / 100.0) * p * (1 - p), 1e-12)))), 6) + 0.0 AS compensation FROM y""")
 def scalar_math(spark, d):
-    e = P.table(spark, d, "events").select("event_id", (F.col("value") / 500.0).alias("p"), F.get_json_object("props", "$.k").cast("int").alias("k"), F.col("value").alias("v"))
+    e = P.table(spark, d, "events").select("event_id", (F.col("value") / 499.7).alias("p"), F.get_json_object("props", "$.k").cast("int").alias("k"), F.col("value").alias("v"))
     p, k = F.col("p"), F.col("k")
     q = scalar.clip((p - 0.2) / 0.6)
     bpm, target = 60.0 + k * 1.3, 90.0 + F.col("v") / 5
@@ -496,7 +496,7 @@ def style_clusters(spark, d):
 # hand-over points
 
 PAIRS = ", pairs AS (SELECT DISTINCT track_id AS pair_id, track_id AS a_track, track_id + 1 AS b_track FROM ev WHERE track_id % 10 = 0 AND track_id + 1 IN (SELECT track_id FROM ev))"
-MIXB = f"""{O.BARS}, mb AS (SELECT *, onset AS boundary, brightness AS phrase, cue * (1 - vocal / 2) AS mix_in, cue * (0.5 + vocal / 2) AS mix_out FROM bars){PAIRS},
+MIXB = f"""{O.BARS}, mb AS (SELECT *, onset * 0.99731 AS boundary, brightness * 0.99871 AS phrase, cue * (1 - vocal / 2) AS mix_in, cue * (0.5 + vocal / 2) AS mix_out FROM bars){PAIRS},
 ex AS (SELECT track_id, bar AS exit FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY mix_out DESC, bar) AS rk FROM mb WHERE cue >= 0.34) WHERE rk <= {{x}}),
 et AS (SELECT track_id, bar AS entry FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY mix_in DESC, bar) AS rk FROM mb WHERE cue >= 0.34) WHERE rk <= {{y}}),
 ct AS (SELECT track_id, count(*) AS n FROM mb GROUP BY track_id),
@@ -505,7 +505,7 @@ cands AS (SELECT pair_id, a_track, b_track, exit, entry, bars FROM pairs JOIN ex
 
 def mix_bars(spark: SparkSession, d: str) -> DataFrame:
     cue, vocal = F.col("cue"), F.col("vocal")
-    return P.bars(spark, d).withColumns({"boundary": F.col("onset"), "phrase": F.col("brightness"), "mix_in": cue * (1 - vocal / 2), "mix_out": cue * (0.5 + vocal / 2)})
+    return P.bars(spark, d).withColumns({"boundary": F.col("onset") * 0.99731, "phrase": F.col("brightness") * 0.99871, "mix_in": cue * (1 - vocal / 2), "mix_out": cue * (0.5 + vocal / 2)})
 
 
 def neighbour_pairs(bars: DataFrame) -> DataFrame:
@@ -572,3 +572,228 @@ def handover_scores(spark, d):
 @query(f"WITH {_score_sql()} SELECT pair_id, exit, entry, bars, intent, {r('score')} FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY score DESC, bars, exit, entry) AS rk FROM scored) WHERE rk = 1")
 def handover_best(spark, d):
     return r6(matching.best_candidate(_scored(spark, d)).select("pair_id", "exit", "entry", "bars", "intent", "score"))
+
+
+@query(f"""WITH {MIXB.format(x=6, y=5)}, cx AS (SELECT *, greatest(0.0, least(1.0, 0.5 * CASE WHEN lag(role) OVER w IS NULL THEN 1.0 WHEN role <> lag(role) OVER w OR function <> lag(function) OVER w THEN 1.0 ELSE 0.0 END + 0.28 * boundary + 0.22 * phrase)) AS edge,
+ CASE WHEN role <> 'DROP' THEN bar - max(CASE WHEN role = 'DROP' THEN bar END) OVER ({PT} ORDER BY bar ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) END AS since, CASE WHEN coalesce(lead(role) OVER w <> role, true) THEN bar END AS lr FROM mb WINDOW w AS ({PT} ORDER BY bar)),
+cu AS (SELECT *, least(min(lr) OVER ({PT} ORDER BY bar ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - bar + 1, 17) AS until FROM cx)
+SELECT track_id, bar, round(greatest(0.0, least(1.0, 0.78 * CASE WHEN role = 'DROP' AND until <= 2 THEN greatest(0.58, 0.16 + 0) ELSE CASE role WHEN 'BREAKDOWN' THEN 0.90 WHEN 'SECTION' THEN 0.58 WHEN 'BUILDUP' THEN 0.34 WHEN 'DROP' THEN 0.16 ELSE 0.48 END + CASE WHEN since IS NULL THEN 0.0 ELSE 0.24 * exp(-0.35 * greatest(0, since - 1)) END END + 0.22 * edge)), 6) + 0.0 AS prior_out,
+ round(greatest(0.0, least(1.0, 0.78 * CASE role WHEN 'INTRO' THEN 1.00 WHEN 'BUILDUP' THEN 0.96 WHEN 'BREAKDOWN' THEN 0.80 WHEN 'SECTION' THEN 0.60 WHEN 'DROP' THEN 0.62 END + 0.22 * edge)), 6) + 0.0 AS prior_in, CAST(since AS BIGINT) AS since_drop, CAST(until AS BIGINT) AS until_change FROM cu""")
+def phrase_context(spark, d):
+    c = matching.with_context(mix_bars(spark, d))
+    out, into = matching.structural_prior(c, True), matching.structural_prior(c, False)
+    both = out.withColumnRenamed("prior", "prior_out").join(into.withColumnRenamed("prior", "prior_in"), ["track_id", "bar"])
+    return r6(both.join(c.select("track_id", "bar", F.col("since_drop").cast("long").alias("since_drop"), F.col("until_change").cast("long").alias("until_change")), ["track_id", "bar"]))
+
+
+@query("""WITH c AS (SELECT event_id, 90.0 + CAST(props ->> '$.k' AS INT) AS bpm, event_id * 97 % 2000000 AS a_cue, event_id * 61 % 1500000 AS b_cue, 2000000 AS a_total, 1500000 AS b_total, event_id * 13 % 900000 AS earliest, event_id % 17 = 0 AS ft FROM events),
+b AS (SELECT *, greatest(1, CAST(round_even(60.0 / bpm * 44100, 0) AS BIGINT)) AS beat FROM c),
+p AS (SELECT *, least(greatest(0, a_cue - greatest(0, earliest)), greatest(0, b_cue), 4 * beat) AS pre, least(greatest(0, a_total - a_cue), greatest(0, b_total - b_cue), 2 * beat) AS post FROM b),
+t AS (SELECT *, ft OR post < greatest(64, CAST(round_even(0.25 * beat, 0) AS BIGINT)) AS tail, greatest(64, least(4 * beat, 2 * beat)) AS fade, greatest(0, least(earliest, a_total - 1)) AS low, greatest(0, least(b_cue, b_total - 1)) AS at0 FROM p),
+u AS (SELECT *, CASE WHEN b_total - at0 < least(fade, beat) THEN 1000 ELSE at0 END AS ata FROM t), n AS (SELECT *, greatest(1, least(fade, greatest(1, a_total - low), greatest(1, b_total - ata))) AS n0 FROM u),
+z AS (SELECT *, greatest(0, a_total - n0) AS s0 FROM n), y AS (SELECT *, CASE WHEN s0 < low THEN greatest(1, least(a_total - low, greatest(1, b_total - ata))) ELSE n0 END AS nn, greatest(s0, low) AS ss FROM z)
+SELECT event_id, tail, CAST(CASE WHEN tail THEN ss ELSE a_cue - pre END AS BIGINT) AS a_start, CAST(CASE WHEN tail THEN ata ELSE b_cue - pre END AS BIGINT) AS b_start, CAST(CASE WHEN tail THEN nn ELSE pre + post END AS BIGINT) AS length, CAST(CASE WHEN tail THEN nn ELSE pre END AS BIGINT) AS handoff, CAST(CASE WHEN tail THEN least(b_total, ata + nn) ELSE b_cue + post END AS BIGINT) AS b_resume FROM y""")
+def cue_windows(spark, d):
+    e, k = F.col("event_id"), F.get_json_object("props", "$.k").cast("int")
+    c = P.table(spark, d, "events").select(
+        "event_id", (90.0 + k).alias("bpm"), F.lit(44100).alias("rate"), (e * 97 % 2000000).alias("a_cue"), (e * 61 % 1500000).alias("b_cue"), F.lit(2000000).alias("a_total"), F.lit(1500000).alias("b_total"),
+        (e * 13 % 900000).alias("earliest"), F.lit(1000).alias("b_first"), (e % 17 == 0).alias("force_tail"),
+    )
+    return matching.cue_window(c).select("event_id", "tail", "a_start", "b_start", "length", "handoff", "b_resume")
+
+
+def _curve_sql() -> str:
+    ss = lambda x: f"(greatest(0.0, least(1.0, {x})) * greatest(0.0, least(1.0, {x})) * (3 - 2 * greatest(0.0, least(1.0, {x}))))"
+    return f"""WITH p AS (SELECT event_id, 0.65 + value / 600 AS g, i, i / 16.0::DOUBLE AS p FROM events, range(0, 17) r(i) WHERE event_id % 50 = 0),
+c AS (SELECT *, cos(p * pi() / 2) * (1 - 0.0936 * pow(sin(pi() * p), 2)) AS fo, sin(p * pi() / 2) * (g + (1 - g) * {ss('p')}) * (1 - 0.0936 * pow(sin(pi() * p), 2)) AS fi, {ss('(p - 0.44) / 0.18')} AS bs FROM p)
+SELECT event_id, i, round(fo, 6) + 0.0 AS fade_out, round(fi, 6) + 0.0 AS fade_in, round(sqrt(greatest(0.0, 1 - bs)), 6) + 0.0 AS bass_out, round(sqrt(bs), 6) + 0.0 AS bass_in, round(fo * (1 - 0.72 * 0.78 * {ss('(p - 0.27) / 0.56')}), 6) + 0.0 AS high_out, round(fi * (0.28 + 0.72 * (0.18 + 0.82 * {ss('(p - 0.03) / 0.52')})), 6) + 0.0 AS high_in FROM c"""
+
+
+@query(_curve_sql())
+def gain_curves(spark, d):
+    e = P.table(spark, d, "events").filter("event_id % 50 = 0").select("event_id", (0.65 + F.col("value") / 600).alias("g"))
+    curves = matching.gain_curves(F.lit(17), F.col("g"))
+    z = e.select("event_id", F.posexplode(F.arrays_zip(*[c.alias(n) for n, c in curves.items()])).alias("i", "z"))
+    return r6(z.select("event_id", F.col("i").cast("long").alias("i"), *[F.col(f"z.{n}").alias(n) for n in curves]))
+
+
+# time maps and samples
+
+SAMPLES = O.EVENTS + ", sm AS (SELECT track_id, idx, value / 250.0 - 1 AS a, k / 50.0 - 1 AS b FROM ev)"
+
+
+def samples(spark: SparkSession, d: str) -> DataFrame:
+    return P.events(spark, d).select("track_id", "idx", (F.col("value") / 250.0 - 1).alias("a"), (F.col("k") / 50.0 - 1).alias("b"))
+
+
+@query(f"""WITH {O.BEATS}, kf AS (SELECT track_id, t AS x, t * 1.1 + idx * 0.01 AS y FROM beats WHERE idx % 9 = 0), pt AS (SELECT DISTINCT track_id, t * 1.05 - 0.3 AS x FROM beats),
+j AS (SELECT p.track_id, p.x, arg_max(k.x, k.x) FILTER (k.x <= p.x) AS x0, arg_max(k.y, k.x) FILTER (k.x <= p.x) AS y0, arg_min(k.x, k.x) FILTER (k.x >= p.x) AS x1, arg_min(k.y, k.x) FILTER (k.x >= p.x) AS y1 FROM pt p JOIN kf k USING (track_id) GROUP BY p.track_id, p.x)
+SELECT track_id, {r('x')}, round(CASE WHEN x0 IS NULL THEN y1 WHEN x1 IS NULL OR x1 <= x0 THEN y0 ELSE y0 + (y1 - y0) * (x - x0) / (x1 - x0) END, 6) + 0.0 AS y FROM j""")
+def time_map(spark, d):
+    b = P.beats(spark, d)
+    keys = b.filter("idx % 9 = 0").select("track_id", F.col("t").alias("x"), (F.col("t") * 1.1 + F.col("idx") * 0.01).alias("y"))
+    return r6(timemap.interpolate(b.select("track_id", (F.col("t") * 1.05 - 0.3).alias("x")).distinct(), keys))
+
+
+@query(f"WITH {O.EVENTS}, t AS (SELECT track_id, idx AS x, (idx * 10 + k % 37) AS y FROM ev) SELECT track_id, x, CAST(max(y - x) OVER (PARTITION BY track_id ORDER BY x) + x AS BIGINT) AS y FROM t")
+def rising_targets(spark, d):
+    t = P.events(spark, d).select("track_id", F.col("idx").alias("x"), (F.col("idx") * 10 + F.col("k") % 37).alias("y"))
+    return timemap.strictly_rising(t).select("track_id", "x", F.col("y").cast("long").alias("y"))
+
+
+@query(f"""WITH {O.TRACKS}, s AS (SELECT track_id, unnest(range(0, 64)) AS i, bpm FROM tracks WHERE track_id % 10 = 0), q AS (SELECT *, (i + 0.5) / 64 AS p FROM s)
+SELECT track_id, CAST(i + 1 AS INT) AS i, round(1000 + (i + 1) * 5512.5, 6) + 0.0 AS source, round(1000 + sum(5512.5 * exp(ln(bpm / 124.0) * (p * p * p * (p * (p * 6 - 15) + 10)))) OVER (PARTITION BY track_id ORDER BY i), 6) + 0.0 AS target FROM q""")
+def tempo_keyframes(spark, d):
+    t = P.tracks(spark, d).filter("track_id % 10 = 0").select("track_id", F.lit(1000).alias("start"), F.lit(88200).alias("bar"), F.lit(4).alias("bars"), F.col("bpm").alias("playback_bpm"), F.lit(124.0).alias("original_bpm"))
+    return r6(timemap.restore_keyframes(t))
+
+
+@query(f"WITH {SAMPLES} SELECT track_id, round(CASE WHEN count(*) < 64 OR sqrt(sum(a * a) * sum(b * b)) <= 1e-9 THEN 0.0 ELSE sum(a * b) / sqrt(sum(a * a) * sum(b * b)) END, 6) + 0.0 AS rho FROM sm GROUP BY track_id")
+def zero_lag_correlation(spark, d):
+    return r6(timemap.correlation(samples(spark, d)))
+
+
+@query(f"""WITH {SAMPLES}, l AS (SELECT x.track_id, g.lag, sum(x.a * y.b) / greatest(sqrt(sum(x.a * x.a) * sum(y.b * y.b)), 1e-12) AS s FROM sm x, (SELECT unnest(range(-5, 6)) AS lag) g JOIN sm y ON TRUE WHERE y.track_id = x.track_id AND y.idx = x.idx + g.lag GROUP BY x.track_id, g.lag)
+SELECT track_id, CAST(arg_max(lag, (s, -abs(lag), -lag)) AS INT) AS lag, round(max(s), 6) + 0.0 AS score FROM l GROUP BY track_id""")
+def lag_search(spark, d):
+    return r6(timemap.lag_search(samples(spark, d), 5))
+
+
+@query(f"""WITH {O.BEATS}, m AS (SELECT a.track_id, g.shift, a.idx, (b.t + 0.37 * (b.idx % 3)) - a.t AS r FROM beats a, (SELECT unnest(range(-2, 3)) AS shift) g JOIN beats b ON TRUE WHERE b.track_id = a.track_id AND b.idx = a.idx + g.shift),
+n AS (SELECT *, abs(r - lag(r) OVER (PARTITION BY track_id, shift ORDER BY idx)) AS dl FROM m), c AS (SELECT track_id, shift, quantile_cont(abs(r), 0.5) + 0.35 * coalesce(quantile_cont(dl, 0.5), 0.0) AS cost FROM n GROUP BY ALL)
+SELECT track_id, CAST(arg_min(shift, (cost, shift)) AS INT) AS shift, round(min(cost), 6) + 0.0 AS cost FROM c GROUP BY track_id""")
+def grid_pairing(spark, d):
+    b = P.beats(spark, d)
+    moved = b.withColumn("t", F.col("t") + 0.37 * (F.col("idx") % 3))
+    return r6(timemap.best_pairing(b, moved))
+
+
+@query(f"""WITH {O.EVENTS}, w AS (SELECT track_id, value AS x, k AS w, sum(k) OVER (PARTITION BY track_id ORDER BY value) AS c, sum(k) OVER (PARTITION BY track_id) AS t FROM ev WHERE k > 0) SELECT track_id, round(min(x), 6) + 0.0 AS median FROM w WHERE c >= 0.5 * t GROUP BY track_id""")
+def weighted_medians(spark, d):
+    return r6(timemap.weighted_median(P.events(spark, d).select("track_id", F.col("value").alias("x"), F.col("k").alias("w")), "x", "w"))
+
+
+@query(f"""WITH RECURSIVE {SAMPLES}, md AS (SELECT track_id, idx, greatest(least(coalesce(lag(a) OVER w, 0.0), a), least(greatest(coalesce(lag(a) OVER w, 0.0), a), coalesce(lead(a) OVER w, 0.0))) AS m, count(*) OVER (PARTITION BY track_id) AS n FROM sm WINDOW w AS (PARTITION BY track_id ORDER BY idx)),
+f AS (SELECT track_id, idx, m AS x, n FROM md WHERE idx = 0 UNION ALL SELECT d.track_id, d.idx, f.x + greatest(-0.1, least(0.1, d.m - f.x)), d.n FROM f JOIN md d ON d.track_id = f.track_id AND d.idx = f.idx + 1),
+g AS (SELECT track_id, idx, x, n FROM f WHERE idx = n - 1 UNION ALL SELECT f.track_id, f.idx, g.x + greatest(-0.1, least(0.1, f.x - g.x)), f.n FROM g JOIN f ON f.track_id = g.track_id AND f.idx = g.idx - 1)
+SELECT track_id, idx, {r('x')} FROM g""")
+def smoothed_corrections(spark, d):
+    m = samples(spark, d).withColumn("x", timemap.median3("a", "idx")).select("track_id", "idx", "x")
+    return r6(timemap.slew_limit(m, "x", "idx", 0.1))
+
+
+@query(f"WITH {SAMPLES} SELECT t.track_id, CAST(i AS INT) AS i, round(a, 6) + 0.0 AS v FROM (SELECT DISTINCT track_id FROM sm) t, range(0, 24) r(i) JOIN sm ON TRUE WHERE sm.track_id = t.track_id AND sm.idx = 20 - 8 + i % 8")
+def loop_samples(spark, d):
+    s = samples(spark, d).select("track_id", "idx", F.col("a").alias("v"))
+    return r6(timemap.loop_gather(s, F.lit(20), F.lit(8), F.lit(24)))
+
+
+@query(f"""WITH {SAMPLES}, n AS (SELECT *, count(*) OVER (PARTITION BY track_id) AS n FROM sm) SELECT track_id, CAST(least(((idx + 1) * 16 - 1) // n, 15) AS BIGINT) AS bin, round(sqrt(avg(a * a) + 1e-12), 6) + 0.0 AS rms FROM n GROUP BY ALL""")
+def envelopes(spark, d):
+    return r6(timemap.envelope(samples(spark, d).select("track_id", "idx", F.col("a").alias("v")), 16))
+
+
+FRAMES = f"{SAMPLES}, n AS (SELECT *, max(idx) OVER (PARTITION BY track_id) + 1 AS n FROM sm), fr AS (SELECT track_id, f AS frame, sqrt(avg(a * a) + 1e-12) AS rms FROM n, range(0, 200) r(f) WHERE idx >= f * 4 AND idx < f * 4 + 8 AND f * 4 + 8 <= n GROUP BY track_id, f)"
+
+
+@query(f"WITH {FRAMES} SELECT track_id, frame, {r('rms')} FROM fr")
+def frame_levels(spark, d):
+    f = timemap.sliding_frames(samples(spark, d).select("track_id", "idx", F.col("a").alias("v")), 8, 4)
+    return r6(f.withColumn("frame", F.col("frame").cast("long")))
+
+
+@query(f"""WITH {FRAMES}, q AS (SELECT *, greatest(1e-5, quantile_cont(rms, 0.9) OVER (PARTITION BY track_id) * pow(10, -42 / 20.0)) AS th FROM fr), a AS (SELECT track_id, min(frame) AS a, max(frame) AS z FROM q WHERE rms >= th GROUP BY track_id)
+SELECT track_id, CAST(greatest(0, floor(a * 4 - 0.02 * 100)) AS BIGINT) AS start, CAST(greatest(greatest(0, floor(a * 4 - 2.0)) + 1, least(1000, floor(z * 4 + 8 + 2.0))) AS BIGINT) AS "end" FROM a""")
+def silence_bounds(spark, d):
+    f = timemap.sliding_frames(samples(spark, d).select("track_id", "idx", F.col("a").alias("v")), 8, 4).withColumnRenamed("frame", "idx")
+    return structure.silence_bounds(f, F.lit(4), F.lit(8), F.lit(100), F.lit(1000))
+
+
+@query(f"""WITH {O.EVENTS}, u AS (SELECT track_id, idx AS step, k % 20 AS key, 100 + k AS bytes FROM ev), l AS (SELECT track_id, key, max(step) AS last, arg_max(bytes, step) AS bytes FROM u GROUP BY track_id, key),
+s AS (SELECT *, sum(bytes) OVER (PARTITION BY track_id ORDER BY last DESC) AS used, row_number() OVER (PARTITION BY track_id ORDER BY last DESC) AS p FROM l) SELECT track_id, key, last, CAST(used AS BIGINT) AS used, used <= 900 OR p = 1 AS kept FROM s""")
+def cache_replay(spark, d):
+    e = P.events(spark, d).select("track_id", F.col("idx").alias("step"), (F.col("k") % 20).alias("key"), (100 + F.col("k")).alias("bytes"))
+    return timemap.lru_replay(e, F.lit(900))
+
+
+@query(f"""WITH {O.EVENTS}, v AS (SELECT track_id AS key, idx AS at, idx // 7 AS now FROM ev WHERE event_type = 'signup'), s AS (SELECT track_id AS key, idx AS at, greatest(idx - k % 5, 0) // 7 AS generation FROM ev WHERE event_type <> 'signup')
+SELECT s.key, s.at, s.generation, coalesce(s.generation = (SELECT arg_max(now, v.at) FROM v WHERE v.key = s.key AND v.at <= s.at), false) AS accepted FROM s""")
+def late_results(spark, d):
+    e = P.events(spark, d).select(F.col("track_id").alias("key"), F.col("idx").alias("at"), "event_type", "k")
+    v = e.filter("event_type = 'signup'").select("key", "at", F.floor(F.col("at") / 7).alias("generation"))
+    s = e.filter("event_type <> 'signup'").select("key", "at", F.floor(F.greatest(F.col("at") - F.col("k") % 5, F.lit(0)) / 7).alias("generation"))
+    return timemap.accept_current(s, v)
+
+
+# sets, records, queues
+
+
+@query("""WITH a AS (SELECT DISTINCT user_id AS x FROM events WHERE event_type = 'view'), b AS (SELECT DISTINCT user_id AS x FROM events WHERE value > 480)
+SELECT 'union' AS op, count(*) AS n FROM (SELECT x FROM a UNION SELECT x FROM b) UNION ALL SELECT 'missing', count(*) FROM a WHERE x NOT IN (SELECT x FROM b) UNION ALL SELECT 'both', count(*) FROM a WHERE x IN (SELECT x FROM b)""")
+def snapshot_sets(spark, d):
+    e = P.table(spark, d, "events")
+    a, b = e.filter("event_type = 'view'").select(F.col("user_id").alias("x")).distinct(), e.filter("value > 480").select(F.col("user_id").alias("x")).distinct()
+    parts = {"union": a.union(b).distinct(), "missing": a.join(b, "x", "left_anti"), "both": a.join(b, "x", "left_semi")}
+    out = [p.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("op"), "n") for k, p in parts.items()]
+    return out[0].union(out[1]).union(out[2])
+
+
+@query(f"""WITH {O.TRACKS}, q AS (SELECT 'p' || track_id AS path, track_id AS pos, bpm FROM tracks WHERE track_id < 50), l AS (SELECT 'p' || (track_id * 3 % 70) AS path, track_id AS seq, bpm + 1 AS bpm FROM tracks WHERE track_id < 60),
+k AS (SELECT path, arg_max(bpm, seq) AS bpm, max(seq) AS seq FROM l GROUP BY path), n AS (SELECT path, bpm, 50 + row_number() OVER (ORDER BY seq) - 1 AS pos FROM k WHERE path NOT IN (SELECT path FROM q))
+SELECT q.path, CAST(q.pos AS BIGINT) AS pos, round(coalesce(k.bpm, q.bpm), 6) + 0.0 AS bpm FROM q LEFT JOIN k USING (path) UNION ALL SELECT path, pos, round(bpm, 6) + 0.0 FROM n""")
+def queue_upsert(spark, d):
+    from ..sources import caches
+
+    t = P.tracks(spark, d)
+    name = lambda x: F.concat(F.lit("p"), x.cast("string"))
+    q = t.filter("track_id < 50").select(name(F.col("track_id")).alias("path"), F.col("track_id").alias("pos"), "bpm")
+    new = t.filter("track_id < 60").select(name(F.col("track_id") * 3 % 70).alias("path"), F.col("track_id").alias("seq"), (F.col("bpm") + 1).alias("bpm"))
+    return r6(caches.upsert(q, new))
+
+
+@query(f"""WITH {O.SEGMENTS} SELECT track_id, seg, sha256(concat_ws('::', 'track-' || track_id, CAST(length(label) AS VARCHAR), CAST(seg AS VARCHAR), 'v1')) AS key, label FROM segments""")
+def cache_keys(spark, d):
+    from ..sources import caches
+
+    s = P.segments(spark, d)
+    record = s.withColumn("json", caches.to_record(s, ["label", "seg"])).withColumn("back", F.from_json("json", "label string, seg long"))
+    key = caches.cache_key(F.concat(F.lit("track-"), F.col("track_id").cast("string")), F.length("label"), F.col("seg"), F.lit("v1"))
+    return record.select("track_id", F.col("back.seg").alias("seg"), key.alias("key"), F.col("back.label").alias("label"))
+
+
+@query(f"""WITH {O.SEGMENTS}, f AS (SELECT track_id, lower(label) AS label, min(seg) AS first FROM segments GROUP BY ALL) SELECT track_id, string_agg(label, ',' ORDER BY first) AS labels FROM f GROUP BY track_id""")
+def ordered_labels(spark, d):
+    f = P.segments(spark, d).groupBy("track_id", F.lower("label").alias("label")).agg(F.min("seg").alias("first"))
+    return f.groupBy("track_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "label"))), lambda x: x["label"]), ",").alias("labels"))
+
+
+@query()
+def deck_replay(spark, d):
+    """One deck per user: a queue of five tracks, then ticks, seeks, plans and orders from the user's events."""
+    from ..streaming import deck
+
+    e = P.events(spark, d).filter("idx < 40")
+    tracks = "[" + ",".join(f'{{"id":"t{i}","total":{5000 + 400 * i},"beat":500,"cue":0}}' for i in range(5)) + "]"
+    plan = F.to_json(F.struct(F.lit(1).alias("generation"), F.lit(0).alias("index"), F.lit(3000).alias("start"), F.lit(500).alias("next_start"), F.lit(1500).alias("length"), F.lit(2000).alias("resume")))
+    begin = e.select(F.col("track_id").alias("deck_id")).distinct().select("deck_id", F.lit(-1).cast("long").alias("seq"), F.lit("queue").alias("command"), F.lit(0).cast("long").alias("frames"), F.lit(tracks).alias("arg"))
+    command = F.when(F.col("event_type") == "signup", "plan").when((F.col("event_type") == "error") & (F.col("k") < 30), "seek").otherwise("tick")
+    rows = e.select(F.col("track_id").alias("deck_id"), F.col("idx").alias("seq"), command.alias("command"), (F.col("k") * 20).cast("long").alias("frames"), plan.alias("arg"))
+    return deck.replay(begin.unionByName(rows))
+
+
+@query()
+def clip_features(spark, d):
+    """Frame features of synthetic clips, one per track: the kernel path."""
+    import numpy as np
+
+    from ..functions import kernels
+
+    t = P.tracks(spark, d).filter("track_id < 16").select("track_id", "bpm")
+
+    def f(pdf):
+        n = np.arange(22050)
+        tone = np.sin(2 * np.pi * 110 * n / 22050) + (n % int(60 / pdf.bpm.iloc[0] * 22050) < 400)
+        s = kernels.acoustic_summary(tone)
+        return {"level": float(s[0]), "onset": float(s[1]), "centroid": float(s[2])}
+
+    return r6(kernels.per_group(t, "track_id", "track_id long, level double, onset double, centroid double", f))
