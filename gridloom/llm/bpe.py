@@ -2,7 +2,8 @@
 
 For a piece of n symbols, leaf i of the tree holds (rank of the pair of symbols i and next(i), i). The root is
 the minimum: the leftmost pair of the lowest rank. A merge changes at most three leaves, each updated in O(log n),
-so a piece of n bytes takes O(n log n) whatever its length. Ids travel as little-endian unsigned 32-bit bytes.
+so a piece of n bytes takes O(n log n) whatever its length. Short pieces
+share arrays, a row each, and are merged together. Ids travel as little-endian unsigned 32-bit bytes.
 
 Cases: a null text is empty and has no ids; special tokens in a text become their id, as the library does with
 the file's settings; unpaired surrogates cannot occur in Parquet strings; ids outside the vocabulary raise.
@@ -13,6 +14,7 @@ from __future__ import annotations
 import json
 from array import array
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,9 +22,10 @@ from pyspark.sql import types as T
 
 from . import common
 
-CACHE = 400_000
+CACHE = 200_000
 """Pieces that a task remembers; the cache starts anew when it is full."""
 LONGEST_CACHED = 64
+"""Bytes, counted as four a character; longer pieces have a tree of their own."""
 
 # Fixed by the tokenizer file's format: how a byte-level pre-tokenizer splits a text.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -113,30 +116,125 @@ def merge(symbols: list[int], merges: dict[int, tuple[int, int]]) -> list[int]:
     return [s for s in symbols if s >= 0]
 
 
+class Forest:
+    """Segment trees of many short pieces at once, one row of an array per piece: each step merges at every root."""
+
+    NONE = 1 << 62
+
+    def __init__(self, vocabulary: Vocabulary):
+        keys = np.array(sorted(vocabulary.merges), dtype=np.int64)
+        self.keys = np.append(keys, self.NONE)
+        self.ranks = np.array([vocabulary.merges[k][0] for k in keys.tolist()] + [-1], dtype=np.int64)
+        self.merged = np.zeros(len(keys) + 1, dtype=np.int64)
+        self.merged[self.ranks[:-1]] = [vocabulary.merges[k][1] for k in keys.tolist()]
+        self.byte_ids = np.array(vocabulary.byte_ids, dtype=np.int64)
+
+    def leaves(self, left: np.ndarray, right: np.ndarray, place: np.ndarray, ok: np.ndarray) -> np.ndarray:
+        """(rank, place) of pairs as one number, NONE where they don't merge."""
+        pair = left << 32 | right
+        at = np.searchsorted(self.keys, pair)
+        hit = ok & (self.keys[at] == pair)
+        return np.where(hit, self.ranks[at] << 8 | place, self.NONE)
+
+    def __call__(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids, as bytes, of each piece of at most 65 bytes."""
+        out = [b""] * len(pieces)
+        length = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+        low = 0
+        for size in (1, 4, 8, 16, 32, 64):
+            at = np.flatnonzero((length > low) & (length <= size + 1))
+            low = size + 1
+            for k in range(0, len(at), 8192):
+                part = at[k : k + 8192]
+                for i, ids in zip(part.tolist(), self.rows([pieces[i] for i in part.tolist()], length[part], size), strict=True):
+                    out[i] = ids
+        return out
+
+    def rows(self, pieces: list[bytes], n: np.ndarray, size: int) -> list[bytes]:
+        w, wide, depth = len(pieces), size + 1, size.bit_length() - 1
+        symbol = self.byte_ids[np.frombuffer(b"".join(p.ljust(wide, b"\0") for p in pieces), dtype=np.uint8)].reshape(w, wide)
+        place = np.arange(wide)
+        symbol[place[None, :] >= n[:, None]] = -1
+        tree = np.full((w, 2 * size), self.NONE, dtype=np.int64)
+        tree[:, size:] = self.leaves(symbol[:, :-1], symbol[:, 1:], place[None, :-1], symbol[:, 1:] >= 0)
+        s = size
+        while s > 1:
+            tree[:, s // 2 : s] = np.minimum(tree[:, s : 2 * s : 2], tree[:, s + 1 : 2 * s : 2])
+            s //= 2
+        after, before = np.tile(place + 1, (w, 1)).ravel(), np.tile(place - 1, (w, 1)).ravel()
+        flat, nodes = symbol.ravel(), tree.ravel()
+
+        def put(rows: np.ndarray, leaf: np.ndarray, value) -> None:
+            base = rows * (2 * size)
+            k = size + leaf
+            nodes[base + k] = value
+            for _ in range(depth):
+                k >>= 1
+                nodes[base + k] = np.minimum(nodes[base + 2 * k], nodes[base + 2 * k + 1])
+
+        active = np.arange(w)
+        while len(active):
+            root = nodes[active * (2 * size) + 1]
+            more = root < self.NONE
+            active, root = active[more], root[more]
+            if not len(active):
+                break
+            base, i = active * wide, root & 255
+            new = self.merged[root >> 8]
+            j = after[base + i]
+            k = np.where(j < wide, after[np.minimum(base + j, len(after) - 1)], wide)
+            flat[base + i], flat[base + j], after[base + i] = new, -1, k
+            right = k < n[active]
+            before[(base + k)[right]] = i[right]
+            put(active, i, self.leaves(new, np.where(right, flat[np.minimum(base + k, len(flat) - 1)], 0), i, right))
+            inner = j < size
+            put(active[inner], j[inner], self.NONE)
+            h = before[base + i]
+            left = h >= 0
+            put(active[left], h[left], self.leaves(flat[(base + h)[left]], new[left], h[left], left[left]))
+        kept = symbol >= 0
+        ends = np.cumsum(kept.sum(1)) * 4
+        ids = symbol[kept].astype("<u4").tobytes()
+        return [ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+
 class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
+        self.forest = Forest(vocabulary)
         self.find = regex.compile(PATTERN).findall
         self.split = regex.compile("(" + "|".join(map(regex.escape, vocabulary.special)) + ")").split if vocabulary.special else lambda t: [t]
         self.cache: dict[str, bytes] = {}
 
-    def piece(self, p: str) -> bytes:
-        ids = array("I", merge([self.v.byte_ids[b] for b in p.encode()], self.v.merges)).tobytes()
-        if len(p) <= LONGEST_CACHED:
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            self.cache[p] = ids
-        return ids
-
-    def plain(self, text: str) -> bytes:
-        get, miss = self.cache.get, self.piece
-        return b"".join([get(p) or miss(p) for p in self.find(text)])
+    def learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of pieces that the cache lacks. Long ones are merged alone and not kept."""
+        if len(self.cache) > CACHE:
+            self.cache.clear()
+        short = [p for p in pieces if len(p) <= LONGEST_CACHED // 4]
+        self.cache.update(zip(short, self.forest([p.encode() for p in short]), strict=True))
+        return {p: array("I", merge([self.v.byte_ids[b] for b in p.encode()], self.v.merges)).tobytes() for p in pieces if len(p) > LONGEST_CACHED // 4}
+
+    def plain(self, texts: list[str]) -> list[bytes]:
+        found = [self.find(t) for t in texts]
+        new: set[str] = set()
+        for pieces in found:
+            new.update(pieces)
+        if len(self.cache) > CACHE:
+            self.cache.clear()
+        long = self.learn(new.difference(self.cache))
+        get = self.cache.get
+        return [b"".join([get(p) or long[p] for p in pieces]) for pieces in found]
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        special = self.v.special
+        if not any(s in t for t in texts for s in special):
+            return self.plain(texts)
+        parts = [[x for x in self.split(t) if x] for t in texts]
+        words = iter(self.plain([x for p in parts for x in p if x not in special]))
+        return [b"".join(array("I", [special[x]]).tobytes() if x in special else next(words) for x in p) for p in parts]
 
     def __call__(self, text: str) -> bytes:
-        special = self.v.special
-        if not any(s in text for s in special):
-            return self.plain(text)
-        return b"".join(array("I", [special[x]]).tobytes() if x in special else self.plain(x) for x in self.split(text) if x)
+        return self.many([text])[0]
 
 
 def decode_bytes(ids: bytes, vocabulary: Vocabulary) -> str:
@@ -148,7 +246,7 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str =
 
     def make():
         enc = Encoder(shared.value)
-        return lambda texts: [[enc(t or "") for t in texts]]
+        return lambda texts: [enc.many([t or "" for t in texts])]
 
     return common.scan(df, keep or [c for c in df.columns if c != out], [text], [T.StructField(out, T.BinaryType())], make)
 
