@@ -15,6 +15,9 @@ from pyspark.sql import types as T
 HOT_SHARE = 1000
 """A key is hot if it holds at least 1/HOT_SHARE of all rows, so that there are at most HOT_SHARE hot keys."""
 
+SLICE = 256
+"""Rows that a text scan holds as Python objects."""
+
 _own_dir: str | None = None
 _written: list[tuple[SparkSession, str]] = []
 
@@ -88,9 +91,8 @@ def scan(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for b in batches:
-            if b.num_rows == 0:
-                continue
+        # parts of batches: Python objects of a few hundred rows at a time
+        for b in (whole.slice(i, SLICE) for whole in batches for i in range(0, whole.num_rows, SLICE)):
             out = f(*(b.column(c).to_pylist() for c in inputs))
             cols = [b.column(c) for c in keep] + [
                 x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(out, types, strict=True)
