@@ -359,7 +359,7 @@ def link_features(threshold: float) -> Callable[[pa.Table, np.ndarray], pa.Recor
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of docs: doc_id, text_key (xxhash64 of the text), class_id, n_copies (rows with its words)."""
+    """One row per row of docs: doc_id, text_key (xxhash64 of the text), component (names the class whatever its doc_ids), class_id (its smallest doc_id), n_copies (rows with its words)."""
     spark = docs.sparkSession
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
     weights = spark.sparkContext.broadcast(idf_weights(base.select("text")))
@@ -376,10 +376,10 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     verified = components(_verify(base, rows, distinct, candidates, weights, threshold))
     labels = common.save(distinct.select("id", "key1", "key2", "least", "n_copies").join(verified, "id", "left").withColumn("component", F.coalesce("component", "id")), "minhash-labels")
     least = labels.groupBy("component").agg(F.min("least").alias("class_id"))
-    known = labels.join(least, "component").select(F.struct("key1", "key2").alias("key"), "class_id", "n_copies")
+    known = labels.join(least, "component").select(F.struct("key1", "key2").alias("key"), "component", "class_id", "n_copies")
     total = distinct.agg(F.sum("n_copies")).first()[0] or 0
     slim = rows.select("doc_id", "text_key", F.struct("key1", "key2").alias("key"))
-    return common.join_hot(slim, known, "key", "n_copies", total).select("doc_id", "text_key", "class_id", "n_copies")
+    return common.join_hot(slim, known, "key", "n_copies", total).select("doc_id", "text_key", "component", "class_id", "n_copies")
 
 
 def _verify(base: DataFrame, rows: DataFrame, distinct: DataFrame, candidates: DataFrame, weights, threshold: float) -> DataFrame:
@@ -410,9 +410,7 @@ def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Rows of docs, all columns, one per class: the smallest doc_id; of equal rows one."""
     c = classes(docs, threshold)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("text_key")))
-    # classes without any doc_id have none to be named by: each of their texts stays once
-    named = F.when(F.col("class_id").isNull(), F.col("text_key"))
-    kept = c.groupBy("class_id", named.alias("unnamed")).agg(best.alias("b")).select(F.coalesce("b.doc_id", F.lit(-(1 << 63))).alias("_d"), F.col("b.text_key").alias("_k"))
+    kept = c.groupBy("component").agg(best.alias("b")).select(F.coalesce("b.doc_id", F.lit(-(1 << 63))).alias("_d"), F.col("b.text_key").alias("_k"))
     keyed = docs.withColumns({"_d": F.coalesce("doc_id", F.lit(-(1 << 63))), "_k": F.xxhash64(F.coalesce("text", F.lit("")))})
     one = W.partitionBy("_d", "_k").orderBy("_d")
     chosen = keyed.join(kept, ["_d", "_k"], "left_semi").withColumn("_n", F.row_number().over(one)).filter("_n = 1")
