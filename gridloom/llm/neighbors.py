@@ -1,7 +1,7 @@
 """Embedding near-duplicates by dual traversal of cover trees: exact threshold pairs, none of them emitted.
 
 Vectors of equal components collapse first. The upper level is a set of cells around pivots fitted on a bounded
-sample; every vector is in the cell of its nearest pivot, and cells of more than BLOCK vectors are dealt into
+sample; every vector is in the cell of its nearest pivot, and cells of more than a block's vectors are dealt into
 blocks. Within a block nested levels with radii halving from twice the threshold distance form a cover tree. Two
 blocks meet in one task unless their covering radii part them, and the task walks both trees: a node pair
 further apart than threshold plus radii is pruned, one whose farthest members are near enough is counted whole,
@@ -24,7 +24,8 @@ from . import common
 from .components import components, local_labels
 
 THRESHOLD = 0.95
-BLOCK = 4096
+BLOCKS, LEAST_BLOCK, MOST_BLOCK = 16, 2048, 32768
+"""Vectors of a block: 1/BLOCKS of all, within these bounds. Larger tables have more blocks of the largest size."""
 MOST_CELLS = 256
 SAMPLE = 8192
 """Vectors, the smallest by hash, on which the pivots are fitted; every vector is indexed."""
@@ -195,9 +196,10 @@ def near_links(vectors: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFr
     tau = float(distance(threshold))
     radii = [2 * tau / 2**k for k in range(LEVELS)]
     sizes = {r["dim"]: r["n"] for r in vectors.groupBy(F.size("embedding").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).limit(1000).collect()}
+    block = max(LEAST_BLOCK, min(MOST_BLOCK, sum(sizes.values()) // BLOCKS))
     pivots = {}
     for dim, n in sizes.items():
-        k = min(MOST_CELLS, n // BLOCK)
+        k = min(MOST_CELLS, n // (2 * block))
         if k > 1:
             rows = vectors.filter(F.size("embedding") == dim).orderBy(F.xxhash64("embedding"), "id").limit(SAMPLE).select("embedding").toArrow()
             u = unit(matrix(rows["embedding"]))
@@ -222,7 +224,7 @@ def near_links(vectors: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFr
 
     celled = common.save(common.scan(vectors, ["id", "embedding", "weight"], ["embedding"], [common.long("cell"), common.double("off")], make).withColumn("dim", F.size("embedding")), "near-cells")
     # per cell, of which there are MOST_CELLS for a length of vectors: its size and covering radius
-    cells = celled.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("off").alias("radius")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("long"))
+    cells = celled.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("off").alias("radius")).withColumn("blocks", F.ceil(F.col("n") / block).cast("long"))
     cells = common.save(cells, "near-cell-sizes")
     other = cells.select("dim", *(F.col(c).alias(f"other_{c}") for c in ("cell", "radius", "blocks")))
     apart = [(dim, i, j, float(distance(p[i] @ p[j]))) for dim, p in pivots.items() for i in range(len(p)) for j in range(i, len(p))]
