@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.scalar import clip
+from ..functions.windows import by_track
 from .grid import snap
 from .structure import min_max
 
-TRACK = W.partitionBy("track_id")
 
 
 def merge_detections(d: DataFrame) -> DataFrame:
@@ -30,11 +30,11 @@ def pick_peaks(merged: DataFrame, sensitivity: float = 0.5, distance: int = 16)
 
     A plateau counts at its middle; the first and last detection are no peaks; of equally high ones the later wins.
     """
-    w = TRACK.orderBy("t")
+    w = by_track().orderBy("t")
     run = merged.withColumn("i", F.row_number().over(w) - 1).withColumn("new", F.coalesce((F.col("score") != F.lag("score").over(w)).cast("int"), F.lit(1)))
     run = run.withColumn("run", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
     p = run.groupBy("track_id", "run").agg(F.min("i").alias("a"), F.max("i").alias("z"), F.first("score").alias("score"), F.collect_list(F.struct("i", "t")).alias("rows"))
-    by_run = TRACK.orderBy("run")
+    by_run = by_track().orderBy("run")
     p = p.withColumn("before", F.lag("score").over(by_run)).withColumn("after", F.lead("score").over(by_run))
     p = p.filter((F.col("score") > F.col("before")) & (F.col("score") > F.col("after")) & (F.col("score") >= sensitivity))
     p = p.withColumn("i", F.floor((F.col("a") + F.col("z")) / 2).cast("int"))
@@ -48,7 +48,7 @@ def snap_and_suppress(raw: DataFrame, downbeats: DataFrame, min_bars: int = 8) -
 
     Tracks without any get the first bar and the last but min_bars at 0.36, just over the threshold of cues.
     """
-    grid = downbeats.select("track_id", "t").distinct().withColumn("bar", (F.row_number().over(TRACK.orderBy("t")) - 1).cast("long"))
+    grid = downbeats.select("track_id", "t").distinct().withColumn("bar", (F.row_number().over(by_track().orderBy("t")) - 1).cast("long"))
     at = snap(raw.select("track_id", F.col("t").alias("p")).distinct(), grid).join(grid, ["track_id", "t"])
     scored = raw.select("track_id", F.col("t").alias("p"), "score").join(at, ["track_id", "p"])
     best = scored.groupBy("track_id", "bar", "t").agg(F.max("score").alias("score"))
@@ -56,7 +56,7 @@ def snap_and_suppress(raw: DataFrame, downbeats: DataFrame, min_bars: int = 8) -
     first = scored.groupBy("track_id", "bar").agg(F.min("p").alias("seen"))
     ranked = best.join(first, ["track_id", "bar"]).groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "seen", "bar", "t", "score"))).alias("c"))
     kept = ranked.select("track_id", F.explode(_suppress(F.col("c"), lambda x, y: F.abs(x["bar"] - y["bar"]) < max(1, min_bars))).alias("k")).select("track_id", "k.bar", "k.t", "k.score")
-    none = grid.join(ranked.select("track_id"), "track_id", "left_anti").withColumn("last", F.greatest(F.lit(0), F.count(F.lit(1)).over(TRACK) - max(2, min_bars)))
+    none = grid.join(ranked.select("track_id"), "track_id", "left_anti").withColumn("last", F.greatest(F.lit(0), F.count(F.lit(1)).over(by_track()) - max(2, min_bars)))
     ends = none.filter((F.col("bar") == 0) | (F.col("bar") == F.col("last"))).select("track_id", "bar", "t", F.lit(0.36).alias("score"))
     return kept.unionByName(ends)
 
@@ -69,7 +69,7 @@ def directional_scores(cues: DataFrame, bars: DataFrame) -> DataFrame:
     numbered = cues.withColumn("p", F.col("t")).select("track_id", "p", "score")
     at = snap(numbered.select("track_id", "p").distinct(), bars.select("track_id", "t")).join(numbered, ["track_id", "p"])
     per = at.withColumn("s", clip(F.col("score"), 0.02, 1.0)).groupBy("track_id", "t").agg(F.max("s").alias("cue"), F.max_by("s", "p").alias("last"))
-    b = bars.withColumn("n", F.count(F.lit(1)).over(TRACK)).join(per, ["track_id", "t"], "left")
+    b = bars.withColumn("n", F.count(F.lit(1)).over(by_track())).join(per, ["track_id", "t"], "left")
     x = F.col("bar") / F.greatest(F.col("n") - 1, F.lit(1))
     role, func, s = F.upper("role"), F.upper("function"), F.col("last")
     times = lambda c, v: F.when(c, v).otherwise(1.0)

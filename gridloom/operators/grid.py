@@ -11,9 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.scalar import clip, fold_bpm
-
-TRACK = W.partitionBy("track_id")
-IN_TIME = TRACK.orderBy("t")
+from ..functions.windows import by_time, by_track
 
 
 def clean(beats: DataFrame) -> DataFrame:
@@ -23,7 +21,7 @@ def clean(beats: DataFrame) -> DataFrame:
 
 
 def intervals(beats: DataFrame) -> DataFrame:
-    return beats.withColumn("gap", F.col("t") - F.lag("t").over(IN_TIME))
+    return beats.withColumn("gap", F.col("t") - F.lag("t").over(by_time()))
 
 
 def median(x: Column) -> Column:
@@ -33,7 +31,7 @@ def median(x: Column) -> Column:
 def estimate_bpm(beats: DataFrame, low: float = 0.22, high: float = 1.8) -> DataFrame:
     """(track_id, intervals, bpm): trimmed median interval, folded into 70..190; null below four intervals."""
     g = intervals(clean(beats)).filter(F.col("gap").between(low, high))
-    g = g.withColumn("centre", median(F.col("gap")).over(TRACK)).withColumn("n", F.count(F.lit(1)).over(TRACK))
+    g = g.withColumn("centre", median(F.col("gap")).over(by_track())).withColumn("n", F.count(F.lit(1)).over(by_track()))
     near = F.col("gap").between(F.col("centre") * 0.72, F.col("centre") * 1.35)
     per = g.groupBy("track_id").agg(F.max("n").alias("intervals"), F.max("centre").alias("centre"), F.sum(near.cast("int")).alias("kept"), median(F.when(near, F.col("gap"))).alias("trimmed"))
     centre = F.when(F.col("kept") >= 4, F.col("trimmed")).otherwise(F.col("centre"))
@@ -43,7 +41,7 @@ def estimate_bpm(beats: DataFrame, low: float = 0.22, high: float = 1.8) -> Data
 def median_gap(beats: DataFrame) -> DataFrame:
     """beats with `m`, the median of the plausible intervals of the track."""
     g = intervals(beats)
-    return g.withColumn("m", median(F.when((F.col("gap") > 0.18) & (F.col("gap") < 1.8), F.col("gap"))).over(TRACK)).drop("gap")
+    return g.withColumn("m", median(F.when((F.col("gap") > 0.18) & (F.col("gap") < 1.8), F.col("gap"))).over(by_track())).drop("gap")
 
 
 def merge_close(beats: DataFrame, share: float = 0.42) -> DataFrame:
@@ -70,7 +68,7 @@ def steadiness(merged: DataFrame) -> DataFrame:
 
 def fill_gaps(merged: DataFrame) -> DataFrame:
     """Missing events inserted where a steady grid has a gap of two to four intervals."""
-    g = merged.withColumn("after", F.lead("t").over(IN_TIME)).join(steadiness(merged).select("track_id", "steady"), "track_id", "left")
+    g = merged.withColumn("after", F.lead("t").over(by_time())).join(steadiness(merged).select("track_id", "steady"), "track_id", "left")
     gap = F.col("after") - F.col("t")
     multiple = F.bround(gap / F.col("m")).cast("int")
     fits = F.coalesce(F.col("steady"), F.lit(False)) & multiple.between(2, 4) & (F.abs(gap / multiple - F.col("m")) <= 0.16 * F.col("m"))
@@ -90,8 +88,8 @@ def snap(points: DataFrame, grid: DataFrame, reach: Column | None = None) -> Dat
     """
     g = grid.select("track_id", F.col("t").alias("x"), F.lit(0).alias("kind"), F.col("t").alias("g"), F.lit(None).cast("double").alias("p"))
     q = points.select("track_id", F.col("p").alias("x"), F.lit(1).alias("kind"), F.lit(None).cast("double").alias("g"), F.col("p"))
-    before = TRACK.orderBy("x", "kind").rowsBetween(W.unboundedPreceding, 0)
-    after = TRACK.orderBy("x", "kind").rowsBetween(0, W.unboundedFollowing)
+    before = by_track().orderBy("x", "kind").rowsBetween(W.unboundedPreceding, 0)
+    after = by_track().orderBy("x", "kind").rowsBetween(0, W.unboundedFollowing)
     u = g.unionByName(q).withColumn("left", F.last("g", True).over(before)).withColumn("right", F.first("g", True).over(after))
     both = u.filter("kind = 1")
     near = F.when(F.col("left").isNull(), F.col("right")).when(F.col("right").isNull() | (F.col("p") - F.col("left") <= F.col("right") - F.col("p")), F.col("left")).otherwise(F.col("right"))
@@ -105,31 +103,31 @@ def number_beats(beats: DataFrame, downbeats: DataFrame) -> DataFrame:
     downbeats are times of beats. The meter is the median distance of downbeats of 2..8 beats, 4 without any.
     """
     d = downbeats.select("track_id", "t", F.lit(True).alias("down"))
-    i = beats.select("track_id", "t").join(d, ["track_id", "t"], "left").withColumn("idx", (F.row_number().over(IN_TIME) - 1).cast("long"))
+    i = beats.select("track_id", "t").join(d, ["track_id", "t"], "left").withColumn("idx", (F.row_number().over(by_time()) - 1).cast("long"))
     i = i.withColumn("d", F.when(F.col("down"), F.col("idx")))
-    so_far = IN_TIME.rowsBetween(W.unboundedPreceding, 0)
-    earlier = IN_TIME.rowsBetween(W.unboundedPreceding, -1)
+    so_far = by_time().rowsBetween(W.unboundedPreceding, 0)
+    earlier = by_time().rowsBetween(W.unboundedPreceding, -1)
     i = i.withColumn("gap", F.when(F.col("down"), F.col("idx") - F.last("d", True).over(earlier)))
-    meter = F.bround(F.percentile(F.when(F.col("gap").between(2, 8), F.col("gap")), F.lit(0.5)).over(TRACK))
+    meter = F.bround(F.percentile(F.when(F.col("gap").between(2, 8), F.col("gap")), F.lit(0.5)).over(by_track()))
     i = i.withColumn("meter", clip(F.coalesce(meter, F.lit(4.0)), 2, 8).cast("int"))
-    base = F.coalesce(F.last("d", True).over(so_far), F.min("d").over(TRACK), F.lit(0))
+    base = F.coalesce(F.last("d", True).over(so_far), F.min("d").over(by_track()), F.lit(0))
     return i.select("track_id", "t", "idx", (F.pmod(F.col("idx") - base, F.col("meter")) + 1).cast("int").alias("number"), "meter")
 
 
 def infer_meter(numbered: DataFrame) -> DataFrame:
     """Most frequent bar length of 2..8 beats; of equally frequent ones the one seen first."""
-    d = numbered.filter("number = 1").withColumn("length", F.lead("idx").over(IN_TIME) - F.col("idx")).filter(F.col("length").between(2, 8))
+    d = numbered.filter("number = 1").withColumn("length", F.lead("idx").over(by_time()) - F.col("idx")).filter(F.col("length").between(2, 8))
     c = d.groupBy("track_id", "length").agg(F.count(F.lit(1)).alias("n"), F.min("idx").alias("seen"))
     return c.groupBy("track_id").agg(F.min_by("length", F.struct(-F.col("n"), F.col("seen"))).cast("int").alias("meter"))
 
 
 def bar_boundaries(downbeats: DataFrame, total: Column) -> DataFrame:
     """(track_id, bar, start, end) from downbeats; the last bar is as long as the median one, within `total`."""
-    d = clean(downbeats).withColumn("end", F.lead("t").over(IN_TIME))
-    d = d.withColumn("m", median(F.col("end") - F.col("t")).over(TRACK))
+    d = clean(downbeats).withColumn("end", F.lead("t").over(by_time()))
+    d = d.withColumn("m", median(F.col("end") - F.col("t")).over(by_track()))
     end = F.coalesce("end", F.least(total, F.col("t") + F.greatest(F.col("m"), F.lit(0.5))))
     out = d.select("track_id", F.col("t").alias("start"), end.alias("end")).filter("end > start")
-    return out.withColumn("bar", (F.row_number().over(TRACK.orderBy("start")) - 1).cast("long"))
+    return out.withColumn("bar", (F.row_number().over(by_track().orderBy("start")) - 1).cast("long"))
 
 
 def frames_to_bars(frames: DataFrame, bars: DataFrame, features: list[str]) -> DataFrame:

@@ -14,10 +14,9 @@ from pyspark.sql.window import Window as W
 
 from ..functions import arrays, scalar
 from ..functions.scalar import clip
+from ..functions.windows import by_bar, by_track
 from .structure import unit
 
-TRACK = W.partitionBy("track_id")
-BARS = TRACK.orderBy("bar")
 MAX_EXITS, MAX_ENTRIES, LENGTHS = 32, 24, (4, 8, 16)
 CUE_THRESHOLD = 0.34
 
@@ -33,12 +32,12 @@ WEIGHTS = {
 def with_context(bars: DataFrame) -> DataFrame:
     """Adds what the phrase policy reads of a bar's surroundings: all windows share one sort per track."""
     role, bar = F.upper("role"), F.col("bar")
-    changed = F.when(F.lag("role").over(BARS).isNull(), 1.0).otherwise(((role != F.upper(F.lag("role").over(BARS))) | (F.upper("function") != F.upper(F.lag("function").over(BARS)))).cast("double"))
-    b = bars.withColumn("n", F.count(F.lit(1)).over(TRACK)).withColumn("edge", clip(0.50 * changed + 0.28 * F.coalesce("boundary", F.lit(0.5)) + 0.22 * F.coalesce("phrase", F.lit(0.5))))
-    drop_before = F.max(F.when(role == "DROP", bar)).over(BARS.rowsBetween(-8, -1))
+    changed = F.when(F.lag("role").over(by_bar()).isNull(), 1.0).otherwise(((role != F.upper(F.lag("role").over(by_bar()))) | (F.upper("function") != F.upper(F.lag("function").over(by_bar())))).cast("double"))
+    b = bars.withColumn("n", F.count(F.lit(1)).over(by_track())).withColumn("edge", clip(0.50 * changed + 0.28 * F.coalesce("boundary", F.lit(0.5)) + 0.22 * F.coalesce("phrase", F.lit(0.5))))
+    drop_before = F.max(F.when(role == "DROP", bar)).over(by_bar().rowsBetween(-8, -1))
     # the first bar after this one with another role, or the end of the track
-    other = F.coalesce(F.lead("role").over(BARS) != F.col("role"), F.lit(True))
-    run_end = F.min(F.when(other, bar)).over(BARS.rowsBetween(0, W.unboundedFollowing))
+    other = F.coalesce(F.lead("role").over(by_bar()) != F.col("role"), F.lit(True))
+    run_end = F.min(F.when(other, bar)).over(by_bar().rowsBetween(0, W.unboundedFollowing))
     return b.withColumns({
         "since_drop": F.when(role != "DROP", bar - drop_before), "until_change": F.least(run_end - bar + 1, F.lit(17)),
         "rms_policy": unit(F.col("rms"), flat=0.5, eps=1e-10), "rms_match": unit(F.col("rms"), 0.10, 0.90, 0.0, 1e-10),
@@ -63,8 +62,8 @@ def top_by(df: DataFrame, score: str, k: int, key: str = "track_id") -> DataFram
 
 def entry_quality(bars: DataFrame, bpm: Column, rate: float, total: Column) -> Column:
     """How well an entry carries on alone, for rows of `bars` in windows."""
-    two = BARS.rowsBetween(0, 1)
-    energy = clip(1.0 - F.exp(-F.avg(F.greatest("rms", F.lit(0.0))).over(two) / (F.percentile(F.greatest("rms", F.lit(0.0)), F.lit(0.5)).over(TRACK) + 1e-8)))
+    two = by_bar().rowsBetween(0, 1)
+    energy = clip(1.0 - F.exp(-F.avg(F.greatest("rms", F.lit(0.0))).over(two) / (F.percentile(F.greatest("rms", F.lit(0.0)), F.lit(0.5)).over(by_track()) + 1e-8)))
     onset, vocal = clip(F.avg("onset").over(two)), clip(F.avg("vocal").over(two))
     beat = F.greatest(F.lit(1.0), F.bround(60.0 / F.greatest(bpm, F.lit(1.0)) * rate))
     room = clip((total - F.col("start_sample")) / F.greatest(8.0 * beat, F.lit(1.0)))
@@ -73,7 +72,7 @@ def entry_quality(bars: DataFrame, bpm: Column, rate: float, total: Column) -> C
 
 def candidates(pairs: DataFrame, bars: DataFrame, lengths: tuple[int, ...] = LENGTHS, exits: int = MAX_EXITS, entries: int = MAX_ENTRIES) -> DataFrame:
     """(pair_id, a_track, b_track, exit, entry, bars): both slices must lie within their tracks."""
-    b = bars.withColumn("n", F.count(F.lit(1)).over(TRACK))
+    b = bars.withColumn("n", F.count(F.lit(1)).over(by_track()))
     leave = top_by(eligible(b, F.lit(0)), "mix_out", exits).select(F.col("track_id").alias("a_track"), F.col("bar").alias("exit"), F.col("n").alias("a_n"))
     enter = top_by(eligible(b, F.lit(0)), "mix_in", entries).select(F.col("track_id").alias("b_track"), F.col("bar").alias("entry"), F.col("n").alias("b_n"))
     c = pairs.join(leave, "a_track").join(enter, "b_track").withColumn("bars", F.explode(F.array(*map(F.lit, lengths))))

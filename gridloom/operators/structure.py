@@ -11,9 +11,8 @@ from pyspark.sql.window import WindowSpec
 
 from ..functions import arrays
 from ..functions.scalar import clip
+from ..functions.windows import by_bar, by_track
 
-TRACK = W.partitionBy("track_id")
-BARS = TRACK.orderBy("bar")
 
 # Key profiles by pitch class from the tonic, and wheel names by pitch class.
 MAJOR = (6.35, 2.23, 3.48, 2.33, 4.38, 4.09, 2.52, 5.19, 2.39, 3.66, 2.29, 2.88)
@@ -22,37 +21,41 @@ MAJOR_WHEEL = ("8B", "3B", "10B", "5B", "12B", "7B", "2B", "9B", "4B", "11B", "6
 MINOR_WHEEL = ("5A", "12A", "7A", "2A", "9A", "4A", "11A", "6A", "1A", "8A", "3A", "10A")
 
 
-def unit(x: Column, low: float = 0.05, high: float = 0.95, flat: float = 0.0, eps: float = 1e-12, over: WindowSpec = TRACK) -> Column:
+def unit(x: Column, low: float = 0.05, high: float = 0.95, flat: float = 0.0, eps: float = 1e-12, over: WindowSpec | None = None) -> Column:
     """x between two exact percentiles of its track, clipped; `flat` where they coincide.
 
     Structure uses 5 and 95 %, matching 10 and 90 % with eps 1e-10, the phrase policy 5 and 95 % with flat 0.5.
     """
+    over = over or by_track()
     a, b = F.percentile(x, F.lit(low)).over(over), F.percentile(x, F.lit(high)).over(over)
     return F.when(b > a + eps, clip((x - a) / (b - a))).otherwise(F.lit(float(flat)))
 
 
-def min_max(x: Column, eps: float = 1e-9, over: WindowSpec = TRACK) -> Column:
+def min_max(x: Column, eps: float = 1e-9, over: WindowSpec | None = None) -> Column:
+    over = over or by_track()
     a, b = F.min(x).over(over), F.max(x).over(over)
     return F.when(b > a + eps, (x - a) / (b - a)).otherwise(F.lit(0.0))
 
 
-def z_score(x: Column, over: WindowSpec = TRACK) -> Column:
+def z_score(x: Column, over: WindowSpec | None = None) -> Column:
+    over = over or by_track()
     return (x - F.avg(x).over(over)) / F.greatest(F.stddev_pop(x).over(over), F.lit(1e-6))
 
 
-def peak_normalized(x: Column, share: float = 0.98, over: WindowSpec = TRACK) -> Column:
+def peak_normalized(x: Column, share: float = 0.98, over: WindowSpec | None = None) -> Column:
+    over = over or by_track()
     p = F.percentile(x, F.lit(share)).over(over)
     return F.when(p > 1e-9, clip(x / p)).otherwise(x)
 
 
 def ahead(x: Column, n: int = 4) -> Column:
     """Mean of this row and those after it, n in all."""
-    return F.avg(x).over(BARS.rowsBetween(0, n - 1))
+    return F.avg(x).over(by_bar().rowsBetween(0, n - 1))
 
 
 def behind(x: Column, n: int = 4) -> Column:
     """Mean of the n rows before; 0 without any."""
-    return F.coalesce(F.avg(x).over(BARS.rowsBetween(-n, -1)), F.lit(0.0))
+    return F.coalesce(F.avg(x).over(by_bar().rowsBetween(-n, -1)), F.lit(0.0))
 
 
 def gaussian(x: str, sigma: float = 0.7) -> Column:
@@ -60,8 +63,8 @@ def gaussian(x: str, sigma: float = 0.7) -> Column:
     radius = int(4 * sigma + 0.5)
     taps = [math.exp(-0.5 * (i / sigma) ** 2) for i in range(radius + 1)]
     scale = taps[0] + 2 * sum(taps[1:])
-    n, i = F.count(F.lit(1)).over(TRACK), F.col("bar")
-    around = F.collect_list(x).over(BARS.rowsBetween(-radius, radius))
+    n, i = F.count(F.lit(1)).over(by_track()), F.col("bar")
+    around = F.collect_list(x).over(by_bar().rowsBetween(-radius, radius))
     first = F.greatest(i - radius, F.lit(0))
 
     def tap(k: int) -> Column:
@@ -81,14 +84,14 @@ def local_roles(bars: DataFrame) -> DataFrame:
     """
     b = bars.withColumns({"energy": unit(F.col("rms")), "onset_u": unit(F.col("onset")), "low_u": unit(F.col("low_ratio")), "bright_u": unit(F.col("brightness")), "vocal_u": unit(F.col("vocal"))})
     five = [F.col(c) for c in ("energy", "onset_u", "low_u", "bright_u", "vocal_u")]
-    step = sum(((c - F.lag(c).over(BARS)) * (c - F.lag(c).over(BARS)) for c in five[1:]), (five[0] - F.lag(five[0]).over(BARS)) * (five[0] - F.lag(five[0]).over(BARS)))
+    step = sum(((c - F.lag(c).over(by_bar())) * (c - F.lag(c).over(by_bar())) for c in five[1:]), (five[0] - F.lag(five[0]).over(by_bar())) * (five[0] - F.lag(five[0]).over(by_bar())))
     b = b.withColumn("delta", F.coalesce(F.sqrt(step), F.lit(0.0)))
     b = b.withColumns({"smooth": gaussian("delta"), "harmonic0": F.col("rms") * (1 - 0.25 * F.col("onset_u")), "percussive0": F.col("rms") * (0.15 + 0.85 * F.col("onset_u"))})
     b = b.withColumns({"novelty": unit(F.col("smooth")), "harmonic": unit(F.col("harmonic0")), "percussive": unit(F.col("percussive0"))})
     b = b.withColumn("salience0", F.greatest(ahead(F.col("harmonic")), 0.86 * ahead(F.col("percussive"))))
     b = b.withColumns({
         "salience": unit(F.col("salience0")), "before": behind(F.col("energy")), "after": ahead(F.col("energy")),
-        "vocal_4": ahead(F.col("vocal_u")), "drums_4": ahead(F.col("onset_u")), "low_4": ahead(F.col("low_u")), "n": F.count(F.lit(1)).over(TRACK),
+        "vocal_4": ahead(F.col("vocal_u")), "drums_4": ahead(F.col("onset_u")), "low_4": ahead(F.col("low_u")), "n": F.count(F.lit(1)).over(by_track()),
     })
     i, n, before, after = (F.col(c) for c in ("bar", "n", "before", "after"))
     rise, boundary = after - before, F.col("novelty")
@@ -158,8 +161,8 @@ def label_at(points: DataFrame, segments: DataFrame) -> DataFrame:
     the last label, else unknown. One as-of window over segments and points, segments being in order of start."""
     s = segments.select("track_id", F.col("start").alias("x"), F.lit(0).alias("kind"), F.struct("start", "end", "label", "seg").alias("s"), F.lit(None).cast("double").alias("t"))
     p = points.select("track_id", F.col("t").alias("x"), F.lit(1).alias("kind"), F.lit(None).cast(s.schema["s"].dataType).alias("s"), F.col("t"))
-    so_far = TRACK.orderBy("x", "kind", F.col("s.seg")).rowsBetween(W.unboundedPreceding, 0)
-    u = s.unionByName(p).withColumn("last", F.last("s", True).over(so_far)).withColumn("final", F.max(F.when(F.col("kind") == 0, F.struct("x", F.col("s.seg").alias("seg")))).over(TRACK))
+    so_far = by_track().orderBy("x", "kind", F.col("s.seg")).rowsBetween(W.unboundedPreceding, 0)
+    u = s.unionByName(p).withColumn("last", F.last("s", True).over(so_far)).withColumn("final", F.max(F.when(F.col("kind") == 0, F.struct("x", F.col("s.seg").alias("seg")))).over(by_track()))
     inside = (F.col("t") < F.col("last.end")) | (F.col("last.seg") == F.col("final.seg"))
     return u.filter("kind = 1").select("track_id", "t", F.when(F.coalesce(inside, F.lit(False)), F.lower("last.label")).otherwise("unknown").alias("label"))
 
@@ -173,7 +176,7 @@ def boundary_score(distance: Column, radius: Column) -> Column:
 def functional_roles(bars: DataFrame, label: str = "label", base: str = "role") -> DataFrame:
     """Adds fused_role: the role that a functional label implies, given local energies scaled by their range."""
     e = {f"m_{c}": min_max(F.col(c)) for c in ("rms", "onset", "low_ratio", "vocal")}
-    b = bars.withColumns(e).withColumns({"m_before": F.coalesce(F.avg("m_rms").over(BARS.rowsBetween(-3, -1)), F.lit(0.0)), "m_after": ahead(F.col("m_rms"))})
+    b = bars.withColumns(e).withColumns({"m_before": F.coalesce(F.avg("m_rms").over(by_bar().rowsBetween(-3, -1)), F.lit(0.0)), "m_after": ahead(F.col("m_rms"))})
     x = F.lower(F.trim(F.col(label)))
     role = (
         F.when(x.isin("start", "intro"), "INTRO")
@@ -201,7 +204,7 @@ def period_phase(bars: DataFrame, x: str, period: int = 4) -> DataFrame:
 
 
 def peak_mask(x: str, radius: int = 4, share: float = 0.30) -> Column:
-    local, whole = F.max(x).over(BARS.rowsBetween(-radius, radius)), F.max(x).over(TRACK)
+    local, whole = F.max(x).over(by_bar().rowsBetween(-radius, radius)), F.max(x).over(by_track())
     return (whole > 1e-9) & (F.col(x) >= local - 1e-8) & (F.col(x) >= share * whole)
 
 
@@ -211,8 +214,8 @@ def checkerboard_novelty(bars: DataFrame, features: list[str], half: int = 4) ->
     The rows of a window of 2*half bars are collected per bar: work and memory grow with the window, not the track.
     """
     z = bars.withColumns({f"z_{c}": z_score(F.col(c)) for c in features})
-    z = z.withColumn("v", F.array(*[F.col(f"z_{c}") for c in features])).withColumn("n", F.count(F.lit(1)).over(TRACK))
-    near = z.select("track_id", "bar", "n", F.collect_list("v").over(BARS.rowsBetween(-half, half - 1)).alias("w"))
+    z = z.withColumn("v", F.array(*[F.col(f"z_{c}") for c in features])).withColumn("n", F.count(F.lit(1)).over(by_track()))
+    near = z.select("track_id", "bar", "n", F.collect_list("v").over(by_bar().rowsBetween(-half, half - 1)).alias("w"))
     a, b = F.slice("w", 1, half), F.slice("w", half + 1, half)
     dist = lambda p, q: F.sqrt(arrays.total(F.zip_with(p, q, lambda x, y: (x - y) * (x - y))))
     mean = lambda s, t: arrays.total(F.transform(s, lambda p: arrays.total(F.transform(t, lambda q: dist(p, q))))) / float(half * half)
@@ -223,7 +226,7 @@ def checkerboard_novelty(bars: DataFrame, features: list[str], half: int = 4) ->
 
 def silence_bounds(frames: DataFrame, hop: Column, frame: Column, rate: Column, total: Column) -> DataFrame:
     """frames (track_id, idx, rms): first and last sample of the frames within 42 dB of their 90th percentile."""
-    t = F.greatest(F.lit(1e-5), F.percentile("rms", F.lit(0.9)).over(TRACK) * 10 ** (-42 / 20))
+    t = F.greatest(F.lit(1e-5), F.percentile("rms", F.lit(0.9)).over(by_track()) * 10 ** (-42 / 20))
     active = frames.withColumn("threshold", t).filter("rms >= threshold").groupBy("track_id").agg(F.min("idx").alias("a"), F.max("idx").alias("z"))
     start = F.greatest(F.lit(0), F.floor(F.col("a") * hop - 0.02 * rate))
     end = F.least(total, F.floor(F.col("z") * hop + frame + 0.02 * rate))

@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.scalar import clip, smootherstep
+from ..functions.windows import by_track
 
-TRACK = W.partitionBy("track_id")
 
 
 def interpolate(points: DataFrame, keyframes: DataFrame) -> DataFrame:
     """points (track_id, x) with y between the keyframes (track_id, x, y) around it, held at both ends. One window, no join."""
     k = keyframes.select("track_id", "x", F.lit(0).alias("kind"), F.struct("x", "y").alias("k"))
     p = points.select("track_id", "x", F.lit(1).alias("kind"), F.lit(None).cast("struct<x:double,y:double>").alias("k"))
-    before = TRACK.orderBy("x", "kind").rowsBetween(W.unboundedPreceding, 0)
-    after = TRACK.orderBy("x", "kind").rowsBetween(0, W.unboundedFollowing)
+    before = by_track().orderBy("x", "kind").rowsBetween(W.unboundedPreceding, 0)
+    after = by_track().orderBy("x", "kind").rowsBetween(0, W.unboundedFollowing)
     u = k.unionByName(p).withColumn("a", F.last("k", True).over(before)).withColumn("b", F.first("k", True).over(after)).filter("kind = 1")
     span = F.col("b.x") - F.col("a.x")
     y = F.when(F.col("a").isNull(), F.col("b.y")).when(F.col("b").isNull() | (span <= 0), F.col("a.y")).otherwise(F.col("a.y") + (F.col("b.y") - F.col("a.y")) * (F.col("x") - F.col("a.x")) / span)
@@ -25,14 +25,14 @@ def interpolate(points: DataFrame, keyframes: DataFrame) -> DataFrame:
 
 def strictly_rising(keyframes: DataFrame, least: int = 1) -> DataFrame:
     """Targets y (whole numbers) raised so that each exceeds the one before by `least`: max(y - i) + i."""
-    w = TRACK.orderBy("x")
+    w = by_track().orderBy("x")
     i = (F.row_number().over(w) - 1) * least
     raised = keyframes.withColumn("_i", i).withColumn("_y", F.col("y") - F.col("_i"))
     return raised.withColumn("y", F.max("_y").over(w.rowsBetween(W.unboundedPreceding, 0)) + F.col("_i")).drop("_i", "_y")
 
 
 def cumulative_max(df: DataFrame, x: str, order: str) -> DataFrame:
-    return df.withColumn(x, F.max(x).over(TRACK.orderBy(order).rowsBetween(W.unboundedPreceding, 0)))
+    return df.withColumn(x, F.max(x).over(by_track().orderBy(order).rowsBetween(W.unboundedPreceding, 0)))
 
 
 def restore_keyframes(t: DataFrame, subdivisions: int = 16) -> DataFrame:
@@ -47,7 +47,7 @@ def restore_keyframes(t: DataFrame, subdivisions: int = 16) -> DataFrame:
     ratio = F.col("playback_bpm") / F.col("original_bpm")
     step = F.col("bar") / float(subdivisions)
     length = step * F.exp(F.log(ratio) * smootherstep(middle))
-    so_far = TRACK.orderBy("i").rowsBetween(W.unboundedPreceding, 0)
+    so_far = by_track().orderBy("i").rowsBetween(W.unboundedPreceding, 0)
     return steps.select("track_id", (F.col("i") + 1).alias("i"), (F.col("start") + (F.col("i") + 1) * step).alias("source"), (F.col("start") + F.sum(length).over(so_far)).alias("target"))
 
 
@@ -83,13 +83,13 @@ def best_pairing(a: DataFrame, b: DataFrame, most: int = 2) -> DataFrame:
 
 def weighted_median(df: DataFrame, x: str, w: str) -> DataFrame:
     """(track_id, median): the first x in order whose running weight reaches half of all."""
-    run = df.filter(F.col(w) > 0).withColumn("_c", F.sum(w).over(TRACK.orderBy(x).rowsBetween(W.unboundedPreceding, 0))).withColumn("_t", F.sum(w).over(TRACK))
+    run = df.filter(F.col(w) > 0).withColumn("_c", F.sum(w).over(by_track().orderBy(x).rowsBetween(W.unboundedPreceding, 0))).withColumn("_t", F.sum(w).over(by_track()))
     return run.filter(F.col("_c") >= 0.5 * F.col("_t")).groupBy("track_id").agg(F.min(x).alias("median"))
 
 
 def median3(x: str, order: str) -> Column:
     """Median of a value and its neighbours, zeros beyond both ends."""
-    w = TRACK.orderBy(order)
+    w = by_track().orderBy(order)
     a, b, c = F.lag(x, 1, 0.0).over(w), F.col(x), F.lead(x, 1, 0.0).over(w)
     return F.greatest(F.least(a, b), F.least(F.greatest(a, b), c))
 
@@ -123,14 +123,14 @@ def stitch(a: Column, b: Column) -> Column:
 
 def envelope(samples: DataFrame, bins: int = 640) -> DataFrame:
     """(track_id, bin, rms) over equal bins of the samples (track_id, idx, v)."""
-    n = F.count(F.lit(1)).over(TRACK)
+    n = F.count(F.lit(1)).over(by_track())
     b = samples.withColumn("n", n).withColumn("bin", F.least(F.floor(((F.col("idx") + 1) * bins - 1) / F.col("n")), F.lit(bins - 1)))
     return b.groupBy("track_id", "bin").agg(F.sqrt(F.avg(F.col("v") * F.col("v")) + 1e-12).alias("rms"))
 
 
 def sliding_frames(samples: DataFrame, size: int, hop: int) -> DataFrame:
     """(track_id, frame, rms) of overlapping frames: every sample goes to the frames that hold it. Whole frames only."""
-    n = F.max("idx").over(TRACK) + 1
+    n = F.max("idx").over(by_track()) + 1
     first = F.greatest(F.lit(0), F.ceil((F.col("idx") - size + 1) / hop))
     last = F.least(F.floor(F.col("idx") / hop), F.floor((F.col("n") - size) / hop))
     s = samples.withColumn("n", n).filter(F.col("n") >= size).withColumn("a", first).withColumn("z", last).filter("a <= z")
@@ -140,7 +140,7 @@ def sliding_frames(samples: DataFrame, size: int, hop: int) -> DataFrame:
 
 def lru_replay(touches: DataFrame, budget: Column) -> DataFrame:
     """touches (track_id, step, key, bytes): those after which `key` still counts among the most recent keys that fit the budget."""
-    w = TRACK.orderBy(F.desc("last"))
+    w = by_track().orderBy(F.desc("last"))
     last = touches.groupBy("track_id", "key").agg(F.max("step").alias("last"), F.max_by("bytes", "step").alias("bytes"))
     run = last.withColumn("used", F.sum("bytes").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("place", F.row_number().over(w))
     return run.select("track_id", "key", "last", "used", ((F.col("used") <= budget) | (F.col("place") == 1)).alias("kept"))
