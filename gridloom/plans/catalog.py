@@ -797,3 +797,108 @@ def clip_features(spark, d):
         return {"level": float(s[0]), "onset": float(s[1]), "centroid": float(s[2])}
 
     return r6(kernels.per_group(t, "track_id", "track_id long, level double, onset double, centroid double", f))
+
+
+# plans
+
+
+@query(f"""WITH {MIXB.format(x=6, y=5)}, el AS (SELECT track_id, bar, start_sample - 88200 >= 0 AND start_sample + 44100 < 80 * 88200 - 500000 AS ok FROM mb WHERE cue >= 0.34)
+SELECT track_id, bar, ok FROM (SELECT *, bool_or(ok) OVER (PARTITION BY track_id) AS anyok FROM el) WHERE ok OR NOT anyok""")
+def feasible_cues(spark, d):
+    from ..operators import planning
+
+    total = F.lit(80 * 88200 - 500000)
+    out = planning.feasible_cues(mix_bars(spark, d), F.lit(120.0), F.lit(44100), total, F.lit(0))
+    return out.select("track_id", "bar", ((F.col("start_sample") - 88200 >= 0) & (F.col("start_sample") + 44100 < total)).alias("ok"))
+
+
+@query(f"""WITH {MIXB.format(x=6, y=5)}, q AS (SELECT *, count(*) OVER w2 AS c2, avg(greatest(rms, 0.0)) OVER w2 AS lr, avg(onset) OVER w2 AS lo, avg(vocal) OVER w2 AS lv, quantile_cont(greatest(rms, 0.0), 0.5) OVER (PARTITION BY track_id) AS md FROM mb WINDOW w2 AS (PARTITION BY track_id ORDER BY bar ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING)),
+e AS (SELECT *, greatest(0.0, least(1.0, 0.34 * greatest(0.0, least(1.0, mix_in)) + 0.27 * greatest(0.0, least(1.0, 1 - exp(-lr / (md + 1e-8)))) + 0.22 * greatest(0.0, least(1.0, (70 * 88200 - start_sample) / (8.0 * 22050))) + 0.11 * greatest(0.0, least(1.0, lo)) + 0.06 * (1 - 0.35 * greatest(0.0, least(1.0, lv))))) AS quality FROM q),
+el AS (SELECT *, start_sample + 22050 < 70 * 88200 AS ok FROM e WHERE cue >= 0.34), s AS (SELECT * FROM (SELECT *, bool_or(ok) OVER (PARTITION BY track_id) AS anyok FROM el) WHERE ok OR NOT anyok),
+rk AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY quality DESC, mix_in DESC, bar) AS r FROM s) SELECT track_id, bar, {r('quality')} FROM rk WHERE r <= 5""")
+def tail_entries(spark, d):
+    from ..operators import planning
+
+    return r6(planning.tail_entries(mix_bars(spark, d), F.lit(120.0), F.lit(44100), F.lit(70 * 88200), 5).select("track_id", "bar", "quality"))
+
+
+def _semantic_sql() -> str:
+    steps, last = [], "w"
+    for name, e in _dtw_sql("wa", "wb", 3):
+        # walks have two or three windows: cells beyond a walk stay null and never win
+        steps.append(f"s{name} AS (SELECT *, CASE WHEN {name[1]} <= len(wa) AND {name[2]} <= len(wb) THEN {e} END AS {name} FROM {last})")
+        last = f"s{name}"
+    corner = "CASE WHEN len(wa) = 3 AND len(wb) = 3 THEN c33 WHEN len(wa) = 2 AND len(wb) = 3 THEN c23 WHEN len(wa) = 3 AND len(wb) = 2 THEN c32 ELSE c22 END"
+    return f"""WITH {O.TRACKS}, {MIXB.format(x=6, y=5).lstrip().removeprefix(',').strip()}, pos AS (SELECT [0.125, 0.375, 0.625, 0.875]::DOUBLE[] AS ps),
+j AS (SELECT c.*, (exit + 0.5 * bars) / ca.n AS xa, (entry + 0.5 * bars) / cb.n AS xb, a.g AS ga, b.g AS gb, a.timeline AS la, b.timeline AS lb FROM cands c JOIN ct ca ON ca.track_id = a_track JOIN ct cb ON cb.track_id = b_track JOIN tracks a ON a.track_id = a_track JOIN tracks b ON b.track_id = b_track),
+i AS (SELECT j.*, list_position(list_transform(ps, lambda p: abs(p - xa)), list_min(list_transform(ps, lambda p: abs(p - xa)))) AS ia, list_position(list_transform(ps, lambda p: abs(p - xb)), list_min(list_transform(ps, lambda p: abs(p - xb)))) AS ib FROM j, pos),
+w AS (SELECT *, la[greatest(1, ia - 1):least(4, ia + 1)] AS wa, lb[greatest(1, ib - 1):least(4, ib + 1)] AS wb FROM i), {', '.join(steps)}
+SELECT pair_id, exit, entry, bars, round({COS('ga', 'gb')}, 6) + 0.0 AS style, round({COS('la[ia]', 'lb[ib]')}, 6) + 0.0 AS segment, round(exp(-2.4 * ({corner}) / greatest(len(wa), len(wb))), 6) + 0.0 AS trajectory FROM {last}"""
+
+
+@query(_semantic_sql())
+def semantic_terms(spark, d):
+    from ..operators import planning
+
+    b = mix_bars(spark, d)
+    n = b.groupBy("track_id").agg(F.count(F.lit(1)).alias("n"))
+    c = matching.candidates(neighbour_pairs(b), b, exits=6, entries=5)
+    c = c.join(n.select(F.col("track_id").alias("a_track"), F.col("n").alias("a_n")), "a_track").join(n.select(F.col("track_id").alias("b_track"), F.col("n").alias("b_n")), "b_track")
+    positions = F.array(*map(F.lit, (0.125, 0.375, 0.625, 0.875)))
+    profiles = P.tracks(spark, d).select("track_id", "global", "timeline", positions.alias("positions"))
+    return r6(planning.semantic_terms(c, profiles).select("pair_id", "exit", "entry", "bars", "style", "segment", "trajectory"))
+
+
+STYLES = """st AS (SELECT *, CASE WHEN intent IN ('Energy Relay Blend', 'Bass Handover') THEN 'B' WHEN intent = 'Vocal Echo Exit' THEN 'E' ELSE 'S' END AS pf FROM scored),
+ft AS (SELECT *, greatest(0.0, least(1.0, 0.26 + 0.24 * harmonic + 0.20 * phrase_alignment + 0.14 * bass_clean + 0.10 * CASE WHEN rb IN ('INTRO','PHRASE','SECTION','BUILDUP','BREAKDOWN') THEN 1 ELSE 0 END + 0.06 * vocal_clean + CASE pf WHEN 'S' THEN 0.16 ELSE 0.08 END)) AS fs,
+ greatest(0.0, least(1.0, 0.24 + 0.11 + 0.18 * cue_alignment + 0.16 * phrase_alignment + 0.14 * (1 - bass_clean) + 0.06 * CASE WHEN rb IN ('INTRO','PHRASE','SECTION','BUILDUP','BREAKDOWN') THEN 1 ELSE 0 END + CASE pf WHEN 'B' THEN 0.16 WHEN 'S' THEN 0.08 ELSE 0.0 END)) AS fbs,
+ greatest(0.0, least(1.0, 0.08 + 0.28 * (1 - vocal_clean) + 0.22 * (1 - harmonic) + 0.18 * CASE WHEN ra IN ('VOCAL','VERSE','CHORUS','SOLO') THEN 1 ELSE 0 END + 0.14 * cue_alignment + 0.10 * phrase_alignment + CASE pf WHEN 'E' THEN 0.16 ELSE 0.0 END)) AS fe FROM st),
+od AS (SELECT *, list_reverse_sort(CASE WHEN 1 - vocal_clean >= 0.45 OR harmonic <= 0.42 THEN [{'f': fs, 's': 'Short Blend'}, {'f': fbs, 's': 'Bass Swap'}, {'f': fe, 's': 'Echo Out'}] ELSE [{'f': fs, 's': 'Short Blend'}, {'f': fbs, 's': 'Bass Swap'}] END) AS o FROM ft)"""
+
+
+def _with_roles(spark: SparkSession, d: str) -> DataFrame:
+    b = mix_bars(spark, d).select("track_id", "bar", "role")
+    s = _scored(spark, d).join(neighbour_pairs(mix_bars(spark, d)), "pair_id")
+    s = s.join(b.select(F.col("track_id").alias("a_track"), F.col("bar").alias("exit"), F.col("role").alias("ra")), ["a_track", "exit"])
+    return s.join(b.select(F.col("track_id").alias("b_track"), F.col("bar").alias("entry"), F.col("role").alias("rb")), ["b_track", "entry"])
+
+
+@query(f"WITH {_score_sql()}, {STYLES} SELECT pair_id, exit, entry, bars, array_to_string(list_transform(o, lambda x: x.s), ',') AS styles, {r('fs', 'fbs', 'fe')} FROM od")
+def rendering_styles(spark, d):
+    from ..operators import planning
+
+    s = _with_roles(spark, d).withColumn("edm_confidence", F.lit(0.5))
+    fit = planning.style_fit(F.col("ra"), F.col("rb"), F.col("intent"))
+    order = planning.style_order(F.col("ra"), F.col("rb"), F.col("intent"))
+    return r6(s.select("pair_id", "exit", "entry", "bars", F.array_join(order, ",").alias("styles"), fit["Short Blend"].alias("fs"), fit["Bass Swap"].alias("fbs"), fit["Echo Out"].alias("fe")))
+
+
+@query(f"""WITH {_score_sql()}, b1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY score DESC, bars, exit, entry) AS rk FROM scored) WHERE rk = 1),
+pl AS (SELECT *, exit * 88200 AS ac, entry * 88200 AS bc, 22050 AS beat, na.n * 88200 AS tota, nb.n * 88200 AS totb FROM (SELECT * FROM b1) b2 JOIN (SELECT track_id AS at_, n FROM ct) na ON na.at_ = a_track JOIN (SELECT track_id AS bt_, n FROM ct) nb ON nb.bt_ = b_track),
+pq AS (SELECT *, least(ac, bc, 88200) AS pre, least(tota - ac, totb - bc, 44100) AS post FROM pl)
+SELECT pair_id, CAST(ac - pre AS BIGINT) AS a_start, CAST(bc - pre AS BIGINT) AS b_start, CAST(pre + post AS BIGINT) AS length, CAST(pre AS BIGINT) AS handoff, CAST(bc + post AS BIGINT) AS b_end, CAST(ac + post AS BIGINT) AS a_end, round(pre / greatest(pre + post, 1), 6) + 0.0 AS switch, intent,
+ round(greatest(0.0, least(1.0, 0.43 * score + 0.10 + 0.10 * cue_alignment + 0.07 * phrase_alignment + 0.20 * policy)), 6) + 0.0 AS automix_confidence,
+ CASE WHEN greatest(0.0, least(1.0, 0.43 * score + 0.10 + 0.10 * cue_alignment + 0.07 * phrase_alignment + 0.20 * policy)) >= 0.60 OR policy >= 0.72 AND intent <> 'Safe Phrase Blend' THEN 'creative' WHEN score >= 0.43 OR cue_alignment >= 0.46 THEN 'simple' ELSE 'gapless' END AS mode FROM pq""")
+def transition_plans(spark, d):
+    from ..operators import planning
+
+    b = mix_bars(spark, d)
+    n = b.groupBy("track_id").agg((F.count(F.lit(1)) * 88200).alias("total"))
+    pairs = neighbour_pairs(b).join(n.select(F.col("track_id").alias("a_track"), F.col("total").alias("a_total")), "a_track").join(n.select(F.col("track_id").alias("b_track"), F.col("total").alias("b_total")), "b_track")
+    pairs = pairs.select("pair_id", "a_total", "b_total", F.lit(120.0).alias("bpm"), F.lit(44100).alias("rate"), F.lit(0).alias("earliest"), F.lit(0).alias("b_first"), F.lit(False).alias("force_tail"), F.lit(88200).alias("samples_per_bar"))
+    plans = planning.assemble(matching.best_candidate(_scored(spark, d)), pairs)
+    return r6(plans.select("pair_id", "a_start", "b_start", "length", "handoff", "b_end", "a_end", "switch", "intent", "automix_confidence", "mode"))
+
+
+@query(f"""WITH {SAMPLES}, bd AS (SELECT track_id, CASE idx % 2 WHEN 0 THEN 'low' ELSE 'high' END AS band, a, b FROM sm UNION ALL SELECT track_id, 'mid', a, b FROM sm), co AS (SELECT track_id, band, CASE WHEN count(*) < 64 OR sqrt(sum(a * a) * sum(b * b)) <= 1e-9 THEN 0.0 ELSE sum(a * b) / sqrt(sum(a * a) * sum(b * b)) END AS rho FROM bd GROUP BY ALL),
+g AS (SELECT track_id, band, i, cos(i / 8.0 * pi() / 2) AS o, sin(i / 8.0 * pi() / 2) AS n, greatest(0.0, least(0.97, rho)) AS rr FROM co, range(0, 9) x(i)),
+s AS (SELECT *, greatest(0.70, least(1.0, sqrt((o * o + n * n) / greatest(o * o + n * n + 2 * rr * o * n, 1e-12)))) AS sc FROM g)
+SELECT track_id, band, CAST(i AS INT) AS i, round(o * sc, 6) + 0.0 AS gain_out, round(n * sc, 6) + 0.0 AS gain_in, round(-20 * log10(min(sc) OVER (PARTITION BY track_id, band)), 6) + 0.0 AS reduction FROM s""")
+def adapted_gains(spark, d):
+    from ..operators import planning
+
+    s = samples(spark, d)
+    bands = s.select("track_id", F.when(F.col("idx") % 2 == 0, "low").otherwise("high").alias("band"), "a", "b").unionAll(s.select("track_id", F.lit("mid").alias("band"), "a", "b"))
+    out, into = scalar.equal_power(F.col("i") / 8.0)
+    curves = bands.select("track_id", "band").distinct().select("track_id", "band", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("i")).withColumns({"gain_out": out, "gain_in": into})
+    return r6(planning.adapted_gains(curves, bands))

@@ -201,3 +201,43 @@ def test_clusters_separate_directions(spark):
     assert len({out[i] for i in range(4)} & {out[10 + i] for i in range(4)}) == 0
     empty = spark.createDataFrame([(1, [])], "id long, v array<double>")
     assert ranking.style_clusters(empty).first()["cluster"] == 0
+
+
+def test_pairs_without_candidates_fall_back(spark):
+    from gridloom.operators import planning
+
+    pairs = spark.createDataFrame([(1, 10, 11), (2, 20, 21)], "pair_id long, a_track long, b_track long")
+    c = spark.createDataFrame([(1, 10, 11, 3, 4, 8)], "pair_id long, a_track long, b_track long, exit long, entry long, bars int")
+    exits = spark.createDataFrame([(20, 5, 7), (20, 6, 7)], "a_track long, exit long, a_n long")
+    entries = spark.createDataFrame([(21, 2, 9), (21, 4, 9)], "b_track long, entry long, b_n long")
+    out = {r.pair_id: (r.exit, r.entry, r.bars) for r in planning.or_fallback(c, exits, entries, pairs).collect()}
+    assert out == {1: (3, 4, 8), 2: (6, 2, 1)}
+
+
+def test_plain_vectors_are_neutral(spark):
+    from gridloom.operators import planning
+
+    c = spark.createDataFrame([(1, 10, 11, 0, 0, 4, 16, 16)], "pair_id long, a_track long, b_track long, exit long, entry long, bars int, a_n long, b_n long")
+    none = spark.createDataFrame([(10, [], [], [])], "track_id long, global array<double>, timeline array<array<double>>, positions array<double>")
+    r = planning.semantic_terms(c, none).first()
+    assert (r.style, r.segment, r.trajectory) == (0.5, 0.5, 0.5)
+
+
+def test_automix_rules_in_order(spark):
+    rows = [(True, True, True, 1.0, 1.0, "x", True), (False, True, True, 0.0, 0.0, "x", False), (False, False, True, 1.0, 1.0, "x", False), (False, False, False, 0.1, 0.8, "Bass Handover", False), (False, False, False, 0.1, 0.8, "Safe Phrase Blend", True), (False, False, False, 0.1, 0.1, "x", False)]
+    df = spark.createDataFrame(rows, "tail boolean, always boolean, cross boolean, c double, s double, i string, simple boolean").coalesce(1)
+    got = [r.m for r in df.select(scalar.automix_policy("tail", "always", "cross", "c", "s", "i", "simple").alias("m")).collect()]
+    assert got == ["tail", "creative", "crossfade", "creative", "simple", "gapless"]
+
+
+def test_stitched_seam_starts_and_ends_on_both_sides(spark):
+    v = one(spark, timemap.stitch(F.expr("array(0D,0D,0D,0D,0D)"), F.expr("array(1D,1D,1D,1D,1D)")))
+    assert v[0] == 0 and v[-1] == 1 and v == sorted(v)
+
+
+def test_sql_functions(spark):
+    from gridloom.functions import sql
+
+    assert "fold_bpm" in sql.register(spark)
+    r = spark.sql("SELECT smoothstep(0.5D) a, smootherstep(2D) b, related_bpm(64D, 128D) c, fold_bpm(35D) d, clock_text(75D) e, decibels(10D) f").first()
+    assert (r.a, r.b, r.c, r.d, r.e, r.f) == (0.5, 1.0, 128.0, 70.0, "01:15", 20.0)
