@@ -96,14 +96,29 @@ def _cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _expand(states: DataFrame, graph: DataFrame) -> DataFrame:
-    """Every state (queue_id, path, value, weakest, energy, d) with each item it has not used. graph: edges with the
-    energy of their end."""
-    s = states.withColumn("src", F.element_at("path", -1)).join(graph, ["queue_id", "src"]).filter(~F.array_contains("path", F.col("dst")))
+def _matrix(edges: DataFrame, energy: DataFrame) -> DataFrame:
+    """(queue_id, m, en): per queue its edge scores as one row-major array and its energies, items being 0..n-1."""
+    cells = edges.select("queue_id", "src", "dst", "total").unionAll(energy.select("queue_id", "pos", "pos", F.lit(0.0)))
+    ordered = lambda *c: F.transform(F.array_sort(F.collect_list(F.struct(*c))), lambda x: x[c[-1]])
+    return cells.groupBy("queue_id").agg(ordered("src", "dst", "total").alias("m")).join(energy.groupBy("queue_id").agg(ordered("pos", "energy").alias("en")), "queue_id")
+
+
+def _rest(path: Column, n: Column) -> Column:
+    """Items that a path has not used."""
+    return F.filter(F.sequence(F.lit(0), n - 1), lambda i: ~F.array_contains(path, i))
+
+
+def _expand(states: DataFrame, matrix: DataFrame) -> DataFrame:
+    """Every state (queue_id, path, value, weakest, energy, d) with each item it has not used.
+
+    States and matrices are partitioned by queue, and so are all windows over them: levels need no shuffle.
+    """
+    n = F.size("en")
+    s = states.join(matrix, "queue_id").withColumn("dst", F.explode(_rest(F.col("path"), n)))
+    s = s.withColumns({"total": F.get("m", F.element_at("path", -1) * n + F.col("dst")), "step": F.get("en", F.col("dst")) - F.col("energy")})
     worst = F.least("weakest", "total")
-    step = F.col("dst_energy") - F.col("energy")
-    value = F.col("value") + log_score(F.col("total")) + 0.28 * log_score(worst) + F.when(F.size("path") >= 2, scalar.energy_arc_term(F.col("d"), step)).otherwise(0.0)
-    return s.select("queue_id", F.concat("path", F.array("dst")).alias("path"), value.alias("value"), worst.alias("weakest"), F.col("dst_energy").alias("energy"), step.alias("d"))
+    value = F.col("value") + log_score(F.col("total")) + 0.28 * log_score(worst) + F.when(F.size("path") >= 2, scalar.energy_arc_term("d", "step")).otherwise(0.0)
+    return s.select("queue_id", F.concat("path", F.array("dst")).alias("path"), value.alias("value"), worst.alias("weakest"), F.get("en", F.col("dst")).alias("energy"), F.col("step").alias("d"))
 
 
 def _keyed(states: DataFrame) -> DataFrame:
@@ -118,13 +133,13 @@ def skyline(states: DataFrame) -> DataFrame:
     return s.filter(F.col("best").isNull() | (F.col("weakest") > F.col("best"))).drop("best", "used", "prev", "last")
 
 
-def _begin(energy: DataFrame, start: int) -> DataFrame:
-    return energy.filter(F.col("pos") == start).select("queue_id", F.array("pos").alias("path"), F.lit(0.0).alias("value"), F.lit(1.0).alias("weakest"), "energy", F.lit(0.0).alias("d"))
+def _begin(matrix: DataFrame, start: int) -> DataFrame:
+    return matrix.filter(F.size("en") > start).select("queue_id", F.array(F.lit(start)).alias("path"), F.lit(0.0).alias("value"), F.lit(1.0).alias("weakest"), F.get("en", F.lit(start)).alias("energy"), F.lit(0.0).alias("d"))
 
 
-def _graph(edges: DataFrame, energy: DataFrame) -> DataFrame:
-    e = edges.select("queue_id", "src", "dst", "total").join(energy.select("queue_id", F.col("pos").alias("dst"), F.col("energy").alias("dst_energy")), ["queue_id", "dst"])
-    return _cut(e)
+def _integers(edges: DataFrame, energy: DataFrame) -> DataFrame:
+    e = edges.select("queue_id", F.col("src").cast("int").alias("src"), F.col("dst").cast("int").alias("dst"), "total")
+    return _cut(_matrix(e, energy.select("queue_id", F.col("pos").cast("int").alias("pos"), "energy")).repartition("queue_id"))
 
 
 def _final(states: DataFrame) -> DataFrame:
@@ -132,43 +147,53 @@ def _final(states: DataFrame) -> DataFrame:
     return states.groupBy("queue_id").agg(best).select("queue_id", "b.path", "b.value", "b.weakest")
 
 
+LEVELS = 5
+"""Levels of a search between two cuts of its lineage."""
+
+
 def exact_order(edges: DataFrame, energy: DataFrame, count: int, start: int = 0) -> DataFrame:
     """(queue_id, path, value, weakest): best paths of `count` items by subset dynamic programming, for up to 10 items.
 
     One level per item: expand, then keep the skyline per (set, last two items).
     """
-    graph, states = _graph(edges, energy), _begin(energy, start)
-    for level in range(count - 1):
-        states = skyline(_expand(states, graph))
-        if level % 3 == 2:
+    matrix = _integers(edges, energy)
+    states = _begin(matrix, start)
+    for level in range(1, count):
+        states = skyline(_expand(states, matrix))
+        if level % LEVELS == 0 and level < count - 1:
             states = _cut(states)
-    return _final(states)
+    return _final(states.filter(F.size("path") == count))
+
+
+def _hope(path: Column, m: Column, n: Column) -> Column:
+    """Optimistic value of the two next steps: the two best routes and the best single step."""
+    rest, last = _rest(path, n), F.element_at(path, -1)
+    score = lambda i, j: log_score(F.get(m, i * n + j))
+    onward = lambda i: F.array_max(F.transform(F.filter(rest, lambda j: j != i), lambda j: score(i, j)))
+    routes = F.sort_array(F.transform(rest, lambda i: score(last, i) + 0.52 * F.coalesce(onward(i), score(last, i))), False)
+    direct = F.array_max(F.transform(rest, lambda i: score(last, i)))
+    return F.when(F.size(rest) == 0, 0.0).otherwise(0.105 * F.get(routes, F.lit(0)) + 0.035 * F.coalesce(F.get(routes, F.lit(1)), F.get(routes, F.lit(0))) + 0.025 * direct)
 
 
 def beam_order(edges: DataFrame, energy: DataFrame, count: int, start: int = 0, width: int = 192) -> DataFrame:
     """The same by beam search with look-ahead, at most two states per key and a reserve of distinct last items."""
     width = max(12, width)
-    graph, states = _graph(edges, energy), _begin(energy, start)
-    onward = graph.select("queue_id", F.col("src").alias("dst"), F.col("dst").alias("then"), log_score(F.col("total")).alias("l2"))
-    for _ in range(count - 1):
-        c = _keyed(skyline(_expand(states, graph)))
+    matrix = _integers(edges, energy)
+    states = _begin(matrix, start)
+    order = [F.desc("rank"), F.desc("weakest"), F.desc("value"), F.desc("path")]
+    for level in range(1, count):
         frontier = W.partitionBy("queue_id", "used", "prev", "last").orderBy(F.desc(F.col("value") + 0.12 * log_score(F.col("weakest"))), F.desc("weakest"), F.desc("path"))
-        c = _cut(c.withColumn("r", F.row_number().over(frontier)).filter("r <= 2").drop("r", "used", "prev"))
-        # routes of two further steps from each state
-        one = c.select("queue_id", "path", F.col("last").alias("src")).join(graph.select("queue_id", "src", "dst", log_score(F.col("total")).alias("l1")), ["queue_id", "src"]).filter(~F.array_contains("path", F.col("dst")))
-        two = one.join(onward, ["queue_id", "dst"], "left").withColumn("l2", F.when(~F.array_contains("path", F.col("then")), F.col("l2")))
-        route = two.groupBy("queue_id", "path", "dst").agg(F.max("l1").alias("l1"), F.max("l2").alias("l2")).withColumn("route", F.col("l1") + 0.52 * F.coalesce("l2", "l1"))
-        top = route.groupBy("queue_id", "path").agg(F.sort_array(F.collect_list("route"), False).alias("rs"), F.max("l1").alias("direct"))
-        hope = 0.105 * F.get("rs", F.lit(0)) + 0.035 * F.coalesce(F.get("rs", F.lit(1)), F.get("rs", F.lit(0))) + 0.025 * F.col("direct")
-        c = c.join(top, ["queue_id", "path"], "left").withColumn("rank", F.col("value") + F.coalesce(hope, F.lit(0.0)))
-        order = [F.desc("rank"), F.desc("weakest"), F.desc("value"), F.desc("path")]
+        c = _keyed(skyline(_expand(states, matrix))).withColumn("r", F.row_number().over(frontier)).filter("r <= 2").drop("r", "used", "prev")
+        c = c.join(matrix, "queue_id").withColumn("rank", F.col("value") + _hope(F.col("path"), F.col("m"), F.size("en"))).drop("m", "en")
         c = c.withColumn("of_last", F.row_number().over(W.partitionBy("queue_id", "last").orderBy(*order)))
         # the best of each last item first, as far as the reserve goes, then by rank
         lead = c.withColumn("lead", F.when(F.col("of_last") == 1, F.row_number().over(W.partitionBy("queue_id", "of_last").orderBy(*order))))
         reserved = F.coalesce(F.col("lead") <= max(1, width // 5), F.lit(False))
         chosen = lead.withColumn("place", F.row_number().over(W.partitionBy("queue_id").orderBy(F.desc(reserved), *order))).filter(F.col("place") <= width)
-        states = _cut(chosen.select("queue_id", "path", "value", "weakest", "energy", "d"))
-    return _final(states)
+        states = chosen.select("queue_id", "path", "value", "weakest", "energy", "d")
+        if level % 2 == 0 and level < count - 1:
+            states = _cut(states)
+    return _final(states.filter(F.size("path") == count))
 
 
 def neighbours(paths: DataFrame) -> DataFrame:
