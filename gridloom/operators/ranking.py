@@ -8,12 +8,14 @@ all ordered pairs of a queue are the edges of its graph, and levels are bounded
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions import arrays, scalar
+from ..functions import arrays, scalar, search
 from ..functions.scalar import clip
 
 TERMS = {"style": 0.18, "directional": 0.25, "trajectory": 0.16, "tempo": 0.15, "acoustic": 0.08, "energy": 0.09, "structure": 0.09}
@@ -220,12 +222,25 @@ def polish(paths: DataFrame, edges: DataFrame, energy: DataFrame, passes: int =
     return best.unionByName(long)
 
 
-def rank_queue(queue: DataFrame, count: int, start: int = 0) -> DataFrame:
-    """Orders queues of `count` items: exactly up to 10 items, else by beam and polish."""
-    edges, energy = _cut(edge_scores(queue)), energies(queue)
-    if count <= 10:
-        return exact_order(edges, energy, count, start).select("queue_id", "path")
-    return polish(beam_order(edges, energy, count, start).select("queue_id", "path"), edges, energy)
+def rank_queue(queue: DataFrame, start: int = 0) -> DataFrame:
+    """(queue_id, path): exact orders up to 10 items, else beam and polish.
+
+    A queue is one group of at most some tens of items: one exchange brings its scores together and a kernel walks the
+    levels, without a job per level. exact_order() and beam_order() are the same search on rows, for larger frontiers.
+    """
+    matrix = _matrix(edge_scores(queue), energies(queue))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, ms, ens = (b.column(i) for i in range(3))
+            paths = []
+            for m, en in zip(ms.to_pylist(), ens.to_pylist(), strict=True):
+                n = len(en)
+                paths.append(list(search.order([m[i * n : i * n + n] for i in range(n)], en, min(start, n - 1))))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(paths, pa.list_(pa.int32()))], names=["queue_id", "path"])
+
+    kind = queue.schema["queue_id"].dataType.simpleString()
+    return matrix.select("queue_id", "m", "en").mapInArrow(run, f"queue_id {kind}, path array<int>")
 
 
 def lock_prefix(queue: DataFrame, order: DataFrame, locked: Column) -> DataFrame:

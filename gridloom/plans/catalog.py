@@ -456,11 +456,26 @@ def polish_pass(spark, d):
     return out.select("queue_id", F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"))
 
 
+def _text(path):
+    return F.array_join(F.transform(path, lambda x: x.cast("string")), ",")
+
+
+@query(f"WITH RECURSIVE {_paths_sql(6)}, fin AS (SELECT * FROM walk JOIN cnt USING (queue_id) WHERE len(path) = n), bst AS (SELECT *, row_number() OVER (PARTITION BY queue_id ORDER BY value DESC, weakest DESC, path DESC) AS rk FROM fin) SELECT queue_id, array_to_string(path, ',') AS path FROM bst WHERE rk = 1")
+def ranked_queue(spark, d):
+    return ranking.rank_queue(P.queue(spark, d, 6)).select("queue_id", _text(F.col("path")).alias("path"))
+
+
+@query()
+def ranked_long_queue(spark, d):
+    """Queues of 20 items: beam search and polish."""
+    return ranking.rank_queue(P.queue(spark, d, 20)).select("queue_id", _text(F.col("path")).alias("path"))
+
+
 @query()
 def beam_order(spark, d):
     q = P.queue(spark, d, 12)
     full = q.join(q.groupBy("queue_id").count().filter("count = 12").select("queue_id"), "queue_id", "left_semi")
-    return ranking.rank_queue(full, 12).select("queue_id", F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"))
+    return ranking.beam_order(ranking._cut(ranking.edge_scores(full)), ranking.energies(full), 12).select("queue_id", _text(F.col("path")).alias("path"))
 
 
 @query(f"""WITH {_edges_sql(8)}, nx AS (SELECT queue_id, pos AS src, lead(pos) OVER (PARTITION BY queue_id ORDER BY pos) AS dst FROM queue)

@@ -98,13 +98,13 @@ def test_directed_order(spark):
     q = spark.createDataFrame([track(0, 120, [0.0, 1.0], [1.0, 0.0]), track(1, 121, [-1.0, 0.0], [0.0, 1.0]), track(2, 122, [1.0, 1.0], [-1.0, 0.0])], QUEUE)
     e = {(r.src, r.dst): r.total for r in ranking.edge_scores(q).collect()}
     assert e[0, 1] > e[1, 0]
-    assert ranking.rank_queue(q, 3).first()["path"] == [0, 1, 2]
+    assert ranking.rank_queue(q).first()["path"] == [0, 1, 2]
 
 
 def test_order_without_vectors_follows_tempo(spark):
     rows = [(0, i, float(b), [], [], [], [], [], "unknown", "unknown") for i, b in enumerate((120, 174, 122))]
     q = spark.createDataFrame(rows, QUEUE)
-    assert ranking.rank_queue(q, 3).first()["path"] == [0, 2, 1]
+    assert ranking.rank_queue(q).first()["path"] == [0, 2, 1]
 
 
 def test_prefix_stays_locked(spark):
@@ -241,3 +241,20 @@ def test_sql_functions(spark):
     assert "fold_bpm" in sql.register(spark)
     r = spark.sql("SELECT smoothstep(0.5D) a, smootherstep(2D) b, related_bpm(64D, 128D) c, fold_bpm(35D) d, clock_text(75D) e, decibels(10D) f").first()
     assert (r.a, r.b, r.c, r.d, r.e, r.f) == (0.5, 1.0, 128.0, 70.0, "01:15", 20.0)
+
+
+def test_kernel_and_rows_find_the_same_order(spark):
+    from gridloom.functions import search
+
+    rng = np.random.default_rng(9)
+    n = 7
+    m = rng.random((n, n))
+    en = rng.normal(size=n) * 0.3
+    e = spark.createDataFrame([(0, a, b, float(m[a, b])) for a in range(n) for b in range(n) if a != b], "queue_id int, src int, dst int, total double")
+    energy = spark.createDataFrame([(0, i, float(en[i])) for i in range(n)], "queue_id int, pos int, energy double")
+    score, level = m.tolist(), en.tolist()
+    assert tuple(ranking.exact_order(e, energy, n).first()["path"]) == search.exact(score, level, 0)
+    assert tuple(ranking.beam_order(e, energy, n, width=12).first()["path"]) == search.beam(score, level, 0, 12)
+    start = spark.createDataFrame([(0, list(range(n)))], "queue_id int, path array<int>")
+    assert tuple(ranking.polish(start, e, energy).first()["path"]) == search.polish(tuple(range(n)), score, level)
+    assert search.objective(search.exact(score, level, 0), score, level) >= search.objective(search.beam(score, level, 0, 12), score, level)
