@@ -24,8 +24,8 @@ from . import common
 from .components import components, local_labels
 
 THRESHOLD = 0.95
-BLOCKS, LEAST_BLOCK, MOST_BLOCK = 16, 2048, 32768
-"""Vectors of a block: 1/BLOCKS of all, within these bounds. Larger tables have more blocks of the largest size."""
+BLOCKS, LEAST_BLOCK, MOST_NUMBERS = 16, 2048, 1 << 21
+"""Vectors of a block: 1/BLOCKS of all, at least LEAST_BLOCK, but at most MOST_NUMBERS components: 32,768 vectors of 64."""
 MOST_CELLS = 256
 SAMPLE = 8192
 """Vectors, the smallest by hash, on which the pivots are fitted; every vector is indexed."""
@@ -196,10 +196,11 @@ def near_links(vectors: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFr
     tau = float(distance(threshold))
     radii = [2 * tau / 2**k for k in range(LEVELS)]
     sizes = {r["dim"]: r["n"] for r in vectors.groupBy(F.size("embedding").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).limit(1000).collect()}
-    block = max(LEAST_BLOCK, min(MOST_BLOCK, sum(sizes.values()) // BLOCKS))
+    block = max(LEAST_BLOCK, sum(sizes.values()) // BLOCKS)
+    per_block = F.least(F.lit(block), F.greatest(F.lit(16), F.floor(F.lit(MOST_NUMBERS) / F.col("dim"))))
     pivots = {}
     for dim, n in sizes.items():
-        k = min(MOST_CELLS, n // (2 * block))
+        k = min(MOST_CELLS, n // (2 * min(block, max(16, MOST_NUMBERS // dim))))
         if k > 1:
             rows = vectors.filter(F.size("embedding") == dim).orderBy(F.xxhash64("embedding"), "id").limit(SAMPLE).select("embedding").toArrow()
             u = unit(matrix(rows["embedding"]))
@@ -224,7 +225,7 @@ def near_links(vectors: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFr
 
     celled = common.save(common.scan(vectors, ["id", "embedding", "weight"], ["embedding"], [common.long("cell"), common.double("off")], make).withColumn("dim", F.size("embedding")), "near-cells")
     # per cell, of which there are MOST_CELLS for a length of vectors: its size and covering radius
-    cells = celled.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("off").alias("radius")).withColumn("blocks", F.ceil(F.col("n") / block).cast("long"))
+    cells = celled.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("off").alias("radius")).withColumn("blocks", F.ceil(F.col("n") / per_block).cast("long"))
     cells = common.save(cells, "near-cell-sizes")
     other = cells.select("dim", *(F.col(c).alias(f"other_{c}") for c in ("cell", "radius", "blocks")))
     apart = [(dim, i, j, float(distance(p[i] @ p[j]))) for dim, p in pivots.items() for i in range(len(p)) for j in range(i, len(p))]

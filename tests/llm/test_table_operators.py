@@ -291,3 +291,33 @@ def test_words_and_shingles_equal_plain_python():
     same = lambda i, j: h[i] == h[j]
     assert same(0, len(words) - 1) and not same(0, 1)
     assert len(sh.shingles(h)) == len(words) - 4 and len(sh.shingles(h[:3])) == 1 and len(sh.shingles(h[:0])) == 0
+
+
+def test_near_duplicates_beyond_hubs(spark, monkeypatch):
+    """A chain: neighbours are alike, ends are not, and few members link to any hub."""
+    monkeypatch.setattr(minhash, "BLOCK", 5)
+    monkeypatch.setattr(minhash, "HUBS", 2)
+    w = [f"word{i}" for i in range(1000)]
+    rows = [(k, " ".join(w[3 * k : 3 * k + 150]), "en", "s", 1) for k in range(80)]
+    got = {r.doc_id: r.class_id for r in minhash.classes(documents(spark, rows)).collect()}
+    assert set(got.values()) == {0}
+
+
+def test_groups_beyond_hubs_keep_their_parts_apart(spark, monkeypatch):
+    """One group of rows with three unlike parts: each part is one class, whatever the hubs see of it."""
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    monkeypatch.setattr(minhash, "HUBS", 1)
+    sketch = {p: bytes([p * 40 + 1]) * minhash.SAMPLES for p in range(3)}
+    rows = [(10 * k + p, 7, 8, sketch[p]) for k in range(10) for p in range(3)]
+    members = spark.createDataFrame(rows, "id long, `group` long, blocks long, sketch binary")
+    edges = minhash.link_groups(members, ["sketch"], minhash.link_sketches, True, "test")
+    got = {r["id"]: r["component"] for r in components(edges).collect()}
+    assert got == {10 * k + p: p for k in range(10) for p in range(3)}
+
+
+def test_long_texts_are_hashed_in_parts(monkeypatch):
+    sh = minhash.Shingler()
+    text = " ".join(f"w{i}é" for i in range(500)) + " " + "x" * 300 + " end"
+    whole = sh.words(text)
+    monkeypatch.setattr(minhash, "CHUNK", 64)
+    assert sh.words(text).tolist() == whole.tolist() and sh.words("a" * 200 + " b").tolist() == sh.words("a" * 200).tolist() + sh.words("b").tolist()
