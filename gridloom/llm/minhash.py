@@ -444,7 +444,8 @@ def _verify(base: DataFrame, rows: DataFrame, distinct: DataFrame, candidates: D
     none = F.lit(-(1 << 63))
     row_of = rows.groupBy("key1", "key2").agg(F.min(F.struct(F.coalesce("doc_id", none).alias("d"), F.col("text_key").alias("k"))).alias("r"))
     chosen = common.save(chosen.join(row_of, ["key1", "key2"]).select("id", "component", "n", "n_features", F.col("r.d").alias("d"), F.col("r.k").alias("text_key")), "minhash-chosen")
-    texts = base.select(F.coalesce("doc_id", none).alias("d"), "text_key", "text").join(chosen, ["d", "text_key"])
+    # the same plan at every size: texts meet the rows chosen by a merge join, never by a broadcast of them
+    texts = base.select(F.coalesce("doc_id", none).alias("d"), "text_key", "text").join(chosen.hint("merge"), ["d", "text_key"])
 
     def make():
         sh, w = Shingler(), weights.value
