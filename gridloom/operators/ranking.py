@@ -7,7 +7,6 @@ all ordered pairs of a queue are the edges of its graph, and levels are bounded
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,6 +16,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import arrays, scalar, search
 from ..functions.scalar import clip
+from ..functions.scratch import cut
 
 TERMS = {"style": 0.18, "directional": 0.25, "trajectory": 0.16, "tempo": 0.15, "acoustic": 0.08, "energy": 0.09, "structure": 0.09}
 HINGES = (("style", 0.22, 0.52), ("directional", 0.24, 0.58), ("tempo", 0.20, 0.58), ("energy", 0.14, 0.50), ("structure", 0.10, 0.48))
@@ -83,21 +83,6 @@ def path_objective(paths: DataFrame, edges: DataFrame, energy: DataFrame) -> Dat
     return p.groupBy("queue_id", "path_id").agg(F.sum(F.when(F.col("src").isNotNull(), gain).otherwise(0.0)).alias("value"), F.min("worst").alias("weakest"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage between levels: a table in the checkpoint folder, or checkpoint() itself where none is named."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-            import tempfile
-
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gridloom-"))
-        return df.checkpoint()
-    path = f"{base.rstrip('/')}/gridloom-level-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _matrix(edges: DataFrame, energy: DataFrame) -> DataFrame:
     """(queue_id, m, en): per queue its edge scores as one row-major array and its energies, items being 0..n-1."""
     cells = edges.select("queue_id", "src", "dst", "total").unionAll(energy.select("queue_id", "pos", "pos", F.lit(0.0)))
@@ -141,7 +126,7 @@ def _begin(matrix: DataFrame, start: int) -> DataFrame:
 
 def _integers(edges: DataFrame, energy: DataFrame) -> DataFrame:
     e = edges.select("queue_id", F.col("src").cast("int").alias("src"), F.col("dst").cast("int").alias("dst"), "total")
-    return _cut(_matrix(e, energy.select("queue_id", F.col("pos").cast("int").alias("pos"), "energy")).repartition("queue_id"))
+    return cut(_matrix(e, energy.select("queue_id", F.col("pos").cast("int").alias("pos"), "energy")).repartition("queue_id"))
 
 
 def _final(states: DataFrame) -> DataFrame:
@@ -163,7 +148,7 @@ def exact_order(edges: DataFrame, energy: DataFrame, count: int, start: int = 0)
     for level in range(1, count):
         states = skyline(_expand(states, matrix))
         if level % LEVELS == 0 and level < count - 1:
-            states = _cut(states)
+            states = cut(states)
     return _final(states.filter(F.size("path") == count))
 
 
@@ -194,7 +179,7 @@ def beam_order(edges: DataFrame, energy: DataFrame, count: int, start: int = 0,
         chosen = lead.withColumn("place", F.row_number().over(W.partitionBy("queue_id").orderBy(F.desc(reserved), *order))).filter(F.col("place") <= width)
         states = chosen.select("queue_id", "path", "value", "weakest", "energy", "d")
         if level % 2 == 0 and level < count - 1:
-            states = _cut(states)
+            states = cut(states)
     return _final(states.filter(F.size("path") == count))
 
 
@@ -218,7 +203,7 @@ def polish(paths: DataFrame, edges: DataFrame, energy: DataFrame, passes: int =
     for _ in range(passes):
         steps = neighbours(best).select("queue_id", F.col("path").alias("path_id"), F.posexplode("path").alias("step", "item"))
         scored = path_objective(steps, edges, energy).withColumnRenamed("path_id", "path")
-        best = _cut(_final(scored).select("queue_id", "path"))
+        best = cut(_final(scored).select("queue_id", "path"))
     return best.unionByName(long)
 
 
@@ -276,7 +261,7 @@ def style_clusters(vectors: DataFrame, rounds: int = 20) -> DataFrame:
     dim, n = vectors.agg(F.max(F.size("v")), F.count(F.lit(1))).first()
     if not n or not dim or dim < 1:
         return vectors.select("id", F.lit(0).alias("cluster"))
-    v = _cut(vectors.select("id", F.when(F.size("v") == dim, F.col("v")).otherwise(F.array_repeat(F.lit(0.0), dim)).alias("v")))
+    v = cut(vectors.select("id", F.when(F.size("v") == dim, F.col("v")).otherwise(F.array_repeat(F.lit(0.0), dim)).alias("v")))
     k = max(1, min(5, n, round(n**0.5)))
     seed = v.orderBy("id").limit(1).first()["v"]
     chosen = [seed]
@@ -287,7 +272,7 @@ def style_clusters(vectors: DataFrame, rounds: int = 20) -> DataFrame:
     labels = None
     for i in range(rounds):
         centres = spark.createDataFrame([(j, c) for j, c in enumerate(chosen)], "k int, c array<double>")
-        new = _cut(assign_clusters(v, centres))
+        new = cut(assign_clusters(v, centres))
         if i and new.join(labels, ["id", "k"], "left_anti").isEmpty():
             break
         labels = new

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import arrays, scalar
+from ..functions.scratch import cut
 from ..operators import cues, grid, matching, ranking, structure, timemap
 from ..sources import projections as P
 from . import oracle as O
@@ -432,7 +433,7 @@ walk AS (SELECT queue_id, [pos] AS path, 0.0::DOUBLE AS value, 1.0::DOUBLE AS we
 @query(f"WITH RECURSIVE {_paths_sql(6)}, fin AS (SELECT * FROM walk JOIN cnt USING (queue_id) WHERE len(path) = n), bst AS (SELECT *, row_number() OVER (PARTITION BY queue_id ORDER BY value DESC, weakest DESC, path DESC) AS rk FROM fin) SELECT queue_id, array_to_string(path, ',') AS path, {r('value', 'weakest')} FROM bst WHERE rk = 1")
 def exact_order(spark, d):
     q = P.queue(spark, d, 6)
-    out = ranking.exact_order(ranking._cut(ranking.edge_scores(q)), ranking.energies(q), 6)
+    out = ranking.exact_order(cut(ranking.edge_scores(q)), ranking.energies(q), 6)
     return r6(out.withColumn("path", F.array_join(F.transform("path", lambda x: x.cast("string")), ",")))
 
 
@@ -452,7 +453,7 @@ bst AS (SELECT *, row_number() OVER (PARTITION BY queue_id ORDER BY value DESC,
 def polish_pass(spark, d):
     q = P.queue(spark, d, 6)
     start = q.groupBy("queue_id").agg(F.array_sort(F.collect_list("pos")).alias("path"))
-    out = ranking.polish(start, ranking._cut(ranking.edge_scores(q)), ranking.energies(q), 1)
+    out = ranking.polish(start, cut(ranking.edge_scores(q)), ranking.energies(q), 1)
     return out.select("queue_id", F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"))
 
 
@@ -475,7 +476,7 @@ def ranked_long_queue(spark, d):
 def beam_order(spark, d):
     q = P.queue(spark, d, 12)
     full = q.join(q.groupBy("queue_id").count().filter("count = 12").select("queue_id"), "queue_id", "left_semi")
-    return ranking.beam_order(ranking._cut(ranking.edge_scores(full)), ranking.energies(full), 12).select("queue_id", _text(F.col("path")).alias("path"))
+    return ranking.beam_order(cut(ranking.edge_scores(full)), ranking.energies(full), 12).select("queue_id", _text(F.col("path")).alias("path"))
 
 
 @query(f"""WITH {_edges_sql(8)}, nx AS (SELECT queue_id, pos AS src, lead(pos) OVER (PARTITION BY queue_id ORDER BY pos) AS dst FROM queue)
