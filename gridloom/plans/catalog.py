@@ -31,6 +31,19 @@ def query(sql: str | None = None):
     return add
 
 
+def whole(*cuts: tuple[str, str], sql: bool = True):
+    """Registers x_all: x over the whole tables. Its SQL is that of x with each of `cuts` (text, what replaces it) taken out."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        text = SQL[f.__name__.removesuffix("_all")]
+        for old, new in cuts:
+            assert old in text, (f.__name__, old)
+            text = text.replace(old, new)
+        return query(text if sql else None)(f)
+
+    return add
+
+
 def r6(df: DataFrame) -> DataFrame:
     """All doubles of df to six places."""
     return df.select([(F.round(F.col(f"`{n}`"), 6) + 0.0).alias(n) if t == "double" else F.col(f"`{n}`") for n, t in df.dtypes])
@@ -524,14 +537,25 @@ def mix_bars(spark: SparkSession, d: str) -> DataFrame:
     return P.bars(spark, d).withColumns({"boundary": F.col("onset") * 0.99731, "phrase": F.col("brightness") * 0.99871, "mix_in": cue * (1 - vocal / 2), "mix_out": cue * (0.5 + vocal / 2)})
 
 
-def neighbour_pairs(bars: DataFrame) -> DataFrame:
+TENTH = ("track_id % 10 = 0 AND ", "")
+"""The cut in PAIRS: queries named without _all, whose SQL reads PAIRS, score every tenth pair."""
+
+
+def neighbour_pairs(bars: DataFrame, every: int = 1) -> DataFrame:
+    """Each track with the next one; for `every` > 1 only tracks whose id it divides."""
     t = bars.select("track_id").distinct()
-    a = t.filter("track_id % 10 = 0").select(F.col("track_id").alias("pair_id"), F.col("track_id").alias("a_track"), (F.col("track_id") + 1).alias("b_track"))
+    a = t.filter(F.col("track_id") % every == 0).select(F.col("track_id").alias("pair_id"), F.col("track_id").alias("a_track"), (F.col("track_id") + 1).alias("b_track"))
     return a.join(t.select(F.col("track_id").alias("b_track")), "b_track", "left_semi")
 
 
 @query(f"WITH {MIXB.format(x=32, y=24)} SELECT pair_id, a_track, b_track, exit, entry, bars FROM cands")
 def handover_candidates(spark, d):
+    b = mix_bars(spark, d)
+    return matching.candidates(neighbour_pairs(b, 10), b)
+
+
+@whole(TENTH)
+def handover_candidates_all(spark, d):
     b = mix_bars(spark, d)
     return matching.candidates(neighbour_pairs(b), b)
 
@@ -571,9 +595,9 @@ scored AS (SELECT *, greatest(0.0, least(1.0, (0.12 * continuity + 0.08 * harmon
 _TERMS = ("continuity", "harmonic", "rhythm", "brightness", "bass_clean", "vocal_clean", "dynamics", "length_fit", "cue_alignment", "phrase_alignment", "boundary_match", "role_match", "post_drop", "drop_landing", "role_path", "energy_arc", "boundary", "drop_guard", "policy", "local_gain", "score")
 
 
-def _scored(spark: SparkSession, d: str) -> DataFrame:
+def _scored(spark: SparkSession, d: str, every: int = 1) -> DataFrame:
     b = mix_bars(spark, d)
-    pairs = neighbour_pairs(b)
+    pairs = neighbour_pairs(b, every)
     c = matching.candidates(pairs, b, exits=6, entries=5)
     unknown = {n: F.lit(None).cast("double") for n in ("key_score", "edm_confidence", "style", "segment", "trajectory")}
     return matching.score_candidates(c, b, pairs.withColumns(unknown))
@@ -581,12 +605,23 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_score_sql()} SELECT pair_id, exit, entry, bars, intent, {r(*_TERMS)} FROM scored")
 def handover_scores(spark, d):
+    """Every candidate of every tenth pair with its terms and score."""
+    return r6(_scored(spark, d, 10).select("pair_id", "exit", "entry", "bars", "intent", *_TERMS))
+
+
+@whole(TENTH)
+def handover_scores_all(spark, d):
     """The flagship: every candidate of every pair with its terms and score."""
     return r6(_scored(spark, d).select("pair_id", "exit", "entry", "bars", "intent", *_TERMS))
 
 
 @query(f"WITH {_score_sql()} SELECT pair_id, exit, entry, bars, intent, {r('score')} FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY score DESC, bars, exit, entry) AS rk FROM scored) WHERE rk = 1")
 def handover_best(spark, d):
+    return r6(matching.best_candidate(_scored(spark, d, 10)).select("pair_id", "exit", "entry", "bars", "intent", "score"))
+
+
+@whole(TENTH)
+def handover_best_all(spark, d):
     return r6(matching.best_candidate(_scored(spark, d)).select("pair_id", "exit", "entry", "bars", "intent", "score"))
 
 
@@ -854,11 +889,20 @@ SELECT pair_id, exit, entry, bars, round({COS('ga', 'gb')}, 6) + 0.0 AS style, r
 
 @query(_semantic_sql())
 def semantic_terms(spark, d):
+    return _semantic(spark, d, 10)
+
+
+@whole(TENTH)
+def semantic_terms_all(spark, d):
+    return _semantic(spark, d)
+
+
+def _semantic(spark: SparkSession, d: str, every: int = 1) -> DataFrame:
     from ..operators import planning
 
     b = mix_bars(spark, d)
     n = b.groupBy("track_id").agg(F.count(F.lit(1)).alias("n"))
-    c = matching.candidates(neighbour_pairs(b), b, exits=6, entries=5)
+    c = matching.candidates(neighbour_pairs(b, every), b, exits=6, entries=5)
     c = c.join(n.select(F.col("track_id").alias("a_track"), F.col("n").alias("a_n")), "a_track").join(n.select(F.col("track_id").alias("b_track"), F.col("n").alias("b_n")), "b_track")
     positions = F.array(*map(F.lit, (0.125, 0.375, 0.625, 0.875)))
     profiles = P.tracks(spark, d).select("track_id", "global", "timeline", positions.alias("positions"))
@@ -872,18 +916,27 @@ ft AS (SELECT *, greatest(0.0, least(1.0, 0.26 + 0.24 * harmonic + 0.20 * phrase
 od AS (SELECT *, list_reverse_sort(CASE WHEN 1 - vocal_clean >= 0.45 OR harmonic <= 0.42 THEN [{'f': fs, 's': 'Short Blend'}, {'f': fbs, 's': 'Bass Swap'}, {'f': fe, 's': 'Echo Out'}] ELSE [{'f': fs, 's': 'Short Blend'}, {'f': fbs, 's': 'Bass Swap'}] END) AS o FROM ft)"""
 
 
-def _with_roles(spark: SparkSession, d: str) -> DataFrame:
+def _with_roles(spark: SparkSession, d: str, every: int = 1) -> DataFrame:
     b = mix_bars(spark, d).select("track_id", "bar", "role")
-    s = _scored(spark, d).join(neighbour_pairs(mix_bars(spark, d)), "pair_id")
+    s = _scored(spark, d, every).join(neighbour_pairs(mix_bars(spark, d), every), "pair_id")
     s = s.join(b.select(F.col("track_id").alias("a_track"), F.col("bar").alias("exit"), F.col("role").alias("ra")), ["a_track", "exit"])
     return s.join(b.select(F.col("track_id").alias("b_track"), F.col("bar").alias("entry"), F.col("role").alias("rb")), ["b_track", "entry"])
 
 
 @query(f"WITH {_score_sql()}, {STYLES} SELECT pair_id, exit, entry, bars, array_to_string(list_transform(o, lambda x: x.s), ',') AS styles, {r('fs', 'fbs', 'fe')} FROM od")
 def rendering_styles(spark, d):
+    return _styles(spark, d, 10)
+
+
+@whole(TENTH)
+def rendering_styles_all(spark, d):
+    return _styles(spark, d)
+
+
+def _styles(spark: SparkSession, d: str, every: int = 1) -> DataFrame:
     from ..operators import planning
 
-    s = _with_roles(spark, d).withColumn("edm_confidence", F.lit(0.5))
+    s = _with_roles(spark, d, every).withColumn("edm_confidence", F.lit(0.5))
     fit = planning.style_fit(F.col("ra"), F.col("rb"), F.col("intent"))
     order = planning.style_order(F.col("ra"), F.col("rb"), F.col("intent"))
     return r6(s.select("pair_id", "exit", "entry", "bars", F.array_join(order, ",").alias("styles"), fit["Short Blend"].alias("fs"), fit["Bass Swap"].alias("fbs"), fit["Echo Out"].alias("fe")))
@@ -896,13 +949,22 @@ SELECT pair_id, CAST(ac - pre AS BIGINT) AS a_start, CAST(bc - pre AS BIGINT) AS
  round(greatest(0.0, least(1.0, 0.43 * score + 0.10 + 0.10 * cue_alignment + 0.07 * phrase_alignment + 0.20 * policy)), 6) + 0.0 AS automix_confidence,
  CASE WHEN greatest(0.0, least(1.0, 0.43 * score + 0.10 + 0.10 * cue_alignment + 0.07 * phrase_alignment + 0.20 * policy)) >= 0.60 OR policy >= 0.72 AND intent <> 'Safe Phrase Blend' THEN 'creative' WHEN score >= 0.43 OR cue_alignment >= 0.46 THEN 'simple' ELSE 'gapless' END AS mode FROM pq""")
 def transition_plans(spark, d):
+    return _plans(spark, d, 10)
+
+
+@whole(TENTH)
+def transition_plans_all(spark, d):
+    return _plans(spark, d)
+
+
+def _plans(spark: SparkSession, d: str, every: int = 1) -> DataFrame:
     from ..operators import planning
 
     b = mix_bars(spark, d)
     n = b.groupBy("track_id").agg((F.count(F.lit(1)) * 88200).alias("total"))
-    pairs = neighbour_pairs(b).join(n.select(F.col("track_id").alias("a_track"), F.col("total").alias("a_total")), "a_track").join(n.select(F.col("track_id").alias("b_track"), F.col("total").alias("b_total")), "b_track")
+    pairs = neighbour_pairs(b, every).join(n.select(F.col("track_id").alias("a_track"), F.col("total").alias("a_total")), "a_track").join(n.select(F.col("track_id").alias("b_track"), F.col("total").alias("b_total")), "b_track")
     pairs = pairs.select("pair_id", "a_total", "b_total", F.lit(120.0).alias("bpm"), F.lit(44100).alias("rate"), F.lit(0).alias("earliest"), F.lit(0).alias("b_first"), F.lit(False).alias("force_tail"), F.lit(88200).alias("samples_per_bar"))
-    plans = planning.assemble(matching.best_candidate(_scored(spark, d)), pairs)
+    plans = planning.assemble(matching.best_candidate(_scored(spark, d, every)), pairs)
     return r6(plans.select("pair_id", "a_start", "b_start", "length", "handoff", "b_end", "a_end", "switch", "intent", "automix_confidence", "mode"))
 
 
