@@ -662,7 +662,16 @@ SELECT event_id, i, round(fo, 6) + 0.0 AS fade_out, round(fi, 6) + 0.0 AS fade_i
 
 @query(_curve_sql())
 def gain_curves(spark, d):
-    e = P.table(spark, d, "events").filter("event_id % 50 = 0").select("event_id", (0.65 + F.col("value") / 600).alias("g"))
+    return _curves(P.table(spark, d, "events").filter("event_id % 50 = 0"))
+
+
+@whole((" WHERE event_id % 50 = 0", ""))
+def gain_curves_all(spark, d):
+    return _curves(P.table(spark, d, "events"))
+
+
+def _curves(events: DataFrame) -> DataFrame:
+    e = events.select("event_id", (0.65 + F.col("value") / 600).alias("g"))
     curves = matching.gain_curves(F.lit(17), F.col("g"))
     z = e.select("event_id", F.posexplode(F.arrays_zip(*[c.alias(n) for n, c in curves.items()])).alias("i", "z"))
     return r6(z.select("event_id", F.col("i").cast("long").alias("i"), *[F.col(f"z.{n}").alias(n) for n in curves]))
@@ -695,7 +704,16 @@ def rising_targets(spark, d):
 @query(f"""WITH {O.TRACKS}, s AS (SELECT track_id, unnest(range(0, 64)) AS i, bpm FROM tracks WHERE track_id % 10 = 0), q AS (SELECT *, (i + 0.5) / 64 AS p FROM s)
 SELECT track_id, CAST(i + 1 AS INT) AS i, round(1000 + (i + 1) * 5512.5, 6) + 0.0 AS source, round(1000 + sum(5512.5 * exp(ln(bpm / 124.0) * (p * p * p * (p * (p * 6 - 15) + 10)))) OVER (PARTITION BY track_id ORDER BY i), 6) + 0.0 AS target FROM q""")
 def tempo_keyframes(spark, d):
-    t = P.tracks(spark, d).filter("track_id % 10 = 0").select("track_id", F.lit(1000).alias("start"), F.lit(88200).alias("bar"), F.lit(4).alias("bars"), F.col("bpm").alias("playback_bpm"), F.lit(124.0).alias("original_bpm"))
+    return _keyframes(P.tracks(spark, d).filter("track_id % 10 = 0"))
+
+
+@whole((" WHERE track_id % 10 = 0", ""))
+def tempo_keyframes_all(spark, d):
+    return _keyframes(P.tracks(spark, d))
+
+
+def _keyframes(tracks: DataFrame) -> DataFrame:
+    t = tracks.select("track_id", F.lit(1000).alias("start"), F.lit(88200).alias("bar"), F.lit(4).alias("bars"), F.col("bpm").alias("playback_bpm"), F.lit(124.0).alias("original_bpm"))
     return r6(timemap.restore_keyframes(t))
 
 
@@ -802,6 +820,18 @@ def queue_upsert(spark, d):
     return r6(caches.upsert(q, new))
 
 
+@whole((" WHERE track_id < 50", ""), (" WHERE track_id < 60", ""), ("track_id * 3 % 70", "track_id // 2 * 3"), ("50 + row_number()", "(SELECT max(pos) + 1 FROM q) + row_number()"))
+def queue_upsert_all(spark, d):
+    """All tracks are queued, and all are loaded under the paths 3 * floor(id / 2): two loads to a path, known or new."""
+    from ..sources import caches
+
+    t = P.tracks(spark, d)
+    name = lambda x: F.concat(F.lit("p"), x.cast("string"))
+    q = t.select(name(F.col("track_id")).alias("path"), F.col("track_id").alias("pos"), "bpm")
+    new = t.select(name(F.floor(F.col("track_id") / 2) * 3).alias("path"), F.col("track_id").alias("seq"), (F.col("bpm") + 1).alias("bpm"))
+    return r6(caches.upsert(q, new))
+
+
 @query(f"""WITH {O.SEGMENTS} SELECT track_id, seg, sha256(concat_ws('::', 'track-' || track_id, CAST(length(label) AS VARCHAR), CAST(seg AS VARCHAR), 'v1')) AS key, label FROM segments""")
 def cache_keys(spark, d):
     from ..sources import caches
@@ -823,7 +853,7 @@ def deck_replay(spark, d):
     """One deck per user: a queue of five tracks, then ticks, seeks, plans and orders from the user's events."""
     from ..streaming import deck
 
-    e = P.events(spark, d).filter("idx < 40")
+    e = P.events(spark, d)
     tracks = "[" + ",".join(f'{{"id":"t{i}","total":{5000 + 400 * i},"beat":500,"cue":0}}' for i in range(5)) + "]"
     plan = F.to_json(F.struct(F.lit(1).alias("generation"), F.lit(0).alias("index"), F.lit(3000).alias("start"), F.lit(500).alias("next_start"), F.lit(1500).alias("length"), F.lit(2000).alias("resume")))
     begin = e.select(F.col("track_id").alias("deck_id")).distinct().select("deck_id", F.lit(-1).cast("long").alias("seq"), F.lit("queue").alias("command"), F.lit(0).cast("long").alias("frames"), F.lit(tracks).alias("arg"))
@@ -839,7 +869,7 @@ def clip_features(spark, d):
 
     from ..functions import kernels
 
-    t = P.tracks(spark, d).filter("track_id < 16").select("track_id", "bpm")
+    t = P.tracks(spark, d).select("track_id", "bpm")
 
     def f(pdf):
         n = np.arange(22050)
