@@ -1,7 +1,7 @@
 """License scan: ordered signature rules with a keyword prefilter, priorities and interval containment.
 
 The text is reduced to words, A-Z lower-cased, joined by one blank. A rule is a regex over that word string;
-it runs only if one of its keywords occurs in it. Rules are ordered by priority. A hit that lies inside an
+it runs only if its keyword, which every match of it contains, occurs in it. Rules are ordered by priority. A hit that lies inside an
 accepted hit (longer, or as long and of a higher priority) is suppressed (so `lgpl` inside `gnu lgpl 2 1` goes);
 base phrases are never suppressed.
 
@@ -43,6 +43,7 @@ V = r"(?: (?:version|v))? ?"
 """What may stand before a version number."""
 
 # Each line: label, keyword, and regexes of its titles, grants and notices, strongest first. `_` stands for a blank.
+# A regex whose matches need not contain the keyword has another one: see keyword_of().
 SIGNATURES = r"""
 agpl-3.0 | affero | gnu affero general public license{V}3 ; affero general public license{V}3 ; agpl{V}3(?: 0)? ; gnu agplv3
 agpl-1.0 | affero | affero general public license{V}1 ; agpl{V}1(?: 0)?
@@ -224,6 +225,22 @@ etalab-2.0 | etalab | etalab open licen[cs]e(?: 2 0)? ; licence ouverte etalab
 GRANT = r"(?:(?:licensed|released|distributed|available|published) under (?:the )?(?:terms of (?:the )?)?)?"
 
 
+VARIES = re.compile(r"\{V\}|\(\?:[^()]*\)\??|\[[^]]*\]\??|\\d|.\?")
+
+
+def literals(pattern: str) -> list[str]:
+    """What every match of a signature contains: its runs of characters that are neither optional nor one of several."""
+    while (less := VARIES.sub("\0", pattern)) != pattern:
+        pattern = less
+    return [x for x in pattern.split("\0") if x.strip()]
+
+
+def keyword_of(pattern: str, wanted: str) -> str:
+    """`wanted` where every match contains it, else the literal with most letters."""
+    found = literals(pattern)
+    return wanted if any(wanted in x for x in found) else max(found, key=lambda x: sum(map(str.isalpha, x))).strip()
+
+
 def rules() -> list[Rule]:
     """Base phrases first (priority 0), SPDX tags (1), then the signatures in their order of writing (2 ...)."""
     out = [Rule(label, 0, phrase.split()[-1] if phrase != "cc by" else "cc", phrase) for phrase, label in BASE]
@@ -232,7 +249,7 @@ def rules() -> list[Rule]:
         label, keyword, patterns = (x.strip() for x in line.split("|", 2))
         spdx[label] = None
         for p in patterns.split(" ; "):
-            out.append(Rule(label, 2 + n, keyword, GRANT + p.strip().replace("{V}", V)))
+            out.append(Rule(label, 2 + n, keyword_of(p.strip(), keyword), GRANT + p.strip().replace("{V}", V)))
     for label in spdx:
         words = re.sub(r"[^0-9a-z]+", " ", label)
         out.append(Rule(label, 1, "spdx", rf"spdx license identifier {words}(?: or later| only)?"))
