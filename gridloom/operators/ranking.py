@@ -101,11 +101,15 @@ def _expand(states: DataFrame, matrix: DataFrame) -> DataFrame:
     States and matrices are partitioned by queue, and so are all windows over them: levels need no shuffle.
     """
     n = F.size("en")
-    s = states.join(matrix, "queue_id").withColumn("dst", F.explode(_rest(F.col("path"), n)))
-    s = s.withColumns({"total": F.get("m", F.element_at("path", -1) * n + F.col("dst")), "step": F.get("en", F.col("dst")) - F.col("energy")})
+    rest = _rest(F.col("path"), n)
+    # a path of all items stays as it is, so that shorter queues last until the longest ends
+    s = states.join(matrix, "queue_id").withColumn("dst", F.explode(F.when(F.size(rest) == 0, F.array(F.lit(-1))).otherwise(rest)))
+    keep = lambda c, new: F.when(F.col("dst") < 0, F.col(c)).otherwise(new).alias(c)
+    at = F.greatest(F.col("dst"), F.lit(0))
+    s = s.withColumns({"total": F.get("m", F.element_at("path", -1) * n + at), "step": F.get("en", at) - F.col("energy")})
     worst = F.least("weakest", "total")
     value = F.col("value") + log_score(F.col("total")) + 0.28 * log_score(worst) + F.when(F.size("path") >= 2, scalar.energy_arc_term("d", "step")).otherwise(0.0)
-    return s.select("queue_id", F.concat("path", F.array("dst")).alias("path"), value.alias("value"), worst.alias("weakest"), F.get("en", F.col("dst")).alias("energy"), F.col("step").alias("d"))
+    return s.select("queue_id", keep("path", F.concat("path", F.array("dst"))), keep("value", value), keep("weakest", worst), keep("energy", F.get("en", at)), keep("d", F.col("step")))
 
 
 def _keyed(states: DataFrame) -> DataFrame:
@@ -139,7 +143,7 @@ LEVELS = 5
 
 
 def exact_order(edges: DataFrame, energy: DataFrame, count: int, start: int = 0) -> DataFrame:
-    """(queue_id, path, value, weakest): best paths of `count` items by subset dynamic programming, for up to 10 items.
+    """(queue_id, path, value, weakest): best paths of `count` items, or of all if a queue has fewer, by subset dynamic programming, for up to 10 items.
 
     One level per item: expand, then keep the skyline per (set, last two items).
     """
@@ -149,7 +153,7 @@ def exact_order(edges: DataFrame, energy: DataFrame, count: int, start: int = 0)
         states = skyline(_expand(states, matrix))
         if level % LEVELS == 0 and level < count - 1:
             states = cut(states)
-    return _final(states.filter(F.size("path") == count))
+    return _final(states)
 
 
 def _hope(path: Column, m: Column, n: Column) -> Column:
@@ -180,7 +184,7 @@ def beam_order(edges: DataFrame, energy: DataFrame, count: int, start: int = 0,
         states = chosen.select("queue_id", "path", "value", "weakest", "energy", "d")
         if level % 2 == 0 and level < count - 1:
             states = cut(states)
-    return _final(states.filter(F.size("path") == count))
+    return _final(states)
 
 
 def neighbours(paths: DataFrame) -> DataFrame:
@@ -188,7 +192,7 @@ def neighbours(paths: DataFrame) -> DataFrame:
     n = F.size("path")
     at = lambda i: F.get("path", i)
     ij = F.flatten(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.transform(F.sequence(F.lit(1), n - 1), lambda j: F.struct(i.alias("i"), j.alias("j")))))
-    p = paths.select("queue_id", "path", F.explode(ij).alias("m"))
+    p = paths.filter(n > 1).select("queue_id", "path", F.explode(ij).alias("m"))
     i, j = F.col("m.i"), F.col("m.j")
     swapped = F.transform("path", lambda x, k: F.when(k == i, at(j)).when(k == j, at(i)).otherwise(x))
     without = F.filter("path", lambda x: x != at(i))

@@ -432,6 +432,18 @@ def segment_edges(spark, d):
     return ranking.edge_labels(P.segments(spark, d))
 
 
+def _dealt(n: int) -> tuple[str, str]:
+    """The cut in O.queue(n), and the view of all tracks in queues of n."""
+    row = "row_number() OVER (PARTITION BY label ORDER BY track_id) - 1"
+    return O.queue(n), O.TRACKS + f""",
+queue AS (SELECT *, concat(label, '/', r // {n}) AS queue_id, r % {n} AS pos FROM (SELECT *, {row} AS r FROM tracks))"""
+
+
+@whole(_dealt(12))
+def edge_scores_all(spark, d):
+    return r6(ranking.edge_scores(P.queues(spark, d, 12)))
+
+
 ARC = "CASE WHEN abs({p}) < 0.035 OR abs({f}) < 0.035 THEN -0.055 * least(1.0, abs({f} - {p}) / 0.60) WHEN ({p}) * ({f}) < 0 THEN -0.055 * least(1.0, abs({f} - {p}) / 0.60) + 0.075 * least(1.0, least(abs({p}), abs({f})) / 0.28) ELSE -0.055 * least(1.0, abs({f} - {p}) / 0.60) - 0.065 * least(1.0, least(abs({p}), abs({f})) / 0.28) END"
 
 
@@ -445,7 +457,15 @@ walk AS (SELECT queue_id, [pos] AS path, 0.0::DOUBLE AS value, 1.0::DOUBLE AS we
 
 @query(f"WITH RECURSIVE {_paths_sql(6)}, fin AS (SELECT * FROM walk JOIN cnt USING (queue_id) WHERE len(path) = n), bst AS (SELECT *, row_number() OVER (PARTITION BY queue_id ORDER BY value DESC, weakest DESC, path DESC) AS rk FROM fin) SELECT queue_id, array_to_string(path, ',') AS path, {r('value', 'weakest')} FROM bst WHERE rk = 1")
 def exact_order(spark, d):
-    q = P.queue(spark, d, 6)
+    return _exact_order(P.queue(spark, d, 6))
+
+
+@whole(_dealt(6))
+def exact_order_all(spark, d):
+    return _exact_order(P.queues(spark, d, 6))
+
+
+def _exact_order(q: DataFrame) -> DataFrame:
     out = ranking.exact_order(cut(ranking.edge_scores(q)), ranking.energies(q), 6)
     return r6(out.withColumn("path", F.array_join(F.transform("path", lambda x: x.cast("string")), ",")))
 
@@ -454,7 +474,15 @@ def exact_order(spark, d):
 j AS (SELECT st.*, e.total, least(1.0, min(e.total) OVER (PARTITION BY st.queue_id ORDER BY step)) AS worst, lag(dl) OVER (PARTITION BY st.queue_id ORDER BY step) AS bf FROM st LEFT JOIN edges e ON e.queue_id = st.queue_id AND e.src = st.src AND e.dst = item)
 SELECT queue_id, round(sum(CASE WHEN src IS NULL THEN 0.0 ELSE ln(greatest(total, 1e-4)) + 0.28 * ln(greatest(worst, 1e-4)) + CASE WHEN bf IS NULL THEN 0.0 ELSE {ARC.format(p='bf', f='dl')} END END), 6) + 0.0 AS value, round(coalesce(min(worst), 1.0), 6) + 0.0 AS weakest FROM j GROUP BY queue_id""")
 def path_objective(spark, d):
-    q = P.queue(spark, d, 8)
+    return _path_objective(P.queue(spark, d, 8))
+
+
+@whole(_dealt(8))
+def path_objective_all(spark, d):
+    return _path_objective(P.queues(spark, d, 8))
+
+
+def _path_objective(q: DataFrame) -> DataFrame:
     steps = q.select("queue_id", F.lit(0).alias("path_id"), F.col("pos").alias("step"), F.col("pos").alias("item"))
     return r6(ranking.path_objective(steps, ranking.edge_scores(q), ranking.energies(q)).drop("path_id"))
 
@@ -464,7 +492,15 @@ nb AS (SELECT f.*, list_filter(range(1, n + 1), lambda i: path[i] <> cp[i]) AS d
 ok AS (SELECT * FROM nb WHERE len(df) = 0 OR (len(df) = 2) OR path IN (SELECT list_concat(list_filter(list_filter(cp, lambda x: x <> cp[i]), lambda x, k: k <= j), list_concat([cp[i]], list_filter(list_filter(cp, lambda x: x <> cp[i]), lambda x, k: k > j))) FROM range(2, n + 1) a(i), range(1, n) b(j))),
 bst AS (SELECT *, row_number() OVER (PARTITION BY queue_id ORDER BY value DESC, weakest DESC, path DESC) AS rk FROM ok) SELECT queue_id, array_to_string(path, ',') AS path FROM bst WHERE rk = 1""")
 def polish_pass(spark, d):
-    q = P.queue(spark, d, 6)
+    return _polish_pass(P.queue(spark, d, 6))
+
+
+@whole(_dealt(6))
+def polish_pass_all(spark, d):
+    return _polish_pass(P.queues(spark, d, 6))
+
+
+def _polish_pass(q: DataFrame) -> DataFrame:
     start = q.groupBy("queue_id").agg(F.array_sort(F.collect_list("pos")).alias("path"))
     out = ranking.polish(start, cut(ranking.edge_scores(q)), ranking.energies(q), 1)
     return out.select("queue_id", F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"))
@@ -479,23 +515,35 @@ def ranked_queue(spark, d):
     return ranking.rank_queue(P.queue(spark, d, 6)).select("queue_id", _text(F.col("path")).alias("path"))
 
 
+@whole(_dealt(6))
+def ranked_queue_all(spark, d):
+    return ranking.rank_queue(P.queues(spark, d, 6)).select("queue_id", _text(F.col("path")).alias("path"))
+
+
 @query()
 def ranked_long_queue(spark, d):
-    """Queues of 20 items: beam search and polish."""
-    return ranking.rank_queue(P.queue(spark, d, 20)).select("queue_id", _text(F.col("path")).alias("path"))
+    """All tracks in queues of 20 items: beam search and polish, exact search for the last queue of a label if it is short."""
+    return ranking.rank_queue(P.queues(spark, d, 20)).select("queue_id", _text(F.col("path")).alias("path"))
 
 
 @query()
 def beam_order(spark, d):
-    q = P.queue(spark, d, 12)
-    full = q.join(q.groupBy("queue_id").count().filter("count = 12").select("queue_id"), "queue_id", "left_semi")
-    return ranking.beam_order(cut(ranking.edge_scores(full)), ranking.energies(full), 12).select("queue_id", _text(F.col("path")).alias("path"))
+    q = P.queues(spark, d, 12)
+    return ranking.beam_order(cut(ranking.edge_scores(q)), ranking.energies(q), 12).select("queue_id", _text(F.col("path")).alias("path"))
 
 
 @query(f"""WITH {_edges_sql(8)}, nx AS (SELECT queue_id, pos AS src, lead(pos) OVER (PARTITION BY queue_id ORDER BY pos) AS dst FROM queue)
 SELECT queue_id, round(avg(total), 6) + 0.0 AS average, round(min(total), 6) + 0.0 AS worst FROM nx JOIN edges USING (queue_id, src, dst) GROUP BY queue_id""")
 def order_quality(spark, d):
-    q = P.queue(spark, d, 8)
+    return _order_quality(P.queue(spark, d, 8))
+
+
+@whole(_dealt(8))
+def order_quality_all(spark, d):
+    return _order_quality(P.queues(spark, d, 8))
+
+
+def _order_quality(q: DataFrame) -> DataFrame:
     order = q.groupBy("queue_id").agg(F.array_sort(F.collect_list("pos")).alias("path"))
     return r6(ranking.order_quality(ranking.edge_scores(q), order))
 
@@ -503,7 +551,16 @@ def order_quality(spark, d):
 @query(f"""WITH {O.queue(8)}, sz AS (SELECT queue_id, count(*) AS n FROM queue GROUP BY queue_id) SELECT queue_id, track_id, pos, CASE WHEN pos <= 2 THEN pos ELSE 2 + n - pos END AS new_pos FROM queue JOIN sz USING (queue_id)""")
 def locked_prefix(spark, d):
     """The first three items stay; the order given for the others runs backwards."""
-    q = P.queue(spark, d, 8).select("queue_id", "track_id", "pos")
+    return _locked_prefix(P.queue(spark, d, 8))
+
+
+@whole(_dealt(8))
+def locked_prefix_all(spark, d):
+    return _locked_prefix(P.queues(spark, d, 8))
+
+
+def _locked_prefix(q: DataFrame) -> DataFrame:
+    q = q.select("queue_id", "track_id", "pos")
     suffix = q.filter("pos >= 3").groupBy("queue_id").agg(F.reverse(F.array_sort(F.collect_list("pos"))).alias("path"))
     order = suffix.select("queue_id", F.concat(F.array(F.lit(2).cast("long")), "path").alias("path"))
     return ranking.lock_prefix(q, order, F.lit(2)).select("queue_id", "track_id", "pos", F.col("new_pos").cast("long").alias("new_pos"))

@@ -96,6 +96,20 @@ def queue(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
     return tracks(spark, sf_dir).withColumn("pos", (F.row_number().over(w) - 1).cast("long")).filter(F.col("pos") < n).withColumnRenamed("label", "queue_id")
 
 
+def queues(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    """All tracks: those of each label, by track id, dealt into queues of n; the last queue of a label may be shorter.
+
+    Ranks are counted within ranges of ids and shifted by what lies below the range, so that no task sorts a label.
+    """
+    t = tracks(spark, sf_dir).withColumn("_range", F.floor(F.col("track_id") / 4096)).withColumn("_l", F.coalesce(F.col("label").cast("string"), F.lit("")))
+    sizes = t.groupBy("_l", "_range").agg(F.count(F.lit(1)).alias("_n"))
+    below = sizes.select("_l", "_range", F.coalesce(F.sum("_n").over(W.partitionBy("_l").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_below"))
+    inside = F.row_number().over(W.partitionBy("_l", "_range").orderBy("track_id")) - 1
+    rank = F.col("_below") + F.col("_rank")
+    q = t.withColumn("_rank", inside).join(below, ["_l", "_range"])
+    return q.withColumns({"queue_id": F.concat_ws("/", "_l", F.floor(rank / n).cast("string")), "pos": (rank % n).cast("long")}).drop("_l", "_range", "_rank", "_below", "label")
+
+
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(track_id, t, score): purchases as raw detections on the beat clock."""
     e = events(spark, sf_dir).select("track_id", "idx", "event_type", "value")
