@@ -27,11 +27,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one of our own only where that is unset."""
+    """The folder in spark.checkpoint.dir; where that is unset and executors run in this process, a temporary one of our own."""
     global _own_dir
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if _own_dir is None:
         _own_dir = "file://" + tempfile.mkdtemp(prefix="gridloom-")
     return _own_dir
@@ -48,6 +50,22 @@ def save(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def free(columns: Iterable[str], *wanted: str) -> list[str]:
+    """Each wanted name, with underscores before it until no column has it in any case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def same(df: DataFrame) -> list[Column]:
+    """The columns of df as they are, whatever their names."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
 def drop(*tables: DataFrame) -> None:
     """Deletes tables made by save() that nothing reads any more."""
     for t in tables:

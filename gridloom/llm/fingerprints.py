@@ -1,13 +1,17 @@
-"""Document fingerprints: Merkle trees over paragraphs and sections, in DataFrame functions only.
+"""Document fingerprints: Merkle trees over runs of words, paragraphs and sections, in DataFrame functions only.
 
-Leaves are SHA-256 digests of paragraphs (lines). A section ends after a paragraph whose digest starts with a
-zero digit, so that an insertion moves no other boundary; its digest covers those of its paragraphs. The root
-covers the sections: equal roots mean equal texts, and differing sections and paragraphs locate edits. Below the
-paragraphs lie runs of RUN words (counted from the start of the paragraph) with 32-bit hashes; the likeness of two
-fingerprints is twice the number of distinct runs they share over the sum of their distinct runs.
+Leaves are SHA-256 digests of runs of words; the runs of a paragraph (line) cover it byte for byte, and a run ends after a
+word that ends in one of RUN_ENDS, or after eight words, so that an insertion moves few other boundaries. A paragraph's
+digest covers those of its runs. A section ends after a paragraph whose digest starts with a zero digit; its digest
+covers those of its paragraphs, and the root covers the sections: equal roots mean equal texts.
 
-Cases: a null text is empty, one empty paragraph; texts without words have one run; very long paragraphs are
-leaves like others; repeated rows have equal results, and the next document of both is the next different row;
+Trees are compared from above: sections that both have drop out, then paragraphs that both of the differing sections have; the
+runs of the paragraphs that are left are matched by the first 32 bits of their digests. The likeness of two fingerprints
+is the share of their distinct runs in branches that both have, or matched below. The differing paragraphs locate an edit:
+compare_edits() gives the first one and their number, locate_edits() all of them.
+
+Cases: a null text is empty, one empty paragraph; a paragraph without words is one run; very long paragraphs are
+nodes like others; repeated rows have equal results, and the next document of both is the next different row;
 rows of one doc_id with different texts are ordered by digest; a null doc_id comes last; the next document of a
 lone document is itself; an empty table gives no rows; other columns are ignored.
 """
@@ -20,50 +24,77 @@ from pyspark.sql.window import Window as W
 
 from . import common
 
-RUN = 5
-RUN_PATTERN = r"(?:[^ \t\n\r]+[ \t\r]*){1,%d}" % RUN
+RUN_ENDS = "es."
+RUN_PATTERN = rf"[ \t\r]*(?:[^ \t\r]*[^ \t\r{RUN_ENDS}][ \t\r]+){{0,7}}[^ \t\r]+[ \t\r]*"
 RANGES = 1000
 """Ranges of ids: so many quantiles reach the driver, whatever the table."""
 
 
-def paragraphs(text: Column) -> Column:
-    return F.transform(F.split(text, "\n", -1), lambda p: F.sha2(p, 256))
+def nodes(text: Column) -> Column:
+    """Per paragraph `digest:run run ...`: its digest, and the first 32 bits of those of its runs."""
 
+    def node(p: Column) -> Column:
+        found = F.regexp_extract_all(p, F.lit(RUN_PATTERN), F.lit(0))
+        leaves = F.transform(F.when(F.size(found) == 0, F.array(p)).otherwise(found), lambda r: F.sha2(r, 256))
+        joined = F.array_join(leaves, " ")
+        return F.concat(F.sha2(joined, 256), F.lit(":"), F.regexp_replace(joined, "([0-9a-f]{8})[0-9a-f]{56}", "$1"))
 
-def sections(leaves: Column) -> Column:
-    """Digests of sections from those of paragraphs."""
-    joined = F.regexp_replace(F.array_join(leaves, ","), "(?<![0-9a-f])(0[0-9a-f]{63}),", "$1;")
-    return F.transform(F.split(joined, ";"), lambda s: F.sha2(F.concat(F.lit("section:"), s), 256))
+    return F.transform(F.split(text, "\n", -1), node)
 
 
-def root(section_digests: Column) -> Column:
-    return F.sha2(F.concat(F.lit("root:"), F.array_join(section_digests, ",")), 256)
+def sections(paragraph_nodes: Column) -> Column:
+    """Sections, each the nodes of its paragraphs joined by commas."""
+    return F.split(F.regexp_replace(F.array_join(paragraph_nodes, ","), r"\b(0[0-9a-f]{63}:[0-9a-f ]+),", "$1;"), ";")
 
 
-def runs(text: Column) -> Column:
-    """Distinct hashes of runs of words; one for a text without words."""
-    found = F.regexp_extract_all(text, F.lit(RUN_PATTERN), F.lit(0))
-    return F.array_distinct(F.transform(F.when(F.size(found) == 0, F.array(F.lit(""))).otherwise(found), lambda r: F.hash(F.rtrim(F.regexp_replace(r, r"[\t\r]", " ")))))
+def root(section_nodes: Column) -> Column:
+    """The root from the digests of sections, and those from the digests of paragraphs."""
+    digest = lambda s: F.sha2(F.concat(F.lit("section:"), F.regexp_replace(s, ":[0-9a-f ]+", "")), 256)
+    return F.sha2(F.concat(F.lit("root:"), F.array_join(F.transform(section_nodes, digest), ",")), 256)
 
 
-def likeness(a: Column, b: Column) -> Column:
-    return 2.0 * F.size(F.array_intersect(a, b)) / (F.size(a) + F.size(b))
+def outline(section_nodes: Column) -> Column:
+    """Sections as the runs of their paragraphs: commas part paragraphs, blanks runs."""
+    return F.transform(section_nodes, lambda s: F.regexp_replace(s, "[0-9a-f]{64}:", ""))
 
 
 def tree(df: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
-    """df with the columns paragraphs, sections, fingerprint and runs."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    return (
-        df.withColumn(f"{prefix}paragraphs", paragraphs(t))
-        .withColumn(f"{prefix}sections", sections(F.col(f"{prefix}paragraphs")))
-        .withColumn(f"{prefix}fingerprint", root(F.col(f"{prefix}sections")))
-        .withColumn(f"{prefix}runs", runs(t))
-    )
+    """df with the columns fingerprint and sections (its outline)."""
+    s = sections(nodes(F.coalesce(F.col(text), F.lit(""))))
+    with_nodes = df.withColumn(f"{prefix}sections", s)
+    return with_nodes.withColumn(f"{prefix}fingerprint", root(F.col(f"{prefix}sections"))).withColumn(f"{prefix}sections", outline(F.col(f"{prefix}sections")))
+
+
+def children(parents: Column, mark: str) -> Column:
+    """Distinct children of the nodes in an array."""
+    return F.array_remove(F.array_distinct(F.split(F.array_join(parents, mark), mark)), "")
+
+
+def runs(outlines: Column) -> Column:
+    return F.array_distinct(F.split(F.translate(F.array_join(outlines, " "), ",", " "), " "))
+
+
+def differing(a: Column, b: Column) -> Column:
+    """Paragraphs of b, in order, that a lacks: first the sections that differ, then the paragraphs within them."""
+    here, there = F.array_except(b, a), F.array_except(a, b)
+    return F.array_except(children(here, ","), children(there, ","))
+
+
+def likeness(a: Column, b: Column, n_a: Column, n_b: Column) -> Column:
+    """From 0 to 1, of two outlines with n_a and n_b distinct runs."""
+    left_a, left_b = children(differing(b, a), " "), children(differing(a, b), " ")
+    return (n_a - F.size(left_a) + n_b - F.size(left_b) + 2.0 * F.size(F.array_intersect(left_a, left_b))) / (n_a + n_b)
+
 
+def locate_edits(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """(key, section, paragraph, runs) for each paragraph of tree `new`, numbered from 0, below a section that tree `old` of the key lacks, and absent from such sections of `old`.
 
-def edited_paragraphs(old: Column, new: Column) -> Column:
-    """Indexes, from 0, of the paragraphs of `new` that `old` lacks."""
-    return F.filter(F.transform(new, lambda p, i: F.when(F.array_contains(old, p), F.lit(None)).otherwise(i)), lambda i: i.isNotNull())
+    Descends as joins: sections meet by their content, and only the children of those that differ go on.
+    """
+    sides = [t.select(F.col(key).alias("key"), F.posexplode("sections").alias("section", "node")) for t in (old, new)]
+    one, two = (x.join(y, ["key", "node"], "left_anti") for x, y in (sides, sides[::-1]))
+    was, now = (t.select("key", "section", F.posexplode(F.split("node", ",")).alias("paragraph", "runs")) for t in (one, two))
+    return now.join(was.select("key", "runs").distinct(), ["key", "runs"], "left_anti").select(F.col("key").alias(key), "section", "paragraph", "runs")
 
 
 def next_rows(ids: DataFrame) -> DataFrame:
@@ -114,24 +145,30 @@ def compare_edits(docs: DataFrame) -> DataFrame:
     copy = W.partitionBy("rid").orderBy("rid")
     giver = (
         tree(shuffled.withColumn("copy", F.row_number().over(copy)).filter("copy = 1"))
-        .select(F.col("rid").alias("next_rid"), F.col("text").alias("next_text"), F.col("runs").alias("next_runs"), F.col("doc_id").alias("next_doc_id"))
+        .select(F.col("rid").alias("next_rid"), F.col("text").alias("next_text"), F.col("sections").alias("next_sections"), F.col("doc_id").alias("next_doc_id"))
         .join(links, "next_rid")
-        .select("rid", "next_doc_id", "next_runs", F.expr("substring(next_text, 1, half)").alias("tail"))
+        .select("rid", "next_doc_id", "next_sections", F.expr("substring(next_text, 1, half)").alias("tail"))
     )
     own = tree(shuffled)
     both = own.join(giver, "rid")
     n = F.length("text")
     edited = both.withColumn("edited", F.concat(F.expr("substring(text, 1, length(text) - CAST(floor(length(text) / 2) AS INT))"), F.col("tail")))
     out = tree(edited.withColumn("n_chars", n.cast("long")), "edited", "edited_")
-    return out.select(
+    counted = out.withColumns({f"{p}n_runs": F.size(runs(F.col(f"{p}sections"))) for p in ("", "edited_", "next_")})
+    near = lambda p: likeness(F.col("sections"), F.col(f"{p}sections"), F.col("n_runs"), F.col(f"{p}n_runs"))
+    counted = counted.withColumn("changed", differing(F.col("sections"), F.col("edited_sections")))
+    first = F.array_position(F.split(F.array_join("edited_sections", ","), ","), F.get("changed", F.lit(0))) - 1
+    return counted.select(
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
         "fingerprint",
         "edited_fingerprint",
-        likeness(F.col("runs"), F.col("edited_runs")).alias("near_edited"),
-        likeness(F.col("runs"), F.col("next_runs")).alias("near_next"),
+        near("edited_").alias("near_edited"),
+        near("next_").alias("near_next"),
         "next_doc_id",
+        F.size("changed").cast("long").alias("edited_paragraphs"),
+        first.cast("long").alias("first_edited"),
     )
 
 
@@ -139,7 +176,30 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_edits(common.table(spark, sf_dir, "documents"))
 
 
-OP1_SQL = r"""
+def _sql_tree(text: str) -> str:
+    run = f"regexp_extract_all(p, '{RUN_PATTERN}')"
+    leaves = f"array_to_string(list_transform(CASE WHEN len({run}) = 0 THEN [p] ELSE {run} END, lambda r: sha256(r)), ' ')"
+    node = f"concat(sha256({leaves}), ':', regexp_replace({leaves}, '([0-9a-f]{{8}})[0-9a-f]{{56}}', '\\1', 'g'))"
+    return f"string_split(regexp_replace(array_to_string(list_transform(string_split({text}, chr(10)), lambda p: {node}), ','), '\\b(0[0-9a-f]{{63}}:[0-9a-f ]+),', '\\1;', 'g'), ';')"
+
+
+def _sql_root(sections: str) -> str:
+    return f"sha256(concat('root:', array_to_string(list_transform({sections}, lambda s: sha256(concat('section:', regexp_replace(s, ':[0-9a-f ]+', '', 'g')))), ',')))"
+
+
+def _sql_except(a: str, b: str) -> str:
+    return f"list_filter({a}, lambda x: NOT list_contains({b}, x))"
+
+
+def _sql_children(parents: str, mark: str) -> str:
+    return f"list_filter(string_split(array_to_string({parents}, '{mark}'), '{mark}'), lambda x: x <> '')"
+
+
+def _sql_changed(a: str, b: str) -> str:
+    return _sql_except(_sql_children(_sql_except(b, a), ","), _sql_children(_sql_except(a, b), ","))
+
+
+OP1_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 k AS (SELECT *, sha256(concat(coalesce(CAST(doc_id AS VARCHAR), 'null'), ':', sha256(text))) AS rid FROM d),
 o AS (SELECT *, coalesce(lead(rid) OVER w, first_value(rid) OVER w) AS next_rid FROM (SELECT DISTINCT * FROM k)
@@ -147,19 +207,15 @@ o AS (SELECT *, coalesce(lead(rid) OVER w, first_value(rid) OVER w) AS next_rid
 e AS (SELECT k.doc_id, k.text, n.doc_id AS next_doc_id, n.text AS next_text,
              concat(substring(k.text, 1, length(k.text) - length(k.text) // 2), substring(n.text, 1, length(k.text) // 2)) AS edited
       FROM k JOIN o ON k.rid = o.rid JOIN (SELECT DISTINCT * FROM k) n ON n.rid = o.next_rid),
-r AS (SELECT *,
-      list_distinct(CASE WHEN len(regexp_extract_all(text, '(?:[^ \t\n\r]+[ \t\r]*){1,5}')) = 0 THEN [''] ELSE
-        list_transform(regexp_extract_all(text, '(?:[^ \t\n\r]+[ \t\r]*){1,5}'), lambda x: rtrim(regexp_replace(x, '[\t\r]', ' ', 'g'), ' ')) END) AS a,
-      list_distinct(CASE WHEN len(regexp_extract_all(edited, '(?:[^ \t\n\r]+[ \t\r]*){1,5}')) = 0 THEN [''] ELSE
-        list_transform(regexp_extract_all(edited, '(?:[^ \t\n\r]+[ \t\r]*){1,5}'), lambda x: rtrim(regexp_replace(x, '[\t\r]', ' ', 'g'), ' ')) END) AS b,
-      list_distinct(CASE WHEN len(regexp_extract_all(next_text, '(?:[^ \t\n\r]+[ \t\r]*){1,5}')) = 0 THEN [''] ELSE
-        list_transform(regexp_extract_all(next_text, '(?:[^ \t\n\r]+[ \t\r]*){1,5}'), lambda x: rtrim(regexp_replace(x, '[\t\r]', ' ', 'g'), ' ')) END) AS c
-      FROM e)
-SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256,
-  sha256(concat('root:', array_to_string(list_transform(string_split(regexp_replace(array_to_string(list_transform(string_split(text, chr(10)), lambda p: sha256(p)), ','), '\b(0[0-9a-f]{63}),', '\1;', 'g'), ';'), lambda s: sha256(concat('section:', s))), ','))) AS fingerprint,
-  sha256(concat('root:', array_to_string(list_transform(string_split(regexp_replace(array_to_string(list_transform(string_split(edited, chr(10)), lambda p: sha256(p)), ','), '\b(0[0-9a-f]{63}),', '\1;', 'g'), ';'), lambda s: sha256(concat('section:', s))), ','))) AS edited_fingerprint,
-  2.0::DOUBLE * len(list_intersect(a, b)) / (len(a) + len(b)) AS near_edited,
-  2.0::DOUBLE * len(list_intersect(a, c)) / (len(a) + len(c)) AS near_next,
-  next_doc_id
-FROM r
+t AS (SELECT *, {_sql_tree("text")} AS ta, {_sql_tree("edited")} AS tb, {_sql_tree("next_text")} AS tc FROM e),
+s AS (SELECT *, {", ".join(f"list_transform(t{x}, lambda x: regexp_replace(x, '[0-9a-f]{{64}}:', '', 'g')) AS s{x}" for x in "abc")} FROM t),
+n AS (SELECT *, {", ".join(f"len(list_distinct(string_split(replace(array_to_string(s{x}, ' '), ',', ' '), ' '))) AS n{x}" for x in "abc")},
+      {_sql_changed("sa", "sb")} AS ab, {_sql_changed("sb", "sa")} AS ba, {_sql_changed("sa", "sc")} AS ac, {_sql_changed("sc", "sa")} AS ca FROM s),
+l AS (SELECT *, {", ".join(f"list_distinct({_sql_children(x, ' ')}) AS l{x}" for x in ("ab", "ba", "ac", "ca"))} FROM n)
+SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, {_sql_root("ta")} AS fingerprint, {_sql_root("tb")} AS edited_fingerprint,
+  (na - len(lba) + nb - len(lab) + 2.0::DOUBLE * len(list_intersect(lba, lab))) / (na + nb) AS near_edited,
+  (na - len(lca) + nc - len(lac) + 2.0::DOUBLE * len(list_intersect(lca, lac))) / (na + nc) AS near_next,
+  next_doc_id, CAST(len(list_distinct(ab)) AS BIGINT) AS edited_paragraphs,
+  CAST(list_position(string_split(array_to_string(sb, ','), ','), ab[1]) - 1 AS BIGINT) AS first_edited
+FROM l
 """
