@@ -2,7 +2,8 @@
 
 Two tables make the archive. `payloads` has each payload of at least `min_revisit` bytes once, under its
 SHA-256; `headers` has one row per record with the exact bytes of the WARC and the HTTP header, the digest of
-its payload and, for smaller payloads, the payload itself. reconstruct() joins the two back to the exact record.
+its payload and, for smaller payloads, the payload itself. reconstruct() joins the two back to the exact record, whose
+digest it checks, and read_records() reads what the rebuilt records say.
 
 Cases: a null html is an empty payload; empty and small payloads are always responses; rows that repeat a
 page_id with the same payload are each a response if that page_id is the smallest of the payload, else each a
@@ -110,31 +111,49 @@ def _joined(archive: Archive, payload_columns: list[Column], small: Column | Non
     return big.unionByName(inline)
 
 
-def read_index(archive: Archive) -> DataFrame:
-    """One row per record: what its header says, and the length and digest of its payload as read back."""
-    whole = [F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest")]
-    rows = _joined(archive, whole)
-    return rows.select(
-        "page_id",
-        "payload_bytes",
-        "payload_digest",
-        _field("WARC-Type").alias("record_type"),
-        _field("WARC-Refers-To-Page").cast("long").alias("refers_to"),
-        (F.col("payload_digest") == _field("WARC-Payload-Digest").substr(8, 64)).alias("verified"),
-    )
-
-
 def reconstruct(archive: Archive) -> DataFrame:
-    """Exact bytes of every record: header, HTTP header, payload for responses, end of record."""
-    rows = _joined(archive, [F.col("payload")], F.octet_length("payload") <= BROADCAST_PAYLOAD)
+    """Exact bytes of every record: header, HTTP header, payload for responses, end of record; and the full payload of each.
+
+    A payload that differs from its digest stops the job.
+    """
+    sound = F.sha2("payload", 256) == F.col("digest")
+    checked = F.when(sound, F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("payload differs from its digest "), F.col("digest"))))
+    rows = _joined(archive, [F.col("payload")], F.octet_length("payload") <= BROADCAST_PAYLOAD).withColumn("payload", checked)
     body = F.when(_field("WARC-Type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
     return rows.select(
         "page_id", F.concat("warc_header", "http_header", body, F.lit((CRLF * 2).encode())).alias("record"), F.col("payload")
     )
 
 
+def read_records(records: DataFrame) -> DataFrame:
+    """One row per rebuilt record: what its header says, and the length and digest of the payload in its block, or, of a
+    revisit, of that it refers to. `verified` says that both lengths and the digest are those of the header."""
+    text = F.col("record").cast("string")
+    head = records.withColumn("warc_header", F.concat(F.substring_index(text, CRLF * 2, 1), F.lit(CRLF)).cast("binary"))
+    fields = head.select(
+        "page_id", "record", "payload",
+        _field("WARC-Type").alias("record_type"),
+        _field("WARC-Refers-To-Page").cast("long").alias("refers_to"),
+        _field("WARC-Payload-Digest").substr(8, 64).alias("named"),
+        _field("Content-Length").cast("long").alias("block_bytes"),
+        F.octet_length("warc_header").alias("n_head"),
+    )
+    block = fields.withColumn("block", F.expr("substring(record, n_head + 3, octet_length(record) - n_head - 6)")).drop("record")
+    n_http = F.octet_length(F.substring_index(F.col("block").cast("string"), CRLF * 2, 1))
+    body = block.withColumn("n_http", n_http).withColumn("body", F.expr("CASE WHEN record_type = 'revisit' THEN payload ELSE substring(block, n_http + 5) END"))
+    digest = F.sha2("body", 256)
+    return body.select(
+        "page_id",
+        F.octet_length("body").cast("long").alias("payload_bytes"),
+        digest.alias("payload_digest"),
+        "record_type",
+        "refers_to",
+        ((digest == F.col("named")) & (F.octet_length("block") == F.col("block_bytes"))).alias("verified"),
+    )
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_index(write_archive(common.table(spark, sf_dir, "pages")))
+    return read_records(reconstruct(write_archive(common.table(spark, sf_dir, "pages"))))
 
 
 OP2_SQL = """
