@@ -1,8 +1,9 @@
 """Secret scan with corpus-wide ownership frequency.
 
 Detectors give spans (code points, end exclusive). Each candidate value is hashed; the corpus is aggregated by
-hash to its distinct repositories and owners. A value that `min_owners` owners or `min_repos` repositories share
-is a copied example; any other value that looks random is a live credential of its owner.
+hash to its distinct repositories and owners. A value of `min_owners` owners, or of two owners and `min_repos`
+repositories, is a copied example; any other value that looks random is a live credential of its owner, however often that
+owner repeats it.
 
 Cases: a null text is empty, a null owner or repository counts as one of its own kind; texts without secrets
 give zeros and the digest of the empty string; repeated rows are scanned one by one and count as one repository;
@@ -37,10 +38,10 @@ MORE_KINDS = {
     "google": (r"AIza[0-9A-Za-z_-]{35}", 0, 39, "AIza"),
     "stripe": (r"[sr]k_(?:live|test)_[0-9A-Za-z]{16,}", 0, 24, "k_"),
     "jwt": (r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 28, "eyJ"),
-    "pem": (r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]{1,20000}-----END [A-Z ]{0,40}PRIVATE KEY-----", 0, 40, "PRIVATE KEY"),
-    "url": (r"[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,64}:[^\s:/@]{3,64}@", 0, 12, "://"),
+    "pem": (r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:\s*+[A-Za-z-]++: [^\r\n]++)*+[A-Za-z0-9+/=\s]++-----END [A-Z ]*PRIVATE KEY-----", 0, 40, "PRIVATE KEY"),
+    "url": (r"(?<![a-z0-9+.-])[a-z0-9+.-]++://[^\s:/@]++:[^\s:/@]{3,}+@", 0, 12, "://"),
 }
-"""The same with a substring that a text must have."""
+"""The same with a substring that a text must have. Runs are possessive: no length is bounded and none is walked twice."""
 
 KINDS = [*BASE_KINDS, *MORE_KINDS]
 KEYWORD = re.compile(r"(?ia:password|passwd|secret|token|api_?key)")
@@ -102,7 +103,7 @@ def ownership(found: DataFrame, owner: str, repo: str, min_owners: int, min_repo
     distinct = kinds.groupBy("value_hash", "x.k", "x.v").agg(F.count(F.lit(1)).alias("n"))
     n = lambda k: F.sum(F.when(F.col("k") == k, 1).otherwise(0)).cast("long")
     agg = distinct.groupBy("value_hash").agg(n("o").alias("n_owners"), n("r").alias("n_repos"), F.sum(F.when(F.col("k") == "o", F.col("n"))).alias("n_found"))
-    return agg.withColumn("copied", (F.col("n_owners") >= min_owners) | (F.col("n_repos") >= min_repos))
+    return agg.withColumn("copied", (F.col("n_owners") >= min_owners) | (F.col("n_owners") >= 2) & (F.col("n_repos") >= min_repos))
 
 
 def scan_secrets(
@@ -114,9 +115,10 @@ def scan_secrets(
     verdict is example, live or weak. Candidates are scanned once and kept, without texts, in the shared folder.
     """
     keep = keep or ["doc_id"]
-    base = df.select(*dict.fromkeys([*keep, owner, repo, text]))
-    found = common.save(candidates(base, text, list(dict.fromkeys([*keep, owner, repo]))).withColumn("_row", F.monotonically_increasing_id()), "secrets-found")
-    hashes = common.save(ownership(found, owner, repo, min_owners, min_repos), "secrets-owners")
+    named = {f"keep{i}": F.col(f"`{c}`") for i, c in enumerate(keep)}
+    base = df.select(*(c.alias(n) for n, c in named.items()), F.col(owner).alias("owner"), F.col(repo).alias("repo"), F.col(text).alias("text"))
+    found = common.save(candidates(base, "text", [*named, "owner", "repo"]).withColumn("_row", F.monotonically_increasing_id()), "secrets-found")
+    hashes = common.save(ownership(found, "owner", "repo", min_owners, min_repos), "secrets-owners")
     total = hashes.agg(F.sum("n_found")).first()[0] or 0
     each = found.filter(F.size("found") > 0).select("_row", F.explode("found").alias("s")).select("_row", "s.*")
     judged = common.join_hot(each, hashes, "value_hash", "n_found", total)
@@ -125,7 +127,7 @@ def scan_secrets(
     span = F.struct("start", order.alias("place"), "kind", "end", "n_owners", "n_repos", verdict.alias("verdict"))
     per_row = judged.groupBy("_row").agg(F.array_sort(F.collect_list(span)).alias("spans"))
     empty = F.expr("CAST(array() AS array<struct<start: bigint, place: bigint, kind: string, end: bigint, n_owners: bigint, n_repos: bigint, verdict: string>>)")
-    return found.drop("found").join(per_row, "_row", "left").select(*keep, F.coalesce("spans", empty).alias("spans"))
+    return found.drop("found").join(per_row, "_row", "left").select(*(F.col(n).alias(c) for n, c in zip(named, keep, strict=True)), F.coalesce("spans", empty).alias("spans"))
 
 
 def joined(spans: Column) -> Column:
@@ -138,10 +140,12 @@ def redact(docs: DataFrame, text: str = "text", owner: str = "source", repo: str
     A row's own candidate hashes are compared with those of live credentials, so the text never shuffles: rows
     with candidates meet their verdict by a row hash of (repo, text).
     """
-    key = F.sha2(F.concat_ws("\x1f", F.coalesce(F.col(repo).cast("string"), F.lit("\x00")), F.coalesce(F.col(text), F.lit(""))), 256)
-    keyed = docs.withColumn("_key", key)
-    live = scan_secrets(keyed, text, owner, repo, ["_key"]).select("_key", F.transform(F.filter("spans", lambda s: s["verdict"] == "live"), lambda s: F.struct(s["start"], s["end"])).alias("_live")).filter(F.size("_live") > 0)
-    live = live.groupBy("_key").agg(F.first("_live").alias("_live"))
+    key, live = common.free(docs.columns, "secret_row", "secret_live")
+    of = F.sha2(F.concat_ws("\x1f", F.coalesce(F.col(repo).cast("string"), F.lit("\x00")), F.coalesce(F.col(text), F.lit(""))), 256)
+    keyed = docs.withColumn(key, of)
+    judged = scan_secrets(keyed, text, owner, repo, [key])
+    cuts = judged.select(key, F.transform(F.filter("spans", lambda s: s["verdict"] == "live"), lambda s: F.struct(s["start"], s["end"])).alias(live)).filter(F.size(live) > 0)
+    cuts = cuts.groupBy(key).agg(F.first(live).alias(live))
 
     def cut(live_spans, t):
         merged, last = [], 0
@@ -156,9 +160,9 @@ def redact(docs: DataFrame, text: str = "text", owner: str = "source", repo: str
     def make():
         return lambda spans, texts: [[cut(s, t) if s else t for s, t in zip(spans, texts, strict=True)]]
 
-    both = keyed.join(live, "_key", "left")
-    out = common.scan(both, [c for c in docs.columns if c != text], ["_live", text], [T.StructField(text, T.StringType())], make)
-    return out.select(*docs.columns)
+    both = keyed.join(cuts, key, "left")
+    out = common.scan(both, [c for c in docs.columns if c != text], [live, text], [T.StructField(text, T.StringType())], make)
+    return out.select(*common.same(docs))
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
