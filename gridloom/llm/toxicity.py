@@ -1,7 +1,7 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick over folded text, normalised by length.
 
 Folding lower-cases, strips accents, maps homoglyphs and digit substitutions to letters and all else to blanks.
-The lexicon has words and word beginnings, learned from at most SAMPLE labelled documents (the smallest by hash of
+The lexicon has words and word beginnings (of PREFIXES letters, or a whole word that longer ones begin with), learned from at most SAMPLE labelled documents (the smallest by hash of
 doc_id, whole texts) by greedy multi-cover of the toxic ones; their weights are log odds. Hits inside an exception
 phrase do not count. A logistic curve over the hit weight and its density per word gives the score.
 
@@ -12,6 +12,7 @@ every score is 0.01; repeated rows score alike; other columns pass drop_toxic()
 
 from __future__ import annotations
 
+import heapq
 import re
 import unicodedata
 from collections import Counter
@@ -27,8 +28,8 @@ from . import common
 from .langid import held_out
 
 SAMPLE = 8000
-CANDIDATES = 3000
 COVER = 3
+LEAST_GAIN = 2
 NO_HIT = -0.405
 """A text without hits is not toxic, however many labels say so: its score is at most 0.4."""
 PREFIXES = (4, 5, 6, 7, 8)
@@ -90,6 +91,7 @@ def terms(line: str) -> set[str]:
         for w in set(words) - {""}:
             out.add(f"{mark}{w}{mark}")
             out.update(f"{mark}{w[:k]}" for k in PREFIXES if len(w) >= k)
+            out.add(f"{mark}{w}")
     return out
 
 
@@ -153,7 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, exceptions:
     """(weights by term, exceptions, coefficients of the logistic curve)."""
     known = labels.select("doc_id", "toxic").filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    picked = common.save(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["text"]).select("text", "toxic"), "toxicity-sample")
+    picked = common.save(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic")), "toxicity-sample")
     n = {int(y > 0): 0 for y in (0, 1)} | {r[0]: r[1] for r in picked.groupBy((F.col("toxic") > 0).cast("int")).count().collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     if not n1:
@@ -165,8 +167,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, exceptions:
     for r in counts.filter(F.col("term").isin(list(seeds))).collect():
         # what the labels say of a seed counts, with the seed's weight as one more witness
         seeds[r["term"]] = float(r["odds"]) + 1.0
-    counts = counts.filter((F.col("n_toxic") >= (3 if n1 >= 100 else 2)) & (F.col("odds") >= 1.5))
-    top = counts.orderBy((F.col("odds") * F.col("n_toxic")).desc(), "term").limit(CANDIDATES).collect()
+    # a term of one document can tell nothing; all others are weighed by the cover
+    top = counts.filter((F.col("n_toxic") >= 2) & (F.col("odds") >= 1.5)).orderBy("term").collect()
     names, weight = [r["term"] for r in top], {r["term"]: float(r["odds"]) for r in top}
     names += [t for t in seeds if t not in weight]
     weight = seeds | weight
@@ -194,31 +196,38 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, exceptions:
 
 
 def cover(toxic: list[set[int]], clean: list[set[int]], names: list[str]) -> list[str]:
-    """Greedy choice of terms until no term would raise the cover, up to COVER, of two toxic documents (0.4 % of many) more than thrice its clean ones.
+    """Greedy choice of terms until no term would raise the cover, up to COVER, of two toxic documents more than thrice its clean ones.
 
-    Of a word and its beginnings one is chosen.
+    Of a word and its beginnings one is chosen. Gains only fall as terms are taken, so a heap of stale gains gives the best.
     """
     holders: dict[int, list[int]] = {}
     for d, s in enumerate(toxic):
         for i in s:
             holders.setdefault(i, []).append(d)
     against = Counter(i for s in clean for i in s)
-    least = max(2, round(0.004 * len(toxic)))
-    covered, out, taken = np.zeros(len(toxic), dtype=int), [], []
-    left = set(holders)
-    while left:
-        gain = lambda i: sum(covered[d] < COVER for d in holders[i]) - 3 * against[i]
-        # of equally good terms the longest: a beginning is chosen only if it covers more than a word
-        best = max(left, key=lambda i: (gain(i), len(holders[i]), len(names[i]), names[i]))
-        if gain(best) < least:
-            break
-        left.discard(best)
-        if any(names[best].startswith(t) or t.startswith(names[best]) for t in taken):
+    covered, out, taken, starts = np.zeros(len(toxic), dtype=int), [], set(), set()
+    at = {i: np.array(ds) for i, ds in holders.items()}
+    # of equally good terms the longest: a beginning is chosen only if it covers more than a word
+    by_name = {i: r for r, i in enumerate(sorted(holders, key=lambda i: (len(holders[i]), len(names[i]), names[i]), reverse=True))}
+    gain = lambda i: int((covered[at[i]] < COVER).sum()) - 3 * against[i]
+    heap = [(-gain(i), by_name[i], i) for i in holders]
+    heapq.heapify(heap)
+    while heap:
+        stale, rank, i = heapq.heappop(heap)
+        now = gain(i)
+        if now < LEAST_GAIN:
+            continue
+        if -stale != now:
+            heapq.heappush(heap, (-now, rank, i))
+            continue
+        name = names[i]
+        if name in starts or any(name[:k] in taken for k in range(1, len(name) + 1)):
             continue
-        taken.append(names[best].rstrip(f" {PLAIN}") if len(names[best]) > 9 else names[best])
-        out.append(names[best])
-        for d in holders[best]:
-            covered[d] += 1
+        entry = name.rstrip(f" {PLAIN}") if len(name) > 9 else name
+        taken.add(entry)
+        starts.update(entry[:k] for k in range(1, len(entry) + 1))
+        out.append(name)
+        covered[at[i]] += 1
     return out
 
 
@@ -274,11 +283,11 @@ def score(docs: DataFrame, model, text: str = "text", keep: list[str] | None = N
 
 def drop_toxic(docs: DataFrame, model, threshold: float = 0.5) -> DataFrame:
     """Rows of docs, all columns, whose score is below the threshold."""
-    mark = next(f"_toxicity{i}" for i in range(len(docs.columns) + 1) if f"_toxicity{i}" not in docs.columns)
-    clean = docs.select([F.col(f"`{c}`") for c in docs.columns])
-    scored = score(clean.withColumnsRenamed({c: f"c_{c}" for c in docs.columns}), model, "c_text", [f"c_{c}" for c in docs.columns])
-    kept = scored.withColumnRenamed("score", mark).filter(F.col(mark) < threshold)
-    return kept.select([F.col(f"`c_{c}`").alias(c) for c in docs.columns])
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.select([c.alias(n) for c, n in zip(common.same(docs), names, strict=True)])
+    text = next(n for n, c in zip(names, docs.columns, strict=True) if c.lower() == "text")
+    kept = score(plain, model, text, names).filter(F.col("score") < threshold)
+    return kept.select([F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
