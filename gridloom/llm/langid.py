@@ -160,7 +160,9 @@ def train(docs: DataFrame, sample: int = SAMPLE, epochs: int = 4, alpha: float =
     df, n = document_frequencies(ok.select("text"))
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
     chosen = ok.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    picked = ok.join(F.broadcast(chosen), "doc_id", "left_semi")
+    # where rows of a doc_id differ, the least language and text is learned, whatever the run
+    one = F.min(F.struct("lang", "text")).alias("row")
+    picked = ok.join(F.broadcast(chosen), "doc_id", "left_semi").groupBy("doc_id").agg(one).select("doc_id", "row.lang", "row.text")
 
     def make():
         table = letters()
@@ -178,7 +180,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, epochs: int = 4, alpha: float =
 
     arrays = T.ArrayType(T.IntegerType())
     got = common.scan(picked, ["doc_id", "lang"], ["text"], [T.StructField("idx", arrays), T.StructField("cnt", arrays)], make)
-    rows = got.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).toArrow()
+    rows = got.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).toArrow()
     langs = sorted(set(rows["lang"].to_pylist()))
     if not langs:
         return [], idf, np.zeros((DIMS + 1, 0), dtype=np.float32), 1.0
