@@ -32,13 +32,23 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def numbered(rows: DataFrame, order: Column) -> DataFrame:
+    """rows with `ordinal`, their place from 0 in the order: numbered within ranges, which are counted in one small table."""
+    ranged = common.save(rows.repartitionByRange(order).withColumn("range", F.spark_partition_id()), "mixing-ranges")
+    before = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    place = F.row_number().over(W.partitionBy("range").orderBy(order)) - 1
+    return ranged.withColumn("place", place).join(F.broadcast(offsets), "range").withColumn("ordinal", F.col("place") + F.col("offset")).drop("range", "place", "offset")
+
+
 def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MAX_COPIES) -> DataFrame:
     """sources (source, is_null, source_size) with weight and target.
 
     Weights repeat in code point order, null last. The level c with sum(min(most*size, c*weight)) = total is found
-    by raising it until no further source is full; each round is one aggregate of two numbers.
+    by raising it until no further source is full: Newton's method on a concave sum, which needs a few rounds, each one
+    aggregate of two numbers.
     """
-    ordered = sources.withColumn("ordinal", F.row_number().over(W.orderBy(F.col("source").cast("binary").asc_nulls_last())) - 1)
+    ordered = numbered(sources, F.col("source").cast("binary").asc_nulls_last())
     w = F.element_at(F.array(*map(F.lit, weights)), (F.col("ordinal") % len(weights) + 1).cast("int"))
     ordered = common.save(ordered.withColumn("weight", w), "mixing-sources")
     total = ordered.agg(F.sum("source_size")).first()[0] or 0
@@ -125,10 +135,12 @@ def copies_by_bin(bins: DataFrame, most: int = MAX_COPIES) -> DataFrame:
 
 def mix(docs: DataFrame, key: Column, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """(key, source, size, source_size, target, rate, copies), one row per row of docs; `key` names the documents."""
-    sized = docs.select(key.alias("key"), F.col("source"), size_of(F.col("text")).alias("size"))
+    tie = F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.lit(5))
+    sized = docs.select(key.alias("key"), F.col("source"), size_of(F.col("text")).alias("size"), tie.alias("tie"))
     # null and the empty string stay apart
     source_key = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))
-    salt = F.pmod(F.xxhash64("key", "size"), F.lit(SALTS)).cast("int")
+    # rows of one key are dealt too: a null key may name many
+    salt = F.pmod(F.xxhash64("key", "size", "tie"), F.lit(SALTS)).cast("int")
     rows = common.save(sized.withColumns({"source_key": source_key, "bin": bin_of(F.col("size")), "salt": salt}), "mixing-sizes")
     salted = common.save(rows.groupBy("source_key", "source", "bin", "salt").agg(F.count(F.lit(1)).alias("docs"), F.sum("size").alias("words")), "mixing-bins")
     sources = salted.groupBy("source_key", "source").agg(F.sum("words").alias("source_size"))
@@ -146,7 +158,7 @@ def mix(docs: DataFrame, key: Column, weights: tuple[float, ...] = WEIGHTS) -> D
         .select("source_key", "bin", "salt", "source_size", "target", F.coalesce("whole", F.lit(0)).alias("whole"), F.coalesce("share", F.lit(0)).alias("share"), F.coalesce("rate", F.lit(0.0)).alias("rate"))
     )
     dealt = common.save(dealt, "mixing-dealt")
-    among = W.partitionBy("source_key", "bin", "salt").orderBy(F.xxhash64("key", F.lit(1)), "key")
+    among = W.partitionBy("source_key", "bin", "salt").orderBy(F.xxhash64("key", F.lit(1)), "key", "tie")
     ranked = rows.withColumn("place", F.row_number().over(among)).join(dealt, ["source_key", "bin", "salt"])
     copies = F.when(F.col("size") > 0, F.col("whole") + (F.col("place") <= F.col("share")).cast("long")).otherwise(0)
     return ranked.select("key", "source", "size", "source_size", "target", "rate", copies.cast("long").alias("copies"))
@@ -160,11 +172,12 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def take(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """docs with each row repeated as often as the mix takes it; all columns."""
-    parts = (F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).cast("string"))
-    same = W.partitionBy("_key").orderBy("_key")
-    keyed = docs.withColumn("_key", F.sha2(F.concat_ws(":", *parts), 256))
-    plan = mix(keyed, F.col("_key"), weights).select(F.col("key").alias("_key"), "copies")
+    row, place, copies, i = common.free(docs.columns, "mix_row", "mix_place", "mix_copies", "mix_i")
+    parts = (F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256), F.xxhash64(*common.same(docs)).cast("string"))
+    same = W.partitionBy(row).orderBy(row)
+    keyed = docs.withColumn(row, F.sha2(F.concat_ws(":", *parts), 256))
+    plan = mix(keyed.select(row, "source", "text"), F.col(row), weights).select(F.col("key").alias(row), F.col("copies").alias(copies))
     # equal rows share a key; the sum of their copies goes to one of them
-    plan = plan.groupBy("_key").agg(F.sum("copies").alias("_copies")).filter(F.col("_copies") > 0)
-    once = keyed.withColumn("_place", F.row_number().over(same)).filter(F.col("_place") == 1)
-    return once.join(plan, "_key").select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_i")).drop("_i")
+    plan = plan.groupBy(row).agg(F.sum(copies).alias(copies)).filter(F.col(copies) > 0)
+    once = keyed.withColumn(place, F.row_number().over(same)).filter(F.col(place) == 1)
+    return once.join(plan, row).select(*common.same(docs), F.explode(F.sequence(F.lit(1), F.col(copies))).alias(i)).drop(i)
