@@ -2,10 +2,14 @@
 
 Words are runs of ASCII letters and digits and of non-ASCII characters, A-Z lower-cased; five in a row make a
 shingle, and the t-th copy of a shingle in a document is a feature of its own, so that min and max of term
-frequencies are those of sets. A feature weighs WEIGHT*(1-SHARE + SHARE*ln(N/df)/ln(N)), rounded, with df of its
-shingle. The narrow range keeps a large group of copies, whose shingles are frequent, about as near as a small one: what
-a group of a quarter of the corpus shares weighs 0.91, so plain similarities of 0.82 still reach 0.8.
-df is counted over all documents in DF_BUCKETS hashed buckets; what a bucket holds by chance is taken off.
+frequencies are those of sets. A feature weighs WEIGHT * ln(N/df) / ln(N/rare), at most WEIGHT and at least 1, with df of its
+shingle: one in RARE_SHARE of N contents, and RARE_MORE more, is rare and weighs all, one in every content next to nothing.
+df counts contents, not copies: a document whose shingles lie in a group of c like documents counts 1/c, so that a group
+of copies does not make its own text common, while a passage that unlike documents share is. Groups are read from
+COPY_BINS least shingle hashes (one of each 1/COPY_BINS of the hash range) of all documents; those of at least 1/1000 of
+all documents matter to df, so COPY_BINS * 1000 of them at most reach the driver. df itself is kept in DF_BUCKETS hashed buckets;
+what a bucket holds by chance is taken off: about 300/DF_BUCKETS of N for documents of 300 words, at every size of the
+corpus twice what counts as rare, with an error that falls as the corpus grows.
 
 BANDS bands of ROWS samples give buckets. Within a bucket, documents whose sketches agree in CANDIDATE of
 their samples are joined; the components of these links go whole to tasks that compare features exactly, by
@@ -35,10 +39,12 @@ from .components import components, local_labels
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 16, 3
 SAMPLES = BANDS * ROWS
-CANDIDATE = 0.6
-DF_BUCKETS = 1 << 16
-WEIGHT, SHARE = 200, 0.1
-"""Largest weight, and the share of it that depends on the document frequency."""
+CANDIDATE = 0.5
+"""Agreement of 24 of 48 samples loses 5e-7 of pairs at similarity 0.8, less than banding does."""
+DF_BITS = 17
+DF_BUCKETS = 1 << DF_BITS
+WEIGHT, RARE_SHARE, RARE_MORE = 200, 1000, 8
+COPY_BINS, UNIT = 16, 1 << 20
 BLOCK = 2048
 BLOCK_FEATURES = 1 << 22
 """Documents of a block; features of a block on average, for components of long documents."""
@@ -123,13 +129,26 @@ class Shingler:
         return mix(s)
 
 
+def bucket(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> U64(64 - DF_BITS)).astype(np.int64)
+
+
+def least_hashes(shingles: np.ndarray) -> np.ndarray:
+    """The least shingle hash of each COPY_BINS-th of the hash range that has one; near copies share most of them."""
+    s = np.sort(shingles)
+    bins = np.arange(COPY_BINS, dtype=U64)
+    at = np.searchsorted(s, bins * U64((1 << 64) // COPY_BINS))
+    found = s[np.minimum(at, len(s) - 1)]
+    return found[(at < len(s)) & (found // U64((1 << 64) // COPY_BINS) == bins)]
+
+
 def features(shingles: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Feature hashes (shingle and number of its copy) and integer weights."""
     s = np.sort(shingles)
     if not len(s):
         return s, np.empty(0, dtype=np.int64)
     first = np.append(True, s[1:] != s[:-1])
-    w = weights[(s >> U64(48)).astype(np.int64)]
+    w = weights[bucket(s)]
     if not first.all():
         at = np.arange(len(s))
         copy = at - np.maximum.accumulate(np.where(first, at, 0))
@@ -177,35 +196,64 @@ class Sampler:
         return mix(best[1] + best[2].astype(np.int64).view(U64) * U64(0x8EBC6AF09C88C6E3))
 
 
+def copy_groups(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted least hashes that at least 1/1000 of n texts share, and how many do."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sh = Shingler()
+        for b in batches:
+            least = [least_hashes(s) for s in map(sh.shingles, map(sh.words, b.column(0).to_pylist())) if len(s)]
+            if least:
+                h, k = np.unique(np.concatenate(least), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(k)], names=["h", "n"])
+
+    counts = texts.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    rows = counts.filter((F.col("n") > 1) & (F.col("n") * RARE_SHARE >= n)).toArrow()
+    h, k = rows["h"].to_numpy().view(U64), rows["n"].to_numpy()
+    order = np.argsort(h)
+    return h[order], k[order]
+
+
+def share(least: np.ndarray, groups: tuple[np.ndarray, np.ndarray]) -> int:
+    """UNIT over the size of the group of copies that more than half of the least hashes name."""
+    h, k = groups
+    at = np.minimum(np.searchsorted(h, least), len(h) - 1)
+    size = np.sort(np.where(h[at] == least, k[at], 1)) if len(h) else np.ones(len(least), dtype=np.int64)
+    return max(1, UNIT // int(size[(len(size) - 1) // 2]))
+
+
 def idf_weights(texts: DataFrame) -> np.ndarray:
-    """Integer weight per bucket of shingles. Partial counts per task, summed by bucket: DF_BUCKETS rows reach the driver."""
+    """Integer weight per bucket of shingles. Partial sums per task, summed by bucket: DF_BUCKETS rows reach the driver."""
+    groups = copy_groups(texts, texts.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sh, df, n, seen = Shingler(), np.zeros(DF_BUCKETS, dtype=np.int64), 0, np.zeros(DF_BUCKETS, dtype=np.uint8)
+        sh, df, n, seen = Shingler(), np.zeros(DF_BUCKETS, dtype=np.int64), 0, np.zeros(DF_BUCKETS, dtype=np.int64)
         for b in batches:
             for text in b.column(0).to_pylist():
                 s = sh.shingles(sh.words(text))
                 if len(s):
-                    at = (s >> U64(48)).astype(np.int64)
+                    at, part = bucket(s), share(least_hashes(s), groups)
                     if len(s) < 4000:
-                        df[np.unique(at)] += 1
+                        df[np.unique(at)] += part
                     else:
-                        seen[at] = 1
+                        seen[at] = part
                         df += seen
                         seen[:] = 0
-                    n += 1
+                    n += part
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], n))], names=["bucket", "n"])
 
-    rows = dict(map(tuple, texts.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()))
-    n = rows.pop(-1, 0) or 0
+    rows = texts.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    at, sums = rows["bucket"].to_numpy(), rows["n"].to_numpy() / UNIT
+    n = float(sums[at < 0].sum())
     df = np.zeros(DF_BUCKETS)
-    df[list(rows)] = list(rows.values())
+    df[at[at >= 0]] = sums[at >= 0]
     chance = np.median(df)
     df = np.maximum(1.0, df - chance - 4 * np.sqrt(chance))
-    if n <= 1:
+    rare = n / RARE_SHARE + RARE_MORE
+    if n <= rare:
         return np.full(DF_BUCKETS, WEIGHT, dtype=np.int64)
-    return np.rint(WEIGHT * (1 - SHARE + SHARE * np.log(np.maximum(1.0, n / df)) / np.log(n))).astype(np.int64)
+    return np.rint(WEIGHT * np.clip(np.log(np.maximum(1.0, n / df)) / np.log(n / rare), 1 / WEIGHT, 1)).astype(np.int64)
 
 
 def sketches(docs: DataFrame, keep: list[str], weights) -> DataFrame:
@@ -467,11 +515,13 @@ def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Rows of docs, all columns, one per class: the smallest doc_id; of equal rows one."""
     c = classes(docs, threshold)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("text_key")))
-    kept = c.groupBy("component").agg(best.alias("b")).select(F.coalesce("b.doc_id", F.lit(-(1 << 63))).alias("_d"), F.col("b.text_key").alias("_k"))
-    keyed = docs.withColumns({"_d": F.coalesce("doc_id", F.lit(-(1 << 63))), "_k": F.xxhash64(F.coalesce("text", F.lit("")))})
-    one = W.partitionBy("_d", "_k").orderBy("_d")
-    chosen = keyed.join(kept, ["_d", "_k"], "left_semi").withColumn("_n", F.row_number().over(one)).filter("_n = 1")
-    return chosen.select(*[F.col(f"`{x}`") for x in docs.columns])
+    d, k, n = common.free(docs.columns, "dedup_id", "dedup_key", "dedup_n")
+    kept = c.groupBy("component").agg(best.alias("b")).select(F.coalesce("b.doc_id", F.lit(-(1 << 63))).alias(d), F.col("b.text_key").alias(k))
+    keyed = docs.withColumns({d: F.coalesce("doc_id", F.lit(-(1 << 63))), k: F.xxhash64(F.coalesce("text", F.lit("")))})
+    # of rows that differ in other columns alone the one with the least digest stays, whatever the run
+    one = W.partitionBy(d, k).orderBy(F.xxhash64(*common.same(docs)))
+    chosen = keyed.join(kept, [d, k], "left_semi").withColumn(n, F.row_number().over(one)).filter(F.col(n) == 1)
+    return chosen.select(*common.same(docs))
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
