@@ -12,7 +12,7 @@ from gridloom.llm import common, minhash, mixing, neighbors, warc
 from gridloom.llm.components import components, local_labels
 
 from ..conftest import SMALL
-from .common_rows import ROWS, documents, empty
+from .common_rows import ROWS, documents, empty, keeps_values
 
 # archive
 
@@ -28,7 +28,7 @@ def pages(spark, rows=PAGES):
 
 
 def test_archive_reads_back_what_was_written(spark):
-    got = sorted((tuple(r) for r in warc.read_index(warc.write_archive(pages(spark))).collect()), key=repr)
+    got = sorted((tuple(r) for r in warc.read_records(warc.reconstruct(warc.write_archive(pages(spark)))).collect()), key=repr)
     first = {}
     for i, _, h in PAGES:
         b = (h or "").encode()
@@ -56,8 +56,15 @@ def test_archive_stores_payloads_once_and_rebuilds_exact_records(spark):
         assert f"Content-Length: {len(r.payload)}".encode() in http
 
 
+def test_damaged_payloads_stop_the_reading(spark):
+    archive = warc.write_archive(pages(spark))
+    archive.payloads = archive.payloads.withColumn("payload", F.concat("payload", F.lit(b"!")))
+    with pytest.raises(Exception, match="payload differs from its digest"):
+        warc.reconstruct(archive).collect()
+
+
 def test_archive_of_nothing(spark):
-    assert warc.read_index(warc.write_archive(pages(spark, []))).count() == 0
+    assert warc.read_records(warc.reconstruct(warc.write_archive(pages(spark, [])))).count() == 0
 
 
 # mixing
@@ -132,6 +139,7 @@ def test_take_repeats_rows(spark):
     docs = documents(spark)
     out = mixing.take(docs)
     assert out.columns == docs.columns
+    keeps_values(out)
     plan = mixing.mix(docs.select("doc_id", "text", "source"), F.col("doc_id"))
     assert out.count() <= 3 * len(ROWS) and out.filter("text is null").count() == 0
     words = out.agg(F.sum(mixing.size_of(F.col("text")))).first()[0]
@@ -267,6 +275,7 @@ def test_deduplicate_keeps_one_of_each_class(spark):
     docs = documents(spark)
     out = minhash.deduplicate(docs)
     assert out.columns == docs.columns
+    keeps_values(out)
     assert sorted(str(r.doc_id) for r in out.collect()) == sorted(["1", "2", "4", "5", "7", "None", "9", "9"])
 
 
@@ -321,3 +330,29 @@ def test_long_texts_are_hashed_in_parts(monkeypatch):
     whole = sh.words(text)
     monkeypatch.setattr(minhash, "CHUNK", 64)
     assert sh.words(text).tolist() == whole.tolist() and sh.words("a" * 200 + " b").tolist() == sh.words("a" * 200).tolist() + sh.words("b").tolist()
+
+
+def test_idf_counts_contents_and_not_copies(spark):
+    rng = np.random.default_rng(3)
+    word = lambda: f"w{rng.integers(10**6)}"
+    passage, base = [word() for _ in range(60)], [word() for _ in range(200)]
+    rows = [[*(word() for _ in range(100)), *passage, *(word() for _ in range(100))] for _ in range(400)]
+    for _ in range(400):
+        near = list(base)
+        near[rng.integers(200)] = word()
+        rows.append(near)
+    rows += [[word() for _ in range(200)] for _ in range(800)]
+    df = documents(spark, [(i, " ".join(x), "en", "s", 1) for i, x in enumerate(rows)])
+    weights, sh = minhash.idf_weights(df.select("text")), minhash.Shingler()
+    of = lambda words: np.median(weights[minhash.bucket(sh.shingles(sh.words(" ".join(words))))])
+    assert of(passage) < 0.45 * minhash.WEIGHT and of(base) > 0.9 * minhash.WEIGHT and of(rows[-1]) == minhash.WEIGHT
+    assert len({r.class_id for r in minhash.classes(df).filter("doc_id >= 400 and doc_id < 800").collect()}) == 1
+    assert len({r.class_id for r in minhash.classes(df).filter("doc_id < 400").collect()}) == 400
+
+
+def test_sources_are_numbered_over_ranges(spark):
+    names = [f"s{i * 7919 % 500:03d}é" for i in range(500)] + [None, "", "Z"]
+    df = spark.createDataFrame([(n,) for n in names], "source string").repartition(5)
+    got = {r.source: r.ordinal for r in mixing.numbered(df, F.col("source").cast("binary").asc_nulls_last()).collect()}
+    order = sorted((n for n in names if n is not None), key=str.encode) + [None]
+    assert got == {n: i for i, n in enumerate(order)}

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gridloom.llm import bpe, common, fingerprints, langid, licenses, secrets, toxicity
 
 from ..conftest import SMALL
-from .common_rows import LONG, ROWS, documents, empty
+from .common_rows import LONG, ROWS, documents, empty, keeps_values
 
 sha = lambda s: hashlib.sha256(s.encode() if isinstance(s, str) else s).hexdigest()
 
@@ -52,12 +52,62 @@ def test_equal_texts_have_equal_fingerprints_and_likeness_is_bounded(spark):
 
 def test_fingerprint_tree_locates_edit_and_keeps_other_sections(spark):
     lines = [f"line number {i} of the text" for i in range(200)]
-    changed = lines[:100] + ["an inserted line"] + lines[100:]
-    df = spark.createDataFrame([("\n".join(lines), "\n".join(changed))], "a string, b string")
-    t = fingerprints.tree(fingerprints.tree(df, "a", "a_"), "b", "b_")
-    r = t.select("a_sections", "b_sections", fingerprints.edited_paragraphs(F.col("a_paragraphs"), F.col("b_paragraphs")).alias("at")).first()
-    assert r["at"] == [100]
-    assert len(set(r["b_sections"]) - set(r["a_sections"])) == 1
+    changed = [*lines[:100], "an inserted line", *lines[100:150], "line number 150 of this text", *lines[151:]]
+    sides = [fingerprints.tree(spark.createDataFrame([(1, "\n".join(x)), (2, "\n".join(lines))], "id long, text string")) for x in (lines, changed)]
+    old, new = (t.filter("id = 1").first().sections for t in sides)
+    assert 1 <= len(set(new) - set(old)) <= 2 and len(set(new) & set(old)) > 5
+    at = fingerprints.locate_edits(*sides, "id").collect()
+    before = lambda s: sum(x.count(",") + 1 for x in new[:s])
+    assert sorted((r.id, before(r.section) + r.paragraph) for r in at) == [(1, 100), (1, 151)]
+
+
+def tree_in_python(text):
+    """Root, and sections as lists of paragraphs as lists of runs (8 digits of their digests)."""
+    pattern, parts = re.compile(fingerprints.RUN_PATTERN), [[]]
+    for p in text.split("\n"):
+        leaves = [sha(r) for r in (pattern.findall(p) or [p])]
+        assert "".join(pattern.findall(p) or [p]) == p
+        parts[-1].append((sha(" ".join(leaves)), tuple(x[:8] for x in leaves)))
+        if parts[-1][-1][0].startswith("0"):
+            parts.append([])
+    if not parts[-1]:
+        parts.pop()
+    root = sha("root:" + ",".join(sha("section:" + ",".join(d for d, _ in s)) for s in parts))
+    return root, [tuple(r for _, r in s) for s in parts]
+
+
+def likeness_in_python(a, b):
+    left = []
+    for x, y in ((a, b), (b, a)):
+        mine, other = ({p for s in u for p in s} for u in (set(x) - set(y), set(y) - set(x)))
+        left.append({r for p in mine - other for r in p})
+    n = [len({r for s in x for p in s for r in p}) for x in (a, b)]
+    return (sum(n) - len(left[0]) - len(left[1]) + 2 * len(left[0] & left[1])) / sum(n)
+
+
+def test_fingerprints_and_likeness_match_plain_python(spark):
+    more = [(100 + i, "\n".join(f"the line {j * (i + 1) % 37} says words of {j % 5} kinds" for j in range(60 + i)), "en", "s", 1) for i in range(6)]
+    rows = [*ROWS, *more]
+    text = {sha(t or ""): t or "" for _, t, *_ in rows}
+    got = fingerprints.compare_edits(documents(spark, rows)).collect()
+    by_id = {d: t or "" for d, t, *_ in rows if d not in (6, 9)}
+    for r in got:
+        if r.doc_id in by_id and r.next_doc_id in by_id:
+            t, nxt = by_id[r.doc_id], by_id[r.next_doc_id]
+            edited = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
+            (ra, a), (rb, b), (_, c) = map(tree_in_python, (t, edited, nxt))
+            assert (r.fingerprint, r.edited_fingerprint) == (ra, rb)
+            assert r.near_edited == pytest.approx(likeness_in_python(a, b)) and r.near_next == pytest.approx(likeness_in_python(a, c))
+            flat, old = [p for s in b for p in s], {p for s in set(a) - set(b) for p in s}
+            changed = list(dict.fromkeys(p for s in b if s not in a for p in s if p not in old))
+            assert (r.edited_paragraphs, r.first_edited) == (len(changed), flat.index(changed[0]) if changed else None)
+    assert text
+
+
+def test_an_inserted_word_leaves_fingerprints_alike(spark):
+    words = [f"w{i}{'es.abcd'[i * i % 7]}" for i in range(300)]
+    rows = [(2, " ".join(words), "en", "s", 1), (1, " ".join([*words[:20], "new", *words[20:]]), "en", "s", 1)]
+    assert all(r.near_next > 0.9 for r in fingerprints.compare_edits(documents(spark, rows)).collect())
 
 
 def test_fingerprint_single_and_no_document(spark):
@@ -205,10 +255,29 @@ def test_secret_ownership_separates_examples_from_live(spark):
     assert {"github", "url"} <= set(verdict[34])
 
 
+def test_long_keys_and_addresses_are_found_whole():
+    key = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\n" + "QUJD+/=\n" * 9000 + "-----END RSA PRIVATE KEY-----"
+    url = "postgres+" + "x" * 300 + "://" + "u" * 400 + ":" + "p" * 500 + "@"
+    text = f"see {key} and {url}host " + "x" * 200_000
+    got = {k: text[a:b] for k, a, b, _ in secrets.spans_of(text)}
+    assert got["pem"] == key and got["url"] == url
+
+
+def test_ownership_parts_examples_from_owned_credentials(spark):
+    common_key, owned, pair = ("password=" + v for v in ("Tr0ub4dor3xYz12", "q9W8e7R6t5Y4u3", "Zx81Cv72Bn63Mq"))
+    rows = [(i, common_key, "en", f"o{i % 4}", 1) for i in range(12)] + [(100 + i, owned, "en", "hot", 1) for i in range(60)]
+    rows += [(200 + i, pair, "en", f"p{i % 2}", 1) for i in range(19)]
+    got = {r.doc_id: r.spans[0]["verdict"] for r in secrets.scan_secrets(documents(spark, rows)).collect()}
+    assert {got[i] for i in range(12)} == {"example"} and {got[i] for i in range(100, 160)} == {"live"} and {got[i] for i in range(200, 219)} == {"live"}
+    rows.append((219, pair, "en", "p0", 1))
+    assert {r.spans[0]["verdict"] for r in secrets.scan_secrets(documents(spark, rows)).filter("doc_id >= 200").collect()} == {"example"}
+
+
 def test_redact_masks_live_only_and_keeps_all_rows_and_columns(spark):
     docs = documents(spark, ROWS + SECRET)
     out = secrets.redact(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
+    keeps_values(out)
     text = {r.doc_id: r.text for r in out.collect()}
     assert text[32] == "password=e3b3ed3cc8548923d6" and text[4] == LONG and text[2] is None
     assert "AKIA" not in text[31].replace("AKIA1", "") and "[SECRET]" in text[31] and "short" in text[31]
@@ -247,9 +316,81 @@ def test_language_prediction_does_not_depend_on_neighbours():
         assert whole[a:b].tolist() == alone.tolist() and h == own[0]
 
 
+def test_language_equals_plain_python(spark):
+    """Each n-gram hashed and weighed by itself, over whole texts."""
+    import math
+
+    docs = common.table(spark, SMALL, "documents")
+    model = langs, idf, weights, t = langid.train(docs)
+    got = {r.doc_id: r for r in langid.predict(docs, model).collect()}
+    m32 = 0xFFFFFFFF
+
+    def bucket(codes):
+        h = 0
+        for c in codes:
+            h = (h + c) * 0x9E3779B1 & m32
+            h ^= h >> 15
+        return ((h * 0x85EBCA6B + (len(codes) - 1) * 0x27D4EB2F) & m32) >> (32 - langid.DIMS_BITS)
+
+    for r in docs.filter("doc_id % 9 = 1").collect():
+        line = "".join(c if c.isalpha() else " " for c in (r.text or "").lower())
+        if not line.strip():
+            assert got[r.doc_id].lang_pred == "und"
+            continue
+        blank = " " if line[-1] == " " else ""
+        line = (" " if line[0] == " " else "") + " ".join(line.split()) + blank
+        codes = [32] * 3 + [ord(c) for c in line] + [32] * 3
+        grams = [bucket(codes[i : i + k]) for i in range(len(codes) - 3) for k in (1, 2, 3)]
+        whole = sum(float(idf[g]) for g in grams)
+        z = [(langid.SCALE / whole * math.fsum(float(idf[g]) * float(weights[g, k]) for g in grams) + float(weights[langid.DIMS, k])) / t for k in range(len(langs))]
+        p = [math.exp(x - max(z)) for x in z]
+        assert got[r.doc_id].lang_pred == langs[p.index(max(p))] and got[r.doc_id].score == pytest.approx(max(p) / sum(p), abs=1e-4)
+
+
+def test_training_does_not_depend_on_the_order_of_rows(spark):
+    rows = [(i, f"text number {i} in a language", "en", "s", 1) for i in range(40)] + [(i, f"texte {i} dans une langue", "fr", "s", 1) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(i, 1 - i % 2) for i in range(5)], "doc_id long, toxic int")
+    one, two = documents(spark, rows, clash=False), documents(spark, rows[::-1], clash=False).repartition(7)
+    a, b = (langid.train(x) for x in (one, two))
+    assert a[0] == b[0] and (a[2] == b[2]).all() and a[3] == b[3]
+    a, b = (toxicity.train(x, labels) for x in (one, two))
+    assert a[0] == b[0] and (abs(a[2] - b[2]) < 1e-9).all()
+
+
 # toxicity
 
 
+def test_toxicity_equals_plain_python(spark):
+    """Every term looked for by itself from every place, and exceptions cut out by hand."""
+    import math
+
+    docs = common.table(spark, SMALL, "documents")
+    weights, exceptions, coef = model = toxicity.train(docs, common.table(spark, SMALL, "labels"))
+    assert weights
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    for r in docs.filter("doc_id % 7 = 3").collect():
+        line = toxicity.folded(r.text, toxicity.Folding())
+        spared = {k for e in exceptions for i in range(len(line)) if line.startswith(f" {e} ", i) for k in range(i, i + len(e) + 1)}
+        at = {}
+        for term, w in weights.items():
+            i = line.find(term)
+            while i >= 0:
+                if i not in spared and w > at.get(i, 0.0):
+                    at[i] = w
+                i = line.find(term, i + 1)
+        s, words = sum(at.values()), len(line.split(toxicity.PLAIN)[0].split())
+        z = coef[0] + coef[1] * math.log1p(s) + coef[2] * math.log1p(100 * s / max(words, 20)) + coef[3] * min(len(at), 3)
+        z = z if at else min(z, toxicity.NO_HIT)
+        assert got[r.doc_id].n_hits == len(at) and got[r.doc_id].score == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))))
+
+
+def test_cover_takes_gains_of_any_number_of_terms():
+    names = [f" t{i} " for i in range(5000)]
+    toxic = [{i, (i + 1) % 5000} for i in range(5000)]
+    chosen = toxicity.cover(toxic, [{0}], names)
+    assert " t0 " not in chosen and len(chosen) > 3000
+
+
 def test_toxicity_held_out(spark):
     d = SMALL.replace("0.001", "0.1")
     out = toxicity.op7_toxicity(spark, d).join(common.table(spark, d, "labels"), "doc_id").filter("held_out")
@@ -274,6 +415,7 @@ def test_toxicity_edge_rows(spark):
     assert len(scores) == len(ROWS) and all(0 <= s <= 1 for s in scores)
     kept = toxicity.drop_toxic(docs, toxicity.train(docs, labels.limit(0)))
     assert kept.columns == docs.columns and kept.count() == len(ROWS)
+    keeps_values(kept)
     assert toxicity.drop_toxic(empty(spark), model).count() == 0
 
 
