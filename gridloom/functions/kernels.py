@@ -325,7 +325,14 @@ def render_transition(a: np.ndarray, b: np.ndarray, rate: int, style: str = "sho
     y = la * g["bass_a"] + lb * g["bass_b"] + ma * g["tone_a"] + mb * g["tone_b"] + ha * g["drums_a"] + hb * g["drums_b"]
     if style.lower() == "echo out" and beat:
         y = y + echo(ma * g["tone_a"], beat) * (1 - g["tone_a"])
-    return np.tanh(1.08 * y) / np.tanh(1.08)
+    return soft_limit(y)
+
+
+def soft_limit(y: np.ndarray, drive: float = 1.08) -> np.ndarray:
+    """A block, bent if its peak is above 0.86, within -1 and 1."""
+    if len(y) and np.abs(y).max() > 0.86:
+        y = np.tanh(drive * y) / np.tanh(drive)
+    return np.clip(y, -1.0, 1.0)
 
 
 def transition_quality(y: np.ndarray, a: np.ndarray, b: np.ndarray, rate: int) -> dict[str, float]:

@@ -81,8 +81,11 @@ def camelot_compatibility(key_a: ColumnLike, mode_a: ColumnLike, key_b: ColumnLi
     )
 
 
-def soft_limit(x: ColumnLike, drive: float = 1.08) -> Column:
-    return F.tanh(col(x) * drive) / math.tanh(drive)
+def soft_limit(x: ColumnLike, peak: ColumnLike | None = None, drive: float = 1.08) -> Column:
+    """A sample of a block whose largest magnitude is `peak` (its own, if none is given): bent only in loud blocks, never beyond 1."""
+    drive = max(1.0, drive)
+    loud = (F.abs(col(x)) if peak is None else col(peak)) > 0.86
+    return clip(F.when(loud, F.tanh(col(x) * drive) / math.tanh(drive)).otherwise(col(x)), -1.0, 1.0)
 
 
 def restore_bars(delta: ColumnLike, edm_confidence: ColumnLike) -> Column:
@@ -250,3 +253,30 @@ def correlated_gains(out_gain: ColumnLike, in_gain: ColumnLike, rho: ColumnLike)
     power = a * a + b * b
     scale = clip(F.sqrt(power / F.greatest(power + 2.0 * r * a * b, F.lit(1e-12))), 0.70, 1.0)
     return a * scale, b * scale, scale
+
+
+def deadline_policy(remaining_s: ColumnLike, deadline_s: ColumnLike, reachable: ColumnLike) -> Column:
+    """What to do about a next track that is not ready: simple once little is left and the plan is out of reach, urgent within the deadline."""
+    left, deadline = col(remaining_s), col(deadline_s)
+    late = (left <= F.greatest(F.lit(8.0), 0.35 * deadline)) & ~col(reachable)
+    return F.when(late, "simple").when(left <= deadline, "urgent").otherwise("wait")
+
+
+# The styles a listener may choose, older names of them, and what model names begin with.
+STYLE_MODES = ("Natural Auto", "Short Blend", "Bass Swap", "Echo Out")
+STYLE_ALIASES = {"Adaptive Human": "Natural Auto", "Long Blend": "Short Blend"}
+MODEL_PREFIX = "harmonix-"
+
+
+def style_mode(value: ColumnLike) -> Column:
+    """A style, older names renamed; null for unknown ones."""
+    v = col(value)
+    for old, new in STYLE_ALIASES.items():
+        v = F.when(v == old, new).otherwise(v)
+    return F.when(v.isin(*STYLE_MODES), v)
+
+
+def model_name(value: ColumnLike) -> Column:
+    """A model's name without blanks around it; null where it is empty or of another family."""
+    v = F.trim(col(value))
+    return F.when(v.startswith(MODEL_PREFIX), v)

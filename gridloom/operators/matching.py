@@ -7,12 +7,16 @@ start_sample). A pair is (pair_id, a_track, b_track). Candidates per pair are at
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from ..functions import arrays, scalar
+from ..functions import arrays, scalar, slices
 from ..functions.scalar import clip
 from ..functions.windows import by_bar, by_track
 from .structure import unit
@@ -70,46 +74,64 @@ def entry_quality(bars: DataFrame, bpm: Column, rate: float, total: Column) -> C
     return clip(0.34 * clip(F.coalesce("mix_in", F.lit(0.5))) + 0.27 * energy + 0.22 * room + 0.11 * onset + 0.06 * (1.0 - 0.35 * vocal))
 
 
-def candidates(pairs: DataFrame, bars: DataFrame, lengths: tuple[int, ...] = LENGTHS, exits: int = MAX_EXITS, entries: int = MAX_ENTRIES) -> DataFrame:
-    """(pair_id, a_track, b_track, exit, entry, bars): both slices must lie within their tracks."""
+def ends(bars: DataFrame, exits: int = MAX_EXITS, entries: int = MAX_ENTRIES) -> tuple[DataFrame, DataFrame]:
+    """The best exits (a_track, exit, a_n) and entries (b_track, entry, b_n) of each track, with its number of bars."""
     b = bars.withColumn("n", F.count(F.lit(1)).over(by_track()))
     leave = top_by(eligible(b, F.lit(0)), "mix_out", exits).select(F.col("track_id").alias("a_track"), F.col("bar").alias("exit"), F.col("n").alias("a_n"))
     enter = top_by(eligible(b, F.lit(0)), "mix_in", entries).select(F.col("track_id").alias("b_track"), F.col("bar").alias("entry"), F.col("n").alias("b_n"))
+    return leave, enter
+
+
+def candidates(pairs: DataFrame, bars: DataFrame, lengths: tuple[int, ...] = LENGTHS, exits: int = MAX_EXITS, entries: int = MAX_ENTRIES) -> DataFrame:
+    """(pair_id, a_track, b_track, exit, entry, bars): both slices must lie within their tracks."""
+    leave, enter = ends(bars, exits, entries)
     c = pairs.join(leave, "a_track").join(enter, "b_track").withColumn("bars", F.explode(F.array(*map(F.lit, lengths))))
     return c.filter("exit + bars <= a_n AND entry + bars <= b_n").select("pair_id", "a_track", "b_track", "exit", "entry", "bars")
 
 
-def _side(bars: DataFrame, prefix: str) -> DataFrame:
-    """Per track its bars as one array in order: a candidate slices it instead of joining bar by bar."""
-    names = ["bar", "rms", "low_ratio", "onset", "brightness", "vocal", "chroma", "role", "function", "edge", "boundary", "phrase", "mix_in", "mix_out", "since_drop", "until_change", "rms_policy", "rms_match"]
-    rows = F.array_sort(F.collect_list(F.struct(*names)))
-    return bars.groupBy("track_id").agg(rows.alias(f"{prefix}_bars")).withColumnRenamed("track_id", f"{prefix}_track")
+CONTEXT = ("role", "function", "edge", "boundary", "phrase", "mix_in", "mix_out", "since_drop", "until_change", "rms_policy")
+"""What a score reads of single bars: at the exit, the entry and both landings."""
 
 
-def _mean(a: Column) -> Column:
-    return arrays.total(a) / F.size(a)
+def _side(bars: DataFrame, prefix: str) -> DataFrame:
+    """Per track its bars in order: one array of CONTEXT structs, and one array per field that slices read."""
+    names = dict.fromkeys(["bar", *CONTEXT, *slices.FIELDS, "chroma"])
+    t = bars.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("rows"))
+    field = lambda n: F.transform("rows", lambda x: x[n].cast("double")).alias(f"{prefix}_{n}")
+    context = F.transform("rows", lambda x: F.struct(*[x[n].alias(n) for n in CONTEXT])).alias(f"{prefix}_context")
+    chroma = F.flatten(F.transform("rows", lambda x: x["chroma"])).alias(f"{prefix}_chroma")
+    return t.select(F.col("track_id").alias(f"{prefix}_track"), context, *[field(n) for n in slices.FIELDS], chroma)
 
 
-def _median(a: Column) -> Column:
-    s, n = F.array_sort(a), F.size(a)
-    return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2.0
+PAIRS_AT_ONCE = 32
 
 
-def _cosine_rows(a: Column, b: Column) -> Column:
-    """Mean cosine of rows, those of a zero vector left out, within [0, 1]."""
-    each = F.zip_with(a, b, lambda x, y: F.when(arrays.norm(x) * arrays.norm(y) > 1e-9, arrays.dot(x, y) / (arrays.norm(x) * arrays.norm(y))))
-    some = F.filter(each, lambda x: x.isNotNull())
-    return F.when(F.size(some) > 0, clip(_mean(some))).otherwise(0.0)
+def _with_terms(pairs: DataFrame) -> DataFrame:
+    """pairs (listed candidates and both sides) with an array per term of slices.TERMS, aligned with `listed`; the fields of slices are dropped."""
+    inputs = [f"{side}_{n}" for side in "ab" for n in (*slices.FIELDS, "chroma")]
+    keep = [c for c in pairs.columns if c not in inputs]
+    schema = T.StructType([pairs.schema[c] for c in keep] + [T.StructField(f"t_{t}", T.ArrayType(T.DoubleType())) for t in slices.TERMS])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (b.slice(i, PAIRS_AT_ONCE) for b in batches for i in range(0, b.num_rows, PAIRS_AT_ONCE)):
+            lists = {n: part.column(n) for n in inputs}
+            found = {t: [] for t in slices.TERMS}
+            for k, listed in enumerate(part.column("listed")):
+                side = {s: {n: lists[f"{s}_{n}"][k].values.to_numpy(zero_copy_only=False) for n in (*slices.FIELDS, "chroma")} for s in "ab"}
+                for s in side.values():
+                    s["chroma"] = s["chroma"].reshape(-1, 12)
+                c = listed.values
+                out = slices.slice_terms(side["a"], side["b"], *(c.field(n).to_numpy().astype(np.int64) for n in ("exit", "entry", "bars")))
+                for t in slices.TERMS:
+                    found[t].append(out[t])
+            yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [pa.array(found[t], pa.list_(pa.float64())) for t in slices.TERMS], names=schema.names)
 
-def harmonic_compatibility(a: Column, b: Column) -> Column:
-    shifted = lambda k: F.transform(b, lambda x: arrays.roll(x, k))
-    return F.greatest(_cosine_rows(a, b), 0.88 * _cosine_rows(a, shifted(7)), 0.88 * _cosine_rows(a, shifted(5)))
+    return pairs.mapInArrow(run, schema)
 
 
 def phrase_policy(c: DataFrame) -> DataFrame:
     """Adds the policy's six sub-scores, intent, guard and score. Reads a0, b0, al, bl (structs of bars at the exit, the
-    entry and both landings), bars, harmonic, bass_clean, a_policy and b_policy (arrays of policy energies)."""
+    entry and both landings), bars, harmonic, bass_clean, fall and rise (of the policy energies over the slices)."""
     f = F.col
     up = lambda x: F.upper(f(x))
     c = c.withColumns({"ra": up("a0.role"), "rla": up("al.role"), "rb": up("b0.role"), "rlb": up("bl.role")})
@@ -121,12 +143,9 @@ def phrase_policy(c: DataFrame) -> DataFrame:
     guard = F.when(f("ra") == "DROP", F.when((f("a0.until_change") <= 2) | (f("bars") <= 4), 0.78).otherwise(0.16)).otherwise(1.0)
     sung = ("VOCAL", "VERSE", "CHORUS")
     guard = guard * F.when(f("rb").isin(*sung) & f("ra").isin(*sung), 0.55).otherwise(1.0)
-    third = F.greatest(F.lit(1), F.floor(F.least(F.size("a_policy"), F.size("b_policy")) / 3)).cast("int")
-    head, last = lambda a: _mean(F.slice(a, F.lit(1), third)), lambda a: _mean(F.slice(a, -third, third))
-    fall, rise = head(f("a_policy")) - last(f("a_policy")), last(f("b_policy")) - head(f("b_policy"))
     c = c.withColumns({
         "post_drop": after, "drop_landing": clip(arrive), "drop_guard": guard,
-        "energy_arc": clip(0.48 + 0.24 * F.tanh(2.8 * fall) + 0.20 * F.tanh(2.8 * rise) + 0.08 * f("bl.rms_policy")),
+        "energy_arc": clip(0.48 + 0.24 * F.tanh(2.8 * f("fall")) + 0.20 * F.tanh(2.8 * f("rise")) + 0.08 * f("bl.rms_policy")),
         "boundary": clip(0.72 * 0.5 * (f("a0.edge") + f("b0.edge")) + 0.28 * landing),
     })
     c = c.withColumns({"role_path": scalar.role_path_score("ra", "rla", "rb", "rlb", "post_drop"), "intent": scalar.choose_intent("ra", "rla", "rb", "rlb", "post_drop", "harmonic", "bass_clean")})
@@ -140,46 +159,25 @@ def score_candidates(cands: DataFrame, bars: DataFrame, pairs: DataFrame) -> Dat
     """cands with the 18 terms and the score. pairs: pair_id, key_score, edm_confidence, style, segment, trajectory (null: 0.5)."""
     ctx = with_context(bars)
     f = F.col
-    c = cands.join(_side(ctx, "a"), "a_track").join(_side(ctx, "b"), "b_track")
-    cut = lambda p, start: F.slice(p, f(start) + 1, f("bars"))
+    # the bars of both tracks travel once per pair; its candidates are small and unfold behind the last exchange
+    listed = cands.groupBy("pair_id", "a_track", "b_track").agg(F.collect_list(F.struct("exit", "entry", "bars")).alias("listed"))
+    known = pairs.select("pair_id", *[F.coalesce(f(n), F.lit(0.5)).alias(n) for n in ("key_score", "edm_confidence", "style", "segment", "trajectory")])
+    both = listed.join(known, "pair_id").join(_side(ctx, "a"), "a_track").join(_side(ctx, "b"), "b_track")
+    # no explode of bars: the numbers of all slices of a pair are one block of a kernel, the rest are expressions
+    rows = F.explode(F.arrays_zip("listed", *[f"t_{t}" for t in slices.TERMS])).alias("z")
     bar_at = lambda p, i: F.get(p, F.least(i, F.size(p) - 1).cast("int"))
-    c = c.withColumns({"sa": cut("a_bars", "exit"), "sb": cut("b_bars", "entry"), "a0": bar_at("a_bars", f("exit")), "b0": bar_at("b_bars", f("entry")), "al": bar_at("a_bars", f("exit") + f("bars")), "bl": bar_at("b_bars", f("entry") + f("bars"))}).drop("a_bars", "b_bars")
-    field = lambda s, name: F.transform(s, lambda x: x[name])
-    c = c.withColumns({f"{s}_{n}": field(f"s{s}", n) for s in "ab" for n in ("rms", "low_ratio", "onset", "brightness", "vocal", "chroma", "rms_match")} | {f"{s}_policy": field(f"s{s}", "rms_policy") for s in "ab"})
-    x = F.transform(F.sequence(F.lit(0), f("bars") - 1), lambda i: (i + 0.5) / f("bars") * (math.pi / 2))
-    floor = lambda a: F.transform(a, lambda v: F.greatest(v, F.lit(1e-8)))
-    c = c.withColumns({"x": x, "ar": floor("a_rms"), "br": floor("b_rms")})
-    c = c.withColumn("local_gain", clip(_median(f("ar")) / F.greatest(_median(f("br")), F.lit(1e-8)), 0.65, 1.55))
-    mixed = F.zip_with(F.zip_with("ar", "x", lambda a, p: a * F.cos(p)), F.zip_with("br", "x", lambda b, p: b * f("local_gain") * F.sin(p)), lambda a, b: F.sqrt(a * a + b * b))
-    c = c.withColumn("logs", F.transform(mixed, lambda m: F.log(m + 1e-8)))
-    spread = F.sqrt(F.greatest(F.lit(0.0), _mean(F.transform("logs", lambda v: (v - _mean(f("logs"))) * (v - _mean(f("logs")))))))
-    jump = F.abs(F.element_at("logs", -1) - F.get("logs", F.lit(0)))
-    overlap = F.transform("x", lambda p: F.cos(p) * F.sin(p) * 2.0)
-    collide = lambda n: _mean(F.zip_with(F.zip_with(f"a_{n}", f"b_{n}", lambda a, b: a * b), overlap, lambda v, w: v * w))
-    apart = lambda n: _mean(f(f"a_{n}")) - _mean(f(f"b_{n}"))
-    third = F.greatest(F.lit(1), F.floor(f("bars") / 3)).cast("int")
-    head, last = lambda a: _mean(F.slice(a, F.lit(1), third)), lambda a: _mean(F.slice(a, -third, third))
-    level = F.greatest(_mean(f("a_rms")) + _mean(f("b_rms")), F.lit(1e-8))
-    vocal = F.greatest(_mean(f("a_vocal")), _mean(f("b_vocal")))
-    loud = 0.5 * (_mean(f("a_rms_match")) + _mean(f("b_rms_match")))
-    preferred = F.when(vocal > 0.66, 8.0).when((vocal < 0.28) & (loud < 0.58), 32.0).otherwise(16.0)
+    c = _with_terms(both).select("*", rows).select("*", "z.listed.*", *[f("z")[f"t_{t}"].alias(t) for t in slices.TERMS])
+    c = c.withColumns({"a0": bar_at("a_context", f("exit")), "b0": bar_at("b_context", f("entry")), "al": bar_at("a_context", f("exit") + f("bars")), "bl": bar_at("b_context", f("entry") + f("bars"))})
+    c = c.drop("a_context", "b_context", "listed", "z", *[f"t_{t}" for t in slices.TERMS])
     half = lambda x: F.coalesce(x, F.lit(0.5))
     geometric = lambda a, b: F.sqrt(F.greatest(half(a), F.lit(0.0)) * F.greatest(half(b), F.lit(0.0)))
     c = c.withColumns({
-        "continuity": F.exp(-3.8 * spread) * F.exp(-0.7 * jump),
-        "harmonic": harmonic_compatibility(f("a_chroma"), f("b_chroma")),
-        "rhythm": scalar.decay(apart("onset"), 2.2), "brightness": scalar.decay(apart("brightness"), 2.0),
-        "bass_clean": clip(1.0 - 1.55 * collide("low_ratio")), "vocal_clean": clip(1.0 - 1.70 * collide("vocal")),
-        "dynamics": clip(0.5 + 2.2 * ((head(f("a_rms")) - last(f("a_rms"))) + (last(f("b_rms")) - head(f("b_rms")))) / level),
-        "length_fit": scalar.decay(F.log2(f("bars") / preferred), 0.22),
         "cue_alignment": geometric(f("a0.mix_out"), f("b0.mix_in")),
         "phrase_alignment": 0.5 * (half(f("a0.phrase")) + half(f("b0.phrase"))),
         "boundary_match": geometric(f("a0.boundary"), f("b0.boundary")),
         "role_match": scalar.role_compatibility("a0.role", "b0.role", "a0.function", "b0.function"),
     })
     c = phrase_policy(c)
-    known = pairs.select("pair_id", *[half(f(n)).alias(n) for n in ("key_score", "edm_confidence", "style", "segment", "trajectory")])
-    c = c.join(known, "pair_id")
     terms = list(WEIGHTS.items())
     total = sum((w * f(t) for t, w in terms[1:]), terms[0][1] * f(terms[0][0]))
     c = c.withColumn("score", clip(total * (0.74 + 0.26 * f("drop_guard"))))

@@ -6,6 +6,8 @@ or pair, or an equi-join on track or pair.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -46,6 +48,22 @@ def tail_blend(score: Column, quality: Column) -> Column:
     return 0.86 * score + 0.14 * quality
 
 
+def timing_metrics(length: Column, handoff: Column, bpm: Column, rate: Column) -> Column:
+    """A map of how long a transition and its parts are, in beats, and where in it the hand-over lies."""
+    per = F.greatest(bpm, F.lit(1.0)) / (60.0 * rate)
+    whole, pre = length * per, handoff * per
+    parts = {"transition_beats": whole, "pre_roll_beats": pre, "release_beats": F.greatest(F.lit(0.0), whole - pre), "handoff_phase": handoff / F.greatest(length, F.lit(1.0))}
+    return F.create_map(*[x for n, v in parts.items() for x in (F.lit(n), v)])
+
+
+def merge_metrics(*maps: Column) -> Column:
+    """Maps of metrics put together; of equal names the last one counts, whatever spark.sql.mapKeyDedupPolicy says."""
+    def merged(old: Column, new: Column) -> Column:
+        return F.map_concat(F.map_filter(old, lambda k, _: ~F.map_contains_key(new, k)), new)
+
+    return reduce(merged, maps)
+
+
 def or_fallback(candidates: DataFrame, exits: DataFrame, entries: DataFrame, pairs: DataFrame, requested: int = 4) -> DataFrame:
     """candidates, and for pairs without any the last exit with the first entry and as many bars as fit.
 

@@ -242,6 +242,31 @@ def lock_prefix(queue: DataFrame, order: DataFrame, locked: Column) -> DataFrame
     return q.withColumn("new_pos", F.when(F.col("pos") <= F.col("_l"), F.col("pos")).otherwise(F.col("_l") + F.col("step"))).drop("_l", "step")
 
 
+def sorted_neighbours(edges: DataFrame) -> DataFrame:
+    """(queue_id, src, rank, dst, total): where one may go from each item, the best first, of equals the earlier item."""
+    w = W.partitionBy("queue_id", "src").orderBy(F.desc("total"), "dst")
+    return edges.select("queue_id", "src", (F.row_number().over(w) - 1).cast("int").alias("rank"), "dst", "total")
+
+
+def rank_snapshot(queue: DataFrame, anchor: Column) -> DataFrame:
+    """queue (queue_id, pos, ...) with new_pos: items up to the anchor's pos stay, those after it are ranked from the anchor on.
+
+    The anchor is the track that plays, or the one that comes in while a transition runs.
+    """
+    at = queue.withColumn("_a", anchor)
+    suffix = at.filter(F.col("pos") >= F.col("_a"))
+    path = rank_queue(suffix.withColumn("pos", F.col("pos") - F.col("_a")).drop("_a"))
+    first = suffix.select("queue_id", "_a").distinct()
+    order = path.join(first, "queue_id").select("queue_id", F.transform("path", lambda x: x + F.col("_a")).alias("path"))
+    return lock_prefix(at, order, F.col("_a")).drop("_a")
+
+
+def without_vectors(queue: DataFrame) -> DataFrame:
+    """queue whose items have no profile: its terms are neutral, so that tempo and structure alone rank it."""
+    empty = {n: F.array().cast(queue.schema[n].dataType) for n in ("global", "intro", "outro", "timeline", "acoustic")}
+    return queue.withColumns(empty)
+
+
 def order_quality(edges: DataFrame, order: DataFrame) -> DataFrame:
     """(queue_id, average, worst) of adjacent edges along path."""
     w = W.partitionBy("queue_id").orderBy("step")

@@ -120,11 +120,10 @@ def key_templates() -> list[tuple[int, str, list[float]]]:
     return out
 
 
-def weighted_mean_vector(df: DataFrame, key: str, vector: str, weight: Column) -> DataFrame:
-    """(key, vector) with the weighted mean of each dimension."""
-    w = df.select(key, weight.alias("w"), F.posexplode(vector).alias("i", "x"))
-    dims = w.groupBy(key, "i").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("x"))
-    return dims.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias(vector))
+def weighted_mean_vector(df: DataFrame, key: str, vector: str, weight: Column, dims: int = 12) -> DataFrame:
+    """(key, vector) with the weighted mean of each dimension: so many sums in one pass, no row per dimension."""
+    each = [F.sum(weight * F.get(vector, F.lit(i))) / F.sum(weight) for i in range(dims)]
+    return df.groupBy(key).agg(F.array(*each).alias(vector))
 
 
 def estimate_key(bars: DataFrame) -> DataFrame:

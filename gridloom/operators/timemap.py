@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from ..functions.scalar import clip, smootherstep
+from ..functions.scalar import clip, smootherstep, soft_limit
 from ..functions.windows import by_track
 
 
-
 def interpolate(points: DataFrame, keyframes: DataFrame) -> DataFrame:
     """points (track_id, x) with y between the keyframes (track_id, x, y) around it, held at both ends. One window, no join."""
     k = keyframes.select("track_id", "x", F.lit(0).alias("kind"), F.struct("x", "y").alias("k"))
@@ -138,12 +138,73 @@ def sliding_frames(samples: DataFrame, size: int, hop: int) -> DataFrame:
     return e.groupBy("track_id", "frame").agg(F.sqrt(F.avg(F.col("v") * F.col("v")) + 1e-12).alias("rms"))
 
 
-def lru_replay(touches: DataFrame, budget: Column) -> DataFrame:
-    """touches (track_id, step, key, bytes): those after which `key` still counts among the most recent keys that fit the budget."""
-    w = by_track().orderBy(F.desc("last"))
-    last = touches.groupBy("track_id", "key").agg(F.max("step").alias("last"), F.max_by("bytes", "step").alias("bytes"))
-    run = last.withColumn("used", F.sum("bytes").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("place", F.row_number().over(w))
-    return run.select("track_id", "key", "last", "used", ((F.col("used") <= budget) | (F.col("place") == 1)).alias("kept"))
+def lru_replay(touches: DataFrame, budget: int) -> DataFrame:
+    """(track_id, key, bytes, step): what a cache of `budget` bytes holds after all touches (track_id, step, key, bytes), each a store.
+
+    A store replaces its key, evicts the oldest entries until it fits, and is not kept if it is larger than the budget. A
+    fold over the steps of a track: what an entry evicted stays gone, however small the entry becomes.
+    """
+    entry = T.StructType([T.StructField("key", touches.schema["key"].dataType), T.StructField("bytes", T.LongType()), T.StructField("step", T.LongType())])
+    rows = F.array_sort(F.collect_list(F.struct(F.col("step").cast("long").alias("step"), "key", F.col("bytes").cast("long").alias("bytes"))))
+
+    def store(held: Column, t: Column) -> Column:
+        others = F.filter(held, lambda x: ~x["key"].eqNullSafe(t["key"]))
+        newer = lambda i: F.aggregate(F.slice(others, i + 1, F.size(others)), F.lit(0).cast("long"), lambda n, y: n + y["bytes"])
+        kept = F.filter(others, lambda x, i: newer(i) + t["bytes"] <= budget)
+        new = F.struct(t["key"].alias("key"), t["bytes"].alias("bytes"), t["step"].alias("step"))
+        return F.concat(kept, F.when(t["bytes"] <= budget, F.array(new)).otherwise(F.array().cast(T.ArrayType(entry))))
+
+    held = F.aggregate(rows, F.array().cast(T.ArrayType(entry)), store)
+    return touches.groupBy("track_id").agg(held.alias("held")).select("track_id", F.inline("held"))
+
+
+def clean_positions(positions: Column, length: Column) -> Column:
+    """Distinct finite positions within [0, length), rising."""
+    ok = lambda x: x.isNotNull() & ~F.isnan(x) & (x >= 0) & (x < length)
+    return F.array_sort(F.array_distinct(F.filter(positions, ok)))
+
+
+def limited(samples: DataFrame, block: int, drive: float = 1.08) -> DataFrame:
+    """(track_id, idx, v) through the soft limiter, block by block."""
+    of = W.partitionBy("track_id", F.floor(F.col("idx") / block))
+    return samples.select("track_id", "idx", soft_limit("v", F.max(F.abs("v")).over(of), drive).alias("v"))
+
+
+def missing_cues(queue: DataFrame, cues: DataFrame) -> DataFrame:
+    """Tracks from `selected` on that have no cue: playback may begin where a queue has none of them."""
+    return queue.filter(F.col("pos") >= F.col("selected")).join(cues.select("track_id").distinct(), "track_id", "left_anti")
+
+
+def shared_jobs(requests: DataFrame, key: list[str]) -> DataFrame:
+    """Requests (at, ...) with job, the first request of the same key, which does the work for all, and how many wait for it."""
+    w = W.partitionBy(*key)
+    return requests.withColumns({"job": F.min("at").over(w), "waiting": F.count(F.lit(1)).over(w) - 1})
+
+
+def prefetch(queue: DataFrame, window: int = 3) -> DataFrame:
+    """(queue_id, pos, a, b, tier) for the track at pos: the pair it begins is rendered, the next pairs of the window are planned only."""
+    w = W.partitionBy("queue_id").orderBy("pos")
+    pairs = [F.struct(F.lead("track_id", k).over(w).alias("a"), F.lead("track_id", k + 1).over(w).alias("b"), F.lit("render" if k == 0 else "plan").alias("tier")) for k in range(max(1, window - 1))]
+    return queue.withColumn("pairs", F.array(*pairs)).select("queue_id", "pos", F.inline("pairs")).filter("b IS NOT NULL")
+
+
+def bounded_fifo(puts: DataFrame, window: int) -> DataFrame:
+    """puts (track_id, step, key, taken): keys still planned after all rows of a track. A put renews its key as the youngest, a row
+    with `taken` removes it, and only the window - 1 (at least one) youngest stay.
+
+    A put is gone once that many other keys were put after it: later takes do not bring it back.
+    """
+    most = max(1, window - 1)
+    rows = F.array_sort(F.collect_list(F.struct("step", "key", "taken")))
+    empty = F.array().cast(T.ArrayType(puts.schema["key"].dataType))
+
+    def put(keys: Column, t: Column) -> Column:
+        others = F.filter(keys, lambda k: k != t["key"])
+        longer = F.concat(others, F.array(t["key"]))
+        return F.when(t["taken"], others).otherwise(F.slice(longer, F.greatest(F.size(longer) - most + 1, F.lit(1)), F.lit(most)))
+
+    held = puts.groupBy("track_id").agg(F.aggregate(rows, empty, put).alias("keys"))
+    return held.select("track_id", F.posexplode("keys").alias("place", "key"))
 
 
 def accept_current(results: DataFrame, versions: DataFrame) -> DataFrame:

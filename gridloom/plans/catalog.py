@@ -31,19 +31,6 @@ def query(sql: str | None = None):
     return add
 
 
-def whole(*cuts: tuple[str, str], sql: bool = True):
-    """Registers x_all: x over the whole tables. Its SQL is that of x with each of `cuts` (text, what replaces it) taken out."""
-
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        text = SQL[f.__name__.removesuffix("_all")]
-        for old, new in cuts:
-            assert old in text, (f.__name__, old)
-            text = text.replace(old, new)
-        return query(text if sql else None)(f)
-
-    return add
-
-
 def r6(df: DataFrame) -> DataFrame:
     """All doubles of df to six places."""
     return df.select([(F.round(F.col(f"`{n}`"), 6) + 0.0).alias(n) if t == "double" else F.col(f"`{n}`") for n, t in df.dtypes])
@@ -346,7 +333,7 @@ y AS (SELECT *, greatest(0.0, least(1.0, (p - 0.2) / 0.6)) AS q, 60.0 + k * 1.3
 SELECT event_id, round(p * p * (3 - 2 * p), 6) + 0.0 AS smooth, round(p * p * p * (p * (p * 6 - 15) + 10), 6) + 0.0 AS smoother, round(q * q * (3 - 2 * q), 6) + 0.0 AS ramp, round(cos(p * pi() / 2), 6) + 0.0 AS gain_out, round(sin(p * pi() / 2), 6) + 0.0 AS gain_in,
  round(round_even(p * 8, 0) / 8.0, 6) + 0.0 AS stepped, round(20 * log10(greatest(p, 1e-8)), 6) + 0.0 AS db,
  round(CASE WHEN abs(log2(bpm * 0.5 / target)) <= abs(log2(bpm / target)) AND abs(log2(bpm * 0.5 / target)) <= abs(log2(bpm * 2 / target)) THEN bpm * 0.5 WHEN abs(log2(bpm / target)) <= abs(log2(bpm * 2 / target)) THEN bpm ELSE bpm * 2 END, 6) + 0.0 AS related,
- round(tanh(p * 1.08) / tanh(1.08), 6) + 0.0 AS limited, round(target * exp(ln(bpm / target) * (1 - p * p * p * (p * (p * 6 - 15) + 10))), 6) + 0.0 AS eased,
+ round(greatest(-1.0, least(1.0, CASE WHEN abs(p * 1.3 - 0.1) > 0.86 THEN tanh((p * 1.3 - 0.1) * 1.08) / tanh(1.08) ELSE p * 1.3 - 0.1 END)), 6) + 0.0 AS limited, round(target * exp(ln(bpm / target) * (1 - p * p * p * (p * (p * 6 - 15) + 10))), 6) + 0.0 AS eased,
  CASE WHEN p > 0.5 AND p / 10 > 0.015 THEN greatest(CASE WHEN p / 10 <= 0.008 THEN 4 WHEN p / 10 <= 0.02 THEN 8 WHEN p / 10 <= 0.04 THEN 16 ELSE 32 END, 16) ELSE CASE WHEN p / 10 <= 0.008 THEN 4 WHEN p / 10 <= 0.02 THEN 8 WHEN p / 10 <= 0.04 THEN 16 ELSE 32 END END AS restore,
  printf('%02d:%02d', CAST(floor(v / 60) AS BIGINT), CAST(floor(v) AS BIGINT) % 60) AS clock,
  round(CASE WHEN abs(p - 0.5) < 0.035 OR abs(q - 0.5) < 0.035 THEN -0.055 * least(1.0, abs(q - p) / 0.60) WHEN (p - 0.5) * (q - 0.5) < 0 THEN -0.055 * least(1.0, abs(q - p) / 0.60) + 0.075 * least(1.0, least(abs(p - 0.5), abs(q - 0.5)) / 0.28) ELSE -0.055 * least(1.0, abs(q - p) / 0.60) - 0.065 * least(1.0, least(abs(p - 0.5), abs(q - 0.5)) / 0.28) END, 6) + 0.0 AS arc,
@@ -359,7 +346,7 @@ def scalar_math(spark, d):
     out, into = scalar.equal_power(p)
     return r6(e.select(
         "event_id", scalar.smoothstep(p).alias("smooth"), scalar.smootherstep(p).alias("smoother"), scalar.ramp(p, 0.2, 0.8).alias("ramp"), out.alias("gain_out"), into.alias("gain_in"),
-        scalar.bar_quantized(p, 8).alias("stepped"), scalar.decibels(p).alias("db"), scalar.related_bpm(bpm, target).alias("related"), scalar.soft_limit(p).alias("limited"),
+        scalar.bar_quantized(p, 8).alias("stepped"), scalar.decibels(p).alias("db"), scalar.related_bpm(bpm, target).alias("related"), scalar.soft_limit(p * 1.3 - 0.1).alias("limited"),
         scalar.eased_bpm(bpm, target, p).alias("eased"), scalar.restore_bars(p / 10, F.when(p > 0.5, 0.6).otherwise(0.4)).alias("restore"), scalar.clock_text(F.col("v")).alias("clock"),
         scalar.energy_arc_term(p - 0.5, q - 0.5).alias("arc"), scalar.correlated_gains(p, 1 - p, k / 100.0)[2].alias("compensation"),
     ))
@@ -432,18 +419,6 @@ def segment_edges(spark, d):
     return ranking.edge_labels(P.segments(spark, d))
 
 
-def _dealt(n: int) -> tuple[str, str]:
-    """The cut in O.queue(n), and the view of all tracks in queues of n."""
-    row = "row_number() OVER (PARTITION BY label ORDER BY track_id) - 1"
-    return O.queue(n), O.TRACKS + f""",
-queue AS (SELECT *, concat(label, '/', r // {n}) AS queue_id, r % {n} AS pos FROM (SELECT *, {row} AS r FROM tracks))"""
-
-
-@whole(_dealt(12))
-def edge_scores_all(spark, d):
-    return r6(ranking.edge_scores(P.queues(spark, d, 12)))
-
-
 ARC = "CASE WHEN abs({p}) < 0.035 OR abs({f}) < 0.035 THEN -0.055 * least(1.0, abs({f} - {p}) / 0.60) WHEN ({p}) * ({f}) < 0 THEN -0.055 * least(1.0, abs({f} - {p}) / 0.60) + 0.075 * least(1.0, least(abs({p}), abs({f})) / 0.28) ELSE -0.055 * least(1.0, abs({f} - {p}) / 0.60) - 0.065 * least(1.0, least(abs({p}), abs({f})) / 0.28) END"
 
 
@@ -460,11 +435,6 @@ def exact_order(spark, d):
     return _exact_order(P.queue(spark, d, 6))
 
 
-@whole(_dealt(6))
-def exact_order_all(spark, d):
-    return _exact_order(P.queues(spark, d, 6))
-
-
 def _exact_order(q: DataFrame) -> DataFrame:
     out = ranking.exact_order(cut(ranking.edge_scores(q)), ranking.energies(q), 6)
     return r6(out.withColumn("path", F.array_join(F.transform("path", lambda x: x.cast("string")), ",")))
@@ -477,11 +447,6 @@ def path_objective(spark, d):
     return _path_objective(P.queue(spark, d, 8))
 
 
-@whole(_dealt(8))
-def path_objective_all(spark, d):
-    return _path_objective(P.queues(spark, d, 8))
-
-
 def _path_objective(q: DataFrame) -> DataFrame:
     steps = q.select("queue_id", F.lit(0).alias("path_id"), F.col("pos").alias("step"), F.col("pos").alias("item"))
     return r6(ranking.path_objective(steps, ranking.edge_scores(q), ranking.energies(q)).drop("path_id"))
@@ -495,11 +460,6 @@ def polish_pass(spark, d):
     return _polish_pass(P.queue(spark, d, 6))
 
 
-@whole(_dealt(6))
-def polish_pass_all(spark, d):
-    return _polish_pass(P.queues(spark, d, 6))
-
-
 def _polish_pass(q: DataFrame) -> DataFrame:
     start = q.groupBy("queue_id").agg(F.array_sort(F.collect_list("pos")).alias("path"))
     out = ranking.polish(start, cut(ranking.edge_scores(q)), ranking.energies(q), 1)
@@ -515,20 +475,15 @@ def ranked_queue(spark, d):
     return ranking.rank_queue(P.queue(spark, d, 6)).select("queue_id", _text(F.col("path")).alias("path"))
 
 
-@whole(_dealt(6))
-def ranked_queue_all(spark, d):
-    return ranking.rank_queue(P.queues(spark, d, 6)).select("queue_id", _text(F.col("path")).alias("path"))
-
-
 @query()
 def ranked_long_queue(spark, d):
     """All tracks in queues of 20 items: beam search and polish, exact search for the last queue of a label if it is short."""
-    return ranking.rank_queue(P.queues(spark, d, 20)).select("queue_id", _text(F.col("path")).alias("path"))
+    return ranking.rank_queue(P.queue(spark, d, 20)).select("queue_id", _text(F.col("path")).alias("path"))
 
 
 @query()
 def beam_order(spark, d):
-    q = P.queues(spark, d, 12)
+    q = P.queue(spark, d, 12)
     return ranking.beam_order(cut(ranking.edge_scores(q)), ranking.energies(q), 12).select("queue_id", _text(F.col("path")).alias("path"))
 
 
@@ -538,11 +493,6 @@ def order_quality(spark, d):
     return _order_quality(P.queue(spark, d, 8))
 
 
-@whole(_dealt(8))
-def order_quality_all(spark, d):
-    return _order_quality(P.queues(spark, d, 8))
-
-
 def _order_quality(q: DataFrame) -> DataFrame:
     order = q.groupBy("queue_id").agg(F.array_sort(F.collect_list("pos")).alias("path"))
     return r6(ranking.order_quality(ranking.edge_scores(q), order))
@@ -554,11 +504,6 @@ def locked_prefix(spark, d):
     return _locked_prefix(P.queue(spark, d, 8))
 
 
-@whole(_dealt(8))
-def locked_prefix_all(spark, d):
-    return _locked_prefix(P.queues(spark, d, 8))
-
-
 def _locked_prefix(q: DataFrame) -> DataFrame:
     q = q.select("queue_id", "track_id", "pos")
     suffix = q.filter("pos >= 3").groupBy("queue_id").agg(F.reverse(F.array_sort(F.collect_list("pos"))).alias("path"))
@@ -581,7 +526,7 @@ def style_clusters(spark, d):
 
 # hand-over points
 
-PAIRS = ", pairs AS (SELECT DISTINCT track_id AS pair_id, track_id AS a_track, track_id + 1 AS b_track FROM ev WHERE track_id % 10 = 0 AND track_id + 1 IN (SELECT track_id FROM ev))"
+PAIRS = ", pairs AS (SELECT DISTINCT track_id AS pair_id, track_id AS a_track, track_id + 1 AS b_track FROM ev WHERE track_id + 1 IN (SELECT track_id FROM ev))"
 MIXB = f"""{O.BARS}, mb AS (SELECT *, onset * 0.99731 AS boundary, brightness * 0.99871 AS phrase, cue * (1 - vocal / 2) AS mix_in, cue * (0.5 + vocal / 2) AS mix_out FROM bars){PAIRS},
 ex AS (SELECT track_id, bar AS exit FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY mix_out DESC, bar) AS rk FROM mb WHERE cue >= 0.34) WHERE rk <= {{x}}),
 et AS (SELECT track_id, bar AS entry FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY mix_in DESC, bar) AS rk FROM mb WHERE cue >= 0.34) WHERE rk <= {{y}}),
@@ -594,25 +539,15 @@ def mix_bars(spark: SparkSession, d: str) -> DataFrame:
     return P.bars(spark, d).withColumns({"boundary": F.col("onset") * 0.99731, "phrase": F.col("brightness") * 0.99871, "mix_in": cue * (1 - vocal / 2), "mix_out": cue * (0.5 + vocal / 2)})
 
 
-TENTH = ("track_id % 10 = 0 AND ", "")
-"""The cut in PAIRS: queries named without _all, whose SQL reads PAIRS, score every tenth pair."""
-
-
-def neighbour_pairs(bars: DataFrame, every: int = 1) -> DataFrame:
-    """Each track with the next one; for `every` > 1 only tracks whose id it divides."""
+def neighbour_pairs(bars: DataFrame) -> DataFrame:
+    """Each track with the next one."""
     t = bars.select("track_id").distinct()
-    a = t.filter(F.col("track_id") % every == 0).select(F.col("track_id").alias("pair_id"), F.col("track_id").alias("a_track"), (F.col("track_id") + 1).alias("b_track"))
+    a = t.select(F.col("track_id").alias("pair_id"), F.col("track_id").alias("a_track"), (F.col("track_id") + 1).alias("b_track"))
     return a.join(t.select(F.col("track_id").alias("b_track")), "b_track", "left_semi")
 
 
 @query(f"WITH {MIXB.format(x=32, y=24)} SELECT pair_id, a_track, b_track, exit, entry, bars FROM cands")
 def handover_candidates(spark, d):
-    b = mix_bars(spark, d)
-    return matching.candidates(neighbour_pairs(b, 10), b)
-
-
-@whole(TENTH)
-def handover_candidates_all(spark, d):
     b = mix_bars(spark, d)
     return matching.candidates(neighbour_pairs(b), b)
 
@@ -652,9 +587,9 @@ scored AS (SELECT *, greatest(0.0, least(1.0, (0.12 * continuity + 0.08 * harmon
 _TERMS = ("continuity", "harmonic", "rhythm", "brightness", "bass_clean", "vocal_clean", "dynamics", "length_fit", "cue_alignment", "phrase_alignment", "boundary_match", "role_match", "post_drop", "drop_landing", "role_path", "energy_arc", "boundary", "drop_guard", "policy", "local_gain", "score")
 
 
-def _scored(spark: SparkSession, d: str, every: int = 1) -> DataFrame:
+def _scored(spark: SparkSession, d: str) -> DataFrame:
     b = mix_bars(spark, d)
-    pairs = neighbour_pairs(b, every)
+    pairs = neighbour_pairs(b)
     c = matching.candidates(pairs, b, exits=6, entries=5)
     unknown = {n: F.lit(None).cast("double") for n in ("key_score", "edm_confidence", "style", "segment", "trajectory")}
     return matching.score_candidates(c, b, pairs.withColumns(unknown))
@@ -662,23 +597,12 @@ def _scored(spark: SparkSession, d: str, every: int = 1) -> DataFrame:
 
 @query(f"WITH {_score_sql()} SELECT pair_id, exit, entry, bars, intent, {r(*_TERMS)} FROM scored")
 def handover_scores(spark, d):
-    """Every candidate of every tenth pair with its terms and score."""
-    return r6(_scored(spark, d, 10).select("pair_id", "exit", "entry", "bars", "intent", *_TERMS))
-
-
-@whole(TENTH)
-def handover_scores_all(spark, d):
     """The flagship: every candidate of every pair with its terms and score."""
     return r6(_scored(spark, d).select("pair_id", "exit", "entry", "bars", "intent", *_TERMS))
 
 
 @query(f"WITH {_score_sql()} SELECT pair_id, exit, entry, bars, intent, {r('score')} FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY score DESC, bars, exit, entry) AS rk FROM scored) WHERE rk = 1")
 def handover_best(spark, d):
-    return r6(matching.best_candidate(_scored(spark, d, 10)).select("pair_id", "exit", "entry", "bars", "intent", "score"))
-
-
-@whole(TENTH)
-def handover_best_all(spark, d):
     return r6(matching.best_candidate(_scored(spark, d)).select("pair_id", "exit", "entry", "bars", "intent", "score"))
 
 
@@ -712,18 +636,13 @@ def cue_windows(spark, d):
 
 def _curve_sql() -> str:
     ss = lambda x: f"(greatest(0.0, least(1.0, {x})) * greatest(0.0, least(1.0, {x})) * (3 - 2 * greatest(0.0, least(1.0, {x}))))"
-    return f"""WITH p AS (SELECT event_id, 0.65 + value / 600 AS g, i, i / 16.0::DOUBLE AS p FROM events, range(0, 17) r(i) WHERE event_id % 50 = 0),
+    return f"""WITH p AS (SELECT event_id, 0.65 + value / 600 AS g, i, i / 16.0::DOUBLE AS p FROM events, range(0, 17) r(i)),
 c AS (SELECT *, cos(p * pi() / 2) * (1 - 0.0936 * pow(sin(pi() * p), 2)) AS fo, sin(p * pi() / 2) * (g + (1 - g) * {ss('p')}) * (1 - 0.0936 * pow(sin(pi() * p), 2)) AS fi, {ss('(p - 0.44) / 0.18')} AS bs FROM p)
 SELECT event_id, i, round(fo, 6) + 0.0 AS fade_out, round(fi, 6) + 0.0 AS fade_in, round(sqrt(greatest(0.0, 1 - bs)), 6) + 0.0 AS bass_out, round(sqrt(bs), 6) + 0.0 AS bass_in, round(fo * (1 - 0.72 * 0.78 * {ss('(p - 0.27) / 0.56')}), 6) + 0.0 AS high_out, round(fi * (0.28 + 0.72 * (0.18 + 0.82 * {ss('(p - 0.03) / 0.52')})), 6) + 0.0 AS high_in FROM c"""
 
 
 @query(_curve_sql())
 def gain_curves(spark, d):
-    return _curves(P.table(spark, d, "events").filter("event_id % 50 = 0"))
-
-
-@whole((" WHERE event_id % 50 = 0", ""))
-def gain_curves_all(spark, d):
     return _curves(P.table(spark, d, "events"))
 
 
@@ -758,20 +677,15 @@ def rising_targets(spark, d):
     return timemap.strictly_rising(t).select("track_id", "x", F.col("y").cast("long").alias("y"))
 
 
-@query(f"""WITH {O.TRACKS}, s AS (SELECT track_id, unnest(range(0, 64)) AS i, bpm FROM tracks WHERE track_id % 10 = 0), q AS (SELECT *, (i + 0.5) / 64 AS p FROM s)
-SELECT track_id, CAST(i + 1 AS INT) AS i, round(1000 + (i + 1) * 5512.5, 6) + 0.0 AS source, round(1000 + sum(5512.5 * exp(ln(bpm / 124.0) * (p * p * p * (p * (p * 6 - 15) + 10)))) OVER (PARTITION BY track_id ORDER BY i), 6) + 0.0 AS target FROM q""")
+@query(f"""WITH {O.TRACKS}, s AS (SELECT track_id, unnest(range(0, 64)) AS i, bpm FROM tracks), q AS (SELECT *, (i + 0.5) / 64 AS p FROM s)
+SELECT track_id, CAST(i + 1 AS INT) AS i, round(1000 + (i + 1) * 5512.5, 6) + 0.0 AS source, round(1000 + sum(5512.5 * exp(ln(bpm / 124.0) * (p * p * p * (p * (p * 6 - 15) + 10)))) OVER (PARTITION BY track_id ORDER BY i), 2) + 0.0 AS target FROM q""")
 def tempo_keyframes(spark, d):
-    return _keyframes(P.tracks(spark, d).filter("track_id % 10 = 0"))
-
-
-@whole((" WHERE track_id % 10 = 0", ""))
-def tempo_keyframes_all(spark, d):
     return _keyframes(P.tracks(spark, d))
 
 
 def _keyframes(tracks: DataFrame) -> DataFrame:
     t = tracks.select("track_id", F.lit(1000).alias("start"), F.lit(88200).alias("bar"), F.lit(4).alias("bars"), F.col("bpm").alias("playback_bpm"), F.lit(124.0).alias("original_bpm"))
-    return r6(timemap.restore_keyframes(t))
+    return r6(timemap.restore_keyframes(t)).withColumn("target", F.round("target", 2) + 0.0)
 
 
 @query(f"WITH {SAMPLES} SELECT track_id, round(CASE WHEN count(*) < 64 OR sqrt(sum(a * a) * sum(b * b)) <= 1e-9 THEN 0.0 ELSE sum(a * b) / sqrt(sum(a * a) * sum(b * b)) END, 6) + 0.0 AS rho FROM sm GROUP BY track_id")
@@ -835,11 +749,15 @@ def silence_bounds(spark, d):
     return structure.silence_bounds(f, F.lit(4), F.lit(8), F.lit(100), F.lit(1000))
 
 
-@query(f"""WITH {O.EVENTS}, u AS (SELECT track_id, idx AS step, k % 20 AS key, 100 + k AS bytes FROM ev), l AS (SELECT track_id, key, max(step) AS last, arg_max(bytes, step) AS bytes FROM u GROUP BY track_id, key),
-s AS (SELECT *, sum(bytes) OVER (PARTITION BY track_id ORDER BY last DESC) AS used, row_number() OVER (PARTITION BY track_id ORDER BY last DESC) AS p FROM l) SELECT track_id, key, last, CAST(used AS BIGINT) AS used, used <= 900 OR p = 1 AS kept FROM s""")
+@query(f"""WITH RECURSIVE {O.EVENTS}, u AS (SELECT track_id, idx AS step, k % 20 AS key, 100 + k * 3 % 101 AS bytes FROM ev),
+c AS (SELECT DISTINCT track_id, -1::BIGINT AS step, []::STRUCT(key INT, bytes INT, step BIGINT)[] AS held FROM u
+ UNION ALL SELECT c.track_id, u.step, list_concat(list_filter(list_filter(held, lambda x: x.key <> u.key), lambda x, i: list_sum(list_transform(list_filter(held, lambda x: x.key <> u.key)[i:], lambda y: y.bytes)) + u.bytes <= 1000), [{{'key': u.key, 'bytes': u.bytes, 'step': u.step}}])
+ FROM c JOIN u ON u.track_id = c.track_id AND u.step = c.step + 1),
+z AS (SELECT track_id, unnest(held) AS h FROM c WHERE (track_id, step) IN (SELECT track_id, max(step) FROM u GROUP BY track_id))
+SELECT track_id, h.key AS key, h.step AS last, h.bytes AS bytes FROM z""")
 def cache_replay(spark, d):
-    e = P.events(spark, d).select("track_id", F.col("idx").alias("step"), (F.col("k") % 20).alias("key"), (100 + F.col("k")).alias("bytes"))
-    return timemap.lru_replay(e, F.lit(900))
+    touches = P.events(spark, d).select("track_id", F.col("idx").alias("step"), (F.col("k") % 20).alias("key"), (100 + F.col("k") * 3 % 101).alias("bytes"))
+    return timemap.lru_replay(touches, 1000).select("track_id", "key", F.col("step").alias("last"), "bytes")
 
 
 @query(f"""WITH {O.EVENTS}, v AS (SELECT track_id AS key, idx AS at, idx // 7 AS now FROM ev WHERE event_type = 'signup'), s AS (SELECT track_id AS key, idx AS at, greatest(idx - k % 5, 0) // 7 AS generation FROM ev WHERE event_type <> 'signup')
@@ -864,24 +782,20 @@ def snapshot_sets(spark, d):
     return out[0].union(out[1]).union(out[2])
 
 
-@query(f"""WITH {O.TRACKS}, q AS (SELECT 'p' || track_id AS path, track_id AS pos, bpm FROM tracks WHERE track_id < 50), l AS (SELECT 'p' || (track_id * 3 % 70) AS path, track_id AS seq, bpm + 1 AS bpm FROM tracks WHERE track_id < 60),
-k AS (SELECT path, arg_max(bpm, seq) AS bpm, max(seq) AS seq FROM l GROUP BY path), n AS (SELECT path, bpm, 50 + row_number() OVER (ORDER BY seq) - 1 AS pos FROM k WHERE path NOT IN (SELECT path FROM q))
+@query(f"""WITH {O.TRACKS}, q AS (SELECT 'p' || track_id AS path, track_id AS pos, bpm FROM tracks), l AS (SELECT 'p' || (track_id // 2 * 3) AS path, track_id AS seq, bpm + 1 AS bpm FROM tracks),
+k AS (SELECT path, arg_max(bpm, seq) AS bpm, max(seq) AS seq FROM l GROUP BY path), n AS (SELECT path, bpm, (SELECT max(pos) + 1 FROM q) + row_number() OVER (ORDER BY seq) - 1 AS pos FROM k WHERE path NOT IN (SELECT path FROM q))
 SELECT q.path, CAST(q.pos AS BIGINT) AS pos, round(coalesce(k.bpm, q.bpm), 6) + 0.0 AS bpm FROM q LEFT JOIN k USING (path) UNION ALL SELECT path, pos, round(bpm, 6) + 0.0 FROM n""")
 def queue_upsert(spark, d):
+    """All tracks are queued, and all are loaded under the paths 3 * floor(id / 2): two loads to a path, known or new."""
     from ..sources import caches
 
     t = P.tracks(spark, d)
     name = lambda x: F.concat(F.lit("p"), x.cast("string"))
-    q = t.filter("track_id < 50").select(name(F.col("track_id")).alias("path"), F.col("track_id").alias("pos"), "bpm")
-    new = t.filter("track_id < 60").select(name(F.col("track_id") * 3 % 70).alias("path"), F.col("track_id").alias("seq"), (F.col("bpm") + 1).alias("bpm"))
+    q = t.select(name(F.col("track_id")).alias("path"), F.col("track_id").alias("pos"), "bpm")
+    new = t.select(name(F.floor(F.col("track_id") / 2) * 3).alias("path"), F.col("track_id").alias("seq"), (F.col("bpm") + 1).alias("bpm"))
     return r6(caches.upsert(q, new))
 
 
-@whole((" WHERE track_id < 50", ""), (" WHERE track_id < 60", ""), ("track_id * 3 % 70", "track_id // 2 * 3"), ("50 + row_number()", "(SELECT max(pos) + 1 FROM q) + row_number()"))
-def queue_upsert_all(spark, d):
-    """All tracks are queued, and all are loaded under the paths 3 * floor(id / 2): two loads to a path, known or new."""
-    from ..sources import caches
-
     t = P.tracks(spark, d)
     name = lambda x: F.concat(F.lit("p"), x.cast("string"))
     q = t.select(name(F.col("track_id")).alias("path"), F.col("track_id").alias("pos"), "bpm")
@@ -907,15 +821,19 @@ def ordered_labels(spark, d):
 
 @query()
 def deck_replay(spark, d):
-    """One deck per user: a queue of five tracks, then ticks, seeks, plans and orders from the user's events."""
+    """One deck per user, a queue of five tracks, then all the user's events in order as commands of every kind."""
     from ..streaming import deck
 
     e = P.events(spark, d)
-    tracks = "[" + ",".join(f'{{"id":"t{i}","total":{5000 + 400 * i},"beat":500,"cue":0}}' for i in range(5)) + "]"
-    plan = F.to_json(F.struct(F.lit(1).alias("generation"), F.lit(0).alias("index"), F.lit(3000).alias("start"), F.lit(500).alias("next_start"), F.lit(1500).alias("length"), F.lit(2000).alias("resume")))
+    k = F.col("k")
+    tracks = "[" + ",".join(f'{{"id":"t{i}","total":{5000 + 400 * i},"beat":500,"cue":{100 * i}}}' for i in range(5)) + "]"
+    plan = F.to_json(F.struct((1 + k % 4).alias("generation"), (k % 4).alias("index"), (2000 + k * 20).alias("start"), F.lit(500).alias("next_start"), (500 + k * 10).alias("length"), (k % 3 * 1000 - 1).alias("resume")))
     begin = e.select(F.col("track_id").alias("deck_id")).distinct().select("deck_id", F.lit(-1).cast("long").alias("seq"), F.lit("queue").alias("command"), F.lit(0).cast("long").alias("frames"), F.lit(tracks).alias("arg"))
-    command = F.when(F.col("event_type") == "signup", "plan").when((F.col("event_type") == "error") & (F.col("k") < 30), "seek").otherwise("tick")
-    rows = e.select(F.col("track_id").alias("deck_id"), F.col("idx").alias("seq"), command.alias("command"), (F.col("k") * 20).cast("long").alias("frames"), plan.alias("arg"))
+    rare = F.element_at(F.array(*map(F.lit, ("order", "seek", "pause", "next", "volume", "auto", "stop", "queue"))), (k % 8 + 1).cast("int"))
+    command = F.when(F.col("event_type") == "signup", "plan").when(F.col("event_type") == "error", rare).when(k % 16 == 5, "resume").otherwise("tick")
+    orders = F.array(*[F.lit(x) for x in ('["t0","t2","t1","t3","t4"]', '["t4","t3","t2","t1","t0"]', '["t1","t2"]')])
+    arg = F.when(command == "plan", plan).when(command == "queue", F.lit(tracks)).when(command == "order", F.element_at(orders, (F.floor(k / 8) % 3 + 1).cast("int"))).when(command == "volume", (k / 60.0).cast("string"))
+    rows = e.select(F.col("track_id").alias("deck_id"), F.col("idx").alias("seq"), command.alias("command"), (k * 20).cast("long").alias("frames"), arg.alias("arg"))
     return deck.replay(begin.unionByName(rows))
 
 
@@ -976,20 +894,15 @@ SELECT pair_id, exit, entry, bars, round({COS('ga', 'gb')}, 6) + 0.0 AS style, r
 
 @query(_semantic_sql())
 def semantic_terms(spark, d):
-    return _semantic(spark, d, 10)
-
-
-@whole(TENTH)
-def semantic_terms_all(spark, d):
     return _semantic(spark, d)
 
 
-def _semantic(spark: SparkSession, d: str, every: int = 1) -> DataFrame:
+def _semantic(spark: SparkSession, d: str) -> DataFrame:
     from ..operators import planning
 
     b = mix_bars(spark, d)
     n = b.groupBy("track_id").agg(F.count(F.lit(1)).alias("n"))
-    c = matching.candidates(neighbour_pairs(b, every), b, exits=6, entries=5)
+    c = matching.candidates(neighbour_pairs(b), b, exits=6, entries=5)
     c = c.join(n.select(F.col("track_id").alias("a_track"), F.col("n").alias("a_n")), "a_track").join(n.select(F.col("track_id").alias("b_track"), F.col("n").alias("b_n")), "b_track")
     positions = F.array(*map(F.lit, (0.125, 0.375, 0.625, 0.875)))
     profiles = P.tracks(spark, d).select("track_id", "global", "timeline", positions.alias("positions"))
@@ -1003,27 +916,22 @@ ft AS (SELECT *, greatest(0.0, least(1.0, 0.26 + 0.24 * harmonic + 0.20 * phrase
 od AS (SELECT *, list_reverse_sort(CASE WHEN 1 - vocal_clean >= 0.45 OR harmonic <= 0.42 THEN [{'f': fs, 's': 'Short Blend'}, {'f': fbs, 's': 'Bass Swap'}, {'f': fe, 's': 'Echo Out'}] ELSE [{'f': fs, 's': 'Short Blend'}, {'f': fbs, 's': 'Bass Swap'}] END) AS o FROM ft)"""
 
 
-def _with_roles(spark: SparkSession, d: str, every: int = 1) -> DataFrame:
+def _with_roles(spark: SparkSession, d: str) -> DataFrame:
     b = mix_bars(spark, d).select("track_id", "bar", "role")
-    s = _scored(spark, d, every).join(neighbour_pairs(mix_bars(spark, d), every), "pair_id")
+    s = _scored(spark, d).join(neighbour_pairs(mix_bars(spark, d)), "pair_id")
     s = s.join(b.select(F.col("track_id").alias("a_track"), F.col("bar").alias("exit"), F.col("role").alias("ra")), ["a_track", "exit"])
     return s.join(b.select(F.col("track_id").alias("b_track"), F.col("bar").alias("entry"), F.col("role").alias("rb")), ["b_track", "entry"])
 
 
 @query(f"WITH {_score_sql()}, {STYLES} SELECT pair_id, exit, entry, bars, array_to_string(list_transform(o, lambda x: x.s), ',') AS styles, {r('fs', 'fbs', 'fe')} FROM od")
 def rendering_styles(spark, d):
-    return _styles(spark, d, 10)
-
-
-@whole(TENTH)
-def rendering_styles_all(spark, d):
     return _styles(spark, d)
 
 
-def _styles(spark: SparkSession, d: str, every: int = 1) -> DataFrame:
+def _styles(spark: SparkSession, d: str) -> DataFrame:
     from ..operators import planning
 
-    s = _with_roles(spark, d, every).withColumn("edm_confidence", F.lit(0.5))
+    s = _with_roles(spark, d).withColumn("edm_confidence", F.lit(0.5))
     fit = planning.style_fit(F.col("ra"), F.col("rb"), F.col("intent"))
     order = planning.style_order(F.col("ra"), F.col("rb"), F.col("intent"))
     return r6(s.select("pair_id", "exit", "entry", "bars", F.array_join(order, ",").alias("styles"), fit["Short Blend"].alias("fs"), fit["Bass Swap"].alias("fbs"), fit["Echo Out"].alias("fe")))
@@ -1036,22 +944,17 @@ SELECT pair_id, CAST(ac - pre AS BIGINT) AS a_start, CAST(bc - pre AS BIGINT) AS
  round(greatest(0.0, least(1.0, 0.43 * score + 0.10 + 0.10 * cue_alignment + 0.07 * phrase_alignment + 0.20 * policy)), 6) + 0.0 AS automix_confidence,
  CASE WHEN greatest(0.0, least(1.0, 0.43 * score + 0.10 + 0.10 * cue_alignment + 0.07 * phrase_alignment + 0.20 * policy)) >= 0.60 OR policy >= 0.72 AND intent <> 'Safe Phrase Blend' THEN 'creative' WHEN score >= 0.43 OR cue_alignment >= 0.46 THEN 'simple' ELSE 'gapless' END AS mode FROM pq""")
 def transition_plans(spark, d):
-    return _plans(spark, d, 10)
-
-
-@whole(TENTH)
-def transition_plans_all(spark, d):
     return _plans(spark, d)
 
 
-def _plans(spark: SparkSession, d: str, every: int = 1) -> DataFrame:
+def _plans(spark: SparkSession, d: str) -> DataFrame:
     from ..operators import planning
 
     b = mix_bars(spark, d)
     n = b.groupBy("track_id").agg((F.count(F.lit(1)) * 88200).alias("total"))
-    pairs = neighbour_pairs(b, every).join(n.select(F.col("track_id").alias("a_track"), F.col("total").alias("a_total")), "a_track").join(n.select(F.col("track_id").alias("b_track"), F.col("total").alias("b_total")), "b_track")
+    pairs = neighbour_pairs(b).join(n.select(F.col("track_id").alias("a_track"), F.col("total").alias("a_total")), "a_track").join(n.select(F.col("track_id").alias("b_track"), F.col("total").alias("b_total")), "b_track")
     pairs = pairs.select("pair_id", "a_total", "b_total", F.lit(120.0).alias("bpm"), F.lit(44100).alias("rate"), F.lit(0).alias("earliest"), F.lit(0).alias("b_first"), F.lit(False).alias("force_tail"), F.lit(88200).alias("samples_per_bar"))
-    plans = planning.assemble(matching.best_candidate(_scored(spark, d, every)), pairs)
+    plans = planning.assemble(matching.best_candidate(_scored(spark, d)), pairs)
     return r6(plans.select("pair_id", "a_start", "b_start", "length", "handoff", "b_end", "a_end", "switch", "intent", "automix_confidence", "mode"))
 
 
@@ -1067,3 +970,6 @@ def adapted_gains(spark, d):
     out, into = scalar.equal_power(F.col("i") / 8.0)
     curves = bands.select("track_id", "band").distinct().select("track_id", "band", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("i")).withColumns({"gain_out": out, "gain_in": into})
     return r6(planning.adapted_gains(curves, bands))
+
+
+from . import playback  # noqa: E402, F401  registers its queries

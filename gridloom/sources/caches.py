@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions.windows import numbered
+
 TRACK_SCHEMA = "path string, title string, duration double, bpm double, beats_per_bar int, beat_times array<double>, beat_numbers array<int>, downbeat_times array<double>"
 SEGMENTS_SCHEMA = "array<struct<start: double, end: double, label: string, confidence: double>>"
 
@@ -41,14 +43,14 @@ def missing(files: DataFrame, cached: DataFrame) -> DataFrame:
 def upsert(queue: DataFrame, loaded: DataFrame) -> DataFrame:
     """queue (path, pos, ...) with loaded (path, seq, ...) put in: the last load of a path replaces it in place, new paths follow in order of load.
 
-    The offset of new rows is one aggregate, joined as a single row.
+    New rows are numbered within ranges of seq, after the largest place of the queue.
     """
     last = loaded.withColumn("_r", F.row_number().over(W.partitionBy("path").orderBy(F.desc("seq")))).filter("_r = 1").drop("_r")
     kept = queue.select("path", "pos").join(last, "path")
     untouched = queue.join(last.select("path"), "path", "left_anti")
     new = last.join(queue.select("path"), "path", "left_anti")
-    offset = queue.agg(F.coalesce(F.max("pos") + 1, F.lit(0)).alias("_o"))
-    placed = new.withColumn("_n", F.row_number().over(W.orderBy("seq")) - 1).join(F.broadcast(offset), how="cross").withColumn("pos", F.col("_o") + F.col("_n")).drop("_n", "_o")
+    offset = queue.agg(F.max("pos")).first()[0]
+    placed = numbered(new, "seq", "_n").withColumn("pos", F.lit(0 if offset is None else offset + 1) + F.col("_n")).drop("_n")
     return untouched.unionByName(kept.drop("seq")).unionByName(placed.drop("seq"))
 
 

@@ -91,12 +91,6 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queue(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
-    """One queue per label: its n smallest track ids, numbered from 0."""
-    w = W.partitionBy("label").orderBy("track_id")
-    return tracks(spark, sf_dir).withColumn("pos", (F.row_number().over(w) - 1).cast("long")).filter(F.col("pos") < n).withColumnRenamed("label", "queue_id")
-
-
-def queues(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
     """All tracks: those of each label, by track id, dealt into queues of n; the last queue of a label may be shorter.
 
     Ranks are counted within ranges of ids and shifted by what lies below the range, so that no task sorts a label.

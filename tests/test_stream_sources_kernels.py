@@ -20,39 +20,136 @@ PLAN = {"generation": 1, "index": 0, "start": 500, "next_start": 50, "length": 2
 
 
 def run(*commands):
+    import pandas as pd
+
     s = deck.fresh()
-    notes = [deck.step(s, c, f, json.dumps(a) if a is not None else "") for c, f, a in commands]
-    return s, notes
+    rows = pd.DataFrame([(i, c, f, json.dumps(a) if a is not None else "") for i, (c, f, a) in enumerate(commands)], columns=["seq", "command", "frames", "arg"])
+    return s, list(deck.rows_of(1, s, rows).itertuples())
 
 
 def test_plan_begins_and_promotes_within_one_tick():
-    s, notes = run(("queue", 0, TRACKS), ("plan", 0, PLAN), ("tick", 800, None))
-    assert s["index"] == 1 and s["pos"] == 260 + 100 and s["generation"] == 2 and notes[2][0] == 800
+    _, out = run(("queue", 0, TRACKS), ("plan", 0, PLAN), ("tick", 800, None))
+    r = out[-1]
+    assert r.idx == 1 and r.pos == 260 + 100 and r.generation == 2 and r.consumed == 800
 
 
 def test_seek_snaps_resumes_and_skips():
-    s, notes = run(("queue", 0, TRACKS), ("plan", 0, PLAN), ("seek", 112, None))
-    assert s["pos"] == 100 and not s["transitioning"]
-    s, notes = run(("queue", 0, TRACKS), ("plan", 0, PLAN), ("seek", 610, None))
-    assert s["transitioning"] and (s["tpos"], s["npos"]) == (100, 150)
-    s, notes = run(("queue", 0, TRACKS), ("plan", 0, PLAN), ("seek", 800, None), ("tick", 100, None))
-    assert s["skip"] and s["pos"] == 900 and s["index"] == 0
+    _, out = run(("queue", 0, TRACKS), ("plan", 0, PLAN), ("seek", 112, None))
+    assert out[-1].pos == 100 and not out[-1].transitioning and out[-1].fade_left == deck.FADE_FRAMES
+    _, out = run(("queue", 0, TRACKS), ("plan", 0, PLAN), ("seek", 610, None), ("tick", 30, None))
+    assert out[2].transitioning and (out[2].transition_pos, out[2].next_pos) == (100, 150) and out[3].fade_left == deck.FADE_FRAMES - 30
+    s, out = run(("queue", 0, TRACKS), ("plan", 0, PLAN), ("seek", 800, None), ("tick", 100, None))
+    assert s["skip"] and out[-1].pos == 900 and out[-1].idx == 0
+    assert deck.nearest_beat({"total": 100, "beats": [3, 40, 60]}, 50) == 40
 
 
 def test_order_change_invalidates_next_and_late_plans_are_rejected():
-    s, notes = run(("queue", 0, TRACKS), ("plan", 0, PLAN), ("order", 0, ["a", "c", "b"]), ("plan", 0, PLAN))
-    assert notes[2][1] == "next invalidated" and notes[3][1] == "late plan rejected" and s["plan"] is None
-    s, notes = run(("queue", 0, TRACKS), ("plan", 0, PLAN), ("tick", 600, None), ("order", 0, ["a", "b"]))
-    assert s["transitioning"] and s["plan"] is not None
-    assert run(("queue", 0, TRACKS), ("order", 0, ["b"]))[1][1][1].startswith("error")
+    s, out = run(("queue", 0, TRACKS), ("plan", 0, PLAN), ("order", 0, ["a", "c", "b"]), ("plan", 0, PLAN))
+    assert out[2].note == "next invalidated" and out[3].note == "late plan rejected" and s["plan"] is None
+    s, out = run(("queue", 0, TRACKS), ("plan", 0, PLAN), ("tick", 600, None), ("order", 0, ["a", "b"]), ("tick", 100, None))
+    assert out[3].transitioning and s["plan"] is not None and out[4].idx == 1 and out[4].pos == 260
+    assert run(("queue", 0, TRACKS), ("order", 0, ["b"]))[1][1].note.startswith("error")
 
 
-def test_pause_stop_end_and_deadline():
-    s, notes = run(("queue", 0, TRACKS), ("pause", 0, None), ("tick", 100, None), ("resume", 0, None), ("tick", 5000, None))
-    assert notes[2][0] == 0 and not s["playing"] and s["index"] == 2
+def test_pause_stop_end_volume_and_deadline():
+    _, out = run(("queue", 0, TRACKS), ("pause", 0, None), ("tick", 100, None), ("resume", 0, None), ("tick", 5000, None), ("volume", 0, 3), ("stop", 0, None))
+    assert out[2].consumed == 0 and not out[4].playing and out[4].idx == 2 and out[5].volume == 1.25 and out[6].track is None
     assert [deck.deadline_policy(*x) for x in ((5, 90, False), (60, 90, True), (200, 90, False))] == ["simple", "urgent", "wait"]
 
 
+class FrameByFrame:
+    """What a listener sees, one frame at a time: no timeline and no arithmetic over stretches."""
+
+    def __init__(self):
+        self.queue, self.i, self.pos, self.plan, self.mix, self.skip, self.auto, self.on, self.held, self.gen = [], 0, 0, None, None, False, True, False, False, 0
+
+    def enter_next(self, at):
+        self.i, self.gen, self.plan, self.mix = self.i + 1, self.gen + 1, None, None
+        self.pos = max(0, min(at, self.queue[self.i]["total"] - 1))
+
+    def frame(self) -> bool:
+        """Plays one frame if there is one."""
+        while True:
+            total, after = self.queue[self.i]["total"], self.queue[self.i + 1] if self.i + 1 < len(self.queue) else None
+            if self.mix is None and self.plan and after and self.auto and not self.skip and self.plan["start"] <= total and self.pos >= self.plan["start"]:
+                self.mix = self.pos - self.plan["start"]
+            if self.mix is not None:
+                other = self.plan["next_start"] + self.mix
+                if self.mix < self.plan["length"] and self.pos < total and other < after["total"]:
+                    self.pos, self.mix = self.pos + 1, self.mix + 1
+                    return True
+                self.enter_next(self.plan["resume"] if self.plan["resume"] >= 0 else other)
+            elif self.pos < total:
+                self.pos += 1
+                return True
+            elif after:
+                self.enter_next(after["cue"])
+            else:
+                return False
+
+    def settle(self):
+        """A mix that is over belongs to the next track at once."""
+        if self.mix is not None:
+            after = self.queue[self.i + 1]
+            other = self.plan["next_start"] + self.mix
+            if self.mix >= self.plan["length"] or self.pos >= self.queue[self.i]["total"] or other >= after["total"]:
+                self.enter_next(self.plan["resume"] if self.plan["resume"] >= 0 else other)
+
+    def row(self, command, frames, arg):
+        done = 0
+        if command == "tick" and self.on and not self.held:
+            while done < frames and self.on:
+                self.on = self.frame()
+                done += self.on
+            self.settle()
+        elif command == "queue":
+            self.queue, self.i, self.pos, self.plan, self.mix, self.skip, self.on, self.held, self.gen = arg, 0, 0, None, None, False, True, False, self.gen + 1
+        elif command == "plan" and self.on and arg["generation"] == self.gen and arg["index"] == self.i and self.mix is None:
+            self.plan = arg
+        elif command == "seek" and self.queue:
+            t = self.queue[self.i]
+            self.pos = min(range(0, t["total"], t["beat"]), key=lambda b: (abs(b - max(0, min(frames, t["total"] - 1))), b))
+            self.mix, self.skip = None, False
+            if self.plan and self.i + 1 < len(self.queue):
+                k = self.pos - self.plan["start"]
+                self.mix = k if 0 <= k < self.plan["length"] else None
+                self.skip = k >= self.plan["length"]
+            self.settle()
+        elif command == "next" and self.plan and self.mix is None:
+            self.plan, self.auto = self.plan | {"start": self.pos}, True
+        elif command == "auto":
+            self.auto = bool(frames)
+        elif command in ("pause", "resume"):
+            self.held = command == "pause"
+            self.on = self.on or command == "resume" and bool(self.queue)
+        return self.i, self.pos, self.on, self.mix is not None, self.mix or 0, self.gen, done
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_timeline_equals_frame_by_frame(seed):
+    rng = np.random.default_rng(seed)
+    tracks = [{"id": f"t{i}", "total": int(rng.integers(150, 400)), "beat": int(rng.integers(7, 30)), "cue": int(rng.integers(0, 20))} for i in range(6)]
+    naive, rows, want = FrameByFrame(), [], []
+    for k in range(150):
+        c = "queue" if k == 0 else str(rng.choice(["tick"] * 8 + ["plan", "plan", "seek", "next", "pause", "resume", "auto"]))
+        frames, arg = int(rng.integers(0, 60)), None
+        if c == "queue":
+            arg = tracks
+        elif c == "plan":
+            if naive.mix is not None:
+                continue
+            start = int(rng.integers(0, 150))
+            arg = {"generation": naive.gen, "index": naive.i, "start": naive.pos + start % 60, "next_start": int(rng.integers(0, 50)), "length": int(rng.integers(5, 90)), "resume": int(rng.integers(-1, 2) * 40)}
+        elif c == "auto":
+            frames = int(rng.integers(0, 4) > 0)
+        rows.append((c, frames, arg))
+        want.append(naive.row(c, frames, arg))
+    _, out = run(*rows)
+    got = [(r.idx, r.pos, r.playing, r.transitioning, r.transition_pos, r.generation, r.consumed) for r in out]
+    for k, (x, y) in enumerate(zip(got, want, strict=True)):
+        assert x == y, (k, rows[k], x, y)
+
+
 def test_stream_equals_replay(spark, tmp_path):
     rows = []
     for d in range(3):
