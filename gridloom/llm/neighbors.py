@@ -1,12 +1,13 @@
 """Embedding near-duplicates by dual traversal of cover trees: exact threshold pairs, none of them emitted.
 
-Vectors of equal components collapse first. The upper level is a set of cells around pivots fitted on a bounded
-sample; every vector is in the cell of its nearest pivot, and cells of more than a block's vectors are dealt into
-blocks. Within a block nested levels with radii halving from twice the threshold distance form a cover tree. Two
-blocks meet in one task unless their covering radii part them, and the task walks both trees: a node pair
-further apart than threshold plus radii is pruned, one whose farthest members are near enough is counted whole,
-others descend; leaves are compared in single precision and, near the threshold, again in double precision. A
-task returns, per vector, the number of its links and one link to its local component.
+Vectors of equal components collapse first. The upper levels are cells: the root holds all vectors of one length, and each
+cell of more than two blocks is parted around pivots fitted on a bounded sample of its own, every vector going to the nearest,
+until cells fit or their radii no longer shrink. Pairs of cells descend with them, level by level, as a join: a pair whose
+centres lie further apart than both covering radii and the threshold distance drops out with all pairs below it. What is
+left meets in blocks. Within a block nested levels with radii halving from twice the threshold distance form a cover tree;
+a task walks the trees of two blocks: a node pair further apart than threshold plus radii is pruned, one whose farthest
+members are near enough is counted whole, others descend; leaves are compared in single precision and, near the threshold,
+again in double precision. A task returns, per vector, the number of its links and one link to its local component.
 
 Cases: null, zero, empty and non-finite vectors and those with null components link with nothing; vectors of different
 lengths never link; equal vectors link with one another; a null vec_id is a vector too; repeated rows are vectors
@@ -19,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from . import common
 from .components import components, local_labels
@@ -26,9 +28,12 @@ from .components import components, local_labels
 THRESHOLD = 0.95
 BLOCKS, LEAST_BLOCK, MOST_NUMBERS = 16, 2048, 1 << 21
 """Vectors of a block: 1/BLOCKS of all, at least LEAST_BLOCK, but at most MOST_NUMBERS components: 32,768 vectors of 64."""
-MOST_CELLS = 256
-SAMPLE = 8192
-"""Vectors, the smallest by hash, on which the pivots are fitted; every vector is indexed."""
+FANOUT, DEPTH = 64, 9
+"""Most pivots of a cell, and most levels of cells: 64**9 cells."""
+SAMPLE = 1024
+"""Vectors of a cell, chosen by hash, on which its pivots are fitted; every vector is indexed."""
+SHRINK = 0.8
+"""A cell whose radius is not below this share of its parent's has no clusters to part; its vectors are dealt by hash."""
 LEVELS = 4
 DENSE = 1 << 20
 SLACK = 1e-5
@@ -64,22 +69,22 @@ def cover_levels(u: np.ndarray, radii: list[float]) -> np.ndarray:
     parent = np.zeros(n, dtype=np.int32)
     f = u.astype(np.float32)
     for level, r in enumerate(radii):
-        least = 1 - r * r / 2
         order = np.argsort(parent, kind="stable")
-        cuts = np.flatnonzero(np.diff(parent[order])) + 1
-        for group in np.split(order, cuts):
-            if len(group) == 1:
-                out[group, level] = group
-                continue
-            left = group
+        for group in np.split(order, np.flatnonzero(np.diff(parent[order])) + 1):
             head = parent[group[0]] if level else group[0]
+            left = np.append(head, group[group != head])
             while len(left):
-                c = head if head is not None else left[0]
-                head = None
-                near = f[left] @ f[c] >= least
-                near |= left == c
-                out[left[near], level] = c
-                left = left[~near]
+                # the next vectors that may be centres, in order, against all that are left
+                m = min(len(left), 256)
+                near = f[left] @ f[left[:m]].T >= 1 - r * r / 2
+                centre = np.full(len(left), -1)
+                for j in range(m):
+                    if centre[j] < 0:
+                        centre[near[:, j] & (centre < 0)] = left[j]
+                        centre[j] = left[j]
+                found = centre >= 0
+                out[left[found], level] = centre[found]
+                left = left[~found]
         parent = out[:, level]
     return out
 
@@ -191,49 +196,70 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+def part_cells(vectors: DataFrame, block: int, tau: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Vectors with their leaf cells; the cells (dim, cell, n, blocks); and the pairs of cells that bounds do not part.
+
+    Tables of cells have a row per some thousand vectors; those that are broadcast have no vectors in them.
+    """
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    per_block = F.least(F.lit(block), F.greatest(F.lit(16), F.floor(F.lit(MOST_NUMBERS) / F.col("dim")))).cast("long")
+    celled = vectors.withColumns({"dim": F.size("embedding"), "cell": F.lit(0).cast("long")})
+    cells = celled.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n")).withColumns({"centre": F.lit(None).cast("array<double>"), "radius": F.lit(2.0), "before": F.lit(4.0)})
+    cells = common.save(cells, "near-level")
+    pairs = cells.select("dim", F.col("cell").alias("a"), F.col("cell").alias("b"))
+    for level in range(DEPTH):
+        big = cells.filter((F.col("n") > 2 * per_block) & (F.col("radius") < SHRINK * F.col("before")) & (F.col("radius") > 1e-6))
+        big = common.save(big.select("dim", "cell", "n", F.ceil(F.col("n") / per_block).alias("salts"), F.col("radius").alias("parent_radius")), "near-split")
+        if big.isEmpty():
+            break
+        large = F.broadcast(big)
+        inside = celled.select("dim", "cell", "id", "embedding", "weight").join(large, ["dim", "cell"])
+        drawn = inside.withColumn("h", F.xxhash64("id", F.lit(level))).filter(F.pmod("h", F.lit(1 << 20)) * F.col("n") <= (4 * SAMPLE) << 20)
+        place = F.row_number().over(W.partitionBy("dim", "cell").orderBy("h", "id"))
+        drawn = drawn.withColumn("place", place).filter(F.col("place") <= SAMPLE).select("dim", "cell", "salts", "embedding")
+
+        def fit(table: pa.Table) -> pa.Table:
+            u = unit(matrix(table["embedding"]))
+            chosen = u[farthest_first(u, max(2, min(FANOUT, table["salts"][0].as_py())))]
+            dim, cell = table["dim"][0].as_py(), table["cell"][0].as_py()
+            child = pa.array([cell * FANOUT + i + 1 for i in range(len(chosen))], pa.int64())
+            return pa.table({"dim": pa.array([dim] * len(chosen), pa.int32()), "cell": pa.array([cell] * len(chosen), pa.int64()), "child": child, "centre": pa.array(list(chosen), pa.list_(pa.float64()))})
+
+        pivots = common.save(drawn.groupBy("dim", "cell").applyInArrow(fit, "dim int, cell long, child long, centre array<double>"), "near-pivots")
+        dealt = inside.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(-1)), F.col("salts"))).select("dim", "cell", "salt", "id", "embedding", "weight")
+        copies = pivots.join(large, ["dim", "cell"]).select("dim", "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), "child", "centre")
+
+        def assign(members: pa.Table, around: pa.Table) -> pa.Table:
+            out = {"dim": members["dim"], "id": members["id"], "embedding": members["embedding"], "weight": members["weight"]}
+            if not members.num_rows:
+                return pa.table(out | {"cell": pa.array([], pa.int64()), "off": pa.array([], pa.float64())})
+            g = unit(matrix(members["embedding"])) @ matrix(around["centre"]).T
+            return pa.table(out | {"cell": around["child"].to_numpy()[g.argmax(1)], "off": distance(g.max(1))})
+
+        key = ["dim", "cell", "salt"]
+        moved = dealt.groupBy(*key).cogroup(copies.groupBy(*key)).applyInArrow(assign, f"dim int, id long, embedding {kind}, weight long, cell long, off double")
+        stayed = celled.join(F.broadcast(big.select("dim", "cell")), ["dim", "cell"], "left_anti").select("dim", "id", "embedding", "weight", "cell", F.lit(None).cast("double").alias("off"))
+        celled = common.save(moved.unionByName(stayed), "near-cells")
+        sizes = celled.filter("off IS NOT NULL").groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("off").alias("radius"))
+        children = pivots.join(large, ["dim", "cell"]).select("dim", F.col("cell").alias("parent"), F.col("child").alias("cell"), "centre", F.col("parent_radius").alias("before")).join(sizes, ["dim", "cell"])
+        same = cells.join(F.broadcast(big.select("dim", "cell")), ["dim", "cell"], "left_anti").withColumn("parent", F.col("cell"))
+        grown = common.save(children.unionByName(same), "near-level")
+        side = lambda p, x: grown.select("dim", F.col("parent").alias(x), *(F.col(c).alias(f"{p}_{c}") for c in ("cell", "centre", "radius")))  # noqa: E731, B023
+        met = pairs.join(side("one", "a"), ["dim", "a"]).join(side("two", "b"), ["dim", "b"]).filter("a <> b OR one_cell <= two_cell")
+        dot = F.aggregate(F.zip_with("one_centre", "two_centre", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+        apart = F.sqrt(F.greatest(F.lit(0.0), 2.0 - 2.0 * dot))
+        near = F.coalesce(apart <= F.col("one_radius") + F.col("two_radius") + tau + 1e-6, F.lit(True))
+        pairs = common.save(met.filter(near).select("dim", F.least("one_cell", "two_cell").alias("a"), F.greatest("one_cell", "two_cell").alias("b")), "near-meets")
+        cells = grown.drop("parent")
+    return celled, cells.select("dim", "cell", "n", F.ceil(F.col("n") / per_block).cast("long").alias("blocks")), pairs
+
+
 def near_links(vectors: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """vectors (id long, embedding, weight long) of valid, distinct vectors. Returns (id, links) and edges (u, v)."""
     tau = float(distance(threshold))
     radii = [2 * tau / 2**k for k in range(LEVELS)]
-    sizes = {r["dim"]: r["n"] for r in vectors.groupBy(F.size("embedding").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).limit(1000).collect()}
-    block = max(LEAST_BLOCK, sum(sizes.values()) // BLOCKS)
-    per_block = F.least(F.lit(block), F.greatest(F.lit(16), F.floor(F.lit(MOST_NUMBERS) / F.col("dim"))))
-    pivots = {}
-    for dim, n in sizes.items():
-        k = min(MOST_CELLS, n // (2 * min(block, max(16, MOST_NUMBERS // dim))))
-        if k > 1:
-            rows = vectors.filter(F.size("embedding") == dim).orderBy(F.xxhash64("embedding"), "id").limit(SAMPLE).select("embedding").toArrow()
-            u = unit(matrix(rows["embedding"]))
-            pivots[dim] = u[farthest_first(u, k)]
-
-    def make():
-        def run(rows):
-            cell, off = np.zeros(len(rows), dtype=np.int64), np.zeros(len(rows))
-            by_dim: dict[int, list[int]] = {}
-            for k, r in enumerate(rows):
-                by_dim.setdefault(len(r), []).append(k)
-            for dim, at in by_dim.items():
-                if dim in pivots:
-                    g = unit(np.array([rows[k] for k in at])) @ pivots[dim].T
-                    cell[at] = g.argmax(1)
-                    off[at] = distance(g.max(1))
-                else:
-                    off[at] = 2.0
-            return [cell.tolist(), off.tolist()]
-
-        return run
-
-    celled = common.save(common.scan(vectors, ["id", "embedding", "weight"], ["embedding"], [common.long("cell"), common.double("off")], make).withColumn("dim", F.size("embedding")), "near-cells")
-    # per cell, of which there are MOST_CELLS for a length of vectors: its size and covering radius
-    cells = celled.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("off").alias("radius")).withColumn("blocks", F.ceil(F.col("n") / per_block).cast("long"))
-    cells = common.save(cells, "near-cell-sizes")
-    other = cells.select("dim", *(F.col(c).alias(f"other_{c}") for c in ("cell", "radius", "blocks")))
-    apart = [(dim, i, j, float(distance(p[i] @ p[j]))) for dim, p in pivots.items() for i in range(len(p)) for j in range(i, len(p))]
-    known = celled.sparkSession.createDataFrame(apart or [(-1, 0, 0, 0.0)], "dim int, cell long, other_cell long, apart double")
-    met = cells.join(other, "dim").filter("other_cell >= cell").join(known, ["dim", "cell", "other_cell"], "left")
-    met = met.filter(F.coalesce("apart", F.lit(0.0)) <= F.col("radius") + F.col("other_radius") + tau + 1e-6)
-    meets = common.save(met.select("dim", "cell", "blocks", "other_cell", "other_blocks"), "near-meets")
-    dealt = celled.join(F.broadcast(cells.select("dim", "cell", "blocks")), ["dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).select("dim", "cell", "block", "id", "embedding", "weight")
+    celled, cells, pairs = part_cells(vectors, max(LEAST_BLOCK, vectors.count() // BLOCKS), tau)
+    dealt = celled.join(F.broadcast(cells), ["dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).select("dim", "cell", "block", "id", "embedding", "weight")
 
     def build(table: pa.Table) -> pa.Table:
         table = table.sort_by("id")
@@ -242,16 +268,14 @@ def near_links(vectors: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFr
 
     kind = vectors.schema["embedding"].dataType.simpleString()
     trees = common.save(dealt.groupBy("dim", "cell", "block").applyInArrow(build, f"dim int, cell long, block long, id long, embedding {kind}, weight long, path array<int>"), "near-trees")
-    # each vector goes to every task in which its block meets another: blocks, not vectors, are paired
-    left = F.struct(F.col("cell").alias("c1"), F.col("block").alias("b1"), F.col("other_cell").alias("c2"), F.col("i").alias("b2"))
-    right = F.struct(F.col("other_cell").alias("c1"), F.col("i").alias("b1"), F.col("cell").alias("c2"), F.col("block").alias("b2"))
-    as_first = trees.join(F.broadcast(meets.drop("blocks")), ["dim", "cell"]).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("other_blocks") - 1)))
-    as_first = as_first.filter("other_cell > cell OR i >= block").withColumn("pair", left).withColumn("side", F.lit(0))
-    back = meets.select("dim", F.col("other_cell").alias("cell"), F.col("cell").alias("other_cell"), F.col("blocks").alias("other_blocks"))
-    as_second = trees.join(F.broadcast(back), ["dim", "cell"]).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("other_blocks") - 1)))
-    as_second = as_second.filter("other_cell < cell OR i < block").withColumn("pair", right).withColumn("side", F.lit(1))
-    columns = ["dim", "pair", "side", "id", "embedding", "weight", "path"]
-    tasks = as_first.select(columns).unionAll(as_second.select(columns))
+    # blocks are paired, not vectors: a table of block pairs says to which tasks the vectors of a block go
+    size = lambda c, b: cells.select("dim", F.col("cell").alias(c), F.col("blocks").alias(b))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    both = pairs.join(size("a", "n1"), ["dim", "a"]).join(size("b", "n2"), ["dim", "b"]).withColumn("b1", each("n1")).withColumn("b2", each("n2")).filter("a <> b OR b1 <= b2")
+    pair = F.struct(F.col("a").alias("c1"), "b1", F.col("b").alias("c2"), "b2").alias("pair")
+    first = both.select("dim", F.col("a").alias("cell"), F.col("b1").alias("block"), pair, F.lit(0).alias("side"))
+    second = both.filter("a <> b OR b1 <> b2").select("dim", F.col("b").alias("cell"), F.col("b2").alias("block"), pair, F.lit(1).alias("side"))
+    tasks = trees.join(first.unionAll(second), ["dim", "cell", "block"]).select("dim", "pair", "side", "id", "embedding", "weight", "path")
 
     def dual(table: pa.Table) -> pa.Table:
         table = table.sort_by([("side", "ascending"), ("id", "ascending")])
@@ -273,7 +297,7 @@ def near_links(vectors: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFr
         return pa.table({"id": ids[at], "links": links[at], "root": ids[j.labels[at]]})
 
     found = common.save(tasks.groupBy("dim", "pair").applyInArrow(dual, "id long, links long, root long"), "near-found")
-    common.drop(celled, trees)
+    common.drop(trees)
     return found.groupBy("id").agg(F.sum("links").alias("links")), found.select(F.col("id").alias("u"), F.col("root").alias("v"))
 
 

@@ -356,3 +356,34 @@ def test_sources_are_numbered_over_ranges(spark):
     got = {r.source: r.ordinal for r in mixing.numbered(df, F.col("source").cast("binary").asc_nulls_last()).collect()}
     order = sorted((n for n in names if n is not None), key=str.encode) + [None]
     assert got == {n: i for i, n in enumerate(order)}
+
+
+def test_clustered_vectors_meet_few_blocks(spark, monkeypatch):
+    """Cells part clusters, so that the block pairs left grow with the clusters and not with their square; links stay exact."""
+    monkeypatch.setattr(neighbors, "LEAST_BLOCK", 40)
+    monkeypatch.setattr(neighbors, "BLOCKS", 1000)
+    rng = np.random.default_rng(6)
+    counts = {}
+    for k in (16, 64):
+        base = rng.normal(size=(k, 12))
+        rows = [(int(i), (base[i % k] * 3 + rng.normal(size=12) * 0.2).tolist()) for i in range(60 * k)]
+        df = vectors(spark, rows).select(F.col("vec_id").alias("id"), "embedding", F.lit(1).cast("long").alias("weight"))
+        tau = float(neighbors.distance(0.95))
+        celled, cells, pairs = neighbors.part_cells(df, 40, tau)
+        assert celled.select("id").distinct().count() == len(rows) == cells.agg(F.sum("n")).first()[0]
+        counts[k] = pairs.count() / cells.count()
+        if k == 16:
+            got = sorted(((r.vec_id, r.n_links, r.component_id) for r in neighbors.near_duplicates(vectors(spark, rows)).collect()), key=repr)
+            assert got == brute_links(rows)
+    assert counts[64] < 2 * counts[16] + 4, counts
+
+
+def test_cover_levels_are_nested_and_cover():
+    rng = np.random.default_rng(9)
+    u = neighbors.unit(np.concatenate([rng.normal(size=(700, 6)), rng.normal(size=(1, 6)) + 0.05 * rng.normal(size=(300, 6))]))
+    radii = [0.64, 0.32, 0.16, 0.08]
+    paths = neighbors.cover_levels(u, radii)
+    for level, r in enumerate(radii):
+        assert (neighbors.distance((u * u[paths[:, level]]).sum(1)) <= r + 1e-3).all()
+        centres = np.unique(paths[:, level])
+        assert (paths[centres, level] == centres).all() and (level == 0 or np.isin(paths[:, level - 1], centres).all())
