@@ -14,6 +14,11 @@ def col(x: ColumnLike) -> Column:
     return F.col(x) if isinstance(x, str) else x if isinstance(x, Column) else F.lit(x)
 
 
+def number(x: ColumnLike) -> Column:
+    """A column as it is, any number as a double."""
+    return F.lit(float(x)) if isinstance(x, (int, float)) else col(x)
+
+
 def clip(x: ColumnLike, low: float = 0.0, high: float = 1.0) -> Column:
     return F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), col(x)))
 
@@ -28,12 +33,11 @@ def smootherstep(x: ColumnLike) -> Column:
     return v * v * v * (v * (v * 6.0 - 15.0) + 10.0)
 
 
-def ramp(phase: ColumnLike, start: float, end: float) -> Column:
-    """0 before start, 1 after end, eased between; a step where end <= start."""
-    p = col(phase)
-    if end <= start:
-        return F.when(p >= end, 1.0).otherwise(0.0)
-    return smoothstep((p - start) / (end - start))
+def ramp(phase: ColumnLike, start: ColumnLike | float, end: ColumnLike | float, smoother: bool = True) -> Column:
+    """0 before start, 1 after end, eased between; a step at start where there is no room between."""
+    p, a, b = col(phase), number(start), number(end)
+    ease = smootherstep if smoother else smoothstep
+    return F.when(b <= a + 1e-6, F.when(p >= a, 1.0).otherwise(0.0)).otherwise(ease((p - a) / F.greatest(b - a, F.lit(1e-6))))
 
 
 def equal_power(p: ColumnLike) -> tuple[Column, Column]:

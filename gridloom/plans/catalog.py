@@ -330,7 +330,7 @@ def next_cue(spark, d):
 
 @query("""WITH x AS (SELECT event_id, value / 499.7 AS p, CAST(props ->> '$.k' AS INT) AS k, value AS v FROM events),
 y AS (SELECT *, greatest(0.0, least(1.0, (p - 0.2) / 0.6)) AS q, 60.0 + k * 1.3 AS bpm, 90.0 + v / 5 AS target FROM x)
-SELECT event_id, round(p * p * (3 - 2 * p), 6) + 0.0 AS smooth, round(p * p * p * (p * (p * 6 - 15) + 10), 6) + 0.0 AS smoother, round(q * q * (3 - 2 * q), 6) + 0.0 AS ramp, round(cos(p * pi() / 2), 6) + 0.0 AS gain_out, round(sin(p * pi() / 2), 6) + 0.0 AS gain_in,
+SELECT event_id, round(p * p * (3 - 2 * p), 6) + 0.0 AS smooth, round(p * p * p * (p * (p * 6 - 15) + 10), 6) + 0.0 AS smoother, round(q * q * q * (q * (q * 6 - 15) + 10), 6) + 0.0 AS ramp, round(cos(p * pi() / 2), 6) + 0.0 AS gain_out, round(sin(p * pi() / 2), 6) + 0.0 AS gain_in,
  round(round_even(p * 8, 0) / 8.0, 6) + 0.0 AS stepped, round(20 * log10(greatest(p, 1e-8)), 6) + 0.0 AS db,
  round(CASE WHEN abs(log2(bpm * 0.5 / target)) <= abs(log2(bpm / target)) AND abs(log2(bpm * 0.5 / target)) <= abs(log2(bpm * 2 / target)) THEN bpm * 0.5 WHEN abs(log2(bpm / target)) <= abs(log2(bpm * 2 / target)) THEN bpm ELSE bpm * 2 END, 6) + 0.0 AS related,
  round(greatest(-1.0, least(1.0, CASE WHEN abs(p * 1.3 - 0.1) > 0.86 THEN tanh((p * 1.3 - 0.1) * 1.08) / tanh(1.08) ELSE p * 1.3 - 0.1 END)), 6) + 0.0 AS limited, round(target * exp(ln(bpm / target) * (1 - p * p * p * (p * (p * 6 - 15) + 10))), 6) + 0.0 AS eased,
@@ -972,4 +972,4 @@ def adapted_gains(spark, d):
     return r6(planning.adapted_gains(curves, bands))
 
 
-from . import playback  # noqa: E402, F401  registers its queries
+from . import playback, transitions  # noqa: E402, F401  they register their queries
