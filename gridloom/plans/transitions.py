@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import rendering
+from ..operators import phase, rendering
 from ..sources import projections as P
 from . import catalog as C
 from . import oracle as O
@@ -117,3 +117,76 @@ def best_rendering(spark, d):
     s = _quality(spark, d).join(plans(spark, d).select("pair_id", "style"), "pair_id")
     s = s.select(F.floor(F.col("pair_id") / 3).alias("pair_id"), (F.col("pair_id") % 3).alias("place"), "style", "score")
     return r6(rendering.best_style(s))
+
+
+# phase lock: a user's events are the beats of one hand-over at 4 kHz
+
+RATE = 4000
+
+
+def _beats(spark, d):
+    e, k = P.events(spark, d), F.col("k")
+    pa = F.col("idx") * 2000 + k % 7
+    jitter = F.when(k % 10 == 0, 400).otherwise(k % 40 - 12)
+    beats = e.select(F.col("track_id"), pa.alias("pa"), (pa + 30 + F.floor(F.col("idx") / 4) + k % 23 - 11).alias("pb"), (F.col("idx") % 4 == 0).alias("down"), pa.alias("peak_a"), (pa + 34 + F.floor(F.col("idx") / 4) + jitter).alias("peak_b"), (F.pmod(k * 7, F.lit(50)) / 50.0).alias("prominence"))
+    decks = e.groupBy("track_id").agg((F.count(F.lit(1)) * 2000 + 500).alias("length")).select("track_id", "length", F.lit(2000.0).alias("beat"), F.lit(4).alias("per_bar"))
+    return beats, decks
+
+
+def _fit_sql(rounds: int = 4) -> str:
+    out, last = [], "o0"
+    for i in range(rounds):
+        out.append(f"""m{i} AS (SELECT track_id, x, y, w, attack, rb, sum(rb * x) OVER p / sum(rb) OVER p AS mx, sum(rb * y) OVER p / sum(rb) OVER p AS my FROM {last} WINDOW p AS (PARTITION BY track_id)),
+s{i} AS (SELECT *, sum(rb * (x - mx) * (x - mx)) OVER p AS sxx, sum(rb * (x - mx) * (y - my)) OVER p AS sxy FROM m{i} WINDOW p AS (PARTITION BY track_id)),
+l{i} AS (SELECT *, CASE WHEN sxx > 1e-9 THEN sxy / sxx ELSE 0.0 END AS slope FROM s{i}), r{i} AS (SELECT *, my - slope * mx AS intercept, y - (my - slope * mx) - slope * x AS rs FROM l{i}),
+c{i} AS (SELECT *, median(rs) OVER (PARTITION BY track_id) AS mid FROM r{i}), k{i} AS (SELECT *, 2.5 * 1.4826 * (median(abs(rs - mid)) OVER (PARTITION BY track_id) + 1e-9) + 1 AS cut FROM c{i}),
+o{i + 1} AS (SELECT track_id, x, y, w, attack, slope, intercept, w * CASE WHEN abs(rs) > cut THEN cut / greatest(abs(rs), 1e-9) ELSE 1.0 END AS rb FROM k{i})""")
+        last = f"o{i + 1}"
+    return ",\n".join(out)
+
+
+_MOST, _WIDE, _STEP = 192.0, 352.0, 56.0
+LOCK = f"""{O.EVENTS}, be AS (SELECT track_id, idx * 2000 + k % 7 AS pa, idx * 2000 + k % 7 + 30 + idx // 4 + k % 23 - 11 AS pb, CASE WHEN idx % 4 = 0 THEN 1.8 ELSE 1.0 END AS hv, idx * 2000 + k % 7 + 34 + idx // 4 + CASE WHEN k % 10 = 0 THEN 400 ELSE k % 40 - 12 END AS pk, (k * 7 % 50) / 50.0::DOUBLE AS pr FROM ev),
+dk AS (SELECT track_id, count(*) * 2000 + 500 AS n FROM ev GROUP BY track_id),
+o0 AS (SELECT track_id, (pa + pb) / 2.0::DOUBLE AS x, greatest(-{_MOST}, least({_MOST}, pb - pa))::DOUBLE AS y, (0.38 * hv)::DOUBLE AS w, false AS attack, (0.38 * hv)::DOUBLE AS rb FROM be
+ UNION ALL SELECT track_id, (pa + pb) / 2.0::DOUBLE, greatest(-{_MOST}, least({_MOST}, pk - pa))::DOUBLE, (0.75 + 1.45 * pr) * hv, true, (0.75 + 1.45 * pr) * hv FROM be WHERE pr >= 0.16),
+{_fit_sql()},
+l1_ AS (SELECT DISTINCT track_id, greatest(-{_MOST}, least({_MOST}, intercept)) AS a, slope AS s0, n FROM o4 JOIN dk USING (track_id)),
+ln_ AS (SELECT track_id, a, n, (greatest(-{_WIDE}, least({_WIDE}, a + s0 * (n - 1))) - a) / (n - 1) AS s FROM l1_),
+br AS (SELECT track_id, a, s, n, unnest(range(0, CAST(ceil(n / 8000.0) AS BIGINT) + 1)) AS bar FROM ln_), bx AS (SELECT *, least(n - 1.0::DOUBLE, bar * 8000.0::DOUBLE) AS x FROM br),
+se AS (SELECT b.track_id, bar, o.y, sum(o.rb) OVER (PARTITION BY b.track_id, bar ORDER BY o.y, o.rb ROWS UNBOUNDED PRECEDING) AS c, sum(o.rb) OVER (PARTITION BY b.track_id, bar) AS t FROM bx b JOIN o4 o ON o.track_id = b.track_id AND abs(o.x - b.x) <= 0.72 * 8000 WHERE bar > 0),
+lo AS (SELECT track_id, bar, min(y) AS loc FROM se WHERE c >= 0.5 * t GROUP BY ALL),
+v1 AS (SELECT bx.*, CASE WHEN bar = 0 THEN a WHEN loc IS NULL THEN greatest(-{_WIDE}, least({_WIDE}, a + s * x)) ELSE greatest(-{_WIDE}, least({_WIDE}, 0.72 * loc + 0.28 * (a + s * x))) END AS v, count(*) OVER (PARTITION BY track_id) AS nb FROM bx LEFT JOIN lo USING (track_id, bar)),
+v2 AS (SELECT track_id, bar, x, nb, CASE WHEN nb >= 3 THEN greatest(least(coalesce(lag(v) OVER z, 0.0), v), least(greatest(coalesce(lag(v) OVER z, 0.0), v), coalesce(lead(v) OVER z, 0.0))) ELSE v END AS m FROM v1 WINDOW z AS (PARTITION BY track_id ORDER BY bar)),
+f AS (SELECT track_id, bar, x, m AS y, nb FROM v2 WHERE bar = 0 UNION ALL SELECT d.track_id, d.bar, d.x, f.y + greatest(-{_STEP}, least({_STEP}, d.m - f.y)), d.nb FROM f JOIN v2 d ON d.track_id = f.track_id AND d.bar = f.bar + 1),
+kf AS (SELECT track_id, bar, x, y, nb FROM f WHERE bar = nb - 1 UNION ALL SELECT f.track_id, f.bar, f.x, kf.y + greatest(-{_STEP}, least({_STEP}, f.y - kf.y)), f.nb FROM kf JOIN f ON f.track_id = kf.track_id AND f.bar = kf.bar - 1)"""
+
+
+@query(f"WITH RECURSIVE {LOCK} SELECT track_id, CAST(bar AS INT) AS bar, {r('x')}, round(y, 3) + 0.0 AS y FROM kf")
+def phase_keyframes(spark, d):
+    """Where, bar by bar, the incoming track is moved to, for the hand-over of each user."""
+    beats, decks = _beats(spark, d)
+    return r6(phase.lock(beats, decks, RATE)[0]).withColumn("y", F.round("y", 3) + 0.0)
+
+
+def _at(x: str) -> str:
+    """The correction at a whole sample: between keyframes, released at the end."""
+    return f"""(SELECT p.track_id, p.x, CASE WHEN p.x >= n - 1 THEN 0.0 ELSE (CASE WHEN x0 IS NULL THEN y1 WHEN x1 IS NULL OR x1 <= x0 THEN y0 ELSE y0 + (y1 - y0) * (p.x - x0) / (x1 - x0) END) * (1 - e * e * e * (e * (e * 6 - 15) + 10)) END AS c
+FROM (SELECT q.track_id, q.x, n, greatest(0.0, least(1.0, (q.x - (n - rl)) / greatest(rl - 1, 1))) AS e, arg_max(k.x, (k.x, k.bar)) FILTER (k.x <= q.x) AS x0, arg_max(k.y, (k.x, k.bar)) FILTER (k.x <= q.x) AS y0, arg_min(k.x, (k.x, k.bar)) FILTER (k.x >= q.x) AS x1, arg_min(k.y, (k.x, k.bar)) FILTER (k.x >= q.x) AS y1
+ FROM (SELECT DISTINCT track_id, {x} AS x FROM o4) q JOIN rl USING (track_id) JOIN kf k USING (track_id) GROUP BY q.track_id, q.x, n, rl) p)"""
+
+
+@query(f"""WITH RECURSIVE {LOCK}, rl AS (SELECT track_id, n, greatest(32, least(round_even(least(2500.0, 0.18 * n), 0), greatest(32, n - 1))) AS rl FROM dk),
+e1 AS (SELECT o.*, n, rl, lo_.c + (hi_.c - lo_.c) * (o.x - floor(o.x)) AS c FROM o4 o JOIN rl USING (track_id) JOIN {_at('floor(x)')} lo_ ON lo_.track_id = o.track_id AND lo_.x = floor(o.x) JOIN {_at('floor(x) + 1')} hi_ ON hi_.track_id = o.track_id AND hi_.x = floor(o.x) + 1),
+e2 AS (SELECT *, abs(y) AS bf, abs(y - c) AS af, greatest(rb, 1e-9) AS v, x <= greatest(0.0, n - rl - 500) AS early FROM e1), e3 AS (SELECT * FROM (SELECT *, bool_or(early) OVER (PARTITION BY track_id) AS any_ FROM e2) WHERE early OR NOT any_),
+w1 AS (SELECT track_id, bf, af, sum(v) OVER (PARTITION BY track_id ORDER BY bf, v ROWS UNBOUNDED PRECEDING) AS cb, sum(v) OVER (PARTITION BY track_id ORDER BY af, v ROWS UNBOUNDED PRECEDING) AS ca, sum(v) OVER (PARTITION BY track_id) AS t FROM e3),
+w2 AS (SELECT track_id, min(bf) FILTER (cb >= 0.5 * t) / 4 AS pre_ms, min(af) FILTER (ca >= 0.5 * t) / 4 AS post_ms FROM w1 GROUP BY track_id),
+a1 AS (SELECT *, median(y) OVER (PARTITION BY track_id) AS mid FROM o0 WHERE attack), a2 AS (SELECT track_id, median(abs(y - mid)) AS sp, avg(least(1.0, w / 3)) AS pm FROM a1 GROUP BY track_id),
+cf AS (SELECT w2.*, greatest(0.0, least(1.0, 0.35 + 0.40 * greatest(0.0, least(1.0, 1 - coalesce(sp, {_MOST}) / {_MOST})) + 0.25 * coalesce(pm, 0.0))) AS confidence FROM w2 LEFT JOIN a2 USING (track_id))
+SELECT track_id, round(pre_ms, 4) + 0.0 AS pre_ms, round(post_ms, 4) + 0.0 AS post_ms, {r('confidence')}, round(greatest(0.0, least(1.0, 0.55 + 0.30 * confidence + 0.15 * (1 - least(post_ms / 35, 1.0)))), 5) + 0.0 AS score FROM cf""")
+def phase_quality(spark, d):
+    """How far the beats of each user's hand-over lie apart before and after the shift, and how sure it is."""
+    beats, decks = _beats(spark, d)
+    m = phase.lock(beats, decks, RATE)[1]
+    fine = lambda n, k: F.round(n, k) + 0.0
+    return m.select("track_id", fine("pre_ms", 4).alias("pre_ms"), fine("post_ms", 4).alias("post_ms"), fine("confidence", 6).alias("confidence"), fine("score", 5).alias("score"))
