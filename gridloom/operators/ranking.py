@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -225,7 +226,7 @@ def rank_queue(queue: DataFrame, start: int = 0) -> DataFrame:
             paths = []
             for m, en in zip(ms.to_pylist(), ens.to_pylist(), strict=True):
                 n = len(en)
-                paths.append(list(search.order([m[i * n : i * n + n] for i in range(n)], en, min(start, n - 1))))
+                paths.append(list(search.order(np.reshape(m, (n, n)), en, min(start, n - 1))))
             yield pa.RecordBatch.from_arrays([keys, pa.array(paths, pa.list_(pa.int32()))], names=["queue_id", "path"])
 
     kind = queue.schema["queue_id"].dataType.simpleString()
