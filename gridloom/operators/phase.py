@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.scalar import clip, smootherstep
+from ..functions.scratch import cut
 from ..functions.windows import by_track
 from .timemap import interpolate, median3, slew_limit
 
@@ -95,8 +96,9 @@ def corrections(points: DataFrame, keys: DataFrame, decks: DataFrame) -> DataFra
 
 def lock(beats: DataFrame, decks: DataFrame, rate: int) -> tuple[DataFrame, DataFrame]:
     """Keyframes of the shift, and per track_id how far the beats lay apart before and after it, and how sure that is."""
-    obs = robust_fit(observations(beats, rate))
-    keys = nudges(obs, decks, rate)
+    # both are read several times below
+    obs = cut(robust_fit(observations(beats, rate)), "phase")
+    keys = cut(nudges(obs, decks, rate), "phase")
     o = obs.withColumn("below", F.floor("x").cast("double")).withColumn("above", F.col("below") + 1.0)
     points = o.select("track_id", F.col("below").alias("x")).unionAll(o.select("track_id", F.col("above").alias("x")))
     moved = corrections(points, keys, decks)

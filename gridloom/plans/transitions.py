@@ -162,11 +162,13 @@ f AS (SELECT track_id, bar, x, m AS y, nb FROM v2 WHERE bar = 0 UNION ALL SELECT
 kf AS (SELECT track_id, bar, x, y, nb FROM f WHERE bar = nb - 1 UNION ALL SELECT f.track_id, f.bar, f.x, kf.y + greatest(-{_STEP}, least({_STEP}, f.y - kf.y)), f.nb FROM kf JOIN f ON f.track_id = kf.track_id AND f.bar = kf.bar - 1)"""
 
 
-@query(f"WITH RECURSIVE {LOCK} SELECT track_id, CAST(bar AS INT) AS bar, {r('x')}, round(y, 3) + 0.0 AS y FROM kf")
+@query(f"WITH RECURSIVE {LOCK} SELECT track_id, CAST(bar AS INT) AS bar, {r('x')}, round(y / 1764.0, 6) + 0.0 AS y FROM kf")
 def phase_keyframes(spark, d):
     """Where, bar by bar, the incoming track is moved to, for the hand-over of each user."""
     beats, decks = _beats(spark, d)
-    return r6(phase.lock(beats, decks, RATE)[0]).withColumn("y", F.round("y", 3) + 0.0)
+    keys = phase.lock(beats, decks, RATE)[0]
+    # in frames of 1764 samples: such quotients do not end, so that no rounding falls on a tie
+    return r6(keys.withColumn("y", F.col("y") / 1764.0))
 
 
 def _at(x: str) -> str:
