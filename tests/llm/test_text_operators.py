@@ -387,7 +387,7 @@ def test_toxicity_equals_plain_python(spark):
 def test_cover_takes_gains_of_any_number_of_terms():
     names = [f" t{i} " for i in range(5000)]
     toxic = [{i, (i + 1) % 5000} for i in range(5000)]
-    chosen = toxicity.cover(toxic, [{0}], names)
+    chosen = toxicity.cover(toxic, [{0}], names, set(range(5000)))
     assert " t0 " not in chosen and len(chosen) > 3000
 
 
