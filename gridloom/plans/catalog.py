@@ -972,4 +972,4 @@ def adapted_gains(spark, d):
     return r6(planning.adapted_gains(curves, bands))
 
 
-from . import playback, transitions  # noqa: E402, F401  they register their queries
+from . import models, playback, transitions  # noqa: E402, F401  they register their queries
