@@ -101,37 +101,34 @@ def _field(name: str) -> Column:
     return F.nullif(F.regexp_extract(F.col("warc_header").cast("string"), rf"\r\n{name}: ([^\r]*)\r\n", 1), F.lit(""))
 
 
-def _joined(archive: Archive, payload_columns: list[Column], small: Column | None = None) -> DataFrame:
-    """Each header row with what `payload_columns` make of its payload."""
-    h = archive.headers
-    stored = archive.payloads.select("digest", "copies", *payload_columns)
-    inline = h.filter(F.col("inline").isNotNull()).withColumn("payload", F.col("inline")).select(*h.columns, *payload_columns)
-    total = archive.payloads.agg(F.sum("copies")).first()[0] or 0
-    big = common.join_hot(h.filter(F.col("inline").isNull()), stored, "digest", "copies", total, small).drop("copies")
-    return big.unionByName(inline)
-
-
 def reconstruct(archive: Archive) -> DataFrame:
-    """Exact bytes of every record: header, HTTP header, payload for responses, end of record; and the full payload of each.
+    """(page_id, record): the exact bytes of every record, header, HTTP header, payload for responses, end of record.
 
-    A payload that differs from its digest stops the job.
+    Only responses meet their payload, as a rule one per payload: the header side is hashed, so that payload bytes are moved once
+    and never sorted. A payload that is missing or differs from its digest stops the job.
     """
-    sound = F.sha2("payload", 256) == F.col("digest")
-    checked = F.when(sound, F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("payload differs from its digest "), F.col("digest"))))
-    rows = _joined(archive, [F.col("payload")], F.octet_length("payload") <= BROADCAST_PAYLOAD).withColumn("payload", checked)
-    body = F.when(_field("WARC-Type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
-    return rows.select(
-        "page_id", F.concat("warc_header", "http_header", body, F.lit((CRLF * 2).encode())).alias("record"), F.col("payload")
-    )
+    h = archive.headers.withColumn("revisit", _field("WARC-Type") == "revisit")
+    stored = archive.payloads.select("digest", "copies", "payload")
+    hot = stored.filter((F.col("copies") * common.HOT_SHARE >= archive.payloads.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]) & (F.octet_length("payload") <= BROADCAST_PAYLOAD))
+    wanted = h.filter(~F.col("revisit") & F.col("inline").isNull()).drop("inline")
+    cold = stored.join(F.broadcast(hot.select("digest")), "digest", "left_anti")
+    far = wanted.join(F.broadcast(hot.select("digest")), "digest", "left_anti").hint("shuffle_hash").join(cold, "digest", "left")
+    near = wanted.join(F.broadcast(hot), "digest")
+    small = h.filter(F.col("revisit") | F.col("inline").isNotNull()).withColumnRenamed("inline", "payload")
+    rows = near.unionByName(far).drop("copies").unionByName(small)
+    sound = F.coalesce(F.sha2("payload", 256) == F.col("digest"), F.lit(False))
+    stop = F.raise_error(F.concat(F.lit("payload differs from its digest "), F.col("digest")))
+    body = F.when(F.col("revisit"), F.lit(b"")).when(sound, F.col("payload")).otherwise(stop)
+    return rows.select("page_id", F.concat("warc_header", "http_header", body, F.lit((CRLF * 2).encode())).alias("record"))
 
 
 def read_records(records: DataFrame) -> DataFrame:
     """One row per rebuilt record: what its header says, and the length and digest of the payload in its block, or, of a
-    revisit, of that it refers to. `verified` says that both lengths and the digest are those of the header."""
+    revisit, of that in the record it refers to. `verified` says that lengths and digests are those of the header."""
     text = F.col("record").cast("string")
     head = records.withColumn("warc_header", F.concat(F.substring_index(text, CRLF * 2, 1), F.lit(CRLF)).cast("binary"))
     fields = head.select(
-        "page_id", "record", "payload",
+        "page_id", "record",
         _field("WARC-Type").alias("record_type"),
         _field("WARC-Refers-To-Page").cast("long").alias("refers_to"),
         _field("WARC-Payload-Digest").substr(8, 64).alias("named"),
@@ -139,16 +136,21 @@ def read_records(records: DataFrame) -> DataFrame:
         F.octet_length("warc_header").alias("n_head"),
     )
     block = fields.withColumn("block", F.expr("substring(record, n_head + 3, octet_length(record) - n_head - 6)")).drop("record")
-    n_http = F.octet_length(F.substring_index(F.col("block").cast("string"), CRLF * 2, 1))
-    body = block.withColumn("n_http", n_http).withColumn("body", F.expr("CASE WHEN record_type = 'revisit' THEN payload ELSE substring(block, n_http + 5) END"))
-    digest = F.sha2("body", 256)
-    return body.select(
-        "page_id",
-        F.octet_length("body").cast("long").alias("payload_bytes"),
-        digest.alias("payload_digest"),
-        "record_type",
-        "refers_to",
-        ((digest == F.col("named")) & (F.octet_length("block") == F.col("block_bytes"))).alias("verified"),
+    body = F.expr("substring(block, n_http + 5)")
+    read = block.withColumn("n_http", F.octet_length(F.substring_index(F.col("block").cast("string"), CRLF * 2, 1))).select(
+        "page_id", "record_type", "refers_to", "named", (F.octet_length("block") == F.col("block_bytes")).alias("whole"),
+        F.when(F.col("record_type") == "response", F.octet_length(body).cast("long")).alias("payload_bytes"),
+        F.when(F.col("record_type") == "response", F.sha2(body, 256)).alias("payload_digest"),
+    )
+    # no bytes of payloads from here on
+    read = common.save(read, "warc-read")
+    response, revisit = read.filter("record_type = 'response'"), read.filter("record_type = 'revisit'").drop("payload_bytes", "payload_digest")
+    asked = revisit.groupBy("named").agg(F.count(F.lit(1)).alias("n"))
+    known = response.groupBy("payload_digest").agg(F.first("payload_bytes").alias("payload_bytes")).join(asked, F.col("payload_digest") == F.col("named"))
+    again = common.join_hot(revisit, known.select("named", "payload_digest", "payload_bytes", "n"), "named", "n", revisit.count()).drop("n")
+    return response.unionByName(again).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to",
+        (F.col("whole") & F.coalesce(F.col("payload_digest") == F.col("named"), F.lit(False))).alias("verified"),
     )
 
 
