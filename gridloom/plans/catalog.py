@@ -678,14 +678,15 @@ def rising_targets(spark, d):
 
 
 @query(f"""WITH {O.TRACKS}, s AS (SELECT track_id, unnest(range(0, 64)) AS i, bpm FROM tracks), q AS (SELECT *, (i + 0.5) / 64 AS p FROM s)
-SELECT track_id, CAST(i + 1 AS INT) AS i, round(1000 + (i + 1) * 5512.5, 6) + 0.0 AS source, round(1000 + sum(5512.5 * exp(ln(bpm / 124.0) * (p * p * p * (p * (p * 6 - 15) + 10)))) OVER (PARTITION BY track_id ORDER BY i), 2) + 0.0 AS target FROM q""")
+SELECT track_id, CAST(i + 1 AS INT) AS i, round((1000 + (i + 1) * 5512.5) / 1764, 6) + 0.0 AS source, round((1000 + sum(5512.5 * exp(ln(bpm / 124.0) * (p * p * p * (p * (p * 6 - 15) + 10)))) OVER (PARTITION BY track_id ORDER BY i)) / 1764, 6) + 0.0 AS target FROM q""")
 def tempo_keyframes(spark, d):
     return _keyframes(P.tracks(spark, d))
 
 
 def _keyframes(tracks: DataFrame) -> DataFrame:
     t = tracks.select("track_id", F.lit(1000).alias("start"), F.lit(88200).alias("bar"), F.lit(4).alias("bars"), F.col("bpm").alias("playback_bpm"), F.lit(124.0).alias("original_bpm"))
-    return r6(timemap.restore_keyframes(t)).withColumn("target", F.round("target", 2) + 0.0)
+    # in frames of 1764 samples: such quotients do not end, so that no rounding falls on a tie
+    return r6(timemap.restore_keyframes(t).withColumns({n: F.col(n) / 1764 for n in ("source", "target")}))
 
 
 @query(f"WITH {SAMPLES} SELECT track_id, round(CASE WHEN count(*) < 64 OR sqrt(sum(a * a) * sum(b * b)) <= 1e-9 THEN 0.0 ELSE sum(a * b) / sqrt(sum(a * a) * sum(b * b)) END, 6) + 0.0 AS rho FROM sm GROUP BY track_id")

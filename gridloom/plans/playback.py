@@ -36,10 +36,10 @@ def fallback_ranking(spark, d):
     return ranking.rank_queue(ranking.without_vectors(P.queue(spark, d, 10))).select("queue_id", C._text(F.col("path")).alias("path"))
 
 
-@query(f"WITH {O.EVENTS} SELECT track_id, list_sort(list_distinct(list(value - 100) FILTER (value - 100 >= 0 AND value - 100 < 250))) AS positions FROM ev GROUP BY track_id")
+@query(f"WITH {O.EVENTS}, p AS (SELECT DISTINCT track_id, value - 100 AS x FROM ev WHERE value - 100 >= 0 AND value - 100 < 250) SELECT track_id, CAST(row_number() OVER (PARTITION BY track_id ORDER BY x) - 1 AS INT) AS i, {r('x')} FROM p")
 def clean_positions(spark, d):
     e = P.events(spark, d).groupBy("track_id").agg(F.collect_list(F.when(F.col("k") == 13, F.lit(float("nan"))).otherwise(F.col("value") - 100)).alias("x"), F.collect_list(F.col("value") - 100).alias("y"))
-    return e.select("track_id", timemap.clean_positions(F.concat("x", "y"), F.lit(250.0)).alias("positions"))
+    return r6(e.select("track_id", F.posexplode(timemap.clean_positions(F.concat("x", "y"), F.lit(250.0))).alias("i", "x")))
 
 
 @query(f"""WITH {O.queue(12)}, {O.EVENTS}, cue AS (SELECT DISTINCT track_id FROM ev WHERE event_type = 'purchase' AND value > 450) SELECT queue_id, track_id, pos FROM queue WHERE pos >= 3 AND track_id NOT IN (SELECT track_id FROM cue)""")
