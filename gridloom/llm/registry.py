@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, langid, licenses, minhash, mixing, neighbors, prefixes, secrets, toxicity, warc
+from . import bpe, extraction, fingerprints, langid, licenses, minhash, mixing, neighbors, prefixes, secrets, toxicity, warc
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_neighbors": neighbors.op9_neighbors,
     "op10_minhash": minhash.op10_minhash,
+    "op12_extraction": extraction.op12_extraction,
     "op13_prefixes": prefixes.op13_prefixes,
 }
 
