@@ -37,8 +37,8 @@ MORE_KINDS = {
     "slack": (r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 14, "xox"),
     "google": (r"AIza[0-9A-Za-z_-]{35}", 0, 39, "AIza"),
     "stripe": (r"[sr]k_(?:live|test)_[0-9A-Za-z]{16,}", 0, 24, "k_"),
-    "jwt": (r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 28, "eyJ"),
-    "pem": (r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:\s*+[A-Za-z-]++: [^\r\n]++)*+[A-Za-z0-9+/=\s]++-----END [A-Z ]*PRIVATE KEY-----", 0, 40, "PRIVATE KEY"),
+    "jwt": (r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", 0, 28, "eyJ"),
+    "pem": (r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:\s*+[A-Za-z-]++: (?:(?!-----)[^\r\n])++)*+[A-Za-z0-9+/=\s]++-----END [A-Z ]*PRIVATE KEY-----", 0, 40, "PRIVATE KEY"),
     "url": (r"(?<![a-z0-9+.-])[a-z0-9+.-]++://[^\s:/@]++:[^\s:/@]{3,}+@", 0, 12, "://"),
 }
 """The same with a substring that a text must have. Runs are possessive: no length is bounded and none is walked twice."""
@@ -115,7 +115,7 @@ def scan_secrets(
     verdict is example, live or weak. Candidates are scanned once and kept, without texts, in the shared folder.
     """
     keep = keep or ["doc_id"]
-    named = {f"keep{i}": F.col(f"`{c}`") for i, c in enumerate(keep)}
+    named = {f"keep{i}": common.quoted(c) for i, c in enumerate(keep)}
     base = df.select(*(c.alias(n) for n, c in named.items()), F.col(owner).alias("owner"), F.col(repo).alias("repo"), F.col(text).alias("text"))
     found = common.save(candidates(base, "text", [*named, "owner", "repo"]).withColumn("_row", F.monotonically_increasing_id()), "secrets-found")
     hashes = common.save(ownership(found, "owner", "repo", min_owners, min_repos), "secrets-owners")

@@ -24,7 +24,8 @@ def documents(spark, rows=ROWS, clash: bool = True):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    return df.withColumns({c: F.lit(f"own {c}") for c in CLASHES}) if clash else df
+    odd = {"a.b": F.lit("own a.b"), "a`c": F.lit("own"), "by name": F.create_map(F.lit("k"), F.struct(F.lit(1).alias("n"))), "parts": F.struct(F.lit(1).alias("x.y"), F.array(F.create_map(F.lit(1), F.lit(2))).alias("z"))}
+    return df.withColumns({c: F.lit(f"own {c}") for c in CLASHES} | odd) if clash else df
 
 
 def empty(spark):
@@ -34,4 +35,5 @@ def empty(spark):
 def keeps_values(out) -> None:
     """Columns with names that operators use themselves come out as they went in."""
     for r in out.collect():
-        assert all(r[c] == f"own {c}" for c in CLASHES), r
+        assert all(r[c] == f"own {c}" for c in (*CLASHES, "a.b")), r
+        assert r["by name"]["k"].n == 1 and r["parts"][0] == 1 and r["parts"].z == [{1: 2}], r

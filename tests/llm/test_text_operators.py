@@ -263,6 +263,18 @@ def test_long_keys_and_addresses_are_found_whole():
     assert got["pem"] == key and got["url"] == url
 
 
+@pytest.mark.parametrize("piece", ["eyJ", "eyJaaaaaaaa.", "ghp_a", "xoxb-a", "AIza", "sk_live_a", "-----BEGIN PRIVATE KEY-----", "a: -----BEGIN PRIVATE KEY-----\n", "-----BEGIN PRIVATE KEY-----\na: b\n", "a://b:c", "password", "secret ", "token='", "AKIA", "a0", "g0"])
+def test_time_of_every_kind_grows_with_the_length(piece):
+    import time
+
+    def took(n):
+        start = time.perf_counter()
+        secrets.spans_of(piece * n)
+        return time.perf_counter() - start
+
+    assert took(80_000) < 12 * took(20_000) + 0.3
+
+
 def test_ownership_parts_examples_from_owned_credentials(spark):
     common_key, owned, pair = ("password=" + v for v in ("Tr0ub4dor3xYz12", "q9W8e7R6t5Y4u3", "Zx81Cv72Bn63Mq"))
     rows = [(i, common_key, "en", f"o{i % 4}", 1) for i in range(12)] + [(100 + i, owned, "en", "hot", 1) for i in range(60)]
@@ -387,15 +399,19 @@ def test_toxicity_equals_plain_python(spark):
 def test_cover_takes_gains_of_any_number_of_terms():
     names = [f" t{i} " for i in range(5000)]
     toxic = [{i, (i + 1) % 5000} for i in range(5000)]
-    chosen = toxicity.cover(toxic, [{0}], names, set(range(5000)))
+    chosen = toxicity.cover(toxic, [{0}], names)
     assert " t0 " not in chosen and len(chosen) > 3000
 
 
-def test_toxicity_held_out(spark):
-    d = SMALL.replace("0.001", "0.1")
-    out = toxicity.op7_toxicity(spark, d).join(common.table(spark, d, "labels"), "doc_id").filter("held_out")
-    r = out.agg(F.sum((F.col("toxic") * F.col("predicted"))).alias("tp"), F.sum("toxic").alias("p"), F.sum("predicted").alias("pp")).first()
-    assert r.tp / r.p >= 0.85 and r.tp / r.pp >= 0.95
+@pytest.mark.parametrize(("sf", "auc", "recall"), [("0.01", 0.9, 0.8), ("0.1", 0.955, 0.9)])
+def test_toxicity_held_out(spark, sf, auc, recall):
+    d = SMALL.replace("0.001", sf)
+    rows = toxicity.op7_toxicity(spark, d).join(common.table(spark, d, "labels"), "doc_id").filter("held_out").select("score", "predicted", "toxic").collect()
+    pos, neg = ([r for r in rows if (r.toxic > 0) == y] for y in (True, False))
+    found = sum((p.score > n.score) + 0.5 * (p.score == n.score) for p in pos for n in neg) / (len(pos) * len(neg))
+    caught, alarms = sum(r.predicted for r in pos), sum(r.predicted for r in neg)
+    print(sf, found, caught / len(pos), alarms, len(pos), len(neg))
+    assert found >= auc and caught / len(pos) >= recall and alarms <= 0.05 * max(caught, 20)
 
 
 def test_toxicity_folding_and_exceptions():
