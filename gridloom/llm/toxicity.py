@@ -31,7 +31,7 @@ SAMPLE = 8000
 COVER = 3
 LEAST_GAIN, LEAST_ODDS = 2, 1.5
 NO_HIT = -0.405
-"""A text without hits is not toxic, however many labels say so: its score is at most 0.4."""
+"""A lexicon finds nothing in a text without hits, so it never calls one toxic: its score is at most 0.4, also where all labels are toxic."""
 PREFIXES = (4, 5, 6, 7, 8)
 
 # Lookalikes of a-z that have no decomposition, and substitutions by digits and signs.
@@ -168,8 +168,6 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, exceptions:
         # what the labels say of a seed counts, with the seed's weight as one more witness
         seeds[r["term"]] = float(r["odds"]) + 1.0
     # a term of one document can tell nothing; all others are weighed by the cover
-    error = F.sqrt(1 / (F.col("n_toxic") + 0.5) + 1 / (F.col("n_clean") + 0.5))
-    counts = counts.withColumn("sure", F.col("odds") - 2 * error >= LEAST_ODDS)
     top = counts.filter((F.col("n_toxic") >= 2) & (F.col("odds") >= LEAST_ODDS)).orderBy("term").collect()
     names, weight = [r["term"] for r in top], {r["term"]: float(r["odds"]) for r in top}
     names += [t for t in seeds if t not in weight]
@@ -188,8 +186,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, exceptions:
     rows = common.scan(picked, ["toxic"], ["text"], [T.StructField("idx", T.ArrayType(T.IntegerType())), common.long("n_words")], make).collect()
     toxic = [set(r["idx"]) for r in rows if r["toxic"] > 0]
     clean = [set(r["idx"]) for r in rows if r["toxic"] <= 0]
-    sure = {index[r["term"]] for r in top if r["sure"]} | {index[t] for t in seeds if t not in {r["term"] for r in top}}
-    lexicon = cover(toxic, clean, names, sure)
+    lexicon = cover(toxic, clean, names)
     weights = {t: w for t, w in seeds.items() if w >= LEAST_ODDS} | {t: weight[t] for t in lexicon}
     found = _matches(picked, weights, exceptions, ["toxic"], "text").collect()
     common.drop(picked)
@@ -198,12 +195,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, exceptions:
     return weights, exceptions, logistic(x, y)
 
 
-def cover(toxic: list[set[int]], clean: list[set[int]], names: list[str], sure: set[int]) -> list[str]:
-    """Greedy choice of terms until none would raise the cover of two toxic documents more than thrice its clean ones.
+def cover(toxic: list[set[int]], clean: list[set[int]], names: list[str]) -> list[str]:
+    """Greedy choice of terms until none would raise the cover, up to COVER, of two toxic documents more than thrice its clean ones.
 
-    Sure terms, whose log odds stand two standard errors above the least, cover a document up to COVER times; others only
-    documents that no term covers. Of a word and its beginnings one is chosen. Gains only fall as terms are taken, so a heap
-    of stale gains gives the best.
+    Of a word and its beginnings one is chosen. Gains only fall as terms are taken, so a heap of stale gains gives the best.
     """
     holders: dict[int, list[int]] = {}
     for d, s in enumerate(toxic):
@@ -214,26 +209,25 @@ def cover(toxic: list[set[int]], clean: list[set[int]], names: list[str], sure:
     at = {i: np.array(ds) for i, ds in holders.items()}
     # of equally good terms the longest: a beginning is chosen only if it covers more than a word
     by_name = {i: r for r, i in enumerate(sorted(holders, key=lambda i: (len(holders[i]), len(names[i]), names[i]), reverse=True))}
-    for most, terms_now in ((COVER, [i for i in holders if i in sure]), (1, [i for i in holders if i not in sure])):
-        gain = lambda i: int((covered[at[i]] < most).sum()) - 3 * against[i]  # noqa: E731, B023
-        heap = [(-gain(i), by_name[i], i) for i in terms_now]
-        heapq.heapify(heap)
-        while heap:
-            stale, rank, i = heapq.heappop(heap)
-            now = gain(i)
-            if now < LEAST_GAIN:
-                continue
-            if -stale != now:
-                heapq.heappush(heap, (-now, rank, i))
-                continue
-            name = names[i]
-            if name in starts or any(name[:k] in taken for k in range(1, len(name) + 1)):
-                continue
-            entry = name.rstrip(f" {PLAIN}") if len(name) > 9 else name
-            taken.add(entry)
-            starts.update(entry[:k] for k in range(1, len(entry) + 1))
-            out.append(name)
-            covered[at[i]] += 1
+    gain = lambda i: int((covered[at[i]] < COVER).sum()) - 3 * against[i]
+    heap = [(-gain(i), by_name[i], i) for i in holders]
+    heapq.heapify(heap)
+    while heap:
+        stale, rank, i = heapq.heappop(heap)
+        now = gain(i)
+        if now < LEAST_GAIN:
+            continue
+        if -stale != now:
+            heapq.heappush(heap, (-now, rank, i))
+            continue
+        name = names[i]
+        if name in starts or any(name[:k] in taken for k in range(1, len(name) + 1)):
+            continue
+        entry = name.rstrip(f" {PLAIN}") if len(name) > 9 else name
+        taken.add(entry)
+        starts.update(entry[:k] for k in range(1, len(entry) + 1))
+        out.append(name)
+        covered[at[i]] += 1
     return out
 
 
