@@ -63,7 +63,18 @@ def free(columns: Iterable[str], *wanted: str) -> list[str]:
 
 def same(df: DataFrame) -> list[Column]:
     """The columns of df as they are, whatever their names."""
-    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+    return [quoted(c) for c in df.columns]
+
+
+def quoted(name: str) -> Column:
+    """The column of that very name, dots and all."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash over all columns of any type: those that hold maps, which have no hash, count by their JSON."""
+    holds_map = lambda f: "map<" in f.dataType.simpleString()
+    return F.xxhash64(*(F.to_json(F.struct(c)) if holds_map(f) else c for c, f in zip(same(df), df.schema.fields, strict=True)))
 
 
 def drop(*tables: DataFrame) -> None:
@@ -100,24 +111,28 @@ def scan(
     make() runs once per task, so it can build automata or caches there. Nulls reach the function as None.
     """
     keep, inputs = list(keep), list(inputs)
-    src = df.select(*dict.fromkeys([*keep, *inputs]))
-    schema = T.StructType([*(src.schema[c] for c in keep), *fields])
+    # mapInArrow takes columns by name, unquoted: they have plain names meanwhile
+    plain = {c: f"c{i}" for i, c in enumerate(dict.fromkeys([*keep, *inputs]))}
+    src = df.select(*(quoted(c).alias(n) for c, n in plain.items()))
+    schema = T.StructType([*(src.schema[plain[c]] for c in keep), *(T.StructField(f"f{i}", f.dataType) for i, f in enumerate(fields))])
     from pyspark.sql.pandas.types import to_arrow_type
 
     types = [to_arrow_type(f.dataType) for f in fields]
     names = [f.name for f in schema]
+    kept, read = [plain[c] for c in keep], [plain[c] for c in inputs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         # parts of batches: Python objects of a few hundred rows at a time
         for b in (whole.slice(i, SLICE) for whole in batches for i in range(0, whole.num_rows, SLICE)):
-            out = f(*(b.column(c).to_pylist() for c in inputs))
-            cols = [b.column(c) for c in keep] + [
+            out = f(*(b.column(c).to_pylist() for c in read))
+            cols = [b.column(c) for c in kept] + [
                 x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(out, types, strict=True)
             ]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return src.mapInArrow(run, schema)
+    final = [*keep, *(f.name for f in fields)]
+    return src.mapInArrow(run, schema).select(*(F.col(n).alias(c) for n, c in zip(names, final, strict=True)))
 
 
 def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, small: Column | None = None) -> DataFrame:

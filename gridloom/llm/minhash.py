@@ -519,7 +519,7 @@ def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     kept = c.groupBy("component").agg(best.alias("b")).select(F.coalesce("b.doc_id", F.lit(-(1 << 63))).alias(d), F.col("b.text_key").alias(k))
     keyed = docs.withColumns({d: F.coalesce("doc_id", F.lit(-(1 << 63))), k: F.xxhash64(F.coalesce("text", F.lit("")))})
     # of rows that differ in other columns alone the one with the least digest stays, whatever the run
-    one = W.partitionBy(d, k).orderBy(F.xxhash64(*common.same(docs)))
+    one = W.partitionBy(d, k).orderBy(common.row_hash(docs))
     chosen = keyed.join(kept, [d, k], "left_semi").withColumn(n, F.row_number().over(one)).filter(F.col(n) == 1)
     return chosen.select(*common.same(docs))
 

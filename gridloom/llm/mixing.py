@@ -173,7 +173,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def take(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """docs with each row repeated as often as the mix takes it; all columns."""
     row, place, copies, i = common.free(docs.columns, "mix_row", "mix_place", "mix_copies", "mix_i")
-    parts = (F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256), F.xxhash64(*common.same(docs)).cast("string"))
+    parts = (F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256), common.row_hash(docs).cast("string"))
     same = W.partitionBy(row).orderBy(row)
     keyed = docs.withColumn(row, F.sha2(F.concat_ws(":", *parts), 256))
     plan = mix(keyed.select(row, "source", "text"), F.col(row), weights).select(F.col("key").alias(row), F.col("copies").alias(copies))
