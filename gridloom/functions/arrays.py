@@ -65,14 +65,13 @@ def linspace(start: Column, stop: Column, n: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), n - 1), lambda i: start + i * step)
 
 
-def around(a: Column, position: Column, positions: Column, radius: int) -> Column:
-    """Slice of a within radius of the element whose position is nearest, the first of equals."""
+def nearest_at(position: Column, positions: Column) -> Column:
+    """Place, from 1, of the nearest position, the first of equals; null without positions."""
     d = F.transform(positions, lambda p: F.abs(p - position))
-    at = F.array_position(d, F.array_min(d)).cast("int")
-    low = F.greatest(at - radius, F.lit(1))
-    return F.slice(a, low, F.least(at + radius, F.size(a)) - low + 1)
+    return F.nullif(F.array_position(d, F.array_min(d)).cast("int"), F.lit(0))
 
 
-def nearest(a: Column, position: Column, positions: Column) -> Column:
-    d = F.transform(positions, lambda p: F.abs(p - position))
-    return F.get(a, (F.array_position(d, F.array_min(d)) - 1).cast("int"))
+def around(a: Column, at: Column, radius: int) -> Column:
+    """Slice of a within radius of its place `at`, from 1."""
+    low = F.greatest(at - radius, F.lit(1))
+    return F.slice(a, low, F.greatest(F.least(at + radius, F.size(a)) - low + 1, F.lit(0)))

@@ -82,19 +82,25 @@ def semantic_terms(candidates: DataFrame, profiles: DataFrame) -> DataFrame:
 
     profiles (track_id, global, timeline, positions). The middle of each slice picks the nearest window of the timeline.
     """
-    side = lambda p: profiles.select(F.col("track_id").alias(f"{p}_track"), *[F.col(c).alias(f"{p}_{c}") for c in ("global", "timeline", "positions")])
-    c = candidates.join(side("a"), "a_track", "left").join(side("b"), "b_track", "left")
-    at = lambda start, n: clip((F.col(start) + 0.5 * F.col("bars")) / F.greatest(F.col(n), F.lit(1)))
-    pa, pb = at("exit", "a_n"), at("entry", "b_n")
+    tracks, ends = ("a_track", "b_track"), ("a_at", "b_at")
+    places = lambda p: profiles.select(F.col("track_id").alias(f"{p}_track"), F.col("positions").alias(f"{p}_positions"))
+    middle = lambda start, n: clip((F.col(start) + 0.5 * F.col("bars")) / F.greatest(F.col(n), F.lit(1)))
+    at = lambda p, start: F.coalesce(arrays.nearest_at(middle(start, f"{p}_n"), F.col(f"{p}_positions")), F.lit(0))
+    c = candidates.join(places("a"), "a_track", "left").join(places("b"), "b_track", "left").withColumns({"a_at": at("a", "exit"), "b_at": at("b", "entry")})
+    # candidates of a pair share few pairs of windows: vectors travel and align once for each of those
+    side = lambda p: profiles.select(F.col("track_id").alias(f"{p}_track"), F.col("global").alias(f"{p}_global"), F.col("timeline").alias(f"{p}_timeline"))
+    w = c.select(*tracks, *ends).distinct().join(side("a"), "a_track", "left").join(side("b"), "b_track", "left")
     known = F.coalesce((F.size("a_global") > 0) & (F.size("b_global") > 0), F.lit(False))
     half = lambda x: F.when(known, x).otherwise(0.5)
-    near = lambda p, x: F.coalesce(arrays.nearest(F.col(f"{p}_timeline"), x, F.col(f"{p}_positions")), F.col(f"{p}_global"))
-    walk = lambda p, x: arrays.around(F.col(f"{p}_timeline"), x, F.col(f"{p}_positions"), 1)
-    return c.withColumns({
-        "style": half(arrays.cosine_similarity(F.col("a_global"), F.col("b_global"))),
-        "segment": half(arrays.cosine_similarity(near("a", pa), near("b", pb))),
-        "trajectory": half(arrays.dtw_similarity(walk("a", pa), walk("b", pb), 0.5)),
-    }).select(*candidates.columns, "style", "segment", "trajectory")
+    near = lambda p: F.coalesce(F.get(f"{p}_timeline", F.col(f"{p}_at") - 1), F.col(f"{p}_global"))
+    walk = lambda p: arrays.around(F.col(f"{p}_timeline"), F.col(f"{p}_at"), 1)
+    terms = w.select(
+        *tracks, *ends,
+        half(arrays.cosine_similarity(F.col("a_global"), F.col("b_global"))).alias("style"),
+        half(arrays.cosine_similarity(near("a"), near("b"))).alias("segment"),
+        half(arrays.dtw_similarity(walk("a"), walk("b"), 0.5)).alias("trajectory"),
+    )
+    return c.join(terms, [*tracks, *ends]).select(*candidates.columns, "style", "segment", "trajectory")
 
 
 def style_fit(role_a: Column, role_b: Column, intent: Column) -> dict[str, Column]:

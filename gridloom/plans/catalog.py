@@ -556,7 +556,7 @@ def _score_sql() -> str:
     # Candidates expand to one row per bar of the slice; every term is an aggregate of those rows.
     cosr = lambda k: f"CASE WHEN sqrt(list_dot_product(ac, ac)) * sqrt(list_dot_product({k}, {k})) > 1e-9 THEN list_dot_product(ac, {k}) / (sqrt(list_dot_product(ac, ac)) * sqrt(list_dot_product({k}, {k}))) END"
     sung = "('VOCAL','VERSE','CHORUS')"
-    return f"""{MIXB.format(x=6, y=5)},
+    return f"""{MIXB.format(x=32, y=24)},
 cx AS (SELECT *, greatest(0.0, least(1.0, 0.5 * CASE WHEN lag(role) OVER w IS NULL THEN 1.0 WHEN role <> lag(role) OVER w OR function <> lag(function) OVER w THEN 1.0 ELSE 0.0 END + 0.28 * boundary + 0.22 * phrase)) AS edge,
  CASE WHEN role <> 'DROP' THEN bar - max(CASE WHEN role = 'DROP' THEN bar END) OVER ({PT} ORDER BY bar ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) END AS since,
  coalesce(lead(role) OVER w <> role, true) AS lastrun, {O.unit('rms', 0.05, 0.95, PT, 0.5)} AS pol, {O.unit('rms', 0.1, 0.9, PT)} AS mat FROM mb WINDOW w AS ({PT} ORDER BY bar)),
@@ -590,7 +590,7 @@ _TERMS = ("continuity", "harmonic", "rhythm", "brightness", "bass_clean", "vocal
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     b = mix_bars(spark, d)
     pairs = neighbour_pairs(b)
-    c = matching.candidates(pairs, b, exits=6, entries=5)
+    c = matching.candidates(pairs, b)
     unknown = {n: F.lit(None).cast("double") for n in ("key_score", "edm_confidence", "style", "segment", "trajectory")}
     return matching.score_candidates(c, b, pairs.withColumns(unknown))
 
@@ -606,7 +606,7 @@ def handover_best(spark, d):
     return r6(matching.best_candidate(_scored(spark, d)).select("pair_id", "exit", "entry", "bars", "intent", "score"))
 
 
-@query(f"""WITH {MIXB.format(x=6, y=5)}, cx AS (SELECT *, greatest(0.0, least(1.0, 0.5 * CASE WHEN lag(role) OVER w IS NULL THEN 1.0 WHEN role <> lag(role) OVER w OR function <> lag(function) OVER w THEN 1.0 ELSE 0.0 END + 0.28 * boundary + 0.22 * phrase)) AS edge,
+@query(f"""WITH {MIXB.format(x=32, y=24)}, cx AS (SELECT *, greatest(0.0, least(1.0, 0.5 * CASE WHEN lag(role) OVER w IS NULL THEN 1.0 WHEN role <> lag(role) OVER w OR function <> lag(function) OVER w THEN 1.0 ELSE 0.0 END + 0.28 * boundary + 0.22 * phrase)) AS edge,
  CASE WHEN role <> 'DROP' THEN bar - max(CASE WHEN role = 'DROP' THEN bar END) OVER ({PT} ORDER BY bar ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) END AS since, CASE WHEN coalesce(lead(role) OVER w <> role, true) THEN bar END AS lr FROM mb WINDOW w AS ({PT} ORDER BY bar)),
 cu AS (SELECT *, least(min(lr) OVER ({PT} ORDER BY bar ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - bar + 1, 17) AS until FROM cx)
 SELECT track_id, bar, round(greatest(0.0, least(1.0, 0.78 * CASE WHEN role = 'DROP' AND until <= 2 THEN greatest(0.58, 0.16 + 0) ELSE CASE role WHEN 'BREAKDOWN' THEN 0.90 WHEN 'SECTION' THEN 0.58 WHEN 'BUILDUP' THEN 0.34 WHEN 'DROP' THEN 0.16 ELSE 0.48 END + CASE WHEN since IS NULL THEN 0.0 ELSE 0.24 * exp(-0.35 * greatest(0, since - 1)) END END + 0.22 * edge)), 6) + 0.0 AS prior_out,
@@ -859,7 +859,7 @@ def clip_features(spark, d):
 # plans
 
 
-@query(f"""WITH {MIXB.format(x=6, y=5)}, el AS (SELECT track_id, bar, start_sample - 88200 >= 0 AND start_sample + 44100 < 80 * 88200 - 500000 AS ok FROM mb WHERE cue >= 0.34)
+@query(f"""WITH {MIXB.format(x=32, y=24)}, el AS (SELECT track_id, bar, start_sample - 88200 >= 0 AND start_sample + 44100 < 80 * 88200 - 500000 AS ok FROM mb WHERE cue >= 0.34)
 SELECT track_id, bar, ok FROM (SELECT *, bool_or(ok) OVER (PARTITION BY track_id) AS anyok FROM el) WHERE ok OR NOT anyok""")
 def feasible_cues(spark, d):
     from ..operators import planning
@@ -869,7 +869,7 @@ def feasible_cues(spark, d):
     return out.select("track_id", "bar", ((F.col("start_sample") - 88200 >= 0) & (F.col("start_sample") + 44100 < total)).alias("ok"))
 
 
-@query(f"""WITH {MIXB.format(x=6, y=5)}, q AS (SELECT *, count(*) OVER w2 AS c2, avg(greatest(rms, 0.0)) OVER w2 AS lr, avg(onset) OVER w2 AS lo, avg(vocal) OVER w2 AS lv, quantile_cont(greatest(rms, 0.0), 0.5) OVER (PARTITION BY track_id) AS md FROM mb WINDOW w2 AS (PARTITION BY track_id ORDER BY bar ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING)),
+@query(f"""WITH {MIXB.format(x=32, y=24)}, q AS (SELECT *, count(*) OVER w2 AS c2, avg(greatest(rms, 0.0)) OVER w2 AS lr, avg(onset) OVER w2 AS lo, avg(vocal) OVER w2 AS lv, quantile_cont(greatest(rms, 0.0), 0.5) OVER (PARTITION BY track_id) AS md FROM mb WINDOW w2 AS (PARTITION BY track_id ORDER BY bar ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING)),
 e AS (SELECT *, greatest(0.0, least(1.0, 0.34 * greatest(0.0, least(1.0, mix_in)) + 0.27 * greatest(0.0, least(1.0, 1 - exp(-lr / (md + 1e-8)))) + 0.22 * greatest(0.0, least(1.0, (70 * 88200 - start_sample) / (8.0 * 22050))) + 0.11 * greatest(0.0, least(1.0, lo)) + 0.06 * (1 - 0.35 * greatest(0.0, least(1.0, lv))))) AS quality FROM q),
 el AS (SELECT *, start_sample + 22050 < 70 * 88200 AS ok FROM e WHERE cue >= 0.34), s AS (SELECT * FROM (SELECT *, bool_or(ok) OVER (PARTITION BY track_id) AS anyok FROM el) WHERE ok OR NOT anyok),
 rk AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY quality DESC, mix_in DESC, bar) AS r FROM s) SELECT track_id, bar, {r('quality')} FROM rk WHERE r <= 5""")
@@ -886,7 +886,7 @@ def _semantic_sql() -> str:
         steps.append(f"s{name} AS (SELECT *, CASE WHEN {name[1]} <= len(wa) AND {name[2]} <= len(wb) THEN {e} END AS {name} FROM {last})")
         last = f"s{name}"
     corner = "CASE WHEN len(wa) = 3 AND len(wb) = 3 THEN c33 WHEN len(wa) = 2 AND len(wb) = 3 THEN c23 WHEN len(wa) = 3 AND len(wb) = 2 THEN c32 ELSE c22 END"
-    return f"""WITH {O.TRACKS}, {MIXB.format(x=6, y=5).lstrip().removeprefix(',').strip()}, pos AS (SELECT [0.125, 0.375, 0.625, 0.875]::DOUBLE[] AS ps),
+    return f"""WITH {O.TRACKS}, {MIXB.format(x=32, y=24).lstrip().removeprefix(',').strip()}, pos AS (SELECT [0.125, 0.375, 0.625, 0.875]::DOUBLE[] AS ps),
 j AS (SELECT c.*, (exit + 0.5 * bars) / ca.n AS xa, (entry + 0.5 * bars) / cb.n AS xb, a.g AS ga, b.g AS gb, a.timeline AS la, b.timeline AS lb FROM cands c JOIN ct ca ON ca.track_id = a_track JOIN ct cb ON cb.track_id = b_track JOIN tracks a ON a.track_id = a_track JOIN tracks b ON b.track_id = b_track),
 i AS (SELECT j.*, list_position(list_transform(ps, lambda p: abs(p - xa)), list_min(list_transform(ps, lambda p: abs(p - xa)))) AS ia, list_position(list_transform(ps, lambda p: abs(p - xb)), list_min(list_transform(ps, lambda p: abs(p - xb)))) AS ib FROM j, pos),
 w AS (SELECT *, la[greatest(1, ia - 1):least(4, ia + 1)] AS wa, lb[greatest(1, ib - 1):least(4, ib + 1)] AS wb FROM i), {', '.join(steps)}
@@ -903,7 +903,7 @@ def _semantic(spark: SparkSession, d: str) -> DataFrame:
 
     b = mix_bars(spark, d)
     n = b.groupBy("track_id").agg(F.count(F.lit(1)).alias("n"))
-    c = matching.candidates(neighbour_pairs(b), b, exits=6, entries=5)
+    c = matching.candidates(neighbour_pairs(b), b)
     c = c.join(n.select(F.col("track_id").alias("a_track"), F.col("n").alias("a_n")), "a_track").join(n.select(F.col("track_id").alias("b_track"), F.col("n").alias("b_n")), "b_track")
     positions = F.array(*map(F.lit, (0.125, 0.375, 0.625, 0.875)))
     profiles = P.tracks(spark, d).select("track_id", "global", "timeline", positions.alias("positions"))

@@ -121,14 +121,14 @@ def unit_vectors(spark, d):
     return r6(t.select("track_id", F.posexplode(arrays.l2_normalize(F.col("v"))).alias("i", "x")))
 
 
-@query(f"""WITH {C.MIXB.format(x=6, y=5)}, xx AS (SELECT track_id, max(exit) AS e FROM ex GROUP BY track_id), nn AS (SELECT track_id, min(entry) AS s FROM et GROUP BY track_id), few AS (SELECT * FROM cands WHERE bars = 16 AND exit % 2 = 0)
+@query(f"""WITH {C.MIXB.format(x=32, y=24)}, xx AS (SELECT track_id, max(exit) AS e FROM ex GROUP BY track_id), nn AS (SELECT track_id, min(entry) AS s FROM et GROUP BY track_id), few AS (SELECT * FROM cands WHERE bars = 16 AND exit % 23 = 7)
 SELECT pair_id, a_track, b_track, exit, entry, bars FROM few UNION ALL SELECT pair_id, a_track, b_track, e, s, CAST(greatest(1, least(a.n - e, b.n - s, 4)) AS INT) FROM pairs JOIN xx ON xx.track_id = a_track JOIN nn ON nn.track_id = b_track JOIN ct a ON a.track_id = a_track JOIN ct b ON b.track_id = b_track WHERE pair_id NOT IN (SELECT pair_id FROM few)""")
 def fallback_candidates(spark, d):
-    """Candidates of 16 bars from even bars; a pair without any gets its last exit and first entry."""
+    """Candidates of 16 bars that leave at bars of one residue; a pair without any gets its last exit and first entry."""
     b = C.mix_bars(spark, d)
     pairs = C.neighbour_pairs(b)
-    few = matching.candidates(pairs, b, (16,), 6, 5).filter("exit % 2 = 0")
-    leave, enter = matching.ends(b, 6, 5)
+    few = matching.candidates(pairs, b, (16,)).filter("exit % 23 = 7")
+    leave, enter = matching.ends(b)
     return planning.or_fallback(few, leave, enter, pairs).select("pair_id", "a_track", "b_track", "exit", "entry", "bars")
 
 
