@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import spectra
+from ..operators import filters, spectra
 from ..sources import projections as P
 from . import oracle as O
 from .catalog import query, r, r6
@@ -170,3 +172,67 @@ def stretched_signals(spark, d):
     """Every signal along its time map."""
     out = spectra.stretched(signal(spark, d), _keyframes(spark, d), SIZE)
     return out.select("track_id", "i", (F.round("x", 5) + 0.0).alias("x"))
+
+
+# filters and rates
+
+FILTER_RATE, BASS, HIGH = 8192.0, 220.0, 2600.0
+
+
+def _recursive_sql() -> str:
+    """All four sections of both filters, sample by sample."""
+    low, high = filters.butterworth("low", BASS / (FILTER_RATE / 2)), filters.butterworth("high", HIGH / (FILTER_RATE / 2))
+    sections = [*low, *high]
+
+    def step(old: str, state) -> str:
+        # names of one step begin with its own letter, so that none means the step before
+        out, x = [], "s.x"
+        for n, (b0, b1, b2, a1, a2) in enumerate(sections, 1):
+            p, q = state(n)
+            out += [f"{b0!r} * {x} + {p} AS {old}y{n}", f"{b1!r} * {x} - ({a1!r}) * {old}y{n} + {q} AS {old}p{n}", f"{b2!r} * {x} - ({a2!r}) * {old}y{n} AS {old}q{n}"]
+            x = {1: f"{old}y1", 2: f"(s.x - {old}y2)", 3: f"{old}y3", 4: ""}[n]
+        return ", ".join(out)
+
+    return f"""rf AS (SELECT s.track_id, s.i, s.x, {step("a", lambda n: ("0.0::DOUBLE", "0.0::DOUBLE"))} FROM sig s WHERE s.i = 0
+UNION ALL SELECT s.track_id, s.i, s.x, {step("b", lambda n: (f"f.ap{n}", f"f.aq{n}"))} FROM rf f JOIN sig s ON s.track_id = f.track_id AND s.i = f.i + 1)"""
+
+
+@query(f"WITH RECURSIVE {SIGNAL}, {_recursive_sql()} SELECT track_id, i, round(x, 6) + 0.0 AS x, round(ay2, 6) + 0.0 AS low, round(x - ay2 - ay4, 6) + 0.0 AS mid, round(ay4, 6) + 0.0 AS high FROM rf")
+def band_split(spark, d):
+    """Every signal in three bands that add up to it."""
+    return r6(filters.three_bands(signal(spark, d), FILTER_RATE, BASS, HIGH))
+
+
+def resampling_sql(source: str, name: str, rate: int, to: int, half: int = 16) -> str:
+    g = math.gcd(rate, to)
+    up, down = to // g, rate // g
+    cut = f"{min(1.0, up / down)!r}::DOUBLE"
+    reach = f"{half / min(1.0, up / down)!r}::DOUBLE"
+    return f"""{name}w AS (SELECT phase, tap, tap - phase / {up}.0::DOUBLE AS d FROM range(0, {up}) a(phase), range(-{math.ceil(half * max(1.0, down / up))}, {math.ceil(half * max(1.0, down / up)) + 1}) b(tap)),
+{name}v AS (SELECT phase, tap, (0.42 + 0.5 * cos(pi() * d / {reach}) + 0.08 * cos(2 * pi() * d / {reach})) * CASE WHEN d = 0 THEN 1.0 ELSE sin(pi() * {cut} * d) / (pi() * {cut} * d) END AS w FROM {name}w WHERE abs(d) < {reach}),
+{name}b AS (SELECT phase, tap, w / sum(w) OVER (PARTITION BY phase) AS w FROM {name}v),
+{name}m AS (SELECT track_id, unnest(range(0, CAST(ceil(n * {up} / {down}.0::DOUBLE) AS BIGINT))) AS m FROM (SELECT track_id, count(*) AS n FROM {source} GROUP BY track_id)),
+{name} AS (SELECT t.track_id, t.m AS i, sum(s.x * b.w) AS x FROM {name}m t JOIN {name}b b ON b.phase = (t.m * {down}) % {up} JOIN {source} s ON s.track_id = t.track_id AND s.i = (t.m * {down}) // {up} + b.tap GROUP BY ALL)"""
+
+
+MODEL_RATES = (44_100, 24_000, 22_050)
+
+
+@query("WITH " + SIGNAL + ", " + ", ".join(resampling_sql("sig", f"r{to}", 32_000, to) for to in MODEL_RATES) + " " + " UNION ALL ".join(f"SELECT track_id, {to} AS rate, i, round(x, 6) + 0.0 AS x FROM r{to}" for to in MODEL_RATES))
+def resampled_signals(spark, d):
+    """Every signal, as if taken at 32 kHz, at the rates that models ask for."""
+    s = signal(spark, d)
+    out = None
+    for to in MODEL_RATES:
+        part = filters.resampled(s, 32_000, to).select("track_id", F.lit(to).alias("rate"), "i", "x")
+        out = part if out is None else out.unionByName(part)
+    return r6(out)
+
+
+@query(f"""WITH {O.EVENTS}, sig AS (SELECT track_id, idx AS i, (value / 250.0::DOUBLE - 1 + k / 50.0::DOUBLE - 1) / 2 AS x FROM ev), {resampling_sql("sig", "rs", 80, 120)}, nn AS (SELECT track_id, max(i) + 1 AS n FROM rs GROUP BY track_id)
+SELECT track_id, i, round(x, 6) + 0.0 AS x FROM rs UNION ALL SELECT track_id, unnest(range(n, 120)) AS i, 0.0 AS x FROM nn WHERE n < 120""")
+def padded_scans(spark, d):
+    """Two channels to one, from 80 to 120 samples a second, at least a second long."""
+    e = P.events(spark, d)
+    both = e.select("track_id", F.col("idx").alias("i"), F.explode(F.array(F.col("value") / 250.0 - 1, F.col("k") / 50.0 - 1)).alias("x"))
+    return r6(filters.padded(filters.resampled(filters.mono(both), 80, 120), 120))
