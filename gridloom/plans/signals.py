@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import filters, spectra
+from ..operators import filters, seam, spectra
 from ..sources import projections as P
 from . import oracle as O
 from .catalog import query, r, r6
@@ -236,3 +236,25 @@ def padded_scans(spark, d):
     e = P.events(spark, d)
     both = e.select("track_id", F.col("idx").alias("i"), F.explode(F.array(F.col("value") / 250.0 - 1, F.col("k") / 50.0 - 1)).alias("x"))
     return r6(filters.padded(filters.resampled(filters.mono(both), 80, 120), 120))
+
+
+# seams
+
+
+def _seams(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    s = signal(spark, d)
+    t = s.select("track_id").distinct()
+    pairs = t.select(F.col("track_id").alias("pair_id"), F.col("track_id").alias("a_track"), (F.col("track_id") + 1).alias("b_track"))
+    return seam.seam_crossfade(pairs, s, SIZE, HOP, RATE)
+
+
+@query()
+def spectral_seams(spark, d):
+    """Least cut of every neighbouring pair, and where its seam lies."""
+    return r6(_seams(spark, d)[1])
+
+
+@query()
+def seam_mixes(spark, d):
+    """Samples of every neighbouring pair faded along its seam."""
+    return r6(_seams(spark, d)[0])
