@@ -251,7 +251,7 @@ def stretched(signal: DataFrame, keyframes: DataFrame, size: int, strict: bool =
     """(track_id, i, x) along a time map by a phase vocoder: magnitudes between frames, wrapped phase steps summed by a window per bin."""
     from .timemap import interpolate
 
-    hop, bins = size // 4, size // 2 + 1
+    hop = size // 4
     lengths = signal.groupBy("track_id").agg(F.count(F.lit(1)).alias("length"))
     tmap = valid_map(keyframes, lengths, strict)
     ends = tmap.groupBy("track_id").agg(F.max("target").alias("length"), F.max("source").alias("n"))
@@ -261,19 +261,30 @@ def stretched(signal: DataFrame, keyframes: DataFrame, size: int, strict: bool =
     at = points.join(interpolate(points.select("track_id", "x").distinct(), keys), ["track_id", "x"])
     step = F.least(F.greatest(F.col("y") / hop, F.lit(0.0)), F.col("n_frames") - 0.001)
     at = at.select("track_id", "o", F.floor(step).alias("frame"), (step - F.floor(step)).alias("alpha"))
-    s = spectrum(signal, size, hop)
-    left = at.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))).join(s, [*FRAME, "k"], "left")
-    right = s.select("track_id", (F.col("frame") - 1).alias("frame"), "k", F.col("re").alias("re1"), F.col("im").alias("im1"))
+    return limited(resynthesis(vocoded(spectrum(signal, size, hop), at, size, hop), ends.select("track_id", "length"), size, hop))
+
+
+def vocoded(spectra: DataFrame, at: DataFrame, size: int, hop: int, phase_first: bool = True) -> DataFrame:
+    """Spectra of new frames o that lie `alpha` after `frame`, of at (track_id, o, frame, alpha).
+
+    Each takes the step of its own place, or, not phase_first, the steps of those before.
+    """
+    bins = size // 2 + 1
+    left = at.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))).join(spectra, [*FRAME, "k"], "left")
+    right = spectra.select("track_id", (F.col("frame") - 1).alias("frame"), "k", F.col("re").alias("re1"), F.col("im").alias("im1"))
     both = left.join(right, [*FRAME, "k"], "left").fillna(0.0, ["re", "im", "re1", "im1"])
     a, b = F.col("alpha"), 1.0 - F.col("alpha")
     size_of = lambda x, y: F.sqrt(F.col(x) * F.col(x) + F.col(y) * F.col(y))
     angle = lambda x, y: F.atan2(F.col(y), F.col(x))
     advance = F.col("k") * (math.pi * hop / (bins - 1))
     moved = angle("re1", "im1") - angle("re", "im") - advance
-    wrapped = moved - 2 * math.pi * F.bround(moved / (2 * math.pi))
-    first = F.atan2(b * F.col("im") + a * F.col("im1"), b * F.col("re") + a * F.col("re1"))
-    along = W.partitionBy("track_id", "k").orderBy("o").rowsBetween(W.unboundedPreceding, W.currentRow)
-    phase = F.sum(F.when(F.col("o") == 0, first).otherwise(advance + wrapped)).over(along)
+    step = advance + moved - 2 * math.pi * F.bround(moved / (2 * math.pi))
+    along = W.partitionBy("track_id", "k").orderBy("o")
+    if phase_first:
+        first = F.atan2(b * F.col("im") + a * F.col("im1"), b * F.col("re") + a * F.col("re1"))
+        phase = F.sum(F.when(F.col("o") == 0, first).otherwise(step)).over(along.rowsBetween(W.unboundedPreceding, W.currentRow))
+    else:
+        first = F.first(angle("re", "im")).over(along.rowsBetween(W.unboundedPreceding, W.currentRow))
+        phase = first + F.coalesce(F.sum(step).over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
     polar = both.withColumns({"m": b * size_of("re", "im") + a * size_of("re1", "im1"), "phase": phase})
-    out = polar.select("track_id", F.col("o").alias("frame"), "k", (F.col("m") * F.cos("phase")).alias("re"), (F.col("m") * F.sin("phase")).alias("im"))
-    return limited(resynthesis(out, ends.select("track_id", "length"), size, hop))
+    return polar.select("track_id", F.col("o").alias("frame"), "k", (F.col("m") * F.cos("phase")).alias("re"), (F.col("m") * F.sin("phase")).alias("im"))

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import filters, seam, spectra
+from ..operators import filters, seam, spectra, stretch
 from ..sources import projections as P
 from . import oracle as O
 from .catalog import query, r, r6
@@ -258,3 +258,36 @@ def spectral_seams(spark, d):
 def seam_mixes(spark, d):
     """Samples of every neighbouring pair faded along its seam."""
     return r6(_seams(spark, d)[0])
+
+
+# one rate
+
+STEP, AROUND = 4, 8
+
+
+def _overlap_sql(rate: float, name: str) -> str:
+    """The chain of places as a recursion over lists, then frames added up."""
+    frame = 4 * STEP
+    clip = "greatest(0, least(ls, CAST(round_even(e, 0) AS BIGINT)))"
+    centred = lambda a: f"list_transform({a}, lambda v: v - list_avg({a}))"
+    norm = lambda a: f"(sqrt(list_dot_product({a}, {a})) + 1e-9)"
+    return f"""{name}l AS (SELECT track_id, list(x ORDER BY i) || list_transform(range({frame}), lambda z: 0.0::DOUBLE) AS xs, count(*) AS n, greatest(0, count(*) - {frame}) AS ls, greatest(1, CAST(round_even(count(*) / {rate!r}::DOUBLE, 0) AS BIGINT)) AS length FROM sig GROUP BY track_id),
+{name}c AS (SELECT track_id, 0 AS o, 0::BIGINT AS pl FROM {name}l UNION ALL
+ SELECT track_id, o + 1, (SELECT arg_max(t, (list_dot_product(hd, tail) / ({norm('tail')} * {norm('hd')}), -t)) FROM (SELECT t, {centred(f'xs[t + 1:t + {frame - STEP}]')} AS hd FROM (SELECT unnest(range(greatest(0, p - {AROUND}), least(ls, p + {AROUND}) + 1)) AS t)))
+ FROM (SELECT *, {clip} AS p, {centred(f'xs[pl + {STEP} + 1:pl + {frame}]')} AS tail FROM (SELECT c.track_id, o, pl, xs, ls, length, pl + {STEP * rate!r}::DOUBLE AS e FROM {name}c c JOIN {name}l USING (track_id) WHERE (o + 1) * {STEP} < length))),
+{name}a AS (SELECT track_id, o * {STEP} + j AS i, sum(coalesce(xs[pl + j + 1], 0) * w) / greatest(sum(w), 1e-5) AS x FROM (SELECT *, sqrt(0.5 - 0.5 * cos(2 * pi() * j / {frame - 1}) + 1e-8) AS w FROM {name}c, range(0, {frame}) b(j)) JOIN {name}l USING (track_id) GROUP BY ALL),
+{name} AS (SELECT track_id, i, coalesce(x, 0.0) AS x FROM (SELECT track_id, unnest(range(0, length)) AS i FROM {name}l) LEFT JOIN {name}a USING (track_id, i))"""
+
+
+@query("WITH RECURSIVE " + SIGNAL + ", " + ", ".join(_overlap_sql(x, f"o{k}") for k, x in enumerate((1.25, 0.8))) + " SELECT track_id, 1.25::DOUBLE AS rate, i, round(x, 6) + 0.0 AS x FROM o0 UNION ALL SELECT track_id, 0.8::DOUBLE AS rate, i, round(x, 6) + 0.0 AS x FROM o1")
+def overlap_stretch(spark, d):
+    """Every signal faster and slower, by chained frames."""
+    s = signal(spark, d)
+    one = lambda rate: stretch.stretch(s, rate, "overlap", frame=4 * STEP, hop=STEP, radius=AROUND).withColumn("rate", F.lit(rate))
+    return r6(one(1.25).unionByName(one(0.8)).select("track_id", "rate", "i", "x"))
+
+
+@query()
+def hybrid_stretch(spark, d):
+    """Every signal a quarter faster: its steady part by the vocoder, its struck part by chained frames."""
+    return r6(stretch.stretch(signal(spark, d), 1.25, size=SIZE, width=WIDTH, frame=4 * STEP, radius=AROUND))
