@@ -111,12 +111,36 @@ def transition_quality(spark, d):
     return r6(_quality(spark, d))
 
 
-@query(f"WITH {QUALITY}, g AS (SELECT pair_id // 3 AS g, pair_id % 3 AS place, style, score FROM q2), k AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY score DESC, place) AS rk FROM g) SELECT g AS pair_id, style, {r('score')} FROM k WHERE rk = 1")
+VARIANTS = 3
+"""Renderings of one pair: one in each style, named by pair_id * VARIANTS + place."""
+
+
+def _variants(df, place=None):
+    """df once for each style; with `place`, the style too."""
+    each = df.withColumn("v", F.explode(F.array(*map(F.lit, range(VARIANTS)))))
+    if place:
+        each = each.withColumn("style", F.element_at(F.array(*map(F.lit, rendering.BASS_BEATS)), F.col("v") + 1))
+    return each.withColumn("pair_id", F.col("pair_id") * VARIANTS + F.col("v")).drop("v")
+
+
+def _best_sql() -> str:
+    """The terms again, for every pair in every style."""
+    q = QUALITY.replace("FROM ev JOIN nn USING (track_id)),", "FROM ev JOIN nn USING (track_id)), one_ AS (SELECT * FROM st1),", 1)
+    q = q.replace("st AS (SELECT track_id AS pair_id,", "st1 AS (SELECT track_id AS pair_id,", 1)
+    many = f"one_ AS (SELECT 1), st AS (SELECT s.* EXCLUDE (pair_id, style), s.pair_id * {VARIANTS} + v AS pair_id, {list(rendering.BASS_BEATS)}[v + 1] AS style FROM st1 s, range(0, {VARIANTS}) x(v)),"
+    q = q.replace("one_ AS (SELECT * FROM st1),", many, 1)
+    q = q.replace("fr AS (SELECT track_id AS pair_id,", "fr1 AS (SELECT track_id AS pair_id,", 1).replace(" FROM ev),\nf1 AS", f" FROM ev), fr AS (SELECT f.* EXCLUDE (pair_id), f.pair_id * {VARIANTS} + v AS pair_id FROM fr1 f, range(0, {VARIANTS}) x(v)),\nf1 AS", 1)
+    return q.replace("(pair_id % 13 / 12.0)", f"(pair_id // {VARIANTS} % 13 / 12.0)", 1)
+
+
+@query(f"WITH {_best_sql()}, k AS (SELECT *, row_number() OVER (PARTITION BY pair_id // {VARIANTS} ORDER BY score DESC, pair_id) AS rk FROM q2) SELECT pair_id // {VARIANTS} AS pair_id, style, {r('score')} FROM k WHERE rk = 1")
 def best_rendering(spark, d):
-    """Of three renderings, those of three neighbouring users, the best."""
-    s = _quality(spark, d).join(plans(spark, d).select("pair_id", "style"), "pair_id")
-    s = s.select(F.floor(F.col("pair_id") / 3).alias("pair_id"), (F.col("pair_id") % 3).alias("place"), "style", "score")
-    return r6(rendering.best_style(s))
+    """Of three renderings of each pair, one in each style, the best."""
+    p = _variants(plans(spark, d), place=True)
+    curves = rendering.render(_variants(stems(spark, d)), p)
+    context = p.select("pair_id", (F.floor(F.col("pair_id") / VARIANTS) % 13 / 12.0).alias("context"), "vocal_risk")
+    s = rendering.quality(_variants(_frames(spark, d)), curves, context).join(p.select("pair_id", "style"), "pair_id")
+    return r6(rendering.best_style(s.select(F.floor(F.col("pair_id") / VARIANTS).alias("pair_id"), (F.col("pair_id") % VARIANTS).alias("place"), "style", "score")))
 
 
 # phase lock: a user's events are the beats of one hand-over at 4 kHz
