@@ -166,7 +166,7 @@ def bar_features(features: DataFrame, bars: DataFrame, rate: float) -> DataFrame
     along = W.partitionBy("track_id").orderBy("t", F.col("b").isNull()).rowsBetween(W.unboundedPreceding, W.currentRow)
     after = W.partitionBy("track_id").orderBy("t", F.col("b").isNotNull()).rowsBetween(W.currentRow, W.unboundedFollowing)
     frame = F.when(F.col("b").isNull(), F.struct("t", *cols))
-    both = f.withColumn("b", F.lit(None).cast(b.schema["b"].dataType)).unionByName(b)
+    both = f.withColumn("b", F.lit(None).cast(b.schema["b"].dataType)).unionByName(b).repartition("track_id")
     both = both.withColumns({"in": F.last("b", True).over(along), "before": F.last(frame, True).over(along), "after": F.first(frame, True).over(after)})
     inside = both.filter(F.col("b").isNull() & (F.col("t") < F.col("in.end")))
     means = inside.groupBy("track_id", F.col("in.bar").alias("bar")).agg(*[F.avg(c).alias(c) for c in cols])
@@ -233,18 +233,21 @@ def valid_map(keyframes: DataFrame, lengths: DataFrame, strict: bool = False) ->
     Keyframes outside of the signal are left out; of equal sources the least target counts; the map goes on to the end with its
     last slope; a target that does not rise is raised to one more than the one before. `strict` stops the job there.
     """
-    k = keyframes.join(lengths, "track_id").filter((F.col("source") >= 0) & (F.col("source") <= F.col("length")) & (F.col("target") >= 0))
-    first = lengths.filter("length > 0").select("track_id", F.lit(0).cast("long").alias("source"), F.lit(0).cast("long").alias("target"))
-    known = k.select("track_id", F.col("source").cast("long").alias("source"), F.col("target").cast("long").alias("target")).groupBy("track_id", "source").agg(F.min("target").alias("target"))
-    started = known.unionByName(first.join(known.filter("source = 0").select("track_id"), "track_id", "left_anti"))
-    w = by_track().orderBy("source")
-    slope = F.coalesce((F.col("target") - F.lag("target").over(w)) / F.greatest(F.col("source") - F.lag("source").over(w), F.lit(1)), F.lit(1.0))
-    last = started.withColumns({"slope": slope, "next": F.lead("source").over(w)}).filter("next IS NULL").join(lengths, "track_id").filter("source < length")
-    end = last.select("track_id", F.col("length").cast("long").alias("source"), (F.col("target") + F.bround((F.col("length") - F.col("source")) * F.col("slope")).cast("long")).alias("target"))
-    every = started.unionByName(end).withColumn("i", F.row_number().over(w))
-    raised = (F.max(F.col("target") - F.col("i")).over(w) + F.col("i")).cast("long")
+    known = keyframes.filter((F.col("source") >= 0) & (F.col("target") >= 0)).groupBy("track_id", F.col("source").cast("long").alias("source")).agg(F.min("target").cast("long").alias("target"))
+    # the keyframes of one recording: an array that its two ends are added to
+    maps = lengths.join(known.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("source", "target"))).alias("k")), "track_id", "left").filter("length > 0")
+    point = lambda x, y: F.struct(x.cast("long").alias("source"), y.cast("long").alias("target"))
+    inside = F.filter(F.coalesce("k", F.array().cast("array<struct<source:bigint,target:bigint>>")), lambda p: p["source"] <= F.col("length"))
+    maps = maps.withColumn("k", inside)
+    maps = maps.withColumn("k", F.when(F.coalesce(F.get("k", F.lit(0))["source"] == 0, F.lit(False)), F.col("k")).otherwise(F.concat(F.array(point(F.lit(0), F.lit(0))), "k")))
+    last, before = F.element_at("k", -1), F.get("k", F.size("k") - 2)
+    slope = F.coalesce((last["target"] - before["target"]) / F.greatest(last["source"] - before["source"], F.lit(1)), F.lit(1.0))
+    end = point(F.col("length"), last["target"] + F.bround((F.col("length") - last["source"]) * slope))
+    maps = maps.withColumn("k", F.when(last["source"] == F.col("length"), F.col("k")).otherwise(F.concat("k", F.array(end))))
+    every = maps.select("track_id", F.posexplode("k").alias("i", "p")).select("track_id", "i", "p.source", "p.target")
+    raised = (F.max(F.col("target") - F.col("i")).over(by_track().orderBy("i")) + F.col("i")).cast("long")
     stop = F.raise_error(F.concat(F.lit("time map turns back in track "), F.col("track_id").cast("string"))).cast("long")
-    return every.select("track_id", "source", F.when(raised == F.col("target"), raised).otherwise(stop if strict else raised).alias("target"))
+    return every.withColumn("raised", raised).select("track_id", "source", F.when(F.col("raised") == F.col("target"), F.col("raised")).otherwise(stop if strict else F.col("raised")).alias("target"))
 
 
 def stretched(signal: DataFrame, keyframes: DataFrame, size: int, strict: bool = False) -> DataFrame:

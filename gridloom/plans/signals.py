@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import filters, seam, spectra, stretch
+from ..operators import filters, seam, spectra, stretch, timemap
 from ..sources import projections as P
 from . import oracle as O
 from .catalog import query, r, r6
@@ -291,3 +291,28 @@ def overlap_stretch(spark, d):
 def hybrid_stretch(spark, d):
     """Every signal a quarter faster: its steady part by the vocoder, its struck part by chained frames."""
     return r6(stretch.stretch(signal(spark, d), 1.25, size=SIZE, width=WIDTH, frame=4 * STEP, radius=AROUND))
+
+
+# launch nudges
+
+MOST, GUARD, SHORTEST, LEAST = 9, 2, 40, 32
+
+
+@query(f"""WITH {O.EVENTS}, en AS (SELECT track_id, idx, value / 500.0::DOUBLE AS a, (value + 3 * k) / 800.0::DOUBLE AS b, count(*) OVER (PARTITION BY track_id) AS n FROM ev),
+ab AS (SELECT *, CAST(least({MOST}, greatest(1, n // 5)) AS INT) AS most FROM en WHERE n >= {SHORTEST}),
+la AS (SELECT x.track_id, x.n, g.lag, x.a, y.b, 1.35 - 0.60 * least(x.idx, x.idx + g.lag) / greatest(x.n - abs(g.lag) - 1, 1) AS w FROM ab x, (SELECT unnest(range(-{MOST}, {MOST + 1})) AS lag) g JOIN ab y ON TRUE WHERE y.track_id = x.track_id AND y.idx = x.idx + g.lag AND abs(g.lag) <= x.most),
+sc AS (SELECT track_id, lag, CASE WHEN max(n) - abs(lag) < {LEAST} THEN -1.0 ELSE sum(w * a * b) / (sqrt(sum(w * a * a) * sum(w * b * b)) + 1e-12) END AS s FROM la GROUP BY track_id, lag),
+be AS (SELECT track_id, arg_max(lag, (s, -lag)) AS lag, max(s) AS s FROM sc GROUP BY track_id),
+se AS (SELECT be.track_id, any_value(be.lag) AS lag, any_value(be.s) AS s, max(CASE WHEN abs(sc.lag - be.lag) <= {GUARD} THEN -1.0 ELSE sc.s END) AS second FROM be JOIN sc USING (track_id) GROUP BY be.track_id),
+co AS (SELECT track_id, lag, greatest(0.0, least(1.0, 0.65 * greatest(0.0, least(1.0, s)) + 0.35 * greatest(0.0, least(1.0, (s - second) / 0.18)))) AS confidence FROM se)
+SELECT t.track_id, CAST(CASE WHEN confidence >= 0.18 THEN lag ELSE 0 END AS INT) AS lag, round(coalesce(confidence, 0.0), 6) + 0.0 AS confidence FROM (SELECT DISTINCT track_id FROM ev) t LEFT JOIN co USING (track_id)""")
+def micro_alignment(spark, d):
+    """Launch nudge of every track and how sure it is."""
+    e = P.events(spark, d).select("track_id", "idx", (F.col("value") / 500.0).alias("a"), ((F.col("value") + 3 * F.col("k")) / 800.0).alias("b"))
+    return r6(timemap.micro_alignment(e, MOST, GUARD, SHORTEST, LEAST))
+
+
+@query()
+def struck_envelopes(spark, d):
+    """Rises of the low band of every signal, as if taken at 1,024 samples a second."""
+    return r6(filters.struck(signal(spark, d), 1024.0))
