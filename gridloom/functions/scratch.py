@@ -11,6 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 _written: list[tuple[SparkSession, str]] = []
 
 
+def folder(spark: SparkSession, tag: str) -> str:
+    """A new folder in spark.checkpoint.dir, or a temporary one where none is named and executors run in this process; removed at exit."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="gridloom-")
+    path = f"{base.rstrip('/')}/gridloom-{tag}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def cut(df: DataFrame, tag: str = "level") -> DataFrame:
     """df written to a table in spark.checkpoint.dir and read again; checkpoint() in a folder of our own where none is named."""
     spark = df.sparkSession

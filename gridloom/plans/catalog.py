@@ -973,4 +973,4 @@ def adapted_gains(spark, d):
     return r6(planning.adapted_gains(curves, bands))
 
 
-from . import models, playback, signals, transitions  # noqa: E402, F401  they register their queries
+from . import models, playback, signals, stores, transitions  # noqa: E402, F401  they register their queries
