@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 from ..functions import arrays
 
@@ -70,3 +76,29 @@ def segments(results: DataFrame) -> DataFrame:
     """(track_id, seg, start, end, label, confidence) of results (track_id, segments): labels in lower case, each wholly sure."""
     s = results.select("track_id", F.posexplode("segments").alias("seg", "s"))
     return s.select("track_id", "seg", F.col("s.start").cast("double").alias("start"), F.col("s.end").cast("double").alias("end"), F.lower("s.label").alias("label"), F.lit(1.0).alias("confidence"))
+
+
+# beats by a model
+
+BATCH = 6
+BEAT, NEAR = 0.5, 2
+
+
+def activations(windows: DataFrame, make_model: Callable[[], Callable[[np.ndarray], np.ndarray]], size: int, batch: int = BATCH) -> DataFrame:
+    """(track_id, frame, beat, down): a model's two outputs for each of windows (track_id, frame, x array of `size`).
+
+    make_model runs once per Python worker and returns a function from (n, size) to (n, 2); n is `batch`, less at the end of a
+    partition's Arrow batch, so that no window is padded or left out.
+    """
+    predict = predict_batch_udf(make_model, return_type=T.ArrayType(T.DoubleType()), batch_size=batch, input_tensor_shapes=[[size]])
+    out = windows.select("track_id", "frame", predict("x").alias("y"))
+    return out.select("track_id", "frame", F.get("y", F.lit(0)).alias("beat"), F.get("y", F.lit(1)).alias("down"))
+
+
+def beats(scored: DataFrame, step: float, threshold: float = BEAT, near: int = NEAR) -> DataFrame:
+    """(track_id, t, score, down) where the beat output is the first of the largest within `near` frames and reaches the threshold."""
+    w = W.partitionBy("track_id").orderBy("frame")
+    before, after = F.max("beat").over(w.rowsBetween(-near, -1)), F.max("beat").over(w.rowsBetween(1, near))
+    s = scored.withColumns({"before": F.coalesce(before, F.lit(-1.0)), "after": F.coalesce(after, F.lit(-1.0))})
+    top = s.filter((F.col("beat") >= threshold) & (F.col("beat") > F.col("before")) & (F.col("beat") >= F.col("after")))
+    return top.select("track_id", (F.col("frame") * step).alias("t"), F.col("beat").alias("score"), (F.col("down") >= threshold).alias("down"))

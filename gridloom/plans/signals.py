@@ -179,9 +179,9 @@ def stretched_signals(spark, d):
 FILTER_RATE, BASS, HIGH = 8192.0, 220.0, 2600.0
 
 
-def _recursive_sql() -> str:
+def _recursive_sql(bass: float = BASS / (FILTER_RATE / 2), top: float = HIGH / (FILTER_RATE / 2)) -> str:
     """All four sections of both filters, sample by sample."""
-    low, high = filters.butterworth("low", BASS / (FILTER_RATE / 2)), filters.butterworth("high", HIGH / (FILTER_RATE / 2))
+    low, high = filters.butterworth("low", bass), filters.butterworth("high", top)
     sections = [*low, *high]
 
     def step(old: str, state) -> str:

@@ -35,9 +35,9 @@ def write_entries(entries: DataFrame, path: str) -> None:
     entries.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model", "config").parquet(path)
 
 
-def missing(files: DataFrame, cached: DataFrame) -> DataFrame:
+def missing(files: DataFrame, cached: DataFrame, by: list[str] | None = None) -> DataFrame:
     """What is still to be analysed."""
-    return files.join(cached, "key", "left_anti")
+    return files.join(cached, by or ["key"], "left_anti")
 
 
 def upsert(queue: DataFrame, loaded: DataFrame) -> DataFrame:
