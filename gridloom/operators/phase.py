@@ -71,7 +71,12 @@ def nudges(fitted: DataFrame, decks: DataFrame, rate: int) -> DataFrame:
     line = line.withColumn("slope", (clip(F.col("intercept") + F.col("slope") * last, -widest, widest) - F.col("intercept")) / last).withColumn("span", F.col("beat") * F.col("per_bar"))
     bars = line.withColumn("bar", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.col("length") / F.greatest("span", F.lit(1.0))).cast("int")))))
     bars = bars.withColumn("x", F.least(F.col("length") - 1.0, F.col("bar") * F.col("span"))).withColumn("model", F.col("intercept") + F.col("slope") * F.col("x"))
-    seen = bars.filter("bar > 0").select("track_id", "bar", "span", F.col("x").alias("centre")).join(fitted.select("track_id", F.col("x").alias("at"), "y", "robust"), "track_id").filter("abs(at - centre) <= 0.72 * span")
+    # a bar meets the observations of the stretches that it reaches, each one bar long
+    stretch = lambda x: F.floor(x / F.greatest("span", F.lit(1.0)))
+    reach = 0.72 * F.col("span")
+    near = bars.filter("bar > 0").select("track_id", "bar", "span", F.col("x").alias("centre"), F.explode(F.sequence(stretch(F.col("x") - reach), stretch(F.col("x") + reach))).alias("stretch"))
+    given = fitted.select("track_id", F.col("x").alias("at"), "y", "robust").join(decks.select("track_id", (F.col("beat") * F.col("per_bar")).alias("span")), "track_id").select("track_id", stretch(F.col("at")).alias("stretch"), "at", "y", "robust")
+    seen = near.join(given, ["track_id", "stretch"]).filter("abs(at - centre) <= 0.72 * span")
     local = lower_median(seen, ["track_id", "bar"], "y", "robust", "local")
     k = bars.join(local, ["track_id", "bar"], "left")
     value = F.when(F.col("bar") == 0, F.col("intercept")).when(F.col("local").isNull(), clip("model", -widest, widest)).otherwise(clip(0.72 * F.col("local") + 0.28 * F.col("model"), -widest, widest))

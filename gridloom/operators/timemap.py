@@ -155,6 +155,14 @@ def envelope(samples: DataFrame, bins: int = 640) -> DataFrame:
     return b.groupBy("track_id", "bin").agg(F.sqrt(F.avg(F.col("v") * F.col("v")) + 1e-12).alias("rms"))
 
 
+def waveform(samples: DataFrame, bins: int = 640) -> DataFrame:
+    """(track_id, bin, level) of all bins, empty ones at 0, over the 98th percentile of the track, at most 1."""
+    every = samples.select("track_id").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))))
+    e = every.join(envelope(samples, bins), ["track_id", "bin"], "left").withColumn("rms", F.coalesce("rms", F.lit(0.0)))
+    top = F.percentile("rms", F.lit(0.98)).over(by_track())
+    return e.select("track_id", "bin", F.when(top > 1e-9, clip(F.col("rms") / top)).otherwise(F.col("rms")).alias("level"))
+
+
 def sliding_frames(samples: DataFrame, size: int, hop: int) -> DataFrame:
     """(track_id, frame, rms) of overlapping frames: every sample goes to the frames that hold it. Whole frames only."""
     n = F.max("idx").over(by_track()) + 1

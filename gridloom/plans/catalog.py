@@ -356,14 +356,15 @@ def _case(table: dict[tuple[str, str], float], a: str, b: str) -> str:
     return "CASE " + " ".join(f"WHEN {a} = '{x}' AND {b} = '{y}' THEN {v}" for (x, y), v in table.items())
 
 
-@query(f"""WITH {O.TRACKS}, p AS (SELECT a.track_id AS a, b.track_id AS b, a.last_label AS x, b.first_label AS y, a.key_index AS ka, b.key_index AS kb, a.mode AS ma, b.mode AS mb FROM tracks a JOIN tracks b ON a.label = b.label AND a.track_id <> b.track_id)
+@query(f"""WITH {O.queue(8)}, p AS (SELECT a.track_id AS a, b.track_id AS b, a.last_label AS x, b.first_label AS y, a.key_index AS ka, b.key_index AS kb, a.mode AS ma, b.mode AS mb FROM queue a JOIN queue b ON a.queue_id = b.queue_id AND a.track_id <> b.track_id)
 SELECT a, b, CASE WHEN ka < 0 OR kb < 0 THEN 0.55 WHEN (kb - ka + 12) % 12 = 0 AND ma = mb THEN 1.0 WHEN (kb - ka + 12) % 12 IN (5, 7) AND ma = mb THEN 0.90 WHEN (kb - ka + 12) % 12 IN (3, 9) AND ma <> mb THEN 0.92 WHEN (kb - ka + 12) % 12 IN (2, 10) THEN 0.70 ELSE 0.42 END::DOUBLE AS key_score,
  ({_case(scalar.EDGE_LABELS, 'x', 'y')} WHEN x = y THEN 0.70 WHEN x IN ('outro','inst','break','bridge') THEN 0.72 WHEN y IN ('intro','inst','verse') THEN 0.68 WHEN x IN ('verse','chorus','solo') AND y IN ('verse','chorus','solo') THEN 0.48 ELSE 0.58 END)::DOUBLE AS structure FROM p""")
 def pair_tables(spark, d):
-    t = P.tracks(spark, d)
-    a = t.select("label", F.col("track_id").alias("a"), F.col("last_label").alias("x"), F.col("key_index").alias("ka"), F.col("mode").alias("ma"))
-    b = t.select("label", F.col("track_id").alias("b"), F.col("first_label").alias("y"), F.col("key_index").alias("kb"), F.col("mode").alias("mb"))
-    return a.join(b, "label").filter("a <> b").select("a", "b", scalar.camelot_compatibility("ka", "ma", "kb", "mb").alias("key_score"), scalar.structure_score("x", "y").alias("structure"))
+    """Keys and labels of all ordered pairs within queues of eight."""
+    t = P.queue(spark, d, 8)
+    a = t.select("queue_id", F.col("track_id").alias("a"), F.col("last_label").alias("x"), F.col("key_index").alias("ka"), F.col("mode").alias("ma"))
+    b = t.select("queue_id", F.col("track_id").alias("b"), F.col("first_label").alias("y"), F.col("key_index").alias("kb"), F.col("mode").alias("mb"))
+    return a.join(b, "queue_id").filter("a <> b").select("a", "b", scalar.camelot_compatibility("ka", "ma", "kb", "mb").alias("key_score"), scalar.structure_score("x", "y").alias("structure"))
 
 
 @query(f"""WITH {O.BARS}, p AS (SELECT a.track_id, a.bar, a.role AS x, b.role AS y, a.function AS fx, b.function AS fy FROM bars a JOIN bars b ON a.track_id = b.track_id AND b.bar = a.bar + 3)
@@ -729,9 +730,12 @@ def loop_samples(spark, d):
     return r6(timemap.loop_gather(s, F.lit(20), F.lit(8), F.lit(24)))
 
 
-@query(f"""WITH {SAMPLES}, n AS (SELECT *, count(*) OVER (PARTITION BY track_id) AS n FROM sm) SELECT track_id, CAST(least(((idx + 1) * 16 - 1) // n, 15) AS BIGINT) AS bin, round(sqrt(avg(a * a) + 1e-12), 6) + 0.0 AS rms FROM n GROUP BY ALL""")
+@query(f"""WITH {SAMPLES}, n AS (SELECT *, count(*) OVER (PARTITION BY track_id) AS n FROM sm), e AS (SELECT track_id, least(((idx + 1) * 640 - 1) // n, 639) AS bin, sqrt(avg(a * a) + 1e-12) AS rms FROM n GROUP BY ALL),
+f AS (SELECT t.track_id, b.bin, coalesce(rms, 0.0) AS rms FROM (SELECT DISTINCT track_id FROM sm) t, range(0, 640) b(bin) LEFT JOIN e ON e.track_id = t.track_id AND e.bin = b.bin), g AS (SELECT *, quantile_cont(rms, 0.98) OVER (PARTITION BY track_id) AS top FROM f)
+SELECT track_id, bin, round(CASE WHEN top > 1e-9 THEN greatest(0.0, least(1.0, rms / top)) ELSE rms END, 6) + 0.0 AS level FROM g""")
 def envelopes(spark, d):
-    return r6(timemap.envelope(samples(spark, d).select("track_id", "idx", F.col("a").alias("v")), 16))
+    """Waveform of every track in 640 bins."""
+    return r6(timemap.waveform(samples(spark, d).select("track_id", "idx", F.col("a").alias("v"))))
 
 
 FRAMES = f"{SAMPLES}, n AS (SELECT *, max(idx) OVER (PARTITION BY track_id) + 1 AS n FROM sm), fr AS (SELECT track_id, f AS frame, sqrt(avg(a * a) + 1e-12) AS rms FROM n, range(0, 200) r(f) WHERE idx >= f * 4 AND idx < f * 4 + 8 AND f * 4 + 8 <= n GROUP BY track_id, f)"
@@ -838,24 +842,6 @@ def deck_replay(spark, d):
     return deck.replay(begin.unionByName(rows))
 
 
-@query()
-def clip_features(spark, d):
-    """Frame features of synthetic clips, one per track: the kernel path."""
-    import numpy as np
-
-    from ..functions import kernels
-
-    t = P.tracks(spark, d).select("track_id", "bpm")
-
-    def f(pdf):
-        n = np.arange(22050)
-        tone = np.sin(2 * np.pi * 110 * n / 22050) + (n % int(60 / pdf.bpm.iloc[0] * 22050) < 400)
-        s = kernels.acoustic_summary(tone)
-        return {"level": float(s[0]), "onset": float(s[1]), "centroid": float(s[2])}
-
-    return r6(kernels.per_group(t, "track_id", "track_id long, level double, onset double, centroid double", f))
-
-
 # plans
 
 

@@ -23,16 +23,16 @@ def clip_windows(spark, d):
     return r6(providers.clip_windows(t, 24000))
 
 
-@query(f"""WITH {O.TRACKS}, h AS (SELECT track_id // 4 AS id, track_id % 4 AS layer4, intro[1:8] AS v FROM tracks), m AS (SELECT id, {', '.join(f'avg(v[{i}]) AS x{i}' for i in range(1, 9))} FROM h GROUP BY id),
-u AS (SELECT id, [{', '.join(f'x{i}' for i in range(1, 9))}] AS x FROM m), q AS (SELECT id // 7 AS track_id, id % 7 AS "window", list_transform(x, lambda y: y / sqrt(list_dot_product(x, x))) AS v FROM u),
-g AS (SELECT track_id, [{', '.join(f'avg(v[{i}])' for i in range(1, 9))}] AS a, arg_min(v, "window") AS b, arg_max(v, "window") AS c FROM q GROUP BY track_id)
-SELECT track_id, CAST(i AS INT) AS i, round(a[i + 1] / sqrt(list_dot_product(a, a)), 6) + 0.0 AS global, round(b[i + 1], 6) + 0.0 AS intro, round(c[i + 1], 6) + 0.0 AS outro FROM g, range(0, 8) x(i)""")
+@query(f"""WITH {O.TRACKS}, h AS (SELECT track_id // 4 AS id, track_id % 4 AS layer4, g AS v FROM tracks), m AS (SELECT id, {', '.join(f'avg(v[{i}]) AS x{i}' for i in range(1, 65))} FROM h GROUP BY id),
+u AS (SELECT id, [{', '.join(f'x{i}' for i in range(1, 65))}] AS x FROM m), q AS (SELECT id // 7 AS track_id, id % 7 AS "window", list_transform(x, lambda y: y / sqrt(list_dot_product(x, x))) AS v FROM u),
+g AS (SELECT track_id, [{', '.join(f'avg(v[{i}])' for i in range(1, 65))}] AS a, arg_min(v, "window") AS b, arg_max(v, "window") AS c FROM q GROUP BY track_id)
+SELECT track_id, CAST(i AS INT) AS i, round(a[i + 1] / sqrt(list_dot_product(a, a)), 6) + 0.0 AS global, round(b[i + 1], 6) + 0.0 AS intro, round(c[i + 1], 6) + 0.0 AS outro FROM g, range(0, 64) x(i)""")
 def pooled_profiles(spark, d):
     """Four vectors are the last layers of a window, seven windows a track."""
     x = F.col("track_id")
-    h = P.tracks(spark, d).select(F.floor(x / 28).alias("track_id"), (F.floor(x / 4) % 7).alias("window"), (x % 4 + 8).alias("layer"), F.lit(12).alias("n_layers"), F.lit(0).alias("frame"), F.slice("intro", 1, 8).alias("v"))
+    h = P.tracks(spark, d).select(F.floor(x / 28).alias("track_id"), (F.floor(x / 4) % 7).alias("window"), (x % 4 + 8).alias("layer"), F.lit(12).alias("n_layers"), F.lit(0).alias("frame"), F.col("global").alias("v"))
     early = h.withColumn("layer", F.lit(7)).withColumn("v", F.transform("v", lambda y: y * 100))
-    p = providers.profiles(providers.pooled_layers(h.unionAll(early), 8), 8)
+    p = providers.profiles(providers.pooled_layers(h.unionAll(early), 64), 64)
     return r6(p.select("track_id", F.posexplode(F.arrays_zip("global", "intro", "outro")).alias("i", "z")).select("track_id", "i", "z.*"))
 
 

@@ -113,10 +113,10 @@ def stretch_rates(spark, d):
     return r6(P.tracks(spark, d).select("track_id", scalar.stretch_rate("bpm", F.lit(124.0), 0.08).alias("rate")))
 
 
-@query(f"""WITH {O.TRACKS}, v AS (SELECT track_id, CASE WHEN track_id % 7 = 0 THEN list_transform(intro, lambda x: 0.0) ELSE intro END AS v FROM tracks)
-SELECT track_id, CAST(i AS INT) AS i, round(CASE WHEN sqrt(list_dot_product(v, v)) > 1e-9 THEN v[i + 1] / sqrt(list_dot_product(v, v)) ELSE 0.0 END, 6) + 0.0 AS x FROM v, range(0, 32) g(i)""")
+@query(f"""WITH {O.TRACKS}, v AS (SELECT track_id, CASE WHEN track_id % 7 = 0 THEN list_transform(g, lambda x: 0.0) ELSE g END AS v FROM tracks)
+SELECT track_id, CAST(i AS INT) AS i, round(CASE WHEN sqrt(list_dot_product(v, v)) > 1e-9 THEN v[i + 1] / sqrt(list_dot_product(v, v)) ELSE 0.0 END, 6) + 0.0 AS x FROM v, range(0, 64) g(i)""")
 def unit_vectors(spark, d):
-    v = F.when(F.col("track_id") % 7 == 0, F.transform("intro", lambda _: F.lit(0.0))).otherwise(F.col("intro"))
+    v = F.when(F.col("track_id") % 7 == 0, F.transform("global", lambda _: F.lit(0.0))).otherwise(F.col("global"))
     t = P.tracks(spark, d).select("track_id", v.alias("v"))
     return r6(t.select("track_id", F.posexplode(arrays.l2_normalize(F.col("v"))).alias("i", "x")))
 

@@ -98,6 +98,14 @@ def acoustic_summary(spark, d):
     return r6(spectra.acoustic_summary(_features(spark, d), RATE))
 
 
+@query(f"""WITH {O.TRACKS}, sig AS (SELECT track_id, unnest(range(0, 64)) AS i, unnest(g) AS x FROM tracks), {spectrum_sql()}, {FEATURES} SELECT track_id, round(log10(avg(rms) + 1e-8), 6) + 0.0 AS level, round(avg(onset) / 10, 6) + 0.0 AS onset, round(avg(centroid) / {RATE / 2}, 6) + 0.0 AS brightness, round(avg(flatness), 6) + 0.0 AS flatness,
+round(avg(low), 6) + 0.0 AS low_ratio, round(quantile_cont(rms, 0.9) - quantile_cont(rms, 0.1), 6) + 0.0 AS dynamics FROM ff GROUP BY track_id""")
+def clip_features(spark, d):
+    """Six numbers of every embedding, read as a short clip."""
+    s = P.tracks(spark, d).select("track_id", F.posexplode("global").alias("i", "x")).withColumn("i", F.col("i").cast("long"))
+    return r6(spectra.acoustic_summary(spectra.frame_features(spectra.spectrum(s, SIZE, HOP), RATE, SIZE, HOP, MELS), RATE))
+
+
 def _reflected(axis: str, n: str, along: str, value: str, name: str, source: str) -> str:
     reach = WIDTH // 2
     return f"""{name}0 AS (SELECT *, unnest(list_filter(range(-{reach}, {n} + {reach}), lambda q: (q % (2 * {n}) + 2 * {n}) % (2 * {n}) IN ({axis}, 2 * {n} - 1 - {axis}))) AS pos FROM {source}),

@@ -9,7 +9,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.functions import kernels as K
 from gridloom.sources import caches, wav
 from gridloom.streaming import deck
 
@@ -215,79 +214,6 @@ def test_store_replaces_only_written_partitions_and_missing(spark, tmp_path):
     assert caches.same_set(a, a) and not caches.same_set(a, a.limit(1))
 
 
-# kernels
-
-RATE = 8000
-
-
-def clip(hz=110.0, n=16000):
-    t = np.arange(n) / RATE
-    y = 0.4 * np.sin(2 * np.pi * hz * t) + 0.2 * np.sin(2 * np.pi * 440 * t) + (np.arange(n) % 4000 < 80) * 0.3
-    return np.stack([y, y * 0.9], 1)
-
-
-def test_bands_and_masks_add_up():
-    x = clip()
-    assert np.abs(sum(K.three_bands(x, RATE)) - x).max() < 1e-9
-    h, p = K.harmonic_percussive(x)
-    assert np.abs(h + p - x).max() < 1e-9
-
-
-@pytest.mark.parametrize("backend", ["wsola", "vocoder", "hybrid", "unknown"])
-def test_stretch_has_the_exact_length_and_level(backend):
-    x = clip()
-    y = K.stretch(x, 1.05, backend)
-    assert len(y) == round(len(x) / 1.05) and np.isfinite(y).all() and 0.5 < np.abs(y).mean() / np.abs(x).mean() < 1.5
-    assert np.array_equal(K.stretch(x, 1.0, backend), x)
-
-
-def test_time_map_stretch_ends_where_the_map_ends():
-    assert len(K.variable_stretch(clip(), np.array([0, 8000, 16000]), np.array([0, 8800, 17200]))) == 17200
-
-
-def test_lag_line_loop_echo_and_length():
-    a = np.random.default_rng(1).normal(size=4000)
-    lag, confidence = K.micro_lag(a, np.roll(a, 30), RATE)
-    assert lag == 30 and confidence > 0
-    x = np.arange(20.0)
-    y = 2 * x + 1
-    y[3] += 50
-    assert K.robust_line(x, y, np.ones(20))[0] == pytest.approx(2, abs=0.05)
-    ramp = np.arange(400.0)
-    loop = K.quantized_loop(ramp, 300, 100, 250)
-    assert np.array_equal(loop[100:200], loop[:100]) and loop[0] == 200
-    assert K.echo(np.eye(1, 50)[0], 10)[10] == 0.55
-    assert K.fit_length(np.ones((5, 2)), 8).shape == (8, 2) and K.fit_length(np.ones((5, 2)), 8).min() == 1
-
-
-def test_min_cut_follows_the_cheap_column():
-    right = np.full((4, 6), 9.0)
-    right[:, 2] = 0.1
-    side = K.min_cut(right, np.full((3, 7), 5.0))
-    assert side[:, :3].all() and not side[:, 3:].any()
-
-
-def test_seam_and_renderings():
-    a, b = clip(110, 12000), clip(130, 12000)
-    y = K.spectral_seam(a, b)
-    assert y.shape == a.shape and np.abs(y[:200] - a[:200]).mean() < 0.2
-    for style in ("short blend", "bass swap", "echo out"):
-        g = K.ownership(500, style)
-        assert np.abs(g["bass_a"] + g["bass_b"] - 1).max() < 1e-12
-    style, y, score = K.best_rendering(a, b, RATE)
-    assert 0 <= score <= 1 and np.abs(y).max() <= 1.1 and np.array_equal(y, K.best_rendering(a, b, RATE)[1])
-    x, t = K.lock_phase(np.arange(16) * 0.5 + 0.02, np.arange(16) * 0.5)
-    assert np.abs(t - x - 0.02).max() < 1e-6 and (np.diff(t) >= 0).all()
-
-
-def test_kernel_per_group(spark):
-    df = spark.createDataFrame([(k, float(np.sin(i / (k + 3)))) for k in range(3) for i in range(4000)], "track_id long, v double")
-    out = K.per_group(df, "track_id", "track_id long, level double", lambda p: {"level": float(K.acoustic_summary(p.v.to_numpy())[0])})
-    assert out.count() == 3
-    f = K.frame_features(clip(), RATE)
-    assert {"t", "rms", "onset", "chroma"} <= set(f.columns) and f.low.between(0, 1).all()
-
-
 # the package without the training-data operators
 
 
