@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -72,17 +74,32 @@ def fold_bpm(bpm: ColumnLike, low: float = 70.0, high: float = 190.0) -> Column:
     )
 
 
+Rule = tuple[dict[str, tuple], object]
+
+
+def first_rule(rules: tuple[Rule, ...], fields: dict[str, Column], otherwise) -> Column:
+    """Value of the first rule of an ordered table all of whose fields hold one of its values."""
+    out = None
+    for wanted, value in rules:
+        holds = reduce(and_, [fields[name].isin(*values) for name, values in wanted.items()])
+        out = F.when(holds, F.lit(value)) if out is None else out.when(holds, F.lit(value))
+    return out.otherwise(F.lit(otherwise))
+
+
+# Score of two keys by distance in semitones and by whether their modes are the same.
+KEY_RULES: tuple[Rule, ...] = (
+    ({"unknown": (True,)}, 0.55),
+    ({"delta": (0,), "same": (True,)}, 1.0),
+    ({"delta": (5, 7), "same": (True,)}, 0.90),
+    ({"delta": (3, 9), "same": (False,)}, 0.92),
+    ({"delta": (2, 10)}, 0.70),
+)
+KEY_ELSE = 0.42
+
+
 def camelot_compatibility(key_a: ColumnLike, mode_a: ColumnLike, key_b: ColumnLike, mode_b: ColumnLike) -> Column:
     a, b = col(key_a), col(key_b)
-    delta, same = F.pmod(b - a, F.lit(12)), col(mode_a) == col(mode_b)
-    return (
-        F.when((a < 0) | (b < 0), 0.55)
-        .when((delta == 0) & same, 1.0)
-        .when(delta.isin(5, 7) & same, 0.90)
-        .when(delta.isin(3, 9) & ~same, 0.92)
-        .when(delta.isin(2, 10), 0.70)
-        .otherwise(0.42)
-    )
+    return first_rule(KEY_RULES, {"unknown": (a < 0) | (b < 0), "delta": F.pmod(b - a, F.lit(12)), "same": col(mode_a) == col(mode_b)}, KEY_ELSE)
 
 
 def soft_limit(x: ColumnLike, peak: ColumnLike | None = None, drive: float = 1.08) -> Column:
@@ -92,11 +109,16 @@ def soft_limit(x: ColumnLike, peak: ColumnLike | None = None, drive: float = 1.0
     return clip(F.when(loud, F.tanh(col(x) * drive) / math.tanh(drive)).otherwise(col(x)), -1.0, 1.0)
 
 
+# Bars over which a tempo difference up to a share is undone, and the least of them where the style is sure.
+RESTORE_BARS = ((0.008, 4), (0.020, 8), (0.040, 16), (math.inf, 32))
+RESTORE_SURE = (0.55, 0.015, 16)
+
+
 def restore_bars(delta: ColumnLike, edm_confidence: ColumnLike) -> Column:
-    """Bars over which a tempo difference, as a share, is undone."""
-    d, e = col(delta), col(edm_confidence)
-    base = F.when(d <= 0.008, 4).when(d <= 0.020, 8).when(d <= 0.040, 16).otherwise(32)
-    return F.when((e >= 0.55) & (d > 0.015), F.greatest(base, F.lit(16))).otherwise(base)
+    """Bars over which a tempo difference, as a share, is undone: those of the first limit that it does not exceed."""
+    d, (sure, beyond, least) = col(delta), RESTORE_SURE
+    base = F.coalesce(*[F.when(d <= limit, bars) for limit, bars in RESTORE_BARS])
+    return F.when((col(edm_confidence) >= sure) & (d > beyond), F.greatest(base, F.lit(least))).otherwise(base)
 
 
 def eased_bpm(bpm_from: ColumnLike, bpm_to: ColumnLike, phase: ColumnLike) -> Column:
@@ -168,66 +190,75 @@ def pair_lookup(a: Column, b: Column, table: dict[tuple[str, str], float]) -> Co
     return F.try_element_at(F.create_map(*entries), F.concat_ws(">", a, b))
 
 
+# Scores of an ending label followed by a beginning one that EDGE_LABELS does not name.
+_LEADS = ("verse", "chorus", "solo")
+EDGE_RULES: tuple[Rule, ...] = (
+    ({"same": (True,)}, 0.70),
+    ({"out": ("outro", "inst", "break", "bridge")}, 0.72),
+    ({"into": ("intro", "inst", "verse")}, 0.68),
+    ({"out": _LEADS, "into": _LEADS}, 0.48),
+)
+EDGE_ELSE, EDGE_UNKNOWN = 0.58, 0.5
+# Scores of two roles that ROLE_PAIRS does not name, by their labels (fa, fb) and by themselves (a, b).
+_SUNG = ("VOCAL", "VERSE", "CHORUS")
+ROLE_RULES: tuple[Rule, ...] = (
+    ({"fa": ("OUTRO", "END"), "fb": ("INTRO", "START", "INST")}, 0.96),
+    ({"fa": ("BREAK", "BRIDGE"), "fb": ("CHORUS", "INST")}, 0.86),
+    ({"fa": ("VERSE", "CHORUS", "SOLO"), "fb": ("INTRO", "BREAK", "INST")}, 0.78),
+    ({"a": _SUNG, "b": _SUNG}, 0.34),
+    ({"same": (True,), "a": ("DROP", "CHORUS")}, 0.52),
+)
+ROLE_ELSE = 0.62
+# Roles that a phrase arrives at or opens with, how fresh a drop counts, and how well keys and basses must fit.
+ARRIVALS = ("DROP", "CHORUS")
+OPENERS = ("INTRO", "BUILDUP", "PHRASE", "BREAKDOWN")
+FRESH_DROP, FITTING_KEYS, FITTING_BASS = 0.65, 0.58, 0.50
+# Scores and intents of a path of roles.
+PATH_RULES: tuple[Rule, ...] = (
+    ({"fresh": (True,), "opens": (True,), "arrives": (True,)}, 1.0),
+    ({"a": ("BREAKDOWN", "BREAK", "BRIDGE"), "opens": (True,), "arrives": (True,)}, 0.98),
+    ({"landing": ARRIVALS, "arrives": (True,)}, 0.91),
+    ({"a": ("OUTRO",), "b": ("INTRO", "PHRASE", "SECTION")}, 0.96),
+    ({"a": ("VOCAL", "VERSE", "CHORUS", "SOLO"), "b": ("INTRO", "PHRASE", "SECTION", "BREAKDOWN")}, 0.82),
+    ({"arrives": (True,), "opens": (True,)}, 0.88),
+    ({"a": _SUNG, "b": _SUNG}, 0.18),
+    ({"a": ("DROP",), "b": ("DROP",)}, 0.40),
+    ({"a": ("COOLDOWN", "OUTRO", "BREAKDOWN", "PHRASE"), "b": ("INTRO", "PHRASE", "SECTION")}, 0.82),
+)
+PATH_ELSE = 0.58
+INTENT_RULES: tuple[Rule, ...] = (
+    ({"landing": ARRIVALS, "arrives": (True,), "fits": (True,)}, "Bass Handover"),
+    ({"fresh": (True,), "opens": (True,), "arrives": (True,)}, "Energy Relay Blend"),
+    ({"a": ("BREAKDOWN", "BREAK", "BRIDGE"), "opens": (True,), "arrives": (True,)}, "Breakdown Blend"),
+    ({"a": ("OUTRO",), "b": ("INTRO", "PHRASE", "SECTION")}, "Outro-Intro Blend"),
+    ({"a": ("VOCAL", "VERSE", "CHORUS", "SOLO"), "b": ("INTRO", "PHRASE", "SECTION", "BREAKDOWN")}, "Vocal Echo Exit"),
+    ({"arrives": (True,)}, "Phrase Landing Blend"),
+)
+INTENT_ELSE = "Safe Phrase Blend"
+
+
 def structure_score(last_label: ColumnLike, first_label: ColumnLike) -> Column:
     out, into = col(last_label), col(first_label)
-    vocal = ("verse", "chorus", "solo")
-    rules = (
-        F.when(out == into, 0.70)
-        .when(out.isin("outro", "inst", "break", "bridge"), 0.72)
-        .when(into.isin("intro", "inst", "verse"), 0.68)
-        .when(out.isin(*vocal) & into.isin(*vocal), 0.48)
-        .otherwise(0.58)
-    )
-    return F.when((out == "unknown") | (into == "unknown"), 0.5).otherwise(F.coalesce(pair_lookup(out, into, EDGE_LABELS), rules))
+    rules = first_rule(EDGE_RULES, {"out": out, "into": into, "same": out == into}, EDGE_ELSE)
+    return F.when((out == "unknown") | (into == "unknown"), EDGE_UNKNOWN).otherwise(F.coalesce(pair_lookup(out, into, EDGE_LABELS), rules))
 
 
 def role_compatibility(role_a: ColumnLike, role_b: ColumnLike, function_a: ColumnLike, function_b: ColumnLike) -> Column:
     a, b, fa, fb = (F.upper(col(x)) for x in (role_a, role_b, function_a, function_b))
-    sung = ("VOCAL", "VERSE", "CHORUS")
-    rules = (
-        F.when(fa.isin("OUTRO", "END") & fb.isin("INTRO", "START", "INST"), 0.96)
-        .when(fa.isin("BREAK", "BRIDGE") & fb.isin("CHORUS", "INST"), 0.86)
-        .when(fa.isin("VERSE", "CHORUS", "SOLO") & fb.isin("INTRO", "BREAK", "INST"), 0.78)
-        .when(a.isin(*sung) & b.isin(*sung), 0.34)
-        .when((a == b) & a.isin("DROP", "CHORUS"), 0.52)
-        .otherwise(0.62)
-    )
-    return F.coalesce(pair_lookup(a, b, ROLE_PAIRS), rules)
+    return F.coalesce(pair_lookup(a, b, ROLE_PAIRS), first_rule(ROLE_RULES, {"a": a, "b": b, "fa": fa, "fb": fb, "same": a == b}, ROLE_ELSE))
 
 
-ARRIVALS = ("DROP", "CHORUS")
-OPENERS = ("INTRO", "BUILDUP", "PHRASE", "BREAKDOWN")
+def _path(role_a, landing_a, role_b, landing_b, post_drop) -> dict[str, Column]:
+    return {"a": col(role_a), "b": col(role_b), "landing": col(landing_a), "arrives": col(landing_b).isin(*ARRIVALS), "opens": col(role_b).isin(*OPENERS), "fresh": col(post_drop) >= FRESH_DROP}
 
 
 def role_path_score(role_a: ColumnLike, landing_a: ColumnLike, role_b: ColumnLike, landing_b: ColumnLike, post_drop: ColumnLike) -> Column:
-    a, la, b, lb, after = (col(x) for x in (role_a, landing_a, role_b, landing_b, post_drop))
-    arrives, opens = lb.isin(*ARRIVALS), b.isin(*OPENERS)
-    return (
-        F.when((after >= 0.65) & opens & arrives, 1.0)
-        .when(a.isin("BREAKDOWN", "BREAK", "BRIDGE") & opens & arrives, 0.98)
-        .when(la.isin(*ARRIVALS) & arrives, 0.91)
-        .when((a == "OUTRO") & b.isin("INTRO", "PHRASE", "SECTION"), 0.96)
-        .when(a.isin("VOCAL", "VERSE", "CHORUS", "SOLO") & b.isin("INTRO", "PHRASE", "SECTION", "BREAKDOWN"), 0.82)
-        .when(arrives & opens, 0.88)
-        .when(a.isin("VOCAL", "VERSE", "CHORUS") & b.isin("VOCAL", "VERSE", "CHORUS"), 0.18)
-        .when((a == "DROP") & (b == "DROP"), 0.40)
-        .when(a.isin("COOLDOWN", "OUTRO", "BREAKDOWN", "PHRASE") & b.isin("INTRO", "PHRASE", "SECTION"), 0.82)
-        .otherwise(0.58)
-    )
+    return first_rule(PATH_RULES, _path(role_a, landing_a, role_b, landing_b, post_drop), PATH_ELSE)
 
 
 def choose_intent(role_a, landing_a, role_b, landing_b, post_drop, harmonic, bass_clean) -> Column:
-    a, la, b, lb, after = (col(x) for x in (role_a, landing_a, role_b, landing_b, post_drop))
-    arrives, opens = lb.isin(*ARRIVALS), b.isin(*OPENERS)
-    return (
-        F.when(la.isin(*ARRIVALS) & arrives & (col(harmonic) >= 0.58) & (col(bass_clean) >= 0.50), "Bass Handover")
-        .when((after >= 0.65) & opens & arrives, "Energy Relay Blend")
-        .when(a.isin("BREAKDOWN", "BREAK", "BRIDGE") & opens & arrives, "Breakdown Blend")
-        .when((a == "OUTRO") & b.isin("INTRO", "PHRASE", "SECTION"), "Outro-Intro Blend")
-        .when(a.isin("VOCAL", "VERSE", "CHORUS", "SOLO") & b.isin("INTRO", "PHRASE", "SECTION", "BREAKDOWN"), "Vocal Echo Exit")
-        .when(arrives, "Phrase Landing Blend")
-        .otherwise("Safe Phrase Blend")
-    )
+    fits = (col(harmonic) >= FITTING_KEYS) & (col(bass_clean) >= FITTING_BASS)
+    return first_rule(INTENT_RULES, _path(role_a, landing_a, role_b, landing_b, post_drop) | {"fits": fits}, INTENT_ELSE)
 
 
 def intent_code(intent: ColumnLike) -> Column:

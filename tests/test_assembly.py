@@ -66,6 +66,6 @@ def test_model_sees_every_window_in_batches_of_six(spark):
 
 
 def test_beats_are_first_of_the_largest(spark):
-    s = [0.1, 0.9, 0.9, 0.2, 0.4, 0.6, 0.55, 0.1, 0.5]
+    s = [0.1, 0.9, 0.9, 0.2, 0.4, 0.6, 0.45, 0.1, 0.5]
     df = spark.createDataFrame([(0, i, v, 1.0 - v) for i, v in enumerate(s)], "track_id long, frame long, beat double, down double")
     assert sorted((round(r.t, 6), r.score, r.down) for r in providers.beats(df, 0.5).collect()) == [(0.5, 0.9, False), (2.5, 0.6, False), (4.0, 0.5, True)]
