@@ -164,11 +164,16 @@ def score_candidates(cands: DataFrame, bars: DataFrame, pairs: DataFrame) -> Dat
     known = pairs.select("pair_id", *[F.coalesce(f(n), F.lit(0.5)).alias(n) for n in ("key_score", "edm_confidence", "style", "segment", "trajectory")])
     both = listed.join(known, "pair_id").join(_side(ctx, "a"), "a_track").join(_side(ctx, "b"), "b_track")
     # no explode of bars: the numbers of all slices of a pair are one block of a kernel, the rest are expressions
-    rows = F.explode(F.arrays_zip("listed", *[f"t_{t}" for t in slices.TERMS])).alias("z")
+    # a candidate takes the four bars that it looks at along, not both tracks
     bar_at = lambda p, i: F.get(p, F.least(i, F.size(p) - 1).cast("int"))
-    c = _with_terms(both).select("*", rows).select("*", "z.listed.*", *[f("z")[f"t_{t}"].alias(t) for t in slices.TERMS])
-    c = c.withColumns({"a0": bar_at("a_context", f("exit")), "b0": bar_at("b_context", f("entry")), "al": bar_at("a_context", f("exit") + f("bars")), "bl": bar_at("b_context", f("entry") + f("bars"))})
-    c = c.drop("a_context", "b_context", "listed", "z", *[f"t_{t}" for t in slices.TERMS])
+
+    def candidate(z: Column) -> Column:
+        exit_, entry, n = (z["listed"][x] for x in ("exit", "entry", "bars"))
+        bars_of = (bar_at("a_context", exit_).alias("a0"), bar_at("b_context", entry).alias("b0"), bar_at("a_context", exit_ + n).alias("al"), bar_at("b_context", entry + n).alias("bl"))
+        return F.struct(exit_.alias("exit"), entry.alias("entry"), n.alias("bars"), *[z[f"t_{t}"].alias(t) for t in slices.TERMS], *bars_of)
+
+    each = F.transform(F.arrays_zip("listed", *[f"t_{t}" for t in slices.TERMS]), candidate)
+    c = _with_terms(both).select("pair_id", *[n for n in known.columns if n != "pair_id"], F.inline(each))
     half = lambda x: F.coalesce(x, F.lit(0.5))
     geometric = lambda a, b: F.sqrt(F.greatest(half(a), F.lit(0.0)) * F.greatest(half(b), F.lit(0.0)))
     c = c.withColumns({
