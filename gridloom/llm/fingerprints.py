@@ -1,7 +1,8 @@
 """Document fingerprints: Merkle trees over runs of words, paragraphs and sections, in DataFrame functions only.
 
 Leaves are SHA-256 digests of runs of words; the runs of a paragraph (line) cover it byte for byte, and a run ends after a
-word that ends in one of RUN_ENDS, or after eight words, so that an insertion moves few other boundaries. A paragraph's
+word whose MD5 is below RUN_END, in any language, so that an insertion moves no boundary but those beside it. Words of more than
+LONG_WORD code points (scripts without blanks, encoded data) are cut the same way between code points. A paragraph's
 digest covers those of its runs. A section ends after a paragraph whose digest starts with a zero digit; its digest
 covers those of its paragraphs, and the root covers the sections: equal roots mean equal texts.
 
@@ -10,8 +11,8 @@ runs of the paragraphs that are left are matched by the first 32 bits of their d
 is the share of their distinct runs in branches that both have, or matched below. The differing paragraphs locate an edit:
 compare_edits() gives the first one and their number, locate_edits() all of them.
 
-Cases: a null text is empty, one empty paragraph; a paragraph without words is one run; very long paragraphs are
-nodes like others; repeated rows have equal results, and the next document of both is the next different row;
+Cases: a null text is empty, one empty paragraph; a paragraph of which no word ends a run (one word repeated) is one run; very
+long paragraphs are nodes like others; repeated rows have equal results, and the next document of both is the next different row;
 rows of one doc_id with different texts are ordered by digest; a null doc_id comes last; the next document of a
 lone document is itself; an empty table gives no rows; other columns are ignored.
 """
@@ -24,8 +25,9 @@ from pyspark.sql.window import Window as W
 
 from . import common
 
-RUN_ENDS = "es."
-RUN_PATTERN = rf"[ \t\r]*(?:[^ \t\r]*[^ \t\r{RUN_ENDS}][ \t\r]+){{0,7}}[^ \t\r]+[ \t\r]*"
+RUN_END = "3"
+"""Hexadecimal MD5 digests below it end a run: three words in sixteen."""
+LONG_WORD = 32
 RANGES = 1000
 """Ranges of ids: so many quantiles reach the driver, whatever the table."""
 
@@ -33,9 +35,17 @@ RANGES = 1000
 def nodes(text: Column) -> Column:
     """Per paragraph `digest:run run ...`: its digest, and the first 32 bits of those of its runs."""
 
+    def ended(piece: Column) -> Column:
+        # no paragraph holds the mark, so that the runs joined are the paragraph
+        return F.when(F.md5(piece) < RUN_END, F.concat(piece, F.lit("\n"))).otherwise(piece)
+
+    def word(w: Column) -> Column:
+        return F.when(F.length(w) > LONG_WORD, F.array_join(F.transform(F.split(w, ""), ended), "")).otherwise(ended(w))
+
     def node(p: Column) -> Column:
-        found = F.regexp_extract_all(p, F.lit(RUN_PATTERN), F.lit(0))
-        leaves = F.transform(F.when(F.size(found) == 0, F.array(p)).otherwise(found), lambda r: F.sha2(r, 256))
+        marked = F.array_join(F.transform(F.split(p, " ", -1), word), " ")
+        found = F.when(p == "", F.array(p)).otherwise(F.array_remove(F.split(marked, "\n", -1), ""))
+        leaves = F.transform(found, lambda r: F.sha2(r, 256))
         joined = F.array_join(leaves, " ")
         return F.concat(F.sha2(joined, 256), F.lit(":"), F.regexp_replace(joined, "([0-9a-f]{8})[0-9a-f]{56}", "$1"))
 
@@ -177,8 +187,10 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_tree(text: str) -> str:
-    run = f"regexp_extract_all(p, '{RUN_PATTERN}')"
-    leaves = f"array_to_string(list_transform(CASE WHEN len({run}) = 0 THEN [p] ELSE {run} END, lambda r: sha256(r)), ' ')"
+    ended = lambda x: f"CASE WHEN md5({x}) < '{RUN_END}' THEN concat({x}, chr(10)) ELSE {x} END"
+    word = f"CASE WHEN length(w) > {LONG_WORD} THEN array_to_string(list_transform(string_split(w, ''), lambda c: {ended('c')}), '') ELSE {ended('w')} END"
+    run = f"list_filter(string_split(array_to_string(list_transform(string_split(p, ' '), lambda w: {word}), ' '), chr(10)), lambda r: r <> '')"
+    leaves = f"array_to_string(list_transform(CASE WHEN p = '' THEN [p] ELSE {run} END, lambda r: sha256(r)), ' ')"
     node = f"concat(sha256({leaves}), ':', regexp_replace({leaves}, '([0-9a-f]{{8}})[0-9a-f]{{56}}', '\\1', 'g'))"
     return f"string_split(regexp_replace(array_to_string(list_transform(string_split({text}, chr(10)), lambda p: {node}), ','), '\\b(0[0-9a-f]{{63}}:[0-9a-f ]+),', '\\1;', 'g'), ';')"
 

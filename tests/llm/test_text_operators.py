@@ -51,7 +51,7 @@ def test_equal_texts_have_equal_fingerprints_and_likeness_is_bounded(spark):
 
 
 def test_fingerprint_tree_locates_edit_and_keeps_other_sections(spark):
-    lines = [f"line number {i} of the text" for i in range(200)]
+    lines = [f"line number {i} of the text" for i in range(1000)]
     changed = [*lines[:100], "an inserted line", *lines[100:150], "line number 150 of this text", *lines[151:]]
     sides = [fingerprints.tree(spark.createDataFrame([(1, "\n".join(x)), (2, "\n".join(lines))], "id long, text string")) for x in (lines, changed)]
     old, new = (t.filter("id = 1").first().sections for t in sides)
@@ -63,10 +63,20 @@ def test_fingerprint_tree_locates_edit_and_keeps_other_sections(spark):
 
 def tree_in_python(text):
     """Root, and sections as lists of paragraphs as lists of runs (8 digits of their digests)."""
-    pattern, parts = re.compile(fingerprints.RUN_PATTERN), [[]]
+    parts = [[]]
     for p in text.split("\n"):
-        leaves = [sha(r) for r in (pattern.findall(p) or [p])]
-        assert "".join(pattern.findall(p) or [p]) == p
+        runs = [""]
+        for i, w in enumerate(p.split(" ")):
+            for piece in w if len(w) > fingerprints.LONG_WORD else [w]:
+                runs[-1] += piece
+                if hashlib.md5(piece.encode()).hexdigest() < fingerprints.RUN_END:
+                    runs.append("")
+            if i < p.count(" "):
+                runs[-1] += " "
+        if len(runs) > 1 and not runs[-1]:
+            runs.pop()
+        leaves = [sha(r) for r in runs]
+        assert "".join(runs) == p
         parts[-1].append((sha(" ".join(leaves)), tuple(x[:8] for x in leaves)))
         if parts[-1][-1][0].startswith("0"):
             parts.append([])
@@ -110,6 +120,26 @@ def test_an_inserted_word_leaves_fingerprints_alike(spark):
     assert all(r.near_next > 0.9 for r in fingerprints.compare_edits(documents(spark, rows)).collect())
 
 
+JAPANESE = "".join(chr(0x3041 + i * i * 31 % 83) + chr(0x4E00 + i * i * 7919 % 20_000) for i in range(400))
+
+
+@pytest.mark.parametrize(
+    "text, new",
+    [
+        (" ".join(f"word{i * i % 1009}x" for i in range(200)), "new "),
+        (JAPANESE, "\u65b0"),
+        (JAPANESE.replace("\u3042", "\U0001f600"), "\U0001f601"),
+        (" ".join(f"\u0441\u043b\u043e\u0432\u043e{i}\u043c" for i in range(200)), "\u0438 "),
+        ("".join(sha(str(i)) for i in range(40)), "f"),
+    ],
+)
+def test_an_insertion_leaves_any_script_alike(spark, text, new):
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate([text, new + text, text[: len(text) // 2] + new + text[len(text) // 2 :]])]
+    got = fingerprints.compare_edits(documents(spark, rows, clash=False)).collect()
+    assert all(0.9 < r.near_next < 1 for r in got)
+    assert {r.doc_id: r.fingerprint for r in got} == {i: tree_in_python(t)[0] for i, t, *_ in rows}
+
+
 def test_fingerprint_single_and_no_document(spark):
     one = fingerprints.compare_edits(documents(spark, [(5, "abcd efgh", "en", "s", 9)])).first()
     assert one.edited_sha256 == sha("abcd " + "abcd") and one.near_next == 1.0
