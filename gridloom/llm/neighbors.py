@@ -199,7 +199,8 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
 def part_cells(vectors: DataFrame, block: int, tau: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Vectors with their leaf cells; the cells (dim, cell, n, blocks); and the pairs of cells that bounds do not part.
 
-    Tables of cells have a row per some thousand vectors; those that are broadcast have no vectors in them.
+    Tables of cells have a row per some thousand vectors, without the vectors. They are written first, so that Spark knows their
+    sizes: it broadcasts those below spark.sql.autoBroadcastJoinThreshold and shuffles beyond it, where AQE splits hot cells.
     """
     kind = vectors.schema["embedding"].dataType.simpleString()
     per_block = F.least(F.lit(block), F.greatest(F.lit(16), F.floor(F.lit(MOST_NUMBERS) / F.col("dim")))).cast("long")
@@ -212,8 +213,7 @@ def part_cells(vectors: DataFrame, block: int, tau: float) -> tuple[DataFrame, D
         big = common.save(big.select("dim", "cell", "n", F.ceil(F.col("n") / per_block).alias("salts"), F.col("radius").alias("parent_radius")), "near-split")
         if big.isEmpty():
             break
-        large = F.broadcast(big)
-        inside = celled.select("dim", "cell", "id", "embedding", "weight").join(large, ["dim", "cell"])
+        inside = celled.select("dim", "cell", "id", "embedding", "weight").join(big, ["dim", "cell"])
         drawn = inside.withColumn("h", F.xxhash64("id", F.lit(level))).filter(F.pmod("h", F.lit(1 << 20)) * F.col("n") <= (4 * SAMPLE) << 20)
         place = F.row_number().over(W.partitionBy("dim", "cell").orderBy("h", "id"))
         drawn = drawn.withColumn("place", place).filter(F.col("place") <= SAMPLE).select("dim", "cell", "salts", "embedding")
@@ -227,7 +227,7 @@ def part_cells(vectors: DataFrame, block: int, tau: float) -> tuple[DataFrame, D
 
         pivots = common.save(drawn.groupBy("dim", "cell").applyInArrow(fit, "dim int, cell long, child long, centre array<double>"), "near-pivots")
         dealt = inside.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(-1)), F.col("salts"))).select("dim", "cell", "salt", "id", "embedding", "weight")
-        copies = pivots.join(large, ["dim", "cell"]).select("dim", "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), "child", "centre")
+        copies = pivots.join(big, ["dim", "cell"]).select("dim", "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), "child", "centre")
 
         def assign(members: pa.Table, around: pa.Table) -> pa.Table:
             out = {"dim": members["dim"], "id": members["id"], "embedding": members["embedding"], "weight": members["weight"]}
@@ -238,11 +238,11 @@ def part_cells(vectors: DataFrame, block: int, tau: float) -> tuple[DataFrame, D
 
         key = ["dim", "cell", "salt"]
         moved = dealt.groupBy(*key).cogroup(copies.groupBy(*key)).applyInArrow(assign, f"dim int, id long, embedding {kind}, weight long, cell long, off double")
-        stayed = celled.join(F.broadcast(big.select("dim", "cell")), ["dim", "cell"], "left_anti").select("dim", "id", "embedding", "weight", "cell", F.lit(None).cast("double").alias("off"))
+        stayed = celled.join(big.select("dim", "cell"), ["dim", "cell"], "left_anti").select("dim", "id", "embedding", "weight", "cell", F.lit(None).cast("double").alias("off"))
         celled = common.save(moved.unionByName(stayed), "near-cells")
         sizes = celled.filter("off IS NOT NULL").groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("off").alias("radius"))
-        children = pivots.join(large, ["dim", "cell"]).select("dim", F.col("cell").alias("parent"), F.col("child").alias("cell"), "centre", F.col("parent_radius").alias("before")).join(sizes, ["dim", "cell"])
-        same = cells.join(F.broadcast(big.select("dim", "cell")), ["dim", "cell"], "left_anti").withColumn("parent", F.col("cell"))
+        children = pivots.join(big, ["dim", "cell"]).select("dim", F.col("cell").alias("parent"), F.col("child").alias("cell"), "centre", F.col("parent_radius").alias("before")).join(sizes, ["dim", "cell"])
+        same = cells.join(big.select("dim", "cell"), ["dim", "cell"], "left_anti").withColumn("parent", F.col("cell"))
         grown = common.save(children.unionByName(same), "near-level")
         side = lambda p, x: grown.select("dim", F.col("parent").alias(x), *(F.col(c).alias(f"{p}_{c}") for c in ("cell", "centre", "radius")))  # noqa: E731, B023
         met = pairs.join(side("one", "a"), ["dim", "a"]).join(side("two", "b"), ["dim", "b"]).filter("a <> b OR one_cell <= two_cell")
@@ -259,7 +259,7 @@ def near_links(vectors: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFr
     tau = float(distance(threshold))
     radii = [2 * tau / 2**k for k in range(LEVELS)]
     celled, cells, pairs = part_cells(vectors, max(LEAST_BLOCK, vectors.count() // BLOCKS), tau)
-    dealt = celled.join(F.broadcast(cells), ["dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).select("dim", "cell", "block", "id", "embedding", "weight")
+    dealt = celled.join(cells, ["dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).select("dim", "cell", "block", "id", "embedding", "weight")
 
     def build(table: pa.Table) -> pa.Table:
         table = table.sort_by("id")

@@ -212,12 +212,18 @@ def test_neighbors_equal_brute_force_with_edges(spark):
     assert got == want
 
 
-def test_neighbors_over_blocks_and_cells(spark, monkeypatch):
+@pytest.mark.parametrize("most", ["10MB", "-1"])
+def test_neighbors_over_blocks_and_cells(spark, monkeypatch, most):
     monkeypatch.setattr(neighbors, "LEAST_BLOCK", 60)
     rng = np.random.default_rng(4)
     base = rng.normal(size=(60, 8))
     rows = [(int(i), (base[i % 60 if i % 3 else 0] + rng.normal(size=8) * 0.15).tolist()) for i in range(900)]
-    got = sorted(((r.vec_id, r.n_links, r.component_id) for r in neighbors.near_duplicates(vectors(spark, rows)).collect()), key=repr)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    try:
+        got = sorted(((r.vec_id, r.n_links, r.component_id) for r in neighbors.near_duplicates(vectors(spark, rows)).collect()), key=repr)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert got == brute_links(rows)
 
 
