@@ -258,3 +258,24 @@ def gain_curves(n: Column, gain: Column, strength: float = 0.72, style: str = "c
         high_in = lambda p: into(p) * ((1.0 - strength) + strength * (low + (1 - low) * scalar.smoothstep((p - a2) / w2)))
     curves = {"fade_out": out, "fade_in": into, "bass_out": lambda p: F.sqrt(clip(1.0 - bass(p))), "bass_in": lambda p: F.sqrt(clip(bass(p))), "high_out": high_out, "high_in": high_in}
     return {name: F.transform(phase, f) for name, f in curves.items()}
+
+
+# Beats before and after the cue between which the decks, and their basses, change over.
+CUE_RAMPS = {"decks": (1.40, 1.10), "bass": (0.55, 0.35)}
+
+
+def cue_curves(phase: Column, switch: Column, beats: Column, gain: Column) -> dict[str, Column]:
+    """Gains of a plain crossfade around the cue at `switch`, both from 0 to 1: fade, bass and high band, out and in.
+
+    beats is the length of the window. What the second deck gains in level is released until the window ends.
+    """
+
+    def over(name: str) -> Column:
+        before, after = CUE_RAMPS[name]
+        w = 1.0 / F.greatest(beats, F.lit(1.0))
+        return scalar.ramp(phase, clip(clip(switch) - before * w), clip(clip(switch) + after * w), smoother=False)
+
+    level = gain + (1.0 - gain) * scalar.smoothstep(phase)
+    out, into = scalar.equal_power(over("decks"))
+    bass = over("bass")
+    return {"fade_out": out, "fade_in": into * level, "bass_out": 1.0 - bass, "bass_in": bass * level, "high_out": out, "high_in": into * level}

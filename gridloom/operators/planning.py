@@ -127,12 +127,13 @@ def style_order(role_a: Column, role_b: Column, intent: Column, most: int = 3) -
     return F.slice(F.transform(F.reverse(F.array_sort(F.filter(F.array(*rows), lambda r: r.isNotNull()))), lambda r: r["style"]), 1, max(1, most))
 
 
-def automix(plans: DataFrame, policy: str = "structure", least: float = 0.60) -> DataFrame:
-    """plans with automix_confidence and mode. Reads score, edm_confidence, cue_alignment, phrase_alignment, policy, intent, tail."""
+def automix(plans: DataFrame, policy: str | Column = "structure", least: float = 0.60) -> DataFrame:
+    """plans with automix_confidence and mode; policy is a name, or a column of names. Reads score, edm_confidence, cue_alignment, phrase_alignment, policy, intent, tail."""
     confidence = clip(0.43 * F.col("score") + 0.20 * F.coalesce("edm_confidence", F.lit(0.5)) + 0.10 * F.col("cue_alignment") + 0.07 * F.col("phrase_alignment") + 0.20 * clip("policy"))
     p = plans.withColumn("automix_confidence", confidence)
     simple = (F.col("score") >= 0.43) | (F.col("cue_alignment") >= 0.46)
-    kind = scalar.automix_policy("tail", F.lit(policy == "always dj"), F.lit(policy == "crossfade"), F.col("automix_confidence") + (0.60 - least), "policy", "intent", simple)
+    wanted = F.lit(policy) if isinstance(policy, str) else policy
+    kind = scalar.automix_policy("tail", wanted == "always dj", wanted == "crossfade", F.col("automix_confidence") + (0.60 - least), "policy", "intent", simple)
     return p.withColumn("mode", kind)
 
 
@@ -151,6 +152,23 @@ def assemble(best: DataFrame, pairs: DataFrame) -> DataFrame:
     return automix(w)
 
 
+# Complexity of plain hand-overs by mode, with the name of their policy.
+SIMPLE = {"gapless": ("short smooth hand-over", 0.15), "simple": ("short beat crossfade", 0.42), "crossfade": ("short beat crossfade", 0.42), "tail": ("endpoint-safe tail fade", 0.42)}
+
+
+def simple_plans(plans: DataFrame) -> DataFrame:
+    """The plain hand-overs that plans of any mode but creative become.
+
+    Cues and starts stay; the window shrinks to what both tracks still hold, one sample at least, and the next track resumes
+    after the last sample that was played. No effects. Reads mode, a_start, b_start, length, a_total, b_total.
+    """
+    left = lambda total, start: F.greatest(F.lit(1), F.col(total) - F.col(start))
+    length = F.greatest(F.lit(1), F.least(F.col("length"), left("a_total", "a_start"), left("b_total", "b_start"))).cast("long")
+    p = plans.filter(F.col("mode").isin(*SIMPLE)).withColumn("length", length)
+    named = lambda k: F.create_map(*(F.lit(x) for m, v in SIMPLE.items() for x in (m, v[k])))[F.col("mode")]
+    return p.withColumns({"a_end": F.col("a_start") + F.col("length"), "b_resume": F.col("b_start") + F.col("length"), "policy_name": named(0), "complexity": named(1), "effect": F.lit(0.0)})
+
+
 def band_correlation(samples: DataFrame) -> DataFrame:
     """(track_id, band, rho) of samples (track_id, band, a, b)."""
     s = samples.groupBy("track_id", "band").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("a") * F.col("b")).alias("ab"), F.sum(F.col("a") * F.col("a")).alias("aa"), F.sum(F.col("b") * F.col("b")).alias("bb"))

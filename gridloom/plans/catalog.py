@@ -924,25 +924,35 @@ def _styles(spark: SparkSession, d: str) -> DataFrame:
     return r6(s.select("pair_id", "exit", "entry", "bars", F.array_join(order, ",").alias("styles"), fit["Short Blend"].alias("fs"), fit["Bass Swap"].alias("fbs"), fit["Echo Out"].alias("fe")))
 
 
-@query(f"""WITH {_score_sql()}, b1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY score DESC, bars, exit, entry) AS rk FROM scored) WHERE rk = 1),
+CONFIDENCE = "greatest(0.0, least(1.0, 0.43 * score + 0.10 + 0.10 * cue_alignment + 0.07 * phrase_alignment + 0.20 * policy))"
+MODE = f"CASE WHEN {CONFIDENCE} >= 0.60 OR policy >= 0.72 AND intent <> 'Safe Phrase Blend' THEN 'creative' WHEN score >= 0.43 OR cue_alignment >= 0.46 THEN 'simple' ELSE 'gapless' END"
+PLANS = f"""WITH {_score_sql()}, b1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY score DESC, bars, exit, entry) AS rk FROM scored) WHERE rk = 1),
 pl AS (SELECT *, exit * 88200 AS ac, entry * 88200 AS bc, 22050 AS beat, na.n * 88200 AS tota, nb.n * 88200 AS totb FROM (SELECT * FROM b1) b2 JOIN (SELECT track_id AS at_, n FROM ct) na ON na.at_ = a_track JOIN (SELECT track_id AS bt_, n FROM ct) nb ON nb.bt_ = b_track),
-pq AS (SELECT *, least(ac, bc, 88200) AS pre, least(tota - ac, totb - bc, 44100) AS post FROM pl)
+pq AS (SELECT *, least(ac, bc, 88200) AS pre, least(tota - ac, totb - bc, 44100) AS post FROM pl)"""
+
+
+@query(f"""{PLANS}
 SELECT pair_id, CAST(ac - pre AS BIGINT) AS a_start, CAST(bc - pre AS BIGINT) AS b_start, CAST(pre + post AS BIGINT) AS length, CAST(pre AS BIGINT) AS handoff, CAST(bc + post AS BIGINT) AS b_end, CAST(ac + post AS BIGINT) AS a_end, round(pre / greatest(pre + post, 1), 6) + 0.0 AS switch, intent,
- round(greatest(0.0, least(1.0, 0.43 * score + 0.10 + 0.10 * cue_alignment + 0.07 * phrase_alignment + 0.20 * policy)), 6) + 0.0 AS automix_confidence,
- CASE WHEN greatest(0.0, least(1.0, 0.43 * score + 0.10 + 0.10 * cue_alignment + 0.07 * phrase_alignment + 0.20 * policy)) >= 0.60 OR policy >= 0.72 AND intent <> 'Safe Phrase Blend' THEN 'creative' WHEN score >= 0.43 OR cue_alignment >= 0.46 THEN 'simple' ELSE 'gapless' END AS mode FROM pq""")
+ round({CONFIDENCE}, 6) + 0.0 AS automix_confidence,
+ {MODE} AS mode FROM pq""")
 def transition_plans(spark, d):
     return _plans(spark, d)
 
 
 def _plans(spark: SparkSession, d: str) -> DataFrame:
+    plans = assembled(spark, d)
+    return r6(plans.select("pair_id", "a_start", "b_start", "length", "handoff", "b_end", "a_end", "switch", "intent", "automix_confidence", "mode"))
+
+
+def assembled(spark: SparkSession, d: str) -> DataFrame:
+    """The plan of each track and the next one."""
     from ..operators import planning
 
     b = mix_bars(spark, d)
     n = b.groupBy("track_id").agg((F.count(F.lit(1)) * 88200).alias("total"))
     pairs = neighbour_pairs(b).join(n.select(F.col("track_id").alias("a_track"), F.col("total").alias("a_total")), "a_track").join(n.select(F.col("track_id").alias("b_track"), F.col("total").alias("b_total")), "b_track")
     pairs = pairs.select("pair_id", "a_total", "b_total", F.lit(120.0).alias("bpm"), F.lit(44100).alias("rate"), F.lit(0).alias("earliest"), F.lit(0).alias("b_first"), F.lit(False).alias("force_tail"), F.lit(88200).alias("samples_per_bar"))
-    plans = planning.assemble(matching.best_candidate(_scored(spark, d)), pairs)
-    return r6(plans.select("pair_id", "a_start", "b_start", "length", "handoff", "b_end", "a_end", "switch", "intent", "automix_confidence", "mode"))
+    return planning.assemble(matching.best_candidate(_scored(spark, d)), pairs)
 
 
 @query(f"""WITH {SAMPLES}, bd AS (SELECT track_id, CASE idx % 2 WHEN 0 THEN 'low' ELSE 'high' END AS band, a, b FROM sm UNION ALL SELECT track_id, 'mid', a, b FROM sm), co AS (SELECT track_id, band, CASE WHEN count(*) < 64 OR sqrt(sum(a * a) * sum(b * b)) <= 1e-9 THEN 0.0 ELSE sum(a * b) / sqrt(sum(a * a) * sum(b * b)) END AS rho FROM bd GROUP BY ALL),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import phase, rendering
+from ..operators import matching, phase, planning, rendering
 from ..sources import projections as P
 from . import catalog as C
 from . import oracle as O
@@ -216,3 +216,40 @@ def phase_quality(spark, d):
     m = phase.lock(beats, decks, RATE)[1]
     fine = lambda n, k: F.round(n, k) + 0.0
     return m.select("track_id", fine("pre_ms", 4).alias("pre_ms"), fine("post_ms", 4).alias("post_ms"), fine("confidence", 6).alias("confidence"), fine("score", 5).alias("score"))
+
+
+_NAMES, _COSTS = (" ".join(f"WHEN '{m}' THEN {v[k]!r}" for m, v in planning.SIMPLE.items()) for k in (0, 1))
+
+
+@query(f"""{C.PLANS}, st AS (SELECT *, unnest(['structure', 'crossfade']) AS setting, ac - pre AS a_start, bc - pre AS b_start FROM pq),
+md AS (SELECT *, CASE setting WHEN 'crossfade' THEN setting ELSE {C.MODE} END AS mode, greatest(1, least(pre + post, greatest(1, tota - a_start), greatest(1, totb - b_start))) AS held FROM st)
+SELECT pair_id, setting, mode, CASE mode {_NAMES} END AS policy_name, CASE mode {_COSTS} END::DOUBLE AS complexity, CAST(a_start AS BIGINT) AS a_start, CAST(b_start AS BIGINT) AS b_start, CAST(held AS BIGINT) AS length, CAST(a_start + held AS BIGINT) AS a_end, CAST(b_start + held AS BIGINT) AS b_resume FROM md WHERE mode <> 'creative'""")
+def simple_plans(spark, d):
+    """The plain hand-overs of all pairs under two settings: what the structure does not carry, and crossfades throughout."""
+    plans = C.assembled(spark, d).withColumn("setting", F.explode(F.array(F.lit("structure"), F.lit("crossfade"))))
+    simple = planning.simple_plans(planning.automix(plans, F.col("setting")))
+    return r6(simple.select("pair_id", "setting", "mode", "policy_name", "complexity", *[F.col(c).cast("long").alias(c) for c in ("a_start", "b_start", "length", "a_end", "b_resume")]))
+
+
+def _around(before: float, after: float) -> str:
+    a, b = f"greatest(0.0, least(1.0, sw - {before} * w))", f"greatest(0.0, least(1.0, sw + {after} * w))"
+    x = f"greatest(0.0, least(1.0, (ph - {a}) / greatest({b} - {a}, 1e-6)))"
+    return f"CASE WHEN {b} <= {a} + 1e-6 THEN CASE WHEN ph >= {a} THEN 1.0 ELSE 0.0 END ELSE {x} * {x} * (3 - 2 * {x}) END"
+
+
+@query(f"""WITH {C.SAMPLES}, bd AS (SELECT track_id, CASE idx % 2 WHEN 0 THEN 'low' ELSE 'high' END AS band, a, b FROM sm UNION ALL SELECT track_id, 'mid', a, b FROM sm),
+co AS (SELECT track_id, band, CASE WHEN count(*) < 64 OR sqrt(sum(a * a) * sum(b * b)) <= 1e-9 THEN 0.0 ELSE sum(a * b) / sqrt(sum(a * a) * sum(b * b)) END AS rho FROM bd GROUP BY ALL),
+pt AS (SELECT track_id, i, i / 16.0::DOUBLE AS ph, 0.3 + track_id % 5 * 0.1::DOUBLE AS sw, 1.0::DOUBLE / (2 + track_id % 4) AS w, 0.7 + track_id % 7 * 0.1::DOUBLE AS g FROM (SELECT DISTINCT track_id FROM ev), range(0, 17) x(i)),
+rm AS (SELECT *, {_around(*matching.CUE_RAMPS['decks'])} AS mn, {_around(*matching.CUE_RAMPS['bass'])} AS bs, g + (1 - g) * ph * ph * (3 - 2 * ph) AS lv FROM pt),
+lg AS (SELECT track_id, 'low' AS band, i, 1 - bs AS o, bs * lv AS n FROM rm UNION ALL SELECT track_id, unnest(['mid', 'high']), i, cos(mn * pi() / 2), sin(mn * pi() / 2) * lv FROM rm),
+s AS (SELECT lg.*, greatest(0.70, least(1.0, sqrt((o * o + n * n) / greatest(o * o + n * n + 2 * greatest(0.0, least(0.97, coalesce(rho, 0.0))) * o * n, 1e-12)))) AS sc FROM lg LEFT JOIN co USING (track_id, band))
+SELECT track_id AS pair_id, band, i, round(o * sc, 6) + 0.0 AS gain_out, round(n * sc, 6) + 0.0 AS gain_in, round(-20 * log10(min(sc) OVER (PARTITION BY track_id, band)), 6) + 0.0 AS reduction FROM s""")
+def simple_curves(spark, d):
+    """Crossfades around the cue of each user's hand-over, each band scaled by how alike both sides are there."""
+    p = plans(spark, d).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(16).cast("long"))))
+    c = matching.cue_curves(F.col("i") / 16.0, F.col("handoff"), F.col("beats"), F.col("gain"))
+    sides = [F.struct(F.lit(band).alias("band"), c[f"{name}_out"].alias("gain_out"), c[f"{name}_in"].alias("gain_in")) for band, name in (("low", "bass"), ("mid", "fade"), ("high", "high"))]
+    curves = p.select(F.col("pair_id").alias("track_id"), "i", F.inline(F.array(*sides)))
+    s = C.samples(spark, d)
+    bands = s.select("track_id", F.when(F.col("idx") % 2 == 0, "low").otherwise("high").alias("band"), "a", "b").unionAll(s.select("track_id", F.lit("mid").alias("band"), "a", "b"))
+    return r6(planning.adapted_gains(curves, bands).withColumnRenamed("track_id", "pair_id"))

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from gridloom.functions import scalar, search
-from gridloom.operators import matching, ranking, rendering
+from gridloom.operators import matching, planning, ranking, rendering
 from gridloom.plans import catalog
 from gridloom.sources import projections as P
 
@@ -114,3 +114,37 @@ def test_gains_of_bass_and_drums_add_up(spark):
     c = rendering.ownership(F.col("id") / 100.0, F.lit("Bass Swap"), F.lit(0.5), F.lit(4.0), F.lit(0.3))
     for r in spark.range(101).select(*[v.alias(n) for n, v in c.items()]).collect():
         assert abs(r.bass_a + r.bass_b - 1) < 1e-9 and r.drum_b >= r.drum_loop and 0 <= r.harm_a <= 1 and r.echo_send == 0.0
+
+
+def test_plain_hand_overs_keep_their_cues_and_stay_within_both_tracks(spark):
+    rows = [
+        (1, "gapless", 100, 50, 400, 1000, 1000),
+        (2, "simple", 700, 50, 400, 1000, 1000),
+        (3, "crossfade", 100, 900, 400, 1000, 1000),
+        (4, "tail", 1000, 50, 400, 1000, 1000),
+        (5, "creative", 100, 50, 400, 1000, 1000),
+    ]
+    plans = spark.createDataFrame(rows, "pair_id long, mode string, a_start long, b_start long, length long, a_total long, b_total long")
+    got = {r.pair_id: r for r in planning.simple_plans(plans).collect()}
+    assert {k: r.length for k, r in got.items()} == {1: 400, 2: 300, 3: 100, 4: 1}
+    assert all(r.a_start == rows[k - 1][2] and r.a_end == r.a_start + r.length and r.b_resume == r.b_start + r.length for k, r in got.items())
+    assert {k: r.complexity for k, r in got.items()} == {1: 0.15, 2: 0.42, 3: 0.42, 4: 0.42}
+    assert planning.simple_plans(plans.limit(0)).count() == 0
+
+
+def test_cue_curves_meet_at_the_cue_and_end_at_one(spark):
+    plans = [(sw, beats, g) for sw in (0.0, 0.3, 0.5, 1.0) for beats in (0.5, 4.0, 16.0) for g in (0.5, 1.0, 1.4)]
+    df = spark.createDataFrame(plans, "switch double, beats double, gain double").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(64))))
+    phase = F.col("i") / 64.0
+    c = matching.cue_curves(phase, F.col("switch"), F.col("beats"), F.col("gain"))
+    step = lambda x: np.clip(x, 0, 1) ** 2 * (3 - 2 * np.clip(x, 0, 1))
+    for r in df.select("*", phase.alias("p"), *[v.alias(n) for n, v in c.items()]).collect():
+        w, over = 1 / max(r.beats, 1.0), []
+        for before, after in ((1.40, 1.10), (0.55, 0.35)):
+            a, b = np.clip(r.switch - before * w, 0, 1), np.clip(r.switch + after * w, 0, 1)
+            over.append(float(r.p >= b) if b <= a + 1e-6 else step((r.p - a) / (b - a)))
+        level = r.gain + (1 - r.gain) * step(r.p)
+        fade = (np.cos(over[0] * np.pi / 2), np.sin(over[0] * np.pi / 2) * level)
+        np.testing.assert_allclose([r.fade_out, r.fade_in, r.bass_out, r.bass_in, r.high_out, r.high_in], [*fade, 1 - over[1], over[1] * level, *fade], atol=1e-9)
+        if r.i == 64:
+            np.testing.assert_allclose([r.fade_out, r.fade_in, r.bass_out, r.bass_in], [0, 1, 0, 1], atol=1e-9)
