@@ -24,11 +24,12 @@ def by_time() -> WindowSpec:
 def numbered(df: DataFrame, by: str, name: str) -> DataFrame:
     """df with `name`, the place of each row from 0 in order of `by`: numbered within ranges, whose sizes are one small table.
 
-    No task sorts the whole table. Ties are numbered in no fixed order.
+    No task sorts the whole table. Ties are numbered by a hash of their rows, so that reruns agree; equal rows are alike.
     """
-    ranged = cut(df.repartitionByRange(by).withColumn("_range", F.spark_partition_id()), "ranges")
+    tie = F.xxhash64(F.to_json(F.struct(*df.columns)))
+    ranged = cut(df.withColumn("_tie", tie).repartitionByRange(by).withColumn("_range", F.spark_partition_id()), "ranges")
     sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     below = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_below"))
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(by)) - 1
-    return ranged.withColumn("_inside", inside).join(F.broadcast(below), "_range").withColumn(name, F.col("_below") + F.col("_inside")).drop("_range", "_inside", "_below")
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(by, "_tie")) - 1
+    return ranged.withColumn("_inside", inside).join(F.broadcast(below), "_range").withColumn(name, F.col("_below") + F.col("_inside")).drop("_range", "_inside", "_below", "_tie")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from ..functions.scalar import clip, smootherstep, soft_limit
+from ..functions.scalar import clip, equal_power, smootherstep, soft_limit
 from ..functions.windows import by_track
 
 
@@ -142,10 +142,33 @@ def loop_gather(samples: DataFrame, cue: Column, loop: Column, length: Column) -
     return per.select("track_id", "s", i.alias("i")).select("track_id", "i", F.get("s", (cue - loop + F.pmod(F.col("i"), loop)).cast("int"))["v"].alias("v"))
 
 
-def stitch(a: Column, b: Column) -> Column:
-    """Two arrays of one length faded into one another."""
-    n = F.size(a)
-    return F.transform(F.arrays_zip(a.alias("a"), b.alias("b")), lambda z, i: z["a"] + (z["b"] - z["a"]) * smootherstep(i / F.greatest(n - 1, F.lit(1))))
+# Seconds and least samples of the seam at the end of a mix, and its largest share of the mix.
+SEAM_SECONDS, SEAM_SAMPLES, SEAM_SHARE = 0.024, 64, 5
+
+
+def end_seams(mixes: DataFrame, following: DataFrame, resumes: DataFrame, rate: int, wanted: int | None = None, least: int = 16) -> DataFrame:
+    """(track_id, idx, raw, v, seam, resume, last): mixes whose last samples pass over to those before the track resumes.
+
+    mixes, following: (track_id, idx, v) numbered from 0; resumes: (track_id, resume). A mix or seam below `least` samples, or a
+    track of fewer than three, leaves the mix as it is (seam 0); so does a track without samples or without a place to resume.
+    """
+    seam = F.least(F.lit(wanted or max(SEAM_SAMPLES, round(SEAM_SECONDS * rate))), F.floor(F.col("last") / SEAM_SHARE), F.col("resume"))
+    held = following.groupBy("track_id").agg(F.count(F.lit(1)).alias("total")).join(resumes, "track_id")
+    held = held.select("track_id", "total", F.greatest(F.lit(1), F.least(F.col("resume"), F.col("total") - 1)).alias("resume"))
+    m = mixes.withColumn("last", F.count(F.lit(1)).over(by_track())).join(held, "track_id", "left")
+    m = m.withColumn("seam", F.when((F.col("last") >= least) & (F.col("total") >= 3) & (seam >= least), seam).otherwise(0).cast("long"))
+    m = m.withColumns({"into": F.col("idx") - (F.col("last") - F.col("seam")), "at": F.when(F.col("idx") >= F.col("last") - F.col("seam"), F.col("resume") - F.col("last") + F.col("idx"))})
+    m = m.join(following.select("track_id", F.col("idx").alias("at"), F.col("v").alias("target")), ["track_id", "at"], "left")
+    out, into = equal_power(F.col("into") / F.greatest(F.col("seam") - 1, F.lit(1)))
+    mixed = F.when(F.col("at").isNotNull(), F.col("v") * out + F.col("target") * into).otherwise(F.col("v"))
+    return m.select("track_id", "idx", F.col("v").alias("raw"), mixed.alias("v"), "seam", "resume", (F.col("last") - 1 == F.col("idx")).alias("last"))
+
+
+def seam_jumps(seamed: DataFrame, following: DataFrame) -> DataFrame:
+    """(track_id, seam, jump_before, jump_after): steps from the last sample of a mix to the first after it."""
+    first = following.select("track_id", F.col("idx").alias("resume"), F.col("v").alias("first"))
+    ends = seamed.filter("last").join(first, ["track_id", "resume"])
+    return ends.select("track_id", "seam", F.abs(F.col("raw") - F.col("first")).alias("jump_before"), F.abs(F.col("v") - F.col("first")).alias("jump_after"))
 
 
 def envelope(samples: DataFrame, bins: int = 640) -> DataFrame:

@@ -738,6 +738,30 @@ def envelopes(spark, d):
     return r6(timemap.waveform(samples(spark, d).select("track_id", "idx", F.col("a").alias("v"))))
 
 
+SEAMS = f"""{SAMPLES}, nn AS (SELECT track_id, count(*) AS n FROM sm GROUP BY track_id),
+sz AS (SELECT *, greatest(1, least(10 + track_id % 50, n - 1)) AS resume FROM nn), se AS (SELECT *, CASE WHEN n >= 4 AND least(8, n // 5, resume) >= 4 THEN least(8, n // 5, resume) ELSE 0 END AS seam FROM sz),
+st AS (SELECT s.track_id, s.idx, s.a AS raw, n, seam, resume, CASE WHEN s.idx >= n - seam THEN s.a * cos((s.idx - n + seam) / greatest(seam - 1, 1)::DOUBLE * pi() / 2) + t.b * sin((s.idx - n + seam) / greatest(seam - 1, 1)::DOUBLE * pi() / 2) ELSE s.a END AS v
+  FROM sm s JOIN se USING (track_id) LEFT JOIN sm t ON t.track_id = s.track_id AND t.idx = resume - n + s.idx)"""
+
+
+def _seamed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Each user's two signals: the first as a mix that ends, the second as the track that goes on; seams of 4 to 8 samples."""
+    s = samples(spark, d)
+    after = s.select("track_id", "idx", F.col("b").alias("v"))
+    resumes = s.select("track_id").distinct().withColumn("resume", 10 + F.col("track_id") % 50)
+    return timemap.end_seams(s.select("track_id", "idx", F.col("a").alias("v")), after, resumes, 100, wanted=8, least=4), after
+
+
+@query(f"WITH {SEAMS} SELECT track_id, CAST(idx AS BIGINT) AS idx, {r('v')} FROM st")
+def end_seams(spark, d):
+    return r6(_seamed(spark, d)[0].select("track_id", F.col("idx").cast("long").alias("idx"), "v"))
+
+
+@query(f"WITH {SEAMS} SELECT st.track_id, CAST(seam AS BIGINT) AS seam, round(abs(raw - b), 6) + 0.0 AS jump_before, round(abs(v - b), 6) + 0.0 AS jump_after FROM st JOIN sm ON sm.track_id = st.track_id AND sm.idx = resume WHERE st.idx = n - 1")
+def seam_jumps(spark, d):
+    return r6(timemap.seam_jumps(*_seamed(spark, d)))
+
+
 FRAMES = f"{SAMPLES}, n AS (SELECT *, max(idx) OVER (PARTITION BY track_id) + 1 AS n FROM sm), fr AS (SELECT track_id, f AS frame, sqrt(avg(a * a) + 1e-12) AS rms FROM n, range(0, 200) r(f) WHERE idx >= f * 4 AND idx < f * 4 + 8 AND f * 4 + 8 <= n GROUP BY track_id, f)"
 
 

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions import arrays, scalar
+from gridloom.functions.windows import numbered
 from gridloom.operators import cues, grid, matching, ranking, structure, timemap
 
 
@@ -230,9 +231,31 @@ def test_automix_rules_in_order(spark):
     assert got == ["tail", "creative", "crossfade", "creative", "simple", "gapless"]
 
 
-def test_stitched_seam_starts_and_ends_on_both_sides(spark):
-    v = one(spark, timemap.stitch(F.expr("array(0D,0D,0D,0D,0D)"), F.expr("array(1D,1D,1D,1D,1D)")))
-    assert v[0] == 0 and v[-1] == 1 and v == sorted(v)
+def test_mixes_end_on_the_samples_before_the_track_resumes(spark):
+    rng = np.random.default_rng(7)
+    mixes, tracks, resumes = {1: rng.normal(size=2000), 2: rng.normal(size=60), 3: rng.normal(size=400), 4: rng.normal(size=400)}, {1: rng.normal(size=5000), 2: rng.normal(size=500), 3: rng.normal(size=50), 4: rng.normal(size=2)}, {1: 4000, 2: 100, 3: 900, 4: 1}
+    rows = lambda x: spark.createDataFrame([(k, i, float(v)) for k, vs in x.items() for i, v in enumerate(vs)], "track_id long, idx long, v double")
+    after = rows(tracks)
+    out = timemap.end_seams(rows(mixes), after, spark.createDataFrame(list(resumes.items()), "track_id long, resume long"), 8000)
+    got = {k: [0.0] * len(v) for k, v in mixes.items()}
+    seams = {}
+    for r in out.collect():
+        got[r.track_id][r.idx], seams[r.track_id] = r.v, r.seam
+    assert seams == {1: 192, 2: 0, 3: 49, 4: 0}
+    for k, n in seams.items():
+        want = mixes[k].copy()
+        if n:
+            at, p = min(resumes[k], len(tracks[k]) - 1), np.linspace(0, np.pi / 2, n)
+            want[-n:] = want[-n:] * np.cos(p) + tracks[k][at - n : at] * np.sin(p)
+        np.testing.assert_allclose(got[k], want, atol=1e-9)
+    jump = {r.track_id: r.jump_after for r in timemap.seam_jumps(out, after).collect()}
+    assert abs(jump[1] - abs(tracks[1][3999] - tracks[1][4000])) < 1e-9
+
+
+def test_ties_are_numbered_alike_in_every_run(spark):
+    rows = [(i % 3, i) for i in range(300)]
+    runs = [{(r.seq, r.x): r.n for r in numbered(spark.createDataFrame(sorted(rows, key=lambda r: r[1] * k % 301), "seq long, x long").repartition(k), "seq", "n").collect()} for k in (1, 7)]
+    assert runs[0] == runs[1] and sorted(runs[0].values()) == list(range(300))
 
 
 def test_sql_functions(spark):
