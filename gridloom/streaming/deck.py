@@ -184,7 +184,7 @@ def _order(s: dict, here: dict, ids: list[str]) -> str:
 
 def deadline_policy(remaining_s: float, deadline_s: float, reachable: bool) -> str:
     """simple once the rest is at most max(8, 0.35*deadline) seconds and the plan is out of reach; urgent within the deadline."""
-    if remaining_s <= max(8.0, 0.35 * deadline_s) and not reachable:
+    if remaining_s <= max(8.0, 35.0 * deadline_s / 100.0) and not reachable:
         return "simple"
     return "urgent" if remaining_s <= deadline_s else "wait"
 
