@@ -25,10 +25,11 @@ def _suppress(ordered: Column, clash) -> Column:
     return F.aggregate(ordered, empty, lambda kept, x: F.when(F.exists(kept, lambda y: clash(x, y)), kept).otherwise(F.concat(kept, F.array(x))))
 
 
-def pick_peaks(merged: DataFrame, sensitivity: float = 0.5, distance: int = 16) -> DataFrame:
+def pick_peaks(merged: DataFrame, sensitivity: float = 0.5, distance: int = 16, plateaus: bool = True) -> DataFrame:
     """Local maxima of at least `sensitivity`, at least `distance` merged detections apart, highest first.
 
-    A plateau counts at its middle; the first and last detection are no peaks; of equally high ones the later wins.
+    A plateau counts at its middle, or not at all if plateaus are not asked for; the first and last detection are no peaks; of
+    equally high ones the later wins.
     """
     w = by_track().orderBy("t")
     run = merged.withColumn("i", F.row_number().over(w) - 1).withColumn("new", F.coalesce((F.col("score") != F.lag("score").over(w)).cast("int"), F.lit(1)))
@@ -37,6 +38,8 @@ def pick_peaks(merged: DataFrame, sensitivity: float = 0.5, distance: int = 16)
     by_run = by_track().orderBy("run")
     p = p.withColumn("before", F.lag("score").over(by_run)).withColumn("after", F.lead("score").over(by_run))
     p = p.filter((F.col("score") > F.col("before")) & (F.col("score") > F.col("after")) & (F.col("score") >= sensitivity))
+    if not plateaus:
+        p = p.filter("a = z")
     p = p.withColumn("i", F.floor((F.col("a") + F.col("z")) / 2).cast("int"))
     p = p.withColumn("t", F.get(F.transform(F.filter("rows", lambda r: r["i"] == F.col("i")), lambda r: r["t"]), F.lit(0)))
     per = p.groupBy("track_id").agg(F.reverse(F.array_sort(F.collect_list(F.struct("score", "i", "t")))).alias("c"))
