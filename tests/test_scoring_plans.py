@@ -31,3 +31,8 @@ def test_a_best_candidate_is_chosen_among_rows_of_its_own_value():
     assert slices.best(t, np.array([1, 3, 2, 2, 0]), np.array([1, 1, 5, 4, 0]), np.array([4, 8, 8, 8, 4])).tolist() == [3]
     nothing = np.array([], dtype=np.int64)
     assert slices.best({"score": np.array([])}, nothing, nothing, nothing).tolist() == []
+
+
+def test_the_best_hand_over_is_chosen_without_a_sort_of_candidates(around):
+    above, _ = around("handover_best")
+    assert "Window" not in above and "Sort" not in above
