@@ -36,3 +36,9 @@ def test_a_best_candidate_is_chosen_among_rows_of_its_own_value():
 def test_the_best_hand_over_is_chosen_without_a_sort_of_candidates(around):
     above, _ = around("handover_best")
     assert "Window" not in above and "Sort" not in above
+
+
+@pytest.mark.parametrize("name", ["transition_plans"])
+def test_plans_are_made_of_best_candidates_alone(around, name):
+    above, _ = around(name)
+    assert "Window" not in above and "Sort" not in above
