@@ -38,7 +38,7 @@ def test_the_best_hand_over_is_chosen_without_a_sort_of_candidates(around):
     assert "Window" not in above and "Sort" not in above
 
 
-@pytest.mark.parametrize("name", ["transition_plans"])
+@pytest.mark.parametrize("name", ["transition_plans", "simple_plans"])
 def test_plans_are_made_of_best_candidates_alone(around, name):
     above, _ = around(name)
     assert "Window" not in above and "Sort" not in above
