@@ -42,3 +42,8 @@ def test_the_best_hand_over_is_chosen_without_a_sort_of_candidates(around):
 def test_plans_are_made_of_best_candidates_alone(around, name):
     above, _ = around(name)
     assert "Window" not in above and "Sort" not in above
+
+
+def test_candidates_bring_their_roles_along(around):
+    above, _ = around("rendering_styles")
+    assert "Join" not in above
